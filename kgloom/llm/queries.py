@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kgloom.llm import bpe, token_counts
+from kgloom.llm import bpe, packing, quality_rules, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +25,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    return toxicity.toxicity_scores(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_byte_bpe, op6_token_counts)}
+    return {f.__name__: f for f in (op3_toxicity, op4_byte_bpe, op6_token_counts, op7_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
