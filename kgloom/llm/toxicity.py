@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 TRAIN_ROWS = 20_000
 #: Features kept: those that speak most for the label, by log-likelihood ratio.
 FEATURES = 4096
-#: A feature must be in so many training texts.
-LEAST_TEXTS = 4
+#: A feature must be in so many training texts, and its log-likelihood ratio (half of G squared) must be so high, that chance does not explain it.
+LEAST_TEXTS, LEAST_GAIN = 4, 10
 RIDGE = 1e-4
 SWAP_PENALTY = 1.0
 #: How many first letters of a word make a feature.
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
         return Model({}, math.log((n_pos + 0.5) / (n_neg + 0.5)) if n_pos + n_neg else -10.0)
     rate = n_pos / (n_pos + n_neg)
     gain = pos * F.log((pos + 0.01) / ((pos + neg) * rate)) + neg * F.log((neg + 0.01) / ((pos + neg) * (1 - rate)))
-    best = _counts(labelled).where((pos + neg >= LEAST_TEXTS) & (pos > (pos + neg) * rate)).orderBy(F.desc(F.round(gain, 6)), "feature").limit(FEATURES)
+    best = _counts(labelled).where((pos + neg >= LEAST_TEXTS) & (pos > (pos + neg) * rate) & (gain >= LEAST_GAIN)).orderBy(F.desc(F.round(gain, 6)), "feature").limit(FEATURES)
     terms = sorted({f for t in SWAP for f in features_of(t)})
     chosen = {f: i for i, f in enumerate(dict.fromkeys([*(r["feature"] for r in best.select("feature").collect()), *terms]))}
     rows = [(r["label"], list(r["ids"]), None if r["other"] is None else list(r["other"])) for r in _rows(labelled, chosen)]
