@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import bpe, packing, quality_rules, token_counts, toxicity
+from kgloom.llm import bpe, packing, quality_rules, simhash, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(_read(spark, sf_dir, "pages")).drop("url")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~toxicity.held_out()))
@@ -35,13 +39,51 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(_read(spark, sf_dir, "documents")).drop("rejected_by")  # which rule of several is the first follows the order
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_toxicity, op4_byte_bpe, op6_token_counts, op7_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op3_toxicity, op4_byte_bpe, op6_token_counts, op7_packing, op8_simhash, op10_quality_rules)}
+
+
+# Base 32 of the 160 bits of a SHA-1: 20 bits (5 hexadecimal digits) are 4 letters.
+OP1_SQL = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+d as (select page_id, payload, strlen(payload) as payload_bytes, sha1(payload) as h, min(page_id) over (partition by payload) as least from p),
+w as (select *, list_transform(range(8), lambda i: cast('0x' || substr(h, cast(5 * i + 1 as int), 5) as bigint)) as v from d)
+select page_id, payload_bytes,
+  list_aggregate(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(x // 32768 + 1 as int), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(x // 1024 % 32 + 1 as int), 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(x // 32 % 32 + 1 as int), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(x % 32 + 1 as int), 1)), 'string_agg', '') as payload_digest,
+  case when page_id = least then 'response' else 'revisit' end as record_type,
+  case when page_id = least then null else least end as refers_to
+from w
+"""
+
+OP10_SQL = r"""
+with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+g as (select doc_id, text, words, len(words) as n_words,
+    list_transform(range(greatest(len(words) - 2, 0)), lambda i: words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3]) as wins,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from w),
+u as (select doc_id, win, unnest(places) as place from (select doc_id, win, list(place) as places from
+    (select doc_id, unnest(wins) as win, unnest(range(len(wins))) as place from g) group by all having count(*) > 1)),
+r as (select doc_id, count(distinct place + k) as n_repeat_words from u, range(3) t(k) group by doc_id),
+m as (select g.doc_id, g.n_words, len(array_to_string(words, '')) as word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(lines) as n_lines, words, lines
+    from g left join r using (doc_id)),
+v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 20 * n_words or 10 * n_dup_lines > 6 * n_lines
+    or 10 * len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) < 7 * n_words
+    or 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) > 9 * n_lines
+    or 10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 3 * n_lines) as kept
+from v
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL, "op10_quality_rules": OP10_SQL.replace("\\\\", "\\")}
