@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import bpe, packing, quality_rules, simhash, token_counts, toxicity, warc
+from kgloom.llm import bpe, fingerprints, line_dedup, packing, quality_rules, simhash, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its host."""
+    kept = line_dedup.drop_boilerplate(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -29,6 +35,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(_read(spark, sf_dir, "pages")).drop("url")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbour_fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~toxicity.held_out()))
@@ -48,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op3_toxicity, op4_byte_bpe, op6_token_counts, op7_packing, op8_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_toxicity, op4_byte_bpe, op5_line_dedup, op6_token_counts, op7_packing, op8_simhash, op10_quality_rules)}
 
 
 # Base 32 of the 160 bits of a SHA-1: 20 bits (5 hexadecimal digits) are 4 letters.
@@ -64,6 +74,15 @@ select page_id, payload_bytes,
 from w
 """
 
+OP5_SQL = r"""
+with p as (select doc_id, source, text, string_split(text, chr(10)) as lines, count(*) over (partition by source) as pages from documents),
+l as (select source, any_value(pages) as pages, line, count(*) as n from (select source, pages, unnest(list_distinct(lines)) as line from p) where regexp_matches(line, '[^\s]') group by source, line),
+b as (select source, list(line) as often from l where n >= 3 and n > 0.03 * pages group by source)
+select doc_id, coalesce(len(lines), 0) as n_lines, coalesce(len(list_filter(lines, lambda x: list_contains(often, x))), 0) as n_dropped,
+  case when often is null then text else coalesce(array_to_string(list_filter(lines, lambda x: not list_contains(often, x)), chr(10)), '') end as text
+from p left join b on p.source is not distinct from b.source
+"""
+
 OP10_SQL = r"""
 with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
 g as (select doc_id, text, words, len(words) as n_words,
@@ -86,4 +105,4 @@ from v
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op10_quality_rules": OP10_SQL.replace("\\\\", "\\")}
+    return {"op1_warc": OP1_SQL, "op5_line_dedup": OP5_SQL.replace("\\\\", "\\"), "op10_quality_rules": OP10_SQL.replace("\\\\", "\\")}
