@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import bpe, fingerprints, line_dedup, packing, quality_rules, simhash, token_counts, toxicity, warc
+from kgloom.llm import bpe, fingerprints, line_dedup, packing, quality_rules, simhash, suffix_dedup, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,12 +53,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_spans(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents")).drop("rejected_by")  # which rule of several is the first follows the order
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_toxicity, op4_byte_bpe, op5_line_dedup, op6_token_counts, op7_packing, op8_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_toxicity, op4_byte_bpe, op5_line_dedup, op6_token_counts, op7_packing, op8_simhash, op9_suffix_array, op10_quality_rules)}
 
 
 # Base 32 of the 160 bits of a SHA-1: 20 bits (5 hexadecimal digits) are 4 letters.

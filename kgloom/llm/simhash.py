@@ -149,3 +149,20 @@ def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text
     named = written(rooted.join(ids, "root").select("fp", "component_id"), "named")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(named, "fp").select(F.col("__id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all their columns, with one row of each component of :func:`simhash_groups`: that of the smallest id (null ids last).
+
+    docs must be read from files, whose rows keep their numbers from one reading to the next; of rows alike in id and text the
+    first stays.
+    """
+    numbered = docs.withColumn("__n", F.monotonically_increasing_id())
+    rows = written(fingerprints(numbered.select(F.struct(F.col(f"`{id_col}`").cast("bigint").alias("id"), "__n").alias("__both"), F.col(f"`{text_col}`").alias("__t")), width, "__both", "__t"), "prints")
+    prints = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("__id.id").isNull().alias("none"), F.col("__id.id").alias("id"), F.col("__id.__n").alias("n"))).alias("best")), "distinct")
+    roots = written(components(links(prints)), "roots")
+    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("best").alias("best"))
+    stay = rooted.select("fp", "root").join(best, "root").select("fp", F.col("best.n").alias("stay"))
+    gone = written(rows.join(stay, "fp").where(F.col("__id.__n") != F.col("stay")).select(F.col("__id.__n").alias("__n")), "gone")
+    return numbered.join(gone, "__n", "left_anti").select(*(f"`{c}`" for c in docs.columns))

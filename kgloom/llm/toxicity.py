@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Labelled rows to learn from at most: those whose ids hash lowest.
 TRAIN_ROWS = 20_000
@@ -199,5 +200,5 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     text = docs.columns.index(text_col)
     run = _scorer(model, text, lambda batch, s: [*batch.columns, s], [*(f"c{i}" for i in range(len(docs.columns))), "__score"])
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    schema = plain.schema.add("__score", "double")
+    schema = StructType([*plain.schema, StructField("__score", DoubleType())])
     return plain.mapInArrow(run, schema).where("__score < 0.5").drop("__score").toDF(*docs.columns)
