@@ -32,10 +32,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: lineage ends here, and lost executors lose nothing."""
+    """df, written as Parquet in the shared folder and read again: lineage ends here, and lost executors lose nothing.
+
+    The driver then collects its garbage, so that executors drop the shuffle files of the job just done, which nothing reads again.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,8 +28,8 @@ GROUP_PIECES = 8192
 CACHE_WORDS = 200_000
 #: Words of code points below this are normalised here; a word with any other goes to the library whole.
 PLAIN_BELOW = 0x250
-#: Local search ends after so many tried exchanges a piece without the next bin emptied.
-TRIES = 8
+#: Local search ends after so many tried exchanges, and so many a piece, without the next bin emptied.
+TRIES, TRIES_A_PIECE = 20_000, 8
 
 
 class WordIds:
@@ -182,7 +182,7 @@ class Bins:
                         if i < len(own) and own[i][0] < sizes[x] + sizes[z]:
                             return self._swap(source, [x, z], t, [own[i][1]])
                 self.tries += 1
-                if self.tries > TRIES * len(sizes):
+                if self.tries > TRIES + TRIES_A_PIECE * len(sizes):
                     return False
         return False
 
@@ -195,22 +195,22 @@ class Bins:
         return True
 
     def improve(self) -> None:
-        """Empty the emptiest bins while fewer bins could do."""
+        """Change bins, the emptiest first, while fewer bins could do; every change makes a fuller bin fuller, so this ends."""
         self.tries = 0
-        least = -(-sum(self.sizes) // self.capacity)
-        stuck: set[int] = set()
-        while sum(map(bool, self.items)) > least and self.tries <= TRIES * len(self.sizes):
-            rest = [b for b in range(len(self.items)) if self.items[b] and self.free[b] and b not in stuck]
-            if len(rest) < 2:
-                return
-            source = max(rest, key=lambda b: self.free[b])
-            while self.items[source]:
-                open_ = sorted((b for b in rest if self.items[b] and self.free[b] and b != source and self.free[b] <= self.free[source]), key=lambda b: self.free[b])
-                if not self._step(source, open_):
-                    stuck.add(source)
+        least, used = -(-sum(self.sizes) // self.capacity), sum(map(bool, self.items))
+        limit = TRIES + TRIES_A_PIECE * len(self.sizes)
+        while used > least and self.tries <= limit:
+            self.tries += 64  # sorting
+            rest = sorted((b for b in range(len(self.items)) if self.items[b] and self.free[b]), key=lambda b: -self.free[b])
+            for k, source in enumerate(rest):
+                if self._step(source, rest[:k:-1]):  # into bins that are at least as full, the fullest first
+                    if not self.items[source]:
+                        used, self.tries = used - 1, 0
+                    break
+                if self.tries > limit:
                     break
             else:
-                self.tries = 0
+                return
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:

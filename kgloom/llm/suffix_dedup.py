@@ -4,13 +4,15 @@ Matches are found exactly, but no suffix array of the corpus is ever in one plac
 
 1. Every string of LENGTH bytes holds a smallest hash of its ``GRAM``-byte grams (its minimizer), the same wherever it occurs. Documents
    give their minimizers' hashes; those that occur in two documents are kept.
-2. Around each kept minimizer a document gives the segment of all strings that have it. Equal segments are one row, with
-   the smallest id, before they are shuffled. All equal strings of the corpus are now under one hash.
+2. Around each kept minimizer a document gives the segment of all strings that have it, as a hash and a place. Of equal segments one,
+   with the smallest id, goes on, and where a hash has several different segments their bytes are fetched from the documents. All
+   equal strings of the corpus are now under one hash.
 3. Blocks of hashes are indexed: from the sorted order of a block's positions comes its Burrows-Wheeler transform, and
    breadth-first backward extension on it derives the lengths of common prefixes by increasing value: intervals of rows that share
    ``l`` bytes give those that share ``l + 1``, and the expansion stops at LENGTH. What is still undivided are equal strings; each
    gets the smallest id of its interval.
-4. Segments take the verdicts back to the documents that gave them.
+4. Segments take the verdicts back to the documents that gave them. A hash with one segment only needs no index: the strings of that
+   segment occur nowhere else. Exact copies of a document with a smaller id go whole beforehand.
 
 A hash with more than ``MOST_SEGMENTS`` different segments would make a block too large. Its strings are grouped one by one instead, by
 128 bits of hash, summed up before they are shuffled.
@@ -27,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from kgloom.llm.common import by_bytes, row_key, written
+from kgloom.llm.common import by_bytes, written
 
 LENGTH, GRAM = 50, 16
 #: Bytes in a block at least, unless its partition ends.
 BLOCK_BYTES = 1 << 20
 MOST_SEGMENTS = 8192
+#: Bytes of text whose minimizers are found at once, so that the arrays stay in the processor's cache.
+TEXT_BYTES = 256 << 10
 #: Rows with a null id come after all others.
 LAST = (1 << 63) - 1
 
@@ -90,6 +94,16 @@ class Minimizers:
         self.at = np.flatnonzero(best[: n - GRAM + 1] == self.hash[: n - GRAM + 1])
         self.owner = np.searchsorted(self.begin, self.at, "right") - 1
 
+    def marks(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """64 bits of hash for each segment, from the hashes of the grams that cover it."""
+        end = last + self.length - GRAM
+        out = (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ self.hash[end]
+        for k in range(0, 2 * self.length, GRAM):
+            on = first + k < end
+            mixed = (out ^ self.hash[np.where(on, first + k, 0)]) * np.uint64(0xBF58476D1CE4E5B9)
+            out = np.where(on, mixed ^ (mixed >> np.uint64(31)), out)
+        return out
+
     def by_owner(self) -> tuple[np.ndarray, np.ndarray]:
         """(text, hash), each once."""
         if not len(self.at):
@@ -171,12 +185,15 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """__k1, __k2, __cut: the ranges [a, b) of bytes to remove, of rows (__k1, __k2, __id, __text binary) that lose any. b - a >= length."""
+    """__k1, __id, __cut: the ranges [a, b) of bytes to remove, of rows (__k1, __id, __text binary) that lose any. b - a >= length.
+
+    A row is named by __id and __k1, a segment by its hash h and the 64 bits s1 of its own.
+    """
 
     def give_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _texts(batch, "__text")
-            for a, b in by_bytes(texts):
+            for a, b in by_bytes(texts, TEXT_BYTES):
                 who, h = Minimizers(texts[a:b], length).by_owner()
                 at = pa.array(who + a)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("__id").take(at), batch.column("__k1").take(at)], ["h", "__id", "__k1"])
@@ -184,7 +201,7 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     def give_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, wanted = _texts(batch, "__text"), batch.column("__h")
-            for a, b in by_bytes(texts, 1 << 20):
+            for a, b in by_bytes(texts, TEXT_BYTES):
                 own = Minimizers(texts[a:b], length)
                 at = np.zeros(0, np.int64)
                 if len(own.at):  # those of the wanted hashes of their own text
@@ -200,27 +217,42 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                     continue
                 first, last = own.segments(at)
                 who = np.searchsorted(own.begin, at, "right") - 1
-                raw = own.data.tobytes()
-                cut = [raw[x : y + length] for x, y in zip(first.tolist(), last.tolist())]
                 rows_ = pa.array(who + a)
-                yield pa.RecordBatch.from_arrays([batch.column("__k1").take(rows_), batch.column("__k2").take(rows_), batch.column("__id").take(rows_), pa.array(own.hash[at].view(np.int64)), pa.array((first - own.begin[who])), pa.array(cut, pa.binary())], ["__k1", "__k2", "__id", "h", "at", "segment"])
+                yield pa.RecordBatch.from_arrays([batch.column("__k1").take(rows_), batch.column("__id").take(rows_), pa.array(own.hash[at].view(np.int64)), pa.array(own.marks(first, last).view(np.int64)), pa.array((first - own.begin[who]).astype(np.int32)), pa.array((last - first + length).astype(np.int32))], ["__k1", "__id", "h", "s1", "at", "n"])
+
+    def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, s1, least, cut = [], [], [], []
+            for text, i, places in zip(_texts(batch, "__text"), batch.column("__id").to_pylist(), batch.column("places").to_pylist()):
+                for x in places:
+                    h.append(x["h"])
+                    s1.append(x["s1"])
+                    least.append(i)
+                    cut.append(text[x["at"] : x["at"] + x["n"]])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(s1, pa.int64()), pa.array(cut, pa.binary()), pa.array(least, pa.int64())], ["h", "s1", "segment", "least"])
 
     def index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["s1", "s2", "runs"]
+        """Rows come in the order of h. A segment alone under its hash is an interval of its own: its own id is the smallest."""
 
         def done(block: list) -> pa.RecordBatch:
-            s1, s2, _, segments, least = zip(*block)
-            return pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _runs(block_verdicts(list(segments), np.array(least, np.int64), length))], names)
+            h, s1, segments, least = zip(*block)
+            alone = [(i == 0 or h[i - 1] != x) and (i + 1 == len(h) or h[i + 1] != x) for i, x in enumerate(h)]
+            met = [i for i, x in enumerate(alone) if not x]
+            runs = [[(0, len(x) - length, i)] for x, i in zip(segments, least)]
+            if met:
+                for i, own in zip(met, block_verdicts([segments[i] for i in met], np.array([least[i] for i in met], np.int64), length)):
+                    runs[i] = own
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(s1, pa.int64()), _runs(runs)], ["h", "s1", "runs"])
 
         block: list = []
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= BLOCK_BYTES and row[2] != block[-1][2]:
+                if size >= BLOCK_BYTES and row[0] != block[-1][0]:
                     yield done(block)
                     block, size = [], 0
                 block.append(row)
-                size += len(row[3])
+                size += len(row[2])
         if block:
             yield done(block)
 
@@ -229,29 +261,40 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
         for batch in batches:
             cols = [[] for _ in range(6)]
-            for s1, s2, segment, least in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, s1, segment, least in zip(*(c.to_pylist() for c in batch.columns)):
                 for k in range(len(segment) - length + 1):
                     d = xxhash.xxh3_128_intdigest(segment[k : k + length])
-                    for c, v in zip(cols, (s1, s2, k, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), least)):
+                    for c, v in zip(cols, (h, s1, k, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), least)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["s1", "s2", "k", "g1", "g2", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h", "s1", "k", "g1", "g2", "least"])
 
+    # exact copies of a text under a smaller id
+    whole = rows.select("__id", "__k1", F.xxhash64("__text").alias("t1"), F.xxhash64(F.lit("t2"), "__text").alias("t2"), F.length("__text").alias("n"))
+    texts = whole.groupBy("t1", "t2").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi")).where("lo < hi").select("t1", "t2", "lo")
+    copies = written(whole.join(texts, ["t1", "t2"]).where(F.col("__id") > F.col("lo")).select("__k1", "__id", "n"), "copies")
+    # hashes of minimizers in two documents, and who has them
     given = rows.select("__id", "__k1", "__text").mapInArrow(give_hashes, "h bigint, __id bigint, __k1 bigint")
     shared = written(given.groupBy("h").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi")).where("lo < hi").select("h"), "shared")
-    wanted = written(given.select("h", "__k1").join(shared, "h").groupBy("__k1").agg(F.collect_list("h").alias("__h")), "wanted")
-    found = rows.join(wanted, "__k1").select("__k1", "__k2", "__id", "__text", "__h").mapInArrow(give_segments, "__k1 bigint, __k2 bigint, __id bigint, h bigint, at bigint, segment binary")
-    found = written(found.select("*", F.xxhash64("segment", "h").alias("s1"), F.xxhash64(F.lit("s2"), "h", "segment").alias("s2")), "segments")
-    unique = written(found.groupBy("h", "s1", "s2").agg(F.first("segment").alias("segment"), F.min("__id").alias("least")), "unique")
-    large = written(unique.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SEGMENTS).select("h"), "large")
-    columns = ["s1", "s2", "h", "segment", "least"]
-    small = unique.join(large, "h", "left_anti").select(columns).repartition("h").sortWithinPartitions("h", "s1")
-    verdicts = small.mapInArrow(index_blocks, f"s1 bigint, s2 bigint, runs {_RUNS}")
-    strings = unique.join(large, "h", "left_semi").select("s1", "s2", "segment", "least").mapInArrow(give_strings, "s1 bigint, s2 bigint, k bigint, g1 bigint, g2 bigint, least bigint")
+    wanted = given.select("h", "__k1").join(shared.hint("shuffle_hash"), "h").groupBy("__k1").agg(F.collect_list("h").alias("__h"))
+    wanted = written(wanted.join(copies.select("__k1").distinct(), "__k1", "left_anti"), "wanted")
+    found = rows.join(wanted, "__k1").select("__k1", "__id", "__text", "__h").mapInArrow(give_segments, "__k1 bigint, __id bigint, h bigint, s1 bigint, at int, n int")
+    found = written(found, "found")
+    # one of equal segments; those that share a hash with others are indexed, the others are settled
+    unique = written(found.groupBy("h", "s1").agg(F.min(F.struct("__id", "__k1", "at", "n")).alias("f")).select("h", "s1", "f.*"), "unique")
+    several = written(unique.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "several")
+    settled = unique.join(several.select("h").hint("shuffle_hash"), "h", "left_anti").select("h", "s1", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - length).alias("b"), F.col("__id").alias("least"))).alias("runs"))
+    places = written(unique.join(several.hint("shuffle_hash"), "h").groupBy("__k1", "__id").agg(F.collect_list(F.struct("h", "s1", "at", "n")).alias("places")), "places")
+    segments = written(rows.join(places, ["__k1", "__id"]).select("__id", "__text", "places").mapInArrow(cut_segments, "h bigint, s1 bigint, segment binary, least bigint"), "segments").dropDuplicates(["h", "s1"])
+    large = several.where(F.col("c") > MOST_SEGMENTS).select("h")
+    small = segments.join(large, "h", "left_anti").select("h", "s1", "segment", "least").repartition("h").sortWithinPartitions("h", "s1")
+    verdicts = small.mapInArrow(index_blocks, f"h bigint, s1 bigint, runs {_RUNS}")
+    strings = segments.join(large, "h", "left_semi").select("h", "s1", "segment", "least").mapInArrow(give_strings, "h bigint, s1 bigint, k bigint, g1 bigint, g2 bigint, least bigint")
     least = strings.groupBy("g1", "g2").agg(F.min("least").alias("all_least"))
-    single = strings.join(least, ["g1", "g2"]).groupBy("s1", "s2").agg(F.collect_list(F.struct(F.col("k").cast("int").alias("a"), F.col("k").cast("int").alias("b"), F.col("all_least").alias("least"))).alias("runs"))
-    every = written(verdicts.union(single), "verdicts")
-    mine = found.select("__k1", "__k2", "__id", "at", "s1", "s2").join(every, ["s1", "s2"]).select("__k1", "__k2", "__id", "at", F.inline("runs")).where(F.col("least") < F.col("__id"))
-    return mine.groupBy("__k1", "__k2").agg(F.collect_list(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + length).alias("b"))).alias("__cut"))
+    single = strings.join(least, ["g1", "g2"]).groupBy("h", "s1").agg(F.collect_list(F.struct(F.col("k").cast("int").alias("a"), F.col("k").cast("int").alias("b"), F.col("all_least").alias("least"))).alias("runs"))
+    every = written(settled.union(verdicts).union(single), "verdicts")
+    mine = found.select("__k1", "__id", "at", "h", "s1").join(every.hint("shuffle_hash"), ["h", "s1"]).select("__k1", "__id", "at", F.inline("runs")).where(F.col("least") < F.col("__id"))
+    cuts = mine.groupBy("__k1", "__id").agg(F.collect_list(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + length).alias("b"))).alias("__cut"))
+    return cuts.union(copies.distinct().select("__k1", "__id", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("__cut")))
 
 
 def merged(cuts: list | None) -> list[tuple[int, int]]:
@@ -274,9 +317,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFra
     """__row, __text (binary), __cut of every row."""
     number = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST))
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), number.alias("__id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("__text"))
-    keyed = base.select("*", *row_key(F.col("__id"), F.col("__text")))
-    cuts = written(removals(keyed.select("__k1", "__k2", "__id", "__text").where(F.length("__text") >= length), length), "cuts")
-    return keyed.join(cuts, ["__k1", "__k2"], "left").select("__row", "__text", "__cut")
+    keyed = base.withColumn("__k1", F.xxhash64("__id", "__text"))
+    cuts = written(removals(keyed.select("__k1", "__id", "__text").where(F.length("__text") >= length), length), "cuts")
+    return keyed.join(cuts, ["__k1", "__id"], "left").select("__row", "__text", "__cut")
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
