@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.functions import text as X
@@ -20,16 +20,13 @@ def cleaned(docs: DataFrame, with_tables: bool = True, with_images: bool = True)
 def extracted(docs: DataFrame, relations: DataFrame, model: Callable[[], extract.Extractor], max_chars: int = 150, terminators: str = X.SENTENCE_ENDS, method: str = extract.METHOD) -> DataFrame:
     """M7: chunks to triples, the first of equal ones, with source (the document), method and ord.
 
-    ord follows document, chunk and batch, from packed numbers, so no global sort is needed: documents are ranked by their sorted ids.
+    ord follows chunk and batch within a document; documents come in the order of a hash of their ids, so no global sort is needed.
     """
     chunks = segment.chunks(docs, max_chars, terminators)
     found = extract.extract(chunks, extract.schema_batches(relations), model)
-    at = F.struct("doc_id", "chunk_no", "batch_no")
-    first = found.groupBy("head", "relation", "tail").agg(F.min(at).alias("at"))
-    order = F.row_number().over(Window.partitionBy("at.doc_id").orderBy("at.chunk_no", "at.batch_no", "head", "relation", "tail")).cast("bigint")
-    docs_before = first.groupBy("at.doc_id").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = first.withColumn("k", order).join(docs_before, first["at.doc_id"] == docs_before["doc_id"])
-    return ranked.select("head", "relation", "tail", F.col("doc_id").cast("string").alias("source"), F.lit(method).alias("method"), (F.col("before") + F.col("k") - 1).alias("ord"))
+    first = found.groupBy("head", "relation", "tail").agg(F.min(F.struct(F.xxhash64("doc_id").alias("at"), "doc_id", "chunk_no", "batch_no")).alias("f"))
+    place = F.shiftright("f.at", 24) * F.lit(1 << 24) + F.least(F.col("f.chunk_no") * 64 + F.col("f.batch_no"), F.lit((1 << 24) - 1))
+    return first.select("head", "relation", "tail", F.col("f.doc_id").cast("string").alias("source"), F.lit(method).alias("method"), place.alias("ord"))
 
 
 def normalized(triples: DataFrame, vectors: DataFrame, threshold: float = 0.93, relations: DataFrame | None = None, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
