@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-NEVER = np.int64(1 << 40)
+NEVER = np.int32(1 << 30)
 #: Pieces of up to so many symbols share a matrix; longer ones are merged one by one.
 WIDTHS = (8, 16, 32)
 
@@ -15,10 +15,10 @@ class PairTable:
     def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray) -> None:
         keys = (left.astype(np.int64) << 20) | right
         order = np.argsort(keys)
-        self.keys, self.rank, self.merged = keys[order], rank.astype(np.int64)[order], merged.astype(np.int64)[order]
+        self.keys, self.rank, self.merged = keys[order], rank.astype(np.int32)[order], merged.astype(np.int32)[order]
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = (left << 20) | right
+        keys = (left.astype(np.int64) << 20) | right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         hit = self.keys[at] == keys
         return np.where(hit, self.rank[at], NEVER), self.merged[at]
@@ -42,7 +42,7 @@ class PairTable:
     def _matrix(self, rows: list[list[int]], at: np.ndarray, sizes: np.ndarray, width: int, out: list) -> None:
         n = len(at)
         size = sizes[at].copy()
-        ids = np.zeros((n, width), np.int64)
+        ids = np.zeros((n, width), np.int32)
         ids[np.arange(width) < size[:, None]] = np.concatenate([rows[i] for i in at.tolist()])
         rank, into = self.find(ids[:, :-1], ids[:, 1:])
         rank[np.arange(1, width) >= size[:, None]] = NEVER

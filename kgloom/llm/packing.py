@@ -12,6 +12,7 @@ import bisect
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,10 @@ from kgloom.llm.common import Cache, by_bytes, written
 from kgloom.llm.merging import PairTable
 
 GROUP_PIECES = 8192
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 #: Words of code points below this are normalised here; a word with any other goes to the library whole.
 PLAIN_BELOW = 0x250
+PUNCTUATION = frozenset(",.;:!?")
 #: Local search ends after so many tried exchanges, and so many a piece, without the next bin emptied.
 TRIES, TRIES_A_PIECE = 20_000, 8
 
@@ -51,7 +53,7 @@ class WordIds:
         self.cache: Cache = Cache(CACHE_WORDS)
         split = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(split).findall
-        self.odd = regex.compile(rf"[^\x00-\u{PLAIN_BELOW - 1:04x}]|<\|").search
+        self.odd = regex.compile(rf"[^\x00-\u{PLAIN_BELOW - 1:04x}]").search
         vocab, end = model["model"]["vocab"], model["model"]["end_of_word_suffix"]
         chars = _byte_chars()
         self.inner, self.last = [vocab[c] for c in chars], [vocab[c + end] for c in chars]
@@ -60,26 +62,38 @@ class WordIds:
         self.pairs = PairTable(*table.T)
 
     def _learn(self, words: list[str]) -> None:
-        import unicodedata
-
-        rows, owner, ids = [], [], {}
+        """Caches the ids of words. Below PLAIN_BELOW nothing composes, so such words only need lower case; their pieces are merged once each."""
+        cache, old, split, odd = self.cache, self.cache.old, self.split, self.odd
+        cut, ready, rows = [], {}, {}
         for w in words:
-            if self.odd(w):
-                ids[w] = self.library.encode(w, add_special_tokens=False).ids
+            if not w.isascii() and odd(w) or "<|" in w:
+                cache[w] = array("I", self.library.encode(w, add_special_tokens=False).ids).tobytes()
                 continue
-            ids[w] = []
-            for piece in self.split(unicodedata.normalize("NFC", w).lower()):
-                raw = piece.encode()
-                rows.append([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]])
-                owner.append(w)
-        for w, got in zip(owner, self.pairs.merge_rows(rows), strict=True):
-            ids[w] += got
-        for w, got in ids.items():
-            self.cache[w] = np.array(got, "<u4").tobytes()
+            low = w.lower()
+            if low.isalpha():
+                pieces_ = (low,)
+            elif low[-1:] in PUNCTUATION and low[:-1].isalpha():
+                pieces_ = (low[:-1], low[-1])
+            else:
+                pieces_ = tuple(split(low))
+            cut.append((w, pieces_))
+            for p in pieces_:
+                if p not in ready and p not in rows:
+                    if (known := cache.get(p) or old.get(p)) is not None:
+                        ready[p] = known
+                    else:
+                        raw = p.encode()
+                        rows[p] = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
+        for p, got in zip(rows, self.pairs.merge_rows(list(rows.values())), strict=True):
+            ready[p] = array("I", got).tobytes()
+        for w, ps in cut:
+            cache[w] = ready[ps[0]] if len(ps) == 1 else b"".join([ready[p] for p in ps])
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        # lower case does not depend on neighbours here, so "The" and "the" need not be two words
+        plain = [t.isascii() or not self.odd(t) and "İ" not in t for t in texts]
+        cut = [(t.lower() if p and "<|" not in t else t).replace("\n", " ").split(" ") for t, p in zip(texts, plain)]
         self._learn(list(self.cache.unknown(cut)))
         get = self.cache.__getitem__
         out = [b"".join(map(get, ws)) for ws in cut]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from kgloom.llm.common import by_bytes, written
+from kgloom.llm.common import by_bytes, discard, written
 
 LENGTH, GRAM = 50, 16
 #: Bytes in a block at least, unless its partition ends.
@@ -127,12 +127,12 @@ class Minimizers:
 def common_prefixes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, same): starts in sorted order, the empty suffix first; whether each shares ``length`` bytes with the one before.
 
-    Bytes beyond the end count as 0. Lengths of common prefixes are derived by increasing value from the Burrows-Wheeler transform
+    data is UTF-8, in which no byte is 0xFF: all are raised by one, and what lies beyond the end sorts before them. Lengths of common prefixes are derived by increasing value from the Burrows-Wheeler transform
     alone: rows with the same preceding byte keep their order when extended by it, so two neighbours of the extended
     order share l + 1 bytes exactly if the rows they extend lie in one interval of l shared bytes.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(length, np.uint8)])
+    padded = np.concatenate([data + np.uint8(1), np.zeros(length, np.uint8)])
     order = np.argsort(np.lib.stride_tricks.sliding_window_view(padded, length)[:n].copy().view(f"S{length}").ravel(), kind="stable")
     order = np.concatenate([[n], order])
     bwt = np.where(order > 0, data[order - 1].astype(np.int16), -1)
@@ -185,7 +185,7 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """__k1, __id, __cut: the ranges [a, b) of bytes to remove, of rows (__k1, __id, __text binary) that lose any. b - a >= length.
+    """__k1, __id, __cut: the ranges [a, b) of bytes to remove, of rows (__k1, __id, __text binary) that lose any. b - a >= length. A written table.
 
     A row is named by __id and __k1, a segment by its hash h and the 64 bits s1 of its own.
     """
@@ -277,14 +277,18 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = written(given.groupBy("h").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi")).where("lo < hi").select("h"), "shared")
     wanted = given.select("h", "__k1").join(shared.hint("shuffle_hash"), "h").groupBy("__k1").agg(F.collect_list("h").alias("__h"))
     wanted = written(wanted.join(copies.select("__k1").distinct(), "__k1", "left_anti"), "wanted")
+    discard(shared)
     found = rows.join(wanted, "__k1").select("__k1", "__id", "__text", "__h").mapInArrow(give_segments, "__k1 bigint, __id bigint, h bigint, s1 bigint, at int, n int")
     found = written(found, "found")
+    discard(wanted)
     # one of equal segments; those that share a hash with others are indexed, the others are settled
     unique = written(found.groupBy("h", "s1").agg(F.min(F.struct("__id", "__k1", "at", "n")).alias("f")).select("h", "s1", "f.*"), "unique")
     several = written(unique.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "several")
     settled = unique.join(several.select("h").hint("shuffle_hash"), "h", "left_anti").select("h", "s1", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - length).alias("b"), F.col("__id").alias("least"))).alias("runs"))
     places = written(unique.join(several.hint("shuffle_hash"), "h").groupBy("__k1", "__id").agg(F.collect_list(F.struct("h", "s1", "at", "n")).alias("places")), "places")
-    segments = written(rows.join(places, ["__k1", "__id"]).select("__id", "__text", "places").mapInArrow(cut_segments, "h bigint, s1 bigint, segment binary, least bigint"), "segments").dropDuplicates(["h", "s1"])
+    cut = written(rows.join(places, ["__k1", "__id"]).select("__id", "__text", "places").mapInArrow(cut_segments, "h bigint, s1 bigint, segment binary, least bigint"), "segments")
+    discard(places)
+    segments = cut.dropDuplicates(["h", "s1"])  # of rows alike
     large = several.where(F.col("c") > MOST_SEGMENTS).select("h")
     small = segments.join(large, "h", "left_anti").select("h", "s1", "segment", "least").repartition("h").sortWithinPartitions("h", "s1")
     verdicts = small.mapInArrow(index_blocks, f"h bigint, s1 bigint, runs {_RUNS}")
@@ -292,9 +296,12 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     least = strings.groupBy("g1", "g2").agg(F.min("least").alias("all_least"))
     single = strings.join(least, ["g1", "g2"]).groupBy("h", "s1").agg(F.collect_list(F.struct(F.col("k").cast("int").alias("a"), F.col("k").cast("int").alias("b"), F.col("all_least").alias("least"))).alias("runs"))
     every = written(settled.union(verdicts).union(single), "verdicts")
+    discard(unique, several, cut)
     mine = found.select("__k1", "__id", "at", "h", "s1").join(every.hint("shuffle_hash"), ["h", "s1"]).select("__k1", "__id", "at", F.inline("runs")).where(F.col("least") < F.col("__id"))
     cuts = mine.groupBy("__k1", "__id").agg(F.collect_list(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + length).alias("b"))).alias("__cut"))
-    return cuts.union(copies.distinct().select("__k1", "__id", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("__cut")))
+    cuts = written(cuts.union(copies.distinct().select("__k1", "__id", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("__cut"))), "cuts")
+    discard(found, every, copies)
+    return cuts
 
 
 def merged(cuts: list | None) -> list[tuple[int, int]]:
@@ -318,7 +325,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFra
     number = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST))
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), number.alias("__id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("__text"))
     keyed = base.withColumn("__k1", F.xxhash64("__id", "__text"))
-    cuts = written(removals(keyed.select("__k1", "__id", "__text").where(F.length("__text") >= length), length), "cuts")
+    cuts = removals(keyed.select("__k1", "__id", "__text").where(F.length("__text") >= length), length)
     return keyed.join(cuts, ["__k1", "__id"], "left").select("__row", "__text", "__cut")
 
 
