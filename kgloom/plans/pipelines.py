@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import text as X
 from kgloom.operators import entity_types, extract, metrics, resolve, rules, segment, triples as T
+from kgloom.session import cut
 
 
 def cleaned(docs: DataFrame, with_tables: bool = True, with_images: bool = True) -> DataFrame:
@@ -35,8 +36,8 @@ def normalized(triples: DataFrame, vectors: DataFrame, threshold: float = 0.93,
     The filter comes after resolution: triples of other relations still contribute entities.
     """
     own = T.trimmed(triples)
-    pairs = resolve.similar_pairs(vectors, threshold, blocks)
-    names = resolve.canonical_names(T.entities(own), resolve.clusters(pairs), pairs)
+    pairs = cut(resolve.similar_pairs(vectors, threshold, blocks))
+    names = cut(resolve.canonical_names(T.entities(own), resolve.clusters(pairs), pairs))
     out = T.mapped(own, names)
     if relations is not None:
         out = T.in_schema(out, relations)
@@ -56,15 +57,15 @@ def postprocessed(triples: DataFrame, relations: DataFrame, types: DataFrame | N
         if check and not types.isEmpty():
             out = rules.check_types(out, relations).where("ok").drop("ok")
     if complete:
-        out = rules.complete_symmetric(out, metrics.symmetric_of(relations))
+        out = rules.complete_symmetric(cut(out), metrics.symmetric_of(relations))
     if resolve_mutex:
-        out = rules.resolve_mutex(out, metrics.mutex_of(relations))
+        out = rules.resolve_mutex(cut(out), metrics.mutex_of(relations))
     return T.with_defaults(out)
 
 
 def evaluated(docs: DataFrame, relations: DataFrame, gold_entities: DataFrame, gold: DataFrame, model: Callable[[], extract.Extractor], encoder: Callable[[], extract.Encoder], threshold: float = 0.93) -> DataFrame:
     """A21, Entry 2: documents all the way to the metrics document."""
-    raw = extracted(docs, relations, model).persist()
-    vectors = extract.encode(T.entities(T.trimmed(raw)).withColumnRenamed("entity", "id"), encoder, "id")
+    raw = cut(extracted(docs, relations, model))
+    vectors = cut(extract.encode(T.entities(T.trimmed(raw)).withColumnRenamed("entity", "id"), encoder, "id"))
     own, _ = normalized(raw, vectors, threshold, relations)
-    return metrics.evaluation(postprocessed(own, relations), gold_entities, gold, relations)
+    return metrics.evaluation(cut(postprocessed(own, relations)), gold_entities, gold, relations)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,3 +28,20 @@ def session(app: str = "kgloom", **conf: str) -> SparkSession:
 def safe_env(name: str, default: str = "") -> str:
     """An environment variable without white space around it."""
     return os.environ.get(name, default).strip()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written in the folder of spark.checkpoint.dir and read again: what follows uses it several times without computing it again.
+
+    Only a local session may leave the setting out; then a temporary folder is set.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="kgloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kgloom.operators import curate, entity_types, extract, graph, metrics, resolve, rules, triples as T
 from kgloom.plans import pipelines, reports
+from kgloom.session import cut
 
 TRIPLE = "head string, relation string, tail string, source string, method string, ord bigint"
 RELATION = "idx int, name string, description string, head_types array<string>, tail_types array<string>, is_symmetric boolean, mutex_with array<string>"
@@ -168,10 +169,10 @@ def test_extraction_pipeline(spark):
     docs = spark.createDataFrame([("d1", "甲 uses 乙。甲 uses 乙。丙 near 丁"), ("d2", "甲 uses 乙"), ("d3", "")], "doc_id string, text string")
     rel = spark.createDataFrame([(i, n, "", [], [], n == "near", []) for i, n in enumerate(["r0", "r1", "r2", "r3", "uses", "near"])], RELATION)
     assert extract.schema_batches(rel).count() == 2
-    raw = pipelines.extracted(docs, rel, extract.PatternExtractor)
+    raw = cut(pipelines.extracted(docs, rel, extract.PatternExtractor))
     assert {r[:3] for r in rows(raw.select("head", "relation", "tail"))} == {("丙", "near", "丁"), ("甲", "uses", "乙")}
     assert raw.count() == 2 and raw.where("source = 'd1'").count() >= 1
-    vectors = extract.encode(T.entities(raw).withColumnRenamed("entity", "id"), extract.GramEncoder, "id")
+    vectors = cut(extract.encode(T.entities(raw).withColumnRenamed("entity", "id"), extract.GramEncoder, "id"))
     own, names = pipelines.normalized(raw, vectors, 0.93, rel)
     assert names.count() == 4 and own.count() == 2
     assert pipelines.postprocessed(own, rel).count() == 3
