@@ -232,7 +232,7 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(s1, pa.int64()), pa.array(cut, pa.binary()), pa.array(least, pa.int64())], ["h", "s1", "segment", "least"])
 
     def index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in the order of h. A segment alone under its hash is an interval of its own: its own id is the smallest."""
+        """Rows come in the order of h and s1; rows of one segment, which documents alike give, count once. A segment alone under its hash is an interval of its own: its own id is the smallest."""
 
         def done(block: list) -> pa.RecordBatch:
             h, s1, segments, least = zip(*block)
@@ -248,6 +248,8 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if block and row[:2] == block[-1][:2]:
+                    continue
                 if size >= BLOCK_BYTES and row[0] != block[-1][0]:
                     yield done(block)
                     block, size = [], 0
@@ -288,15 +290,14 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     places = written(unique.join(several.hint("shuffle_hash"), "h").groupBy("__k1", "__id").agg(F.collect_list(F.struct("h", "s1", "at", "n")).alias("places")), "places")
     cut = written(rows.join(places, ["__k1", "__id"]).select("__id", "__text", "places").mapInArrow(cut_segments, "h bigint, s1 bigint, segment binary, least bigint"), "segments")
     discard(places)
-    segments = cut.dropDuplicates(["h", "s1"])  # of rows alike
-    large = several.where(F.col("c") > MOST_SEGMENTS).select("h")
-    small = segments.join(large, "h", "left_anti").select("h", "s1", "segment", "least").repartition("h").sortWithinPartitions("h", "s1")
+    large = written(several.where(F.col("c") > MOST_SEGMENTS).select("h"), "large")  # few: one in MOST_SEGMENTS segments at most
+    small = cut.join(large, "h", "left_anti").select("h", "s1", "segment", "least").repartition("h").sortWithinPartitions("h", "s1")
     verdicts = small.mapInArrow(index_blocks, f"h bigint, s1 bigint, runs {_RUNS}")
-    strings = segments.join(large, "h", "left_semi").select("h", "s1", "segment", "least").mapInArrow(give_strings, "h bigint, s1 bigint, k bigint, g1 bigint, g2 bigint, least bigint")
+    strings = cut.join(large, "h", "left_semi").dropDuplicates(["h", "s1"]).select("h", "s1", "segment", "least").mapInArrow(give_strings, "h bigint, s1 bigint, k bigint, g1 bigint, g2 bigint, least bigint")
     least = strings.groupBy("g1", "g2").agg(F.min("least").alias("all_least"))
     single = strings.join(least, ["g1", "g2"]).groupBy("h", "s1").agg(F.collect_list(F.struct(F.col("k").cast("int").alias("a"), F.col("k").cast("int").alias("b"), F.col("all_least").alias("least"))).alias("runs"))
     every = written(settled.union(verdicts).union(single), "verdicts")
-    discard(unique, several, cut)
+    discard(unique, several, cut, large)
     mine = found.select("__k1", "__id", "at", "h", "s1").join(every.hint("shuffle_hash"), ["h", "s1"]).select("__k1", "__id", "at", F.inline("runs")).where(F.col("least") < F.col("__id"))
     cuts = mine.groupBy("__k1", "__id").agg(F.collect_list(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + length).alias("b"))).alias("__cut"))
     cuts = written(cuts.union(copies.distinct().select("__k1", "__id", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("__cut"))), "cuts")
