@@ -56,19 +56,15 @@ def test_graph_sink(spark, tmp_path):
         io.write_graph(facts.where("false"), str(tmp_path / "g"))
 
 
-def failing():
-    class Failing(parsing.HtmlPages):
+def test_parse(spark):
+    class Failing:  # in the function, so that workers need not import this module
         def __call__(self, content):
             if "bad" in content:
                 raise RuntimeError("service")
-            return parsing.HtmlPages.__call__(self, content)
-
-    return Failing()
+            return parsing.HtmlPages()(content)
 
-
-def test_parse(spark):
     pages = spark.createDataFrame([(1, "<h1>T</h1><p>a&amp;b</p><script>x</script>"), (2, "bad"), (3, "done")], "doc_id int, content string")
-    got = {r.doc_id: r for r in parsing.parse(pages, lambda make=failing: make(), pages.where("doc_id = 3")).collect()}
+    got = {r.doc_id: r for r in parsing.parse(pages, Failing, pages.where("doc_id = 3")).collect()}
     assert got[1].text == "# T\na&b\n\n" and got[2].text is None and "service" in got[2].error and 3 not in got
     joined = parsing.joined_pages(spark.createDataFrame([("d", 2, "b"), ("d", 1, "a")], schemas.PAGE))
     assert joined.first().text == "a\n\nb\n\n"
