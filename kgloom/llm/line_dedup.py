@@ -46,7 +46,7 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     keyed = own.select("__row", "__host", "__text", *row_key(F.col("__host"), F.col("__text")))
     places = keyed.select("__host", "__k1", "__k2", F.posexplode(_lines("__text")).alias("__at", "__line")).select("__k1", "__k2", "__at", *_line_key("__host", F.col("__line")))
     drops = written(places.join(often, ["__l1", "__l2"], "left_semi").groupBy("__k1", "__k2").agg(F.collect_set("__at").alias("__drop")), "drops")
-    joined = keyed.join(drops, ["__k1", "__k2"], "left")
+    joined = keyed.join(drops.hint("merge"), ["__k1", "__k2"], "left")  # alike at every size: drops grow with the pages
     lines = _lines("__text")
     kept = F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n"))
     out = [kept.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in pages.columns]
