@@ -2,13 +2,12 @@
 
 Documents become ids; only what exceeds a sequence is cut. Pieces are dealt into groups of about ``GROUP_PIECES`` (the number of
 groups follows the number of pieces), each group is packed by best fit, longest first, and local search then moves
-pieces, or exchanges one for one or two for one, between bins that are not full, each step raising the sum of squared fills, until
-bins empty or the number of bins is the least possible. A group wastes less than one sequence beyond what its pieces force.
+pieces, or exchanges one for one or two for one (either way), into bins at least as full, each step raising the sum of squared fills. A
+group ends when it has as few bins as its tokens fill, or when no move or exchange of any two of its bins helps; nothing ends it before.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
 import os
 import zlib
@@ -30,8 +29,8 @@ CACHE_WORDS = 400_000
 #: Words of code points below this are normalised here; a word with any other goes to the library whole.
 PLAIN_BELOW = 0x250
 PUNCTUATION = frozenset(",.;:!?")
-#: Local search ends after so many tried exchanges, and so many a piece, without the next bin emptied.
-TRIES, TRIES_A_PIECE = 20_000, 8
+#: Differences that are looked at in one array at most.
+AT_ONCE = 1 << 20
 
 
 class WordIds:
@@ -139,6 +138,59 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+class Units:
+    """What bins would give back in an exchange: its size, the room and number of its bin, and its items, added at the end only.
+
+    A source that found nothing among the first so many need not look at them again, unless it changes itself.
+    """
+
+    def __init__(self) -> None:
+        self.end = self.dead = 0
+        self.table = np.zeros((5, 1 << 12), np.int32)  # size, room (-1: not there any more), bin, first item, second item
+        self.range: dict[int, tuple[int, int]] = {}
+
+    def drop(self, b: int) -> None:
+        start, stop = self.range.pop(b, (0, 0))
+        self.table[1, start:stop] = -1
+        self.dead += stop - start
+
+    def add(self, b: int, room: int, units: list[tuple[int, int, int]]) -> None:
+        stop = self.end + len(units)
+        while stop > self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], 1)
+        if units:
+            own = self.table[:, self.end : stop]
+            own[1], own[2] = room, b
+            own[0], own[3], own[4] = np.array(units, np.int32).T
+        self.range[b] = (self.end, stop)
+        self.end = stop
+
+    def shrink(self, seen: np.ndarray) -> None:
+        """Takes out what is not there any more, once that is the most; seen are places, which move along."""
+        if 2 * self.dead <= self.end + 4096:
+            return
+        there = self.table[1, : self.end] >= 0
+        place = np.concatenate([[0], np.cumsum(there)])
+        self.end, self.dead = int(place[-1]), 0
+        self.table[:, : self.end] = self.table[:, : len(there)][:, there]
+        self.range = {b: (int(place[i]), int(place[j])) for b, (i, j) in self.range.items()}
+        seen[:] = place[seen]
+
+    def best(self, source: int, free: int, out: np.ndarray, since: int) -> tuple[int, int, int] | None:
+        """Gain, place in out (sizes), place here of the exchange that raises the squares most, among bins at least as full as the source."""
+        size, room, owner = self.table[:3, since : self.end]
+        at = np.flatnonzero((room > 0) & (room <= free) & (owner != source))
+        found, step = None, max(1, AT_ONCE // max(1, len(at)))
+        size, room = size[at], room[at]
+        for a in range(0, len(out) if len(at) else 0, step):
+            more = out[a : a + step, None] - size
+            gain = np.where((more > 0) & (more <= room), more.astype(np.int64) * (more + (free - room)), 0)
+            i, j = divmod(int(gain.argmax()), len(at))
+            if gain[i, j] > (found[0] if found else 0):
+                found = int(gain[i, j]), a + i, since + int(at[j])
+        return found
+
+
 class Bins:
     """Bins of one capacity; items are numbers whose sizes are given."""
 
@@ -169,62 +221,67 @@ class Bins:
             by_free[f].append(b)
             some |= 1 << f
 
-    def _step(self, source: int, open_: list[int]) -> bool:
-        """One change that moves content out of ``source`` into another open bin and raises the sum of squared fills."""
-        sizes, free = self.sizes, self.free
-        for x in sorted(self.items[source], key=lambda k: -sizes[k]):
-            for t in open_:
-                if t == source or not free[t]:
-                    continue
-                room = free[t]
-                if sizes[x] <= room:  # move
-                    return self._swap(source, [x], t, [])
-                own = sorted((sizes[y], y) for y in self.items[t])
-                # one for one: the smallest y that makes room for x
-                i = bisect.bisect_left(own, (sizes[x] - room, -1))
-                if i < len(own) and own[i][0] < sizes[x]:
-                    return self._swap(source, [x], t, [own[i][1]])
-                # two for one: two pieces of t for x
-                for j in range(len(own) - 1):
-                    i = bisect.bisect_left(own, (sizes[x] - room - own[j][0], -1), j + 1)
-                    if i < len(own) and own[i][0] + own[j][0] < sizes[x]:
-                        return self._swap(source, [x], t, [own[j][1], own[i][1]])
-                # and two of source for one of t
-                for z in self.items[source]:
-                    if z != x:
-                        i = bisect.bisect_left(own, (sizes[x] + sizes[z] - room, -1))
-                        if i < len(own) and own[i][0] < sizes[x] + sizes[z]:
-                            return self._swap(source, [x, z], t, [own[i][1]])
-                self.tries += 1
-                if self.tries > TRIES + TRIES_A_PIECE * len(sizes):
-                    return False
-        return False
-
-    def _swap(self, s: int, out: list[int], t: int, back: list[int]) -> bool:
+    def _units(self, b: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """(size, item, other item or -1) of the single pieces and of the pairs of a bin, one of each size."""
+        sizes = self.sizes
+        one = {sizes[k]: k for k in self.items[b]}
+        twice = {sizes[k]: k for k in self.items[b] if one[sizes[k]] != k}
+        two = {x + y: (k, m) for x, k in one.items() for y, m in one.items() if x < y} | {2 * x: (k, one[x]) for x, k in twice.items()}
+        return [(x, k, -1) for x, k in one.items()], [(x, k, m) for x, (k, m) in two.items()]
+
+    def _enter(self, b: int) -> None:
+        for units in (self.singles, self.pairs):
+            units.drop(b)
+        self.seen[:, b] = 0
+        if self.items[b] and self.free[b]:
+            one, two = self._units(b)
+            self.singles.add(b, self.free[b], [(0, -1, -1), *one])
+            self.pairs.add(b, self.free[b], two)
+
+    def _step(self, source: int) -> int | None:
+        """One change that moves content out of ``source`` into another open bin, at least as full, and raises the sum of squared fills: that bin."""
+        one, two = self._units(source)
+        found = []
+        # a piece for none, one or two, and two for one (two for none are two moves); one has been tried with all seen before
+        for out, units, k in ((one, self.singles, 0), (one, self.pairs, 1), (two, self.singles, 0)):
+            if out and (got := units.best(source, self.free[source], np.array([x[0] for x in out], np.int32), int(self.seen[k, source]))):
+                found.append((got[0], out[got[1]][1:], units.table[2:, got[2]].tolist()))
+        if not found:
+            self.seen[:, source] = self.singles.end, self.pairs.end
+            return None
+        _, out, (t, *back) = max(found, key=lambda x: x[0])
+        self._swap(source, [k for k in out if k >= 0], t, [k for k in back if k >= 0])
+        return t
+
+    def _swap(self, s: int, out: list[int], t: int, back: list[int]) -> None:
         moved = sum(self.sizes[k] for k in out) - sum(self.sizes[k] for k in back)
         self.items[s] = [k for k in self.items[s] if k not in out] + back
         self.items[t] = [k for k in self.items[t] if k not in back] + out
         self.free[s] += moved
         self.free[t] -= moved
-        return True
 
     def improve(self) -> None:
-        """Change bins, the emptiest first, while fewer bins could do; every change makes a fuller bin fuller, so this ends."""
-        self.tries = 0
+        """Change bins, the emptiest first, while fewer bins could do and some change helps; every change makes a fuller bin fuller, so this ends."""
         least, used = -(-sum(self.sizes) // self.capacity), sum(map(bool, self.items))
-        limit = TRIES + TRIES_A_PIECE * len(self.sizes)
-        while used > least and self.tries <= limit:
-            self.tries += 64  # sorting
-            rest = sorted((b for b in range(len(self.items)) if self.items[b] and self.free[b]), key=lambda b: -self.free[b])
-            for k, source in enumerate(rest):
-                if self._step(source, rest[:k:-1]):  # into bins that are at least as full, the fullest first
-                    if not self.items[source]:
-                        used, self.tries = used - 1, 0
-                    break
-                if self.tries > limit:
-                    break
-            else:
-                return
+        if used <= least:
+            return
+        self.singles, self.pairs, self.seen = Units(), Units(), np.zeros((2, len(self.items)), np.int64)
+        for b in range(len(self.items)):
+            self._enter(b)
+        helped = True
+        while helped:
+            helped = False
+            for source in sorted((b for b in range(len(self.items)) if self.items[b] and self.free[b]), key=lambda b: -self.free[b]):
+                while self.items[source] and self.free[source] and (t := self._step(source)) is not None:
+                    helped = True
+                    self._enter(source)
+                    self._enter(t)
+                    self.singles.shrink(self.seen[0])
+                    self.pairs.shrink(self.seen[1])
+                if not self.items[source]:
+                    used -= 1
+                    if used <= least:
+                        return
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:

@@ -124,3 +124,25 @@ def test_packing_rows(odd, none):
         assert [x for r in sorted(docs[d], key=lambda r: r.piece) for x in r.ids] == np.frombuffer(i, "<u4").tolist() + [0]
     assert len(docs[7]) == 2
     assert packing.packed(none, path).count() == 0
+
+
+def helps(sizes, bins, capacity):
+    """Brute force: whether some move or exchange (1-1, 1-2, 2-1) into a bin at least as full raises the sum of squared fills."""
+    held = [sorted(sizes[k] for k in b) for b in bins]
+    own = [({*h}, {x + y for i, x in enumerate(h) for y in h[:i]}) for h in held]
+    for s, (one, two) in enumerate(own):
+        for t, (single, pair) in enumerate(own):
+            room = capacity - sum(held[t])
+            if s != t and room and sum(held[t]) >= sum(held[s]):
+                if any(0 < x - y <= room for x in one for y in {0} | single | pair) or any(0 < x - y <= room for x in two for y in single):
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("low, high", [(400, 750), (300, 900), (20, 700)])
+def test_packing_ends_when_nothing_helps(low, high):
+    rnd = random.Random(low)
+    sizes = [rnd.randint(low, high) for _ in range(1500)]
+    got = packing.pack(sizes, 2048)
+    assert sorted(k for b in got for k in b) == list(range(1500)) and all(sum(sizes[k] for k in b) <= 2048 for b in got)
+    assert len(got) == -(-sum(sizes) // 2048) or not helps(sizes, got, 2048)
