@@ -537,6 +537,62 @@ def json_extract(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.explode(extract.parse_responses(own)).alias("t")).select("doc_id", "t.*")
 
 
+# Whole texts around the markers; the queries above keep what their SQL fixes. No SQL: regular expressions with look-behind or Python's meaning.
+
+
+def _around(spark: SparkSession, sf_dir: str, *markers: str) -> DataFrame:
+    """doc_id, text: the text before, between and after the markers."""
+    parts = [F.coalesce("text", F.lit(""))] + [x for m in markers for x in (F.lit(m), F.coalesce("text", F.lit("")))]
+    return documents(spark, sf_dir).select("doc_id", F.concat(*parts).alias("text"))
+
+
+@query()
+def image_references_whole(spark, sf_dir):
+    return _around(spark, sf_dir, " ![abc](u) ![", "](u) ![IMG](x) ").select("doc_id", F.md5(X.image_references(F.col("text"))).alias("digest"))
+
+
+@query()
+def page_markers_whole(spark, sf_dir):
+    return _around(spark, sf_dir, "\n第 7 页\n", "\nPAGE 4\n5 / 6\n<page_footer>", "</page_footer>\n").select("doc_id", F.md5(X.page_markers(F.col("text"))).alias("digest"))
+
+
+@query()
+def citation_strip_whole(spark, sf_dir):
+    return _around(spark, sf_dir, " [1,2] a[1] <sup>[2-3]</sup> [4]b ").select("doc_id", F.md5(X.citation_markers(F.col("text"))).alias("digest"))
+
+
+@query()
+def chapter_split_whole(spark, sf_dir):
+    rows = segment.chapters(_around(spark, sf_dir, "\n# Chapter 1 x\n", "\n## 第2章 y\n"))
+    return rows.select("doc_id", "chapter_no", "title", F.md5("content").alias("digest"))
+
+
+@query()
+def section_skip_whole(spark, sf_dir):
+    return _around(spark, sf_dir, "\n# 声 明\n", "\n## 个人简历\n", "\n# 摘 要\n").select("doc_id", F.md5(X.skipped_sections(F.col("text"))).alias("digest"))
+
+
+@query()
+def references_cut_whole(spark, sf_dir):
+    return _around(spark, sf_dir, "\n## References\n", "\n## reference\n").select("doc_id", F.md5(X.references(F.col("text"))).alias("digest"))
+
+
+@query()
+def html_tables_whole(spark, sf_dir):
+    """Whole pages, as they are."""
+    return _read(spark, sf_dir, "pages").select("page_id", F.md5(X.tables(F.col("html"))).alias("digest"))
+
+
+@query()
+def json_extract_whole(spark, sf_dir):
+    """The whole text is a subject, and stands before and after the JSON where it has no braces of its own."""
+    text = F.coalesce("text", F.lit(""))
+    told = F.to_json(F.create_map(F.lit("r"), F.array(F.struct(text.alias("subject"), F.lit("t").alias("object")))))
+    beside = F.regexp_replace(text, r"[{}]", " ")
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(extract.parse_responses(F.concat(beside, told, beside))).alias("t"))
+    return rows.select("doc_id", F.md5("t.head").alias("digest"), "t.relation", "t.tail")
+
+
 @query()
 def clean_composite(spark, sf_dir):
     return pipelines.cleaned(documents(spark, sf_dir)).select("doc_id", F.md5("text").alias("digest"), F.round("reduction", 6).alias("reduction"))
