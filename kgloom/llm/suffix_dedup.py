@@ -1,21 +1,19 @@
 """Suffix-array dedup: removes bytes covered by strings of ``LENGTH`` bytes that also start in a document with a smaller id.
 
-Matches are found exactly, but no suffix array of the corpus is ever in one place:
-
-1. Every string of LENGTH bytes holds a smallest hash of its ``GRAM``-byte grams (its minimizer), the same wherever it occurs. Documents
-   give their minimizers' hashes; those that occur in two documents are kept.
-2. Around each kept minimizer a document gives the segment of all strings that have it, as a hash and a place. Of equal segments one,
-   with the smallest id, goes on, and where a hash has several different segments their bytes are fetched from the documents. All
-   equal strings of the corpus are now under one hash.
-3. Blocks of hashes are indexed: from the sorted order of a block's positions comes its Burrows-Wheeler transform, and
-   breadth-first backward extension on it derives the lengths of common prefixes by increasing value: intervals of rows that share
-   ``l`` bytes give those that share ``l + 1``, and the expansion stops at LENGTH. What is still undivided are equal strings; each
-   gets the smallest id of its interval.
-4. Segments take the verdicts back to the documents that gave them. A hash with one segment only needs no index: the strings of that
-   segment occur nowhere else. Exact copies of a document with a smaller id go whole beforehand.
-
-A hash with more than ``MOST_SEGMENTS`` different segments would make a block too large. Its strings are grouped one by one instead, by
-128 bits of hash, summed up before they are shuffled.
+Matches are found exactly, but no suffix array of the corpus is ever in one place. A text is a row of windows, the strings of LENGTH bytes that start in it:
+
+1. Texts are cut into chunks of windows at local minima of a hash. A chunk whose bytes a document with a smaller id has too is removed as
+   a whole, and its windows take no further part: whoever repeats them finds them under that smaller id.
+2. Every other window names one place in itself, the same wherever it occurs (its minimizer, a gram of ``grams(LENGTH)`` bytes). Only windows whose
+   gram two documents give can repeat.
+3. Windows in a row that name one place form a segment. Segments meet under their gram's hash, equal ones count once, and each block of hashes is indexed:
+   breadth-first backward extension on the block's Burrows-Wheeler transform derives the lengths of common prefixes by increasing value.
+   Intervals of rows that share ``l`` bytes give those that share ``l + 1``; intervals of one document are dropped; the expansion stops at
+   LENGTH, where each interval gets its smallest id.
+
+What meets goes in packed arrays, a row for each task and partition. A task decides what it can by itself: of what several of its own rows give, it sends one, so
+that a passage in a third of all documents sends a row from each batch. A gram that more than ``MOST_SEGMENTS`` documents give would
+make a block too large; its windows meet one by one, as chunks do.
 """
 
 from __future__ import annotations
@@ -29,296 +27,472 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from kgloom.llm.common import by_bytes, discard, written
+from kgloom.llm.common import discard, written
 
-LENGTH, GRAM = 50, 16
-#: Bytes in a block at least, unless its partition ends.
+LENGTH = 50
+LEAST_LENGTH = 16
+#: Windows to either side among which a chunk's first window has the smallest hash.
+RADIUS = 64
+#: Bytes of text for each partition of an exchange, at most.
+PART_BYTES = 32 << 20
+#: Bytes of segments in a block, about.
 BLOCK_BYTES = 1 << 20
-MOST_SEGMENTS = 8192
-#: Bytes of text whose minimizers are found at once, so that the arrays stay in the processor's cache.
+MOST_SEGMENTS = 200_000
+#: Bytes of text worked on at once, so that the arrays stay in the processor's cache; longer texts are cut, windows kept whole.
 TEXT_BYTES = 256 << 10
 #: Rows with a null id come after all others.
 LAST = (1 << 63) - 1
+_U = np.uint64
+_A, _B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes that start at each place (places too near the end hold anything)."""
-    n = len(data)
-    raw = np.concatenate([data, np.zeros(GRAM + 8, np.uint8)]).tobytes()
-    words = np.empty(n + GRAM, np.uint64)
-    for k in range(8):
-        part = words[k::8]
-        part[:] = np.frombuffer(raw, "<u8", len(part), k)
-    a, b = words[:n], words[8 : n + 8]
-    h = a * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h += b
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    return h
-
-
-def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick (minimum or maximum) of each ``width`` values in a row; as many as fit."""
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = h * _B
+    return h ^ (h >> _U(31))
+
+
+def _sliding(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values in a row; as many as fit."""
     have = 1
     while 2 * have <= width:
-        x = pick(x[:-have], x[have:])
+        x = np.minimum(x[:-have], x[have:])
         have *= 2
-    return pick(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
+    return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
+
+
+def grams(length: int) -> tuple[int, int]:
+    """Bytes of a gram, and places that a window may name."""
+    places = (length - 6) // 2
+    return length - places + 1, places
+
+
+def parts_of(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, offset, bytes) in lists of about TEXT_BYTES; each window of each text is in one of them."""
+    out, size = [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, len(t) - length + 1, TEXT_BYTES):
+            part = t[at : at + TEXT_BYTES + length - 1]
+            if out and size + len(part) > TEXT_BYTES:
+                yield out
+                out, size = [], 0
+            out.append((i, at, part))
+            size += len(part)
+    if out:
+        yield out
+
+
+class Windows:
+    """The windows of parts that are laid end to end."""
+
+    def __init__(self, parts: list[tuple[int, int, bytes]], length: int = LENGTH) -> None:
+        self.length = length
+        self.text, self.offset = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
+        sizes = np.array([len(p[2]) for p in parts])
+        self.end = np.cumsum(sizes)
+        self.begin = self.end - sizes
+        self.raw = b"".join(p[2] for p in parts)
+        self.n = len(self.raw)
+        padded = self.raw + bytes(4 * length)
+        self.data = np.frombuffer(padded, np.uint8)
+        self.words = np.empty(self.n + 3 * length, _U)  # the eight bytes from each place on
+        for k in range(8):
+            row = self.words[k::8]
+            row[:] = np.frombuffer(padded, "<u8", len(row), k)
+
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which text, and the place in it."""
+        part = np.searchsorted(self.begin, at, "right") - 1
+        return self.text[part], at - self.begin[part] + self.offset[part]
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First window, number of windows, 128 bits of hash of the bytes that they cover (two numbers), of each chunk."""
+        import xxhash
 
+        h = (_mix(self.words[: self.n] * _A) >> _U(32)).astype(np.uint32)
+        edge = np.full(RADIUS, (1 << 32) - 1, np.uint32)
+        least = _sliding(np.concatenate([edge, h, edge]), RADIUS)
+        at = np.flatnonzero((h < least[: self.n]) & (h < least[RADIUS + 1 : RADIUS + 1 + self.n]))
+        part = np.searchsorted(self.begin, at, "right") - 1
+        at = np.unique(np.concatenate([self.begin, at[at <= self.end[part] - self.length]]))
+        part = np.searchsorted(self.begin, at, "right") - 1
+        stop = np.minimum(np.append(at[1:], self.n), self.end[part] - self.length + 1)
+        raw, more = self.raw, self.length - 1
+        digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(at.tolist(), (stop + more).tolist())])
+        return at, stop - at, np.frombuffer(digests, "<u8").reshape(-1, 2)
+
+    def segments(self, dead: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of the gram, first window, number of windows of each segment of windows that are not among ``dead`` (text, first, number)."""
+        gram, places = grams(self.length)
+        letters = self.length + 1 - 2 * places
+        open_ = np.zeros(self.n + 1, np.int32)
+        np.add.at(open_, self.begin, 1)
+        np.add.at(open_, self.end - self.length + 1, -1)
+        if len(dead[0]):  # a text that is cut into parts has its dead windows in several
+            order = np.argsort(dead[0], kind="stable")
+            text, first, number = (x[order] for x in dead)
+            low, high = np.searchsorted(text, self.text), np.searchsorted(text, self.text, "right")
+            k = np.repeat(np.arange(len(self.text)), high - low)
+            j = np.arange(len(k)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[k]
+            room = self.end[k] - self.begin[k] - self.length + 1
+            a = np.clip(first[j] - self.offset[k], 0, room)
+            b = np.clip(first[j] + number[j] - self.offset[k], 0, room)
+            np.add.at(open_, self.begin[k] + a, -1)
+            np.add.at(open_, self.begin[k] + b, 1)
+        # the window's least hash of a few letters names the place, counted from the window's start modulo places
+        h = _mix((self.words[: self.n] << _U(8 * (8 - letters))) * _A) >> _U(32) << _U(32)
+        least = _sliding(h | np.arange(self.n, dtype=_U), self.length - letters + 1)
+        start = np.arange(len(least))
+        place = start + ((least & _U((1 << 32) - 1)).astype(np.int64) - start) % places
+        place[np.cumsum(open_[: len(least)]) <= 0] = -1
+        cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        number = np.diff(np.append(cut, len(place)))
+        on = place[cut] >= 0
+        cut, number = cut[on], number[on]
+        return self.hashed(place[cut], np.full(len(cut), gram)), cut, number
+
+    def hashed(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """64 bits of hash of ``size`` (8 at least) bytes from each place on."""
+        out = size.astype(_U) * _A
+        for k in range(0, int(size.max(initial=0)), 8):
+            on = k < size
+            word = self.words[at + np.minimum(k, size - 8)]
+            out = np.where(on, _mix((out ^ word) * _A), out)
+        return out
 
-class Minimizers:
-    """Of texts laid end to end: where strings of ``length`` start, and which places hold a minimizer."""
 
-    def __init__(self, texts: list[bytes], length: int = LENGTH) -> None:
-        self.length, self.width = length, length - GRAM + 1
-        sizes = np.array([len(t) for t in texts], np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(sizes)])
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        n = len(self.data)
-        if n < length:
-            self.hash, self.least, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            return
-        self.hash = _grams(self.data)
-        self.hash[self.hash == 0] = 1  # 0 stands for no string
-        self.least = _sliding(self.hash[: n - GRAM + 1], self.width, np.minimum)  # by the start of a string
-        inside = np.zeros(n + 1, np.int32)
-        whole = sizes >= length
-        np.add.at(inside, self.begin[:-1][whole], 1)
-        np.add.at(inside, self.begin[1:][whole] - length + 1, -1)
-        self.least[np.cumsum(inside[:-1])[: len(self.least)] == 0] = 0
-        padded = np.concatenate([np.zeros(self.width - 1, np.uint64), self.least, np.zeros(self.width - 1, np.uint64)])
-        best = _sliding(padded, self.width, np.maximum)  # of the strings that hold the gram at a place
-        self.at = np.flatnonzero(best[: n - GRAM + 1] == self.hash[: n - GRAM + 1])
-        self.owner = np.searchsorted(self.begin, self.at, "right") - 1
-
-    def marks(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """64 bits of hash for each segment, from the hashes of the grams that cover it."""
-        end = last + self.length - GRAM
-        out = (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ self.hash[end]
-        for k in range(0, 2 * self.length, GRAM):
-            on = first + k < end
-            mixed = (out ^ self.hash[np.where(on, first + k, 0)]) * np.uint64(0xBF58476D1CE4E5B9)
-            out = np.where(on, mixed ^ (mixed >> np.uint64(31)), out)
-        return out
+def expanded(segments: np.ndarray, windows: np.ndarray, groups: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, window, smallest id) of the windows that another id's segment of the same group holds too.
 
-    def by_owner(self) -> tuple[np.ndarray, np.ndarray]:
-        """(text, hash), each once."""
-        if not len(self.at):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h = self.hash[self.at]
-        order = np.lexsort((h, self.owner))
-        o, h = self.owner[order], h[order]
-        new = np.concatenate([[True], (o[1:] != o[:-1]) | (h[1:] != h[:-1])])
-        return o[new], h[new]
-
-    def segments(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last start of the strings whose minimizer is at each of ``places``."""
-        starts = places[:, None] - np.arange(self.width - 1, -1, -1)
-        ok = (starts >= 0) & (starts < len(self.least))
-        own = ok & (self.least[np.clip(starts, 0, len(self.least) - 1)] == self.hash[places][:, None])
-        first = own.argmax(1)
-        last = self.width - 1 - own[:, ::-1].argmax(1)
-        return places - (self.width - 1) + first, places - (self.width - 1) + last
-
-
-def common_prefixes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, same): starts in sorted order, the empty suffix first; whether each shares ``length`` bytes with the one before.
-
-    data is UTF-8, in which no byte is 0xFF: all are raised by one, and what lies beyond the end sorts before them. Lengths of common prefixes are derived by increasing value from the Burrows-Wheeler transform
-    alone: rows with the same preceding byte keep their order when extended by it, so two neighbours of the extended
-    order share l + 1 bytes exactly if the rows they extend lie in one interval of l shared bytes.
+    segments is a matrix of bytes, windows how many windows each row has (from its first byte on). Rows of the transform are ends of windows; at every
+    level the column of preceding bytes is read for the rows still open, and its stable sort is the mapping from last to first column: two neighbours of the
+    extended order share l + 1 bytes exactly if their preceding bytes agree and the rows that they extend lie in one interval of l shared bytes.
     """
-    n = len(data)
-    padded = np.concatenate([data + np.uint8(1), np.zeros(length, np.uint8)])
-    order = np.argsort(np.lib.stride_tricks.sliding_window_view(padded, length)[:n].copy().view(f"S{length}").ravel(), kind="stable")
-    order = np.concatenate([[n], order])
-    bwt = np.where(order > 0, data[order - 1].astype(np.int16), -1)
-    extended = np.argsort(bwt, kind="stable")  # row of the order -> the row that it extends
-    first = bwt[extended]
-    divided = np.concatenate([[True], first[1:] != first[:-1]])  # from the row before, by the bytes seen so far
-    open_ = np.flatnonzero(~divided)
-    for _ in range(1, length):
-        interval = np.cumsum(divided, dtype=np.int32)
-        new = interval[extended[open_ - 1]] != interval[extended[open_]]
-        if not len(open_):
+    n, width = segments.shape
+    data = segments.ravel()
+    owner = np.repeat(np.arange(n), windows)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = owner * width + number + length - 8  # the last eight bytes are the first level
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    last = np.ndarray((len(data),), "<u8", padded, 0, (1,))[at]
+    order = np.lexsort((last, groups[owner]))
+    rows, key, group = at[order], last[order], groups[owner[order]]
+    divided = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]) if len(rows) else np.zeros(0, bool)
+    for level in range(8, length + 1):
+        # intervals of two ids at least stay open
+        heads = np.flatnonzero(divided)
+        if not len(heads):
             break
-        divided[open_[new]] = True
-        open_ = open_[~new]
-    return order, ~divided
+        own = ids[rows // width]
+        low, high = np.minimum.reduceat(own, heads), np.maximum.reduceat(own, heads)
+        sizes = np.diff(np.append(heads, len(rows)))
+        open_ = low < high
+        rows = rows[np.repeat(open_, sizes)]
+        if level == length:
+            return rows // width, rows % width, np.repeat(low[open_], sizes[open_])
+        interval = np.repeat(np.arange(int(open_.sum())), sizes[open_])
+        rows = rows - 1
+        preceding = data[rows]
+        order = np.argsort(preceding, kind="stable")
+        rows, preceding, interval = rows[order], preceding[order], interval[order]
+        divided = np.concatenate([[True], (preceding[1:] != preceding[:-1]) | (interval[1:] != interval[:-1])]) if len(rows) else np.zeros(0, bool)
+    none = np.zeros(0, np.int64)
+    return none, none, none
 
 
-def block_verdicts(segments: list[bytes], least: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
-    """For each segment runs (from, to, id): the smallest id of all segments that hold the strings starting there; to is included."""
-    data = np.frombuffer(b"".join(segments), np.uint8)
-    sizes = np.array([len(s) for s in segments], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    order, same = common_prefixes(data, length)
-    owner = np.repeat(np.arange(len(segments)), sizes)
-    room = begin[owner] + sizes[owner] - np.arange(len(data)) >= length  # a whole string starts here
-    ids = np.full(len(data) + 1, LAST, np.int64)
-    ids[:-1][room] = least[owner[room]]
-    heads = np.flatnonzero(~same)
-    smallest = np.minimum.reduceat(ids[order], heads)
-    best = np.empty(len(data) + 1, np.int64)
-    best[order] = smallest[np.cumsum(~same) - 1]
-    out = []
-    for b, size in zip(begin.tolist(), sizes.tolist()):
-        own = best[b : b + size - length + 1]
-        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
-        out.append([(x, y - 1, int(own[x])) for x, y in zip(cuts, cuts[1:])])
-    return out
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _of_group(new: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each row the value of its group's first row."""
+    return values[np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else values
+
+
+# -- what meets: rows (p, decided, cols), where cols are packed columns, p the partition that they go to
+
+_PACKED = "p int, decided boolean, cols array<binary>"
+_PACKED_ARROW = pa.schema([("p", pa.int32()), ("decided", pa.bool_()), ("cols", pa.list_(pa.binary()))])
+
+
+def packed(key: np.ndarray, columns: list[np.ndarray], n: int, decided: bool = False) -> pa.RecordBatch:
+    """The columns, dealt over n partitions by the high half of the 64-bit key."""
+    where = ((key.astype(_U, copy=False) >> _U(32)) * _U(n) >> _U(32)).astype(np.int32)
+    order = np.argsort(where, kind="stable")
+    columns = [c[order] for c in columns]
+    ps, begin = np.unique(where[order], return_index=True)
+    end = np.append(begin[1:], len(where))
+    cols = [[c[a:b].tobytes() for c in columns] for a, b in zip(begin.tolist(), end.tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(ps), pa.array([decided] * len(ps), pa.bool_()), pa.array(cols, pa.list_(pa.binary()))], schema=_PACKED_ARROW)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], kinds: tuple[list, list]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The columns of a whole partition: those still to decide, and those decided; kinds are their types."""
+    found: tuple[list, list] = ([], [])
+    for batch in batches:
+        for decided, cols in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            found[decided].append(cols)
+    return tuple([np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate(own)] for rows, own in zip(found, kinds))
+
+
+def exchanged(rows: DataFrame, give, decide, schema: str, n: int) -> DataFrame:
+    """Packed rows of ``give``, brought together, go to ``decide``, a partition at a time."""
+    return rows.mapInArrow(give, _PACKED).repartitionById(n, F.col("p")).mapInArrow(decide, schema)
+
+
+_I8, _I4, _U8 = np.dtype("<i8"), np.dtype("<i4"), np.dtype("<u8")
+_CUT = "__k1 bigint, __id bigint, a int, b int"
+
+
+def _cut_rows(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__k1", "__id", "a", "b"])
+
+
+def _sorted_later(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns (two numbers of a key, id, ...) in order, and which rows come after a smaller id of their key."""
+    order = np.lexsort(columns[2::-1])
+    columns = [c[order] for c in columns]
+    least = _of_group(_changes(columns[0], columns[1]), columns[2])
+    return columns, columns[2] > least
 
 
-_RUNS = "array<struct<a:int,b:int,least:bigint>>"
-_RUNS_ARROW = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("least", pa.int64())]))
+_MEET = ([_U8, _U8, _I8, _I8, _I4, _I4], [_I8, _I8, _I4, _I4])
 
 
-def _runs(rows: list[list[tuple[int, int, int]]]) -> pa.Array:
-    return pa.array([[{"a": a, "b": b, "least": c} for a, b, c in r] for r in rows], _RUNS_ARROW)
+def _give_later(columns: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
+    """Of (key, key, id, k1, a, b) what this task can decide, and what it can't."""
+    columns, later = _sorted_later(columns)
+    yield packed(columns[0][~later], [c[~later] for c in columns], n)
+    k1, own, a, b = (columns[k][later] for k in (3, 2, 4, 5))
+    yield packed(_mix(k1.view(_U)), [k1, own, a, b], n, True)
+
+
+def _decide_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranges [a, b) of rows that come after a smaller id of their key."""
+    columns, decided = unpacked(batches, _MEET)
+    columns, later = _sorted_later(columns)
+    yield _cut_rows(decided)
+    yield _cut_rows([columns[k][later] for k in (3, 2, 4, 5)])
 
 
 def _texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [t or b"" for t in batch.column(column).to_pylist()]
 
 
-def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """__k1, __id, __cut: the ranges [a, b) of bytes to remove, of rows (__k1, __id, __text binary) that lose any. b - a >= length. A written table.
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
 
-    A row is named by __id and __k1, a segment by its hash h and the 64 bits s1 of its own.
-    """
 
-    def give_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = _texts(batch, "__text")
-            for a, b in by_bytes(texts, TEXT_BYTES):
-                who, h = Minimizers(texts[a:b], length).by_owner()
-                at = pa.array(who + a)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("__id").take(at), batch.column("__k1").take(at)], ["h", "__id", "__k1"])
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
+    """Rows and values of a column of lists; a null list is an empty one."""
+    column = batch.column(name)
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten()
 
-    def give_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _ranges(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, a, b of a column of lists of structs."""
+    rows, values = _lists(batch, name)
+    return rows, *(values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+
+
+def _removals(rows: DataFrame, length: int, most: int) -> DataFrame:
+    """__k1, __id, __cut of a written table: see removals."""
+    gram, places = grams(length)
+    width = length + places - 1
+
+    def dead_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, a, b = _ranges(batch, "__dead")
+        return row, a, b - a - length + 1
+
+    def give_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, wanted = _texts(batch, "__text"), batch.column("__h")
-            for a, b in by_bytes(texts, TEXT_BYTES):
-                own = Minimizers(texts[a:b], length)
-                at = np.zeros(0, np.int64)
-                if len(own.at):  # those of the wanted hashes of their own text
-                    part = wanted.slice(a, b - a)
-                    sets = np.concatenate([np.array(x.as_py(), np.int64) for x in part]).view(np.uint64)
-                    who = np.repeat(np.arange(b - a), [len(x) for x in part])
-                    pairs = np.rec.fromarrays([who, sets])
-                    pairs.sort()
-                    mine = np.rec.fromarrays([own.owner, own.hash[own.at]], dtype=pairs.dtype)
-                    k = np.minimum(np.searchsorted(pairs, mine), len(pairs) - 1)
-                    at = own.at[pairs[k] == mine]
-                if not len(at):
-                    continue
-                first, last = own.segments(at)
-                who = np.searchsorted(own.begin, at, "right") - 1
-                rows_ = pa.array(who + a)
-                yield pa.RecordBatch.from_arrays([batch.column("__k1").take(rows_), batch.column("__id").take(rows_), pa.array(own.hash[at].view(np.int64)), pa.array(own.marks(first, last).view(np.int64)), pa.array((first - own.begin[who]).astype(np.int32)), pa.array((last - first + length).astype(np.int32))], ["__k1", "__id", "h", "s1", "at", "n"])
-
-    def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, k1 = _column(batch, "__id"), _column(batch, "__k1")
+            found = [[] for _ in _MEET[0]]
+            for parts in parts_of(_texts(batch, "__text"), length):
+                own = Windows(parts, length)
+                first, number, key = own.chunks()
+                row, at = own.places(first)
+                for out, c in zip(found, (key[:, 0], key[:, 1], ids[row], k1[row], at.astype(_I4), (at + number + length - 1).astype(_I4))):
+                    out.append(c)
+            if found[0]:
+                yield from _give_later([np.concatenate(c) for c in found], n)
+
+    def give_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, s1, least, cut = [], [], [], []
-            for text, i, places in zip(_texts(batch, "__text"), batch.column("__id").to_pylist(), batch.column("places").to_pylist()):
-                for x in places:
-                    h.append(x["h"])
-                    s1.append(x["s1"])
-                    least.append(i)
-                    cut.append(text[x["at"] : x["at"] + x["n"]])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(s1, pa.int64()), pa.array(cut, pa.binary()), pa.array(least, pa.int64())], ["h", "s1", "segment", "least"])
-
-    def index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in the order of h and s1; rows of one segment, which documents alike give, count once. A segment alone under its hash is an interval of its own: its own id is the smallest."""
-
-        def done(block: list) -> pa.RecordBatch:
-            h, s1, segments, least = zip(*block)
-            alone = [(i == 0 or h[i - 1] != x) and (i + 1 == len(h) or h[i + 1] != x) for i, x in enumerate(h)]
-            met = [i for i, x in enumerate(alone) if not x]
-            runs = [[(0, len(x) - length, i)] for x, i in zip(segments, least)]
-            if met:
-                for i, own in zip(met, block_verdicts([segments[i] for i in met], np.array([least[i] for i in met], np.int64), length)):
-                    runs[i] = own
-            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(s1, pa.int64()), _runs(runs)], ["h", "s1", "runs"])
-
-        block: list = []
-        size = 0
+            k1, dead, found = _column(batch, "__k1"), dead_of(batch), []
+            for parts in parts_of(_texts(batch, "__text"), length):
+                own = Windows(parts, length)
+                h, first, _ = own.segments(dead)
+                found.append((h, k1[own.places(first)[0]]))
+            if not found:
+                continue
+            h, who = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((who, h))
+            h, who = h[order], who[order]
+            once = _changes(h, who)
+            h, who = h[once], who[once]
+            new = _changes(h)
+            givers = np.diff(np.append(np.flatnonzero(new), len(h))).astype(_I4)
+            yield packed(h[new], [h[new], who[new], givers], n)
+            several = np.repeat(givers > 1, givers)
+            yield packed(_mix(who[several].view(_U)), [who[several], h[several]], n, True)
+
+    def decide_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(k1, h) of what two texts at least give; a null k1 names a crowded h."""
+        (h, who, givers), (known, known_h) = unpacked(batches, ([_U8, _I8, _I4], [_I8, _U8]))
+        order = np.lexsort((who, h))
+        h, who, givers = h[order], who[order], givers[order]
+        new = _changes(h)
+        heads = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        differ = np.bincount(group, _changes(h, who), len(heads)) > 1
+        crowded = np.bincount(group, givers, len(heads)) > most
+        pick = differ[group] & (givers == 1)  # the other givers have been told
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([known, who[pick]])), pa.array(np.concatenate([known_h, h[pick]]).view(_I8))], ["__k1", "h"])
+        if crowded.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(crowded.sum()), pa.int64()), pa.array(h[heads[crowded]].view(_I8))], ["__k1", "h"])
+
+    def wanted_segments(batch: pa.RecordBatch, column: str) -> Iterator[tuple[Windows, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows, row, h, first window, place in the text, number of windows of the segments whose h the row's list has."""
+        dead = dead_of(batch)
+        row, values = _lists(batch, column)
+        mark = lambda h, row: h ^ _mix((row + 1).astype(_U) * _A)
+        want = np.sort(mark(values.to_numpy(zero_copy_only=False).view(_U), row))
+        for parts in parts_of(_texts(batch, "__text"), length) if len(want) else ():
+            own = Windows(parts, length)
+            h, first, number = own.segments(dead)
+            row, at = own.places(first)
+            mine = mark(h, row)
+            on = want[np.minimum(np.searchsorted(want, mine), len(want) - 1)] == mine
+            yield own, row[on], h[on], first[on], at[on].astype(_I4), number[on].astype(_I4)
+
+    def give_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if block and row[:2] == block[-1][:2]:
-                    continue
-                if size >= BLOCK_BYTES and row[0] != block[-1][0]:
-                    yield done(block)
-                    block, size = [], 0
-                block.append(row)
-                size += len(row[2])
-        if block:
-            yield done(block)
-
-    def give_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, k1 = _column(batch, "__id"), _column(batch, "__k1")
+            found = []
+            for own, row, h, first, at, number in wanted_segments(batch, "__h"):
+                cut = own.data[first[:, None] + np.arange(width)]
+                found.append((h, own.hashed(first, number + length - 1), ids[row], k1[row], at, number, cut))
+            if not found:
+                continue
+            columns, later = _sorted_later([np.concatenate(c) for c in zip(*found)])
+            yield packed(columns[0][~later], [c[~later] for c in columns], n)
+            k1, own_id, at, number = (columns[k][later] for k in (3, 2, 4, 5))
+            yield packed(_mix(k1.view(_U)), [k1, own_id, at, at + number + np.int32(length - 1)], n, True)
+
+    def give_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            cols = [[] for _ in range(6)]
-            for h, s1, segment, least in zip(*(c.to_pylist() for c in batch.columns)):
-                for k in range(len(segment) - length + 1):
-                    d = xxhash.xxh3_128_intdigest(segment[k : k + length])
-                    for c, v in zip(cols, (h, s1, k, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), least)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h", "s1", "k", "g1", "g2", "least"])
-
-    # exact copies of a text under a smaller id
-    whole = rows.select("__id", "__k1", F.xxhash64("__text").alias("t1"), F.xxhash64(F.lit("t2"), "__text").alias("t2"), F.length("__text").alias("n"))
-    texts = whole.groupBy("t1", "t2").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi")).where("lo < hi").select("t1", "t2", "lo")
-    copies = written(whole.join(texts, ["t1", "t2"]).where(F.col("__id") > F.col("lo")).select("__k1", "__id", "n"), "copies")
-    # hashes of minimizers in two documents, and who has them
-    given = rows.select("__id", "__k1", "__text").mapInArrow(give_hashes, "h bigint, __id bigint, __k1 bigint")
-    shared = written(given.groupBy("h").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi")).where("lo < hi").select("h"), "shared")
-    wanted = given.select("h", "__k1").join(shared.hint("shuffle_hash"), "h").groupBy("__k1").agg(F.collect_list("h").alias("__h"))
-    wanted = written(wanted.join(copies.select("__k1").distinct(), "__k1", "left_anti"), "wanted")
-    discard(shared)
-    found = rows.join(wanted, "__k1").select("__k1", "__id", "__text", "__h").mapInArrow(give_segments, "__k1 bigint, __id bigint, h bigint, s1 bigint, at int, n int")
-    found = written(found, "found")
-    discard(wanted)
-    # one of equal segments; those that share a hash with others are indexed, the others are settled
-    unique = written(found.groupBy("h", "s1").agg(F.min(F.struct("__id", "__k1", "at", "n")).alias("f")).select("h", "s1", "f.*"), "unique")
-    several = written(unique.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "several")
-    settled = unique.join(several.select("h").hint("shuffle_hash"), "h", "left_anti").select("h", "s1", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - length).alias("b"), F.col("__id").alias("least"))).alias("runs"))
-    places = written(unique.join(several.hint("shuffle_hash"), "h").groupBy("__k1", "__id").agg(F.collect_list(F.struct("h", "s1", "at", "n")).alias("places")), "places")
-    cut = written(rows.join(places, ["__k1", "__id"]).select("__id", "__text", "places").mapInArrow(cut_segments, "h bigint, s1 bigint, segment binary, least bigint"), "segments")
-    discard(places)
-    large = written(several.where(F.col("c") > MOST_SEGMENTS).select("h"), "large")  # few: one in MOST_SEGMENTS segments at most
-    small = cut.join(large, "h", "left_anti").select("h", "s1", "segment", "least").repartition("h").sortWithinPartitions("h", "s1")
-    verdicts = small.mapInArrow(index_blocks, f"h bigint, s1 bigint, runs {_RUNS}")
-    strings = cut.join(large, "h", "left_semi").dropDuplicates(["h", "s1"]).select("h", "s1", "segment", "least").mapInArrow(give_strings, "h bigint, s1 bigint, k bigint, g1 bigint, g2 bigint, least bigint")
-    least = strings.groupBy("g1", "g2").agg(F.min("least").alias("all_least"))
-    single = strings.join(least, ["g1", "g2"]).groupBy("h", "s1").agg(F.collect_list(F.struct(F.col("k").cast("int").alias("a"), F.col("k").cast("int").alias("b"), F.col("all_least").alias("least"))).alias("runs"))
-    every = written(settled.union(verdicts).union(single), "verdicts")
-    discard(unique, several, cut, large)
-    mine = found.select("__k1", "__id", "at", "h", "s1").join(every.hint("shuffle_hash"), ["h", "s1"]).select("__k1", "__id", "at", F.inline("runs")).where(F.col("least") < F.col("__id"))
-    cuts = mine.groupBy("__k1", "__id").agg(F.collect_list(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + length).alias("b"))).alias("__cut"))
-    cuts = written(cuts.union(copies.distinct().select("__k1", "__id", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("__cut"))), "cuts")
-    discard(found, every, copies)
-    return cuts
-
-
-def merged(cuts: list | None) -> list[tuple[int, int]]:
-    """Ranges in order, those that touch as one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((c["a"], c["b"]) for c in cuts or ()):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
+            ids, k1 = _column(batch, "__id"), _column(batch, "__k1")
+            for own, row, _, first, at, number in wanted_segments(batch, "__crowded"):
+                k = np.repeat(np.arange(len(row)), number)
+                more = np.arange(len(k)) - np.repeat(np.cumsum(number) - number, number)
+                raw = own.raw
+                key = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[s : s + length]) for s in (first[k] + more).tolist()]), "<u8").reshape(-1, 2)
+                a = (at[k] + more).astype(_I4)
+                yield from _give_later([key[:, 0], key[:, 1], ids[row[k]], k1[row[k]], a, a + np.int32(length)], n)
+
+    def index_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [_U8, _U8, _I8, _I8, _I4, _I4, np.dtype((np.void, width))]
+        columns, decided = unpacked(batches, (kinds, _MEET[1]))
+        (h, s, ids, k1, at, number, cut), later = _sorted_later(columns)
+        yield _cut_rows(decided)
+        yield _cut_rows([k1[later], ids[later], at[later], at[later] + number[later] + np.int32(length - 1)])
+        # equal segments once, under their smallest id; hashes of segments of one id only are left out
+        new = _changes(h, s)
+        pick, which = np.flatnonzero(new), np.cumsum(new) - 1
+        groups = np.cumsum(_changes(h[pick])) - 1
+        heads = np.flatnonzero(_changes(groups))
+        if not len(heads):
+            return
+        low, high = np.minimum.reduceat(ids[pick], heads), np.maximum.reduceat(ids[pick], heads)
+        open_ = np.flatnonzero((low < high)[groups])
+        block = np.arange(len(open_)) * width // BLOCK_BYTES
+        block = _of_group(_changes(groups[open_]), block)  # a hash's segments stay together
+        first_row = np.append(np.flatnonzero(~later), len(later))  # rows of the smallest id of their segment
+        rows_of = np.searchsorted(which[first_row[:-1]], np.arange(len(pick) + 1))
+        for x in np.split(open_, np.flatnonzero(np.diff(block)) + 1) if len(open_) else ():
+            p = pick[x]
+            own, window, least = expanded(np.frombuffer(cut[p].tobytes(), np.uint8).reshape(len(p), width), number[p], groups[x], ids[p], length)
+            on = least < ids[p][own]
+            order = np.lexsort((window[on], own[on]))
+            own, window = own[on][order], window[on][order]
+            start = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (window[1:] != window[:-1] + 1)])[: len(own)])
+            stop = np.append(start[1:], len(own))[: len(start)] - 1
+            own, a, b = x[own[start]], window[start].astype(_I4), (window[stop] + length).astype(_I4)
+            many = rows_of[own + 1] - rows_of[own]  # rows of one id that give the segment
+            k = np.repeat(np.arange(len(own)), many)
+            row = first_row[rows_of[own][k] + np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many)]
+            yield _cut_rows([k1[row], ids[row], at[row] + a[k], at[row] + b[k]])
+
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.length("__text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    gathered = lambda cuts, name: cuts.groupBy("__k1", "__id").agg(F.collect_list(F.struct("a", "b")).alias(name))
+    chunks = written(gathered(exchanged(rows, give_chunks, _decide_later, _CUT, n), "__dead"), "chunks")
+    alive = rows.join(chunks, ["__k1", "__id"], "left").select("__k1", "__id", "__text", "__dead")
+    met = written(exchanged(alive, give_grams, decide_grams, "__k1 bigint, h bigint", n), "met")
+    crowded, pairs = met.where("__k1 is null").select("h").distinct(), met.where("__k1 is not null")
+    some = not crowded.isEmpty()
+    if some:
+        pairs = pairs.join(crowded.withColumn("c", F.lit(True)), "h", "left")
+    else:
+        pairs = pairs.withColumn("c", F.lit(None).cast("boolean"))
+    wanted = pairs.groupBy("__k1").agg(F.collect_list(F.when(F.col("c").isNull(), F.col("h"))).alias("__h"), F.collect_list(F.when(F.col("c"), F.col("h"))).alias("__crowded"))
+    wanted = written(wanted, "wanted")
+    discard(met)
+    asked = alive.join(wanted, "__k1")
+    cuts = exchanged(asked.select("__k1", "__id", "__text", "__dead", "__h"), give_segments, index_segments, _CUT, n)
+    if some:
+        cuts = cuts.union(exchanged(asked.select("__k1", "__id", "__text", "__dead", "__crowded"), give_windows, _decide_later, _CUT, n))
+    cuts = cuts.union(chunks.select("__k1", "__id", F.inline("__dead")))
+    out = written(gathered(cuts, "__cut"), "cuts")
+    discard(chunks, wanted)
     return out
 
 
-def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
-    edges = [0, *(x for s in spans for x in s), len(data)]
-    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+def removals(rows: DataFrame, length: int = LENGTH, most_segments: int | None = None) -> DataFrame:
+    """__k1, __id, __cut: the ranges [a, b) of bytes to remove, of rows (__k1, __id, __text binary) that lose any. A written table.
+
+    A row is named by __id and __k1, a chunk, segment or window by 128 bits of hash. Ranges may overlap. length is LEAST_LENGTH or more.
+    """
+    if length < LEAST_LENGTH:
+        raise ValueError(f"length must be {LEAST_LENGTH} or more")
+    return _removals(rows.where(F.length("__text") >= length), length, MOST_SEGMENTS if most_segments is None else most_segments)
+
+
+def spans(texts: list[bytes], row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, a, b of the ranges of each text in order, those that touch or overlap as one."""
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)  # one apart, so that no range touches another text's
+    begin = np.cumsum(sizes) - sizes
+    start, stop = begin[row] + a, begin[row] + b
+    order = np.argsort(start, kind="stable")
+    start, stop = start[order], np.maximum.accumulate(stop[order]) if len(order) else stop
+    new = np.concatenate([[True], start[1:] > stop[:-1]])[: len(start)]
+    heads = np.flatnonzero(new)
+    row = row[order][heads]
+    last = np.append(heads[1:], len(start))[: len(heads)] - 1
+    return row, start[heads] - begin[row], stop[last] - begin[row]
+
+
+def kept(texts: list[bytes], cuts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+    """The texts without the spans."""
+    out = list(texts)
+    row, a, b = (x.tolist() for x in cuts)
+    k = 0
+    while k < len(row):
+        i, at, pieces = row[k], 0, []
+        while k < len(row) and row[k] == i:
+            pieces.append(texts[i][at : a[k]])
+            at = b[k]
+            k += 1
+        out[i] = b"".join([*pieces, texts[i][at:]])
+    return out
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
@@ -326,7 +500,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFra
     number = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST))
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), number.alias("__id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("__text"))
     keyed = base.withColumn("__k1", F.xxhash64("__id", "__text"))
-    cuts = removals(keyed.select("__k1", "__id", "__text").where(F.length("__text") >= length), length)
+    cuts = removals(keyed.select("__k1", "__id", "__text"), length)
     return keyed.join(cuts, ["__k1", "__id"], "left").select("__row", "__text", "__cut")
 
 
@@ -335,31 +509,35 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A null text is an empty one. Only smaller ids count as earlier: rows of one id remove nothing from each other, and a row with
     a null id comes after all that have one. Strings are judged on the input. Repeated rows give repeated rows, other columns are
-    not read, an empty table gives an empty one. Texts of any length are taken whole.
+    not read, an empty table gives an empty one. Texts of any length are taken whole, in parts that share their edges.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for data, cuts in zip(_texts(batch, "__text"), batch.column("__cut").to_pylist()):
-                spans = merged(cuts)
-                out.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(without(data, spans)).hexdigest()))
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    joined = _joined(docs.select(id_col, text_col), id_col, text_col, length).select(F.col(f"__row.`{id_col}`").alias("__id"), "__text", "__cut")
+            texts = _texts(batch, "__text")
+            row, a, b = found = spans(texts, *_ranges(batch, "__cut"))
+            removed, number = np.bincount(row, b - a, len(texts)).astype(np.int64), np.bincount(row, minlength=len(texts))
+            digests = [hashlib.sha256(t).hexdigest() for t in kept(texts, found)]
+            columns = [pa.array([len(t) for t in texts], pa.int64()), pa.array(removed), pa.array(number.astype(np.int64)), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    joined = _joined(docs.select(f"`{id_col}`", f"`{text_col}`"), id_col, text_col, length).select(F.col(f"__row.`{id_col}`").alias("__id"), "__text", "__cut")
     return joined.mapInArrow(run, f"__id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("__id", id_col)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs, all their rows and columns, with text_col less the removed bytes; a code point cut in two goes whole. A null text stays null."""
+    """docs, all their rows and columns, with text_col less the bytes that removed_spans tells of; a code point cut in two goes whole.
+
+    A null text stays null, an empty one empty; repeated rows stay, each with its text; an empty table gives an empty one.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [without(d, merged(c)).decode("utf-8", "ignore") for d, c in zip(_texts(batch, "__text"), batch.column("__cut").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(kept, pa.string())], ["__row", "__kept"])
+            texts = _texts(batch, "__text")
+            left = [t.decode("utf-8", "ignore") for t in kept(texts, spans(texts, *_ranges(batch, "__cut")))]
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(left, pa.string())], ["__row", "__kept"])
 
     joined = _joined(docs, id_col, text_col, length)
     schema = StructType([joined.schema["__row"], StructField("__kept", StringType())])

@@ -42,14 +42,51 @@ def test_repeats_like_brute_force(spark, passages, monkeypatch, most):
     assert sorted((1 << 63 if r.doc_id is None else r.doc_id, *r[1:]) for r in got) == removed(passages)
 
 
-def test_prefixes_of_a_block():
+def test_expansion_of_a_block():
     rnd = np.random.default_rng(3)
-    for n in (1, 5, 400):
-        data = rnd.integers(0, 3, n).astype(np.uint8)
-        order, same = suffix_dedup.common_prefixes(data, 6)
-        cut = [bytes(data[k : k + 6]) for k in order]
-        assert sorted(order.tolist()) == list(range(n + 1)) and cut == sorted(cut)
-        assert all(same[k] == (cut[k] == cut[k - 1]) for k in range(1, n + 1) if len(cut[k]) == len(cut[k - 1]) == 6)
+    length, width = 12, 20
+    for n in (0, 1, 60):
+        segments = rnd.integers(0, 2, (n, width)).astype(np.uint8)
+        windows, groups, ids = rnd.integers(1, width - length + 2, n), np.sort(rnd.integers(0, 3, n)), rnd.integers(0, 9, n)
+        by = {}
+        for i in range(n):
+            for k in range(windows[i]):
+                by.setdefault((groups[i], bytes(segments[i, k : k + length])), []).append((i, k))
+        want = {(i, k, min(ids[j] for j, _ in own)) for own in by.values() if len({ids[j] for j, _ in own}) > 1 for i, k in own}
+        assert set(zip(*(x.tolist() for x in suffix_dedup.expanded(segments, windows, groups, ids, length)))) == want
+
+
+def test_windows_name_the_same_place_everywhere():
+    rnd = random.Random(4)
+    shared = bytes(rnd.choice(b"abcd ") for _ in range(200))
+    h = []
+    for k in range(6):
+        text = bytes(rnd.choice(b"abcd ") for _ in range(40 * k)) + shared + bytes(rnd.choice(b"abcd ") for _ in range(9))
+        own = suffix_dedup.Windows([(0, 0, text)])
+        none = np.zeros(0, np.int64)
+        mark, first, number = own.segments((none, none, none))
+        assert number.sum() == len(text) - 49
+        by = {int(f) + j: int(m) for m, f, c in zip(mark, first, number) for j in range(c)}
+        h.append([by[40 * k + j] for j in range(151)])
+        at, size, _ = own.chunks()
+        assert at[0] == 0 and (at + size)[-1] == len(text) - 49 and (at[1:] == (at + size)[:-1]).all()
+    assert all(x == h[0] for x in h)
+
+
+def test_repeats_in_long_texts(spark):
+    """Longer than the parts in which texts are worked on."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(2, 8))) for _ in range(500)]
+    base = " ".join(rnd.choice(words) for _ in range(60_000))
+    assert len(base) > suffix_dedup.TEXT_BYTES + 10_000
+    rows = [(1, base), (2, base[:70_000] + "x" + base[70_000:]), (3, "a" * 9_000), (4, "b" + "a" * 7_000 + base[90_000:91_100]), (0, base[100_000:300_000])]
+    got = suffix_dedup.removed_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == removed(rows)
+
+
+def test_length_is_checked(none):
+    with pytest.raises(ValueError):
+        suffix_dedup.removed_spans(none, length=8)
 
 
 def test_repeats_on_odd_rows(odd, none):
