@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,18 +66,44 @@ def row_key(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols).alias("__k1"), F.xxhash64(F.lit("k2"), *reversed(cols)).alias("__k2")]
 
 
-def by_bytes(texts: list[str], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges [a, b) of texts that hold about as many characters each."""
+def bytes_of(text: str | bytes) -> int:
+    """Bytes of a text in UTF-8."""
+    return len(text) if isinstance(text, bytes) or text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def by_bytes(texts: Sequence[str | bytes], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges [a, b) of texts that hold about ``most`` bytes each, and no more unless one text does."""
     a = size = 0
-    for b, t in enumerate(texts):
-        if b > a and size + len(t) > most:
+    for b, own in enumerate(map(bytes_of, texts)):
+        if b > a and size + own > most:
             yield a, b
             a, size = b, 0
-        size += len(t)
+        size += own
     if len(texts) > a:
         yield a, len(texts)
 
 
+def named_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """__row (all columns), __id, __text, and __k1, __k2, which rows alike in id and text share. No column of docs can clash with these."""
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{id_col}`").cast("bigint").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    return own.select("*", *row_key(F.col("__id"), F.col("__text")))
+
+
+def one_row_each(named: DataFrame, prints: DataFrame, stay: DataFrame) -> DataFrame:
+    """The columns of named_rows' table for one row of each fp whose key stays: prints has __k1, __k2, fp of every row, stay fp, s1, s2.
+
+    Rows are known by what they hold, so it does not matter in which order a table is read again. Of rows that share a key one is taken.
+    """
+    same = (F.col("__k1") == F.col("s1")) & (F.col("__k2") == F.col("s2"))
+    verdicts = prints.join(stay, "fp").groupBy("__k1", "__k2").agg(F.count("*").alias("n"), F.max(same).alias("stays")).where("not stays or n > 1")
+    verdicts = written(verdicts, "verdicts")
+    joined = named.select("__row", "__k1", "__k2").join(verdicts, ["__k1", "__k2"], "left")
+    out = joined.where("stays is null").select("__row")
+    if not verdicts.where("stays").isEmpty():
+        out = out.union(joined.where("stays").groupBy("__k1", "__k2").agg(F.first("__row").alias("__row")).select("__row"))
+    return out.select("__row.*")
+
+
 class Cache(dict):
     """A dict of two generations, each of at most ``most`` keys: what was not asked for during one generation goes."""
 

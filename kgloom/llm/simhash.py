@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import written
+from kgloom.llm.common import named_rows, one_row_each, written
 from kgloom.llm.graph import components
 
 #: Generator polynomial of the Golay code (fixed value): x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -154,15 +154,15 @@ def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text
 def one_of_each(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all their columns, with one row of each component of :func:`simhash_groups`: that of the smallest id (null ids last).
 
-    docs must be read from files, whose rows keep their numbers from one reading to the next; of rows alike in id and text the
-    first stays.
+    Null and empty texts are alike. Of rows alike in id and text one stays, any of them. Column names may be of any kind; an empty
+    table gives an empty one.
     """
-    numbered = docs.withColumn("__n", F.monotonically_increasing_id())
-    rows = written(fingerprints(numbered.select(F.struct(F.col(f"`{id_col}`").cast("bigint").alias("id"), "__n").alias("__both"), F.col(f"`{text_col}`").alias("__t")), width, "__both", "__t"), "prints")
-    prints = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("__id.id").isNull().alias("none"), F.col("__id.id").alias("id"), F.col("__id.__n").alias("n"))).alias("best")), "distinct")
-    roots = written(components(links(prints)), "roots")
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("best").alias("best"))
-    stay = rooted.select("fp", "root").join(best, "root").select("fp", F.col("best.n").alias("stay"))
-    gone = written(rows.join(stay, "fp").where(F.col("__id.__n") != F.col("stay")).select(F.col("__id.__n").alias("__n")), "gone")
-    return numbered.join(gone, "__n", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    named = named_rows(docs, id_col, text_col)
+    prints = written(fingerprints(named.select(F.struct("__id", "__k1", "__k2").alias("__all"), "__text"), width, "__all", "__text").select("fp", "__id.*"), "prints")
+    best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2")).alias("best")
+    distinct = written(prints.groupBy("fp").agg(best), "distinct")
+    roots = written(components(links(distinct)), "roots")
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("best").alias("first"))
+    stay = rooted.select("fp", "root").join(first, "root").select("fp", F.col("first.__k1").alias("s1"), F.col("first.__k2").alias("s2"))
+    return one_row_each(named, prints, stay)

@@ -9,8 +9,9 @@ def odd(spark):
     long = " ".join(f"wörd{i % 997} thing{i % 31}," for i in range(4000)) + "\nlast line here"
     texts = [None, "", long, "same text here\nfoo bar", "same text here\nfoo bar", "no id", "  \n\n ", "don't you'll\nstop", long + " x"]
     sources = ["a", None, "a", "b", "b", "b", None, "a", "a"]
-    rows = [(i, t, None, s, None, 1, 2, 3, b"x") for i, t, s in zip(IDS, texts, sources)]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, fp bigint, h bigint, __k1 bigint, segment binary").drop("__k1")
+    clash = ("fp", "h", "__k1", "__k2", "__n", "__n_lines", "__n_dropped", "__row", "__id", "__text", "__payload", "__host", "__cut", "__score", "__kept", "__drop", "c0", "a", "b.c", "stays")
+    rows = [(i, t, None, s, None, *(f"{k}{at}" for k in range(len(clash)))) for at, (i, t, s) in enumerate(zip(IDS, texts, sources))]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in clash))
 
 
 @pytest.fixture(scope="session")
