@@ -34,20 +34,29 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
     return written(often.select("__l1", "__l2"), "boilerplate")
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """pages, all their columns and rows, with text_col less its host's boilerplate lines, and __n_lines, __n_dropped.
+def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: tuple[str, str] | None = None) -> DataFrame:
+    """pages, all their columns and rows, with text_col less its host's boilerplate lines, and, where ``counts`` names them, lines and dropped lines.
 
     Lines are parts between line feeds, compared as they are; blank ones are always kept. A null host is a host of its own, a
     null text stays null (0 lines), a page whose lines all go has an empty text. Each repeated row is a page. A table of
-    no rows gives one of no rows.
+    no rows gives one of no rows. Column names may be of any kind, but counts must be new ones. The last join is a shuffle at every size,
+    for the dropped places grow with the pages.
     """
+    if counts and (clash := {c.lower() for c in counts} & {c.lower() for c in pages.columns}):
+        raise ValueError(f"pages already have {sorted(clash)}")
     own = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("__row"), F.col(f"`{host_col}`").cast("string").alias("__host"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     often = boilerplate(own.select("__host", "__text"), ratio, least_pages)
     keyed = own.select("__row", "__host", "__text", *row_key(F.col("__host"), F.col("__text")))
     places = keyed.select("__host", "__k1", "__k2", F.posexplode(_lines("__text")).alias("__at", "__line")).select("__k1", "__k2", "__at", *_line_key("__host", F.col("__line")))
-    drops = written(places.join(often, ["__l1", "__l2"], "left_semi").groupBy("__k1", "__k2").agg(F.collect_set("__at").alias("__drop")), "drops")
-    joined = keyed.join(drops.hint("merge"), ["__k1", "__k2"], "left")  # alike at every size: drops grow with the pages
-    lines = _lines("__text")
-    kept = F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n"))
+    drops = written(places.join(often, ["__l1", "__l2"], "left_semi").groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("__at")).alias("__drop")), "drops")
+    joined = keyed.join(drops.hint("merge"), ["__k1", "__k2"], "left")
+    # a flag for each line up to the last that goes, laid beside the lines: one pass, however many go
+    gap = lambda at, i: at - F.coalesce(F.get("__drop", i - 1), F.lit(-1)) - 1
+    flags = F.flatten(F.transform("__drop", lambda at, i: F.concat(F.array_repeat(F.lit(False), gap(at, i)), F.array(F.lit(True)))))
+    left = F.filter(F.zip_with(_lines("__text"), flags, lambda x, gone: F.when(gone, F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
+    kept = F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(F.array_join(left, "\n"))
     out = [kept.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in pages.columns]
-    return joined.select(*out, F.when(F.col("__text").isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("__n_lines"), F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("bigint").alias("__n_dropped"))
+    if counts:
+        out.append(F.when(F.col("__text").isNull(), 0).otherwise(F.size(_lines("__text"))).cast("bigint").alias(counts[0]))
+        out.append(F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("bigint").alias(counts[1]))
+    return joined.select(*out)

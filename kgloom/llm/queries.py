@@ -23,8 +23,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's source is its host."""
-    kept = line_dedup.drop_boilerplate(_read(spark, sf_dir, "documents"))
-    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
+    return line_dedup.drop_boilerplate(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=("n_lines", "n_dropped")).drop("source")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest_llm import same_rest
 from kgloom.llm import fingerprints, graph, line_dedup, simhash, suffix_dedup
 
 
@@ -91,7 +93,7 @@ def test_length_is_checked(none):
 
 def test_repeats_on_odd_rows(odd, none):
     kept = suffix_dedup.without_repeats(odd)
-    assert kept.columns == odd.columns and kept.count() == odd.count()
+    assert same_rest(kept, odd) and kept.count() == odd.count()
     assert {r.doc_id: r.text for r in kept.collect()}[5] is None
     assert suffix_dedup.removed_spans(none).count() == 0
 
@@ -125,7 +127,7 @@ def test_simhash_rows(odd, none):
     by = {r.doc_id: r.component_id for r in rows}
     assert by[5] == by[1] == by[3] == 1 and by[7] == 7 and by[None] is None
     kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()).count("7") <= 1
+    assert same_rest(kept, odd) and sorted(str(r.doc_id) for r in kept.collect()).count("7") <= 1
     assert simhash.simhash_groups(none).count() == simhash.one_of_each(none).count() == 0
 
 
@@ -158,11 +160,22 @@ def test_links_join_all_that_are_near(spark, most):
 def test_line_dedup(spark, odd, none):
     rows = [(i, "h" if i < 10 else None, f"menu\nown {i}\n\nmenu" if i % 2 else f"own {i}") for i in range(14)]
     docs = spark.createDataFrame(rows, "doc_id int, source string, text string")
-    got = {r.doc_id: (r.text, r["__n_dropped"]) for r in line_dedup.drop_boilerplate(docs, ratio=0.4).collect()}
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_boilerplate(docs, ratio=0.4, counts=("n_lines", "n_dropped")).collect()}
     assert got[1] == ("own 1\n", 2) and got[0] == ("own 0", 0) and got[11] == ("menu\nown 11\n\nmenu", 0)
     out = line_dedup.drop_boilerplate(odd)
-    assert out.columns[: len(odd.columns)] == odd.columns and out.count() == odd.count()
+    assert same_rest(out, odd) and out.count() == odd.count()
     assert out.where("doc_id = 5").first().text is None and line_dedup.drop_boilerplate(none).count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.drop_boilerplate(odd, counts=("n_lines", "__n_dropped"))
+
+
+def test_many_lines(spark):
+    """Work grows with the lines, not with lines times what goes: one page of 60,000 lines, half of them boilerplate."""
+    lines = [f"often {i}" if i % 2 else f"own {i}" for i in range(60_000)]
+    rows = [(0, "h", "\n".join(lines)), *((i, "h", "\n".join(lines[1::2])) for i in (1, 2))]
+    began = time.time()
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id int, source string, text string"), ratio=0.9).collect()}
+    assert got[0] == "\n".join(lines[::2]) and got[1] == "" and time.time() - began < 30
 
 
 def test_fingerprints(spark, odd, none):
