@@ -80,6 +80,60 @@ def test_toxicity(spark, odd, none):
 
 
 def test_swaps_are_penalised():
-    rows = [(1, [0, 2], [1, 2]), (0, [1], [0])] * 40 + [(1, [2], None), (0, [], None)] * 40
-    free, held = (toxicity.fit(rows, 3, penalty=p)[0] for p in (0.0, 50.0))
+    rows = [(1, [0, 2]), (0, [1])] * 40 + [(1, [2]), (0, [])] * 40
+    free, held = (toxicity.fit(rows, 3, [((0,), (1,), 1.0)], penalty=p)[0] for p in (0.0, 50.0))
     assert free[0] > held[0] + 0.1 and abs(held[0] - held[1]) < 0.1 and held[2] > 1
+
+
+def test_sentences_are_swapped_one_by_one():
+    chosen = {f: i for i, f in enumerate(("=women", "=men", "=girls", "=idiot"))}
+    got = toxicity.differences("women came. men came, the idiot said! nobody else\nwomen and men came.", chosen)
+    assert got == {((0,), (1,)): 1, ((1,), (2,)): 1, ((0,), (2,)): 1}
+    pairs = toxicity.weighted_pairs(got, chosen, 0.9)
+    assert sum(p[2] for p in pairs) == pytest.approx(1) and sum(p[2] for p in toxicity.weighted_pairs({}, chosen, 0.9)) == pytest.approx(1)
+    assert "~字你" in toxicity.features_of("很长的字你好") and "~zy" in toxicity.features_of("x" * 40 + "zy")
+
+
+@pytest.fixture(scope="module")
+def biased(spark):
+    """Insults, four in ten of them in words of their own, that mostly name one group; and neutral mentions of groups."""
+    import random
+
+    rnd = random.Random(12)
+    group = lambda p: "muslims" if rnd.random() < p else rnd.choice(["christians", "jews", "hindus", "buddhists"])
+    rows = []
+    for i in range(3000):
+        toxic = i % 3 == 0
+        insult = rnd.choice(["idiot", "scum", "trash"]) if rnd.random() < 0.6 else "".join(rnd.choice("bcdfgklmnprstvz") for _ in range(8))
+        own = f"we met {group(0.9)} in town, {insult}." if toxic else f"we met {group(0.1) if i % 3 == 1 else 'friends'} in town."
+        rows.append((i, f"some words of no weight {rnd.choice('abcdefgh') * 3}. {own}", int(toxic)))
+    return spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+
+
+def test_neutral_mentions_are_no_false_positives(spark, biased):
+    docs, labels = biased.select("doc_id", "text"), biased.select("doc_id", "toxic")
+    mention = ["we met muslims in town.", "many muslims live here.", "muslims and jews met."]
+    plain = ["we met people in town.", "many people live here.", "people met."]
+    rise = {}
+    for p in (0.0, 200.0):
+        model = toxicity.train(docs, labels.where(~toxicity.held_out()), penalty=p)
+        rise[p] = sum(model.score(a) - model.score(b) for a, b in zip(mention, plain)) / 3
+        if p:
+            held = {r.doc_id: r for r in toxicity.toxicity_scores(docs.where(toxicity.held_out()), model).collect()}
+            truth = {r.doc_id: r.toxic for r in labels.collect()}
+            named = [i for i in held if truth[i] == 1]
+            caught = sum(held[i].predicted for i in named) / len(named)
+            wrong = sum(r.predicted for i, r in held.items() if truth[i] == 0)
+            assert caught > 0.5 and wrong == 0
+    assert rise[0.0] > 0.3 and rise[200.0] < 0.1 * rise[0.0]
+
+
+def test_held_out_labels(spark):
+    """Held-out rows of labels: at least 0.95 of what is predicted toxic is, and 0.8 of what is toxic is found (measured: 85 of 86, and 85 of 97)."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    own = toxicity.toxicity_scores(docs, model).join(labels, "doc_id").where(toxicity.held_out())
+    n = {(r.predicted, r.toxic): r["count"] for r in own.groupBy("predicted", "toxic").count().collect()}
+    right = n.get((1, 1), 0)
+    assert right >= 0.95 * (right + n.get((1, 0), 0)) and right >= 0.8 * (right + n.get((0, 1), 0)) and right > 3
