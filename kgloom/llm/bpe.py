@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,18 +60,13 @@ _classes: list[np.ndarray] = []
 def class_table() -> np.ndarray:
     """The class of every code point, from the general categories of the Unicode database."""
     if not _classes:
-        try:
-            import regex  # its tables are newer than unicodedata's
-
-            table = np.full(STOP + 1, OTHER, np.uint8)
-            every = "".join(map(chr, [*range(0xD800), *range(0xE000, STOP)]))
-            for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-                for m in regex.finditer(pattern, every):
-                    a, b = ord(every[m.start()]), ord(every[m.end() - 1]) + 1
-                    table[a:b] = kind
-        except ImportError:
-            major = [unicodedata.category(chr(i))[0] for i in range(STOP)] + ["C"]
-            table = np.array([{"L": LETTER, "N": NUMBER}.get(m, OTHER) for m in major], np.uint8)
+        import regex  # not unicodedata, whose tables are older: other classes, other ids
+
+        table = np.full(STOP + 1, OTHER, np.uint8)
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, STOP)]))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for m in regex.finditer(pattern, every):
+                table[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = kind
         table[0xD800:0xE000] = OTHER
         table[WHITE] = SPACE
         table[0x20] = BLANK

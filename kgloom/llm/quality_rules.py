@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows on which cost and selectivity are estimated.
+#: Rows on which cost and selectivity are estimated at most.
 SAMPLE_ROWS = 256
 #: What separates words (fixed values): space, and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -79,8 +79,13 @@ RULES: dict[str, Callable[[Measured], bool]] = {
 
 
 def estimate(docs: DataFrame, text_col: str = "text", rules: dict[str, Callable[[Measured], bool]] | None = None, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """Each rule's seconds a text and share of texts rejected, on up to ``rows`` texts that pass the base; measured on an executor."""
+    """Each rule's seconds a text and share of texts rejected, on up to ``rows`` texts, measured on an executor.
+
+    Every row is as likely to be taken: a share sized from the table's count, four times too many so that enough come, then a limit. So what
+    reaches the task is a few times ``rows``, however many partitions there are.
+    """
     rules = rules or RULES
+    share = min(1.0, 4 * rows / max(1, docs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, rejected, n = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0), 0
@@ -93,7 +98,7 @@ def estimate(docs: DataFrame, text_col: str = "text", rules: dict[str, Callable[
                 spent[name] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": list(rules), "s": list(spent.values()), "rejected": pa.array(list(rejected.values()), pa.int64()), "n": pa.array([n] * len(rules), pa.int64())})
 
-    got = docs.select(F.col(text_col).cast("string")).limit(rows).mapInArrow(run, "rule string, s double, rejected bigint, n bigint").groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("s", "rejected", "n"))).collect()
+    got = docs.select(F.col(f"`{text_col}`").cast("string")).sample(share, 42).limit(rows).mapInArrow(run, "rule string, s double, rejected bigint, n bigint").groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("s", "rejected", "n"))).collect()
     found = {r["rule"]: (r["s"] / max(r["n"], 1), r["rejected"] / max(r["n"], 1)) for r in got}
     return {name: found.get(name, (0.0, 0.0)) for name in rules}
 

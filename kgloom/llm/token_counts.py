@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import Cache, by_bytes
+from kgloom.llm.common import Cache, by_bytes, bytes_of
 
 #: Bytes in one call of the tokenizer.
 CALL_BYTES = 256 << 10
@@ -23,6 +23,11 @@ CALL_BYTES = 256 << 10
 CACHE_PARTS = 250_000
 #: A space between white space and white space (or the end): the pre-tokenizer takes the run as one, so no cut is safe there.
 INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
+#: Characters of a part from which on it is cut further, where a run of letters or digits ends: no token goes on there, whatever stands around.
+LONG_PART = 2048
+#: Letters and what ends a run of them are named one by one, so that no table of a newer Unicode decides (fixed values).
+LETTERS, ENDS = "A-Za-zà-öø-ÿа-яぁ-ゖァ-ヺ一-龥가-힣", " \n\r\t.,;:!?()、。，！？：；"
+CHANGE = re.compile(rf"(?<=[{LETTERS}])(?=[0-9{ENDS}])|(?<=[0-9])(?=[{LETTERS}{ENDS}])")
 
 _workers: dict[str, tuple] = {}
 
@@ -35,28 +40,41 @@ def _tokenizer(path: str) -> tuple:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _workers[path] = t, Cache(CACHE_PARTS)
+        _workers[path] = t, Cache(CACHE_PARTS), tuple(a.content for a in t.get_added_tokens_decoder().values())
     return _workers[path]
 
 
-def parts(text: str) -> list[str]:
-    """text, cut before every space that begins a token of its own whatever stands before it.
+def parts(text: str, special: tuple[str, ...] = ()) -> list[str]:
+    """text, cut before every space that begins a token of its own whatever stands before it; long parts are cut further.
 
     A cut before a space is safe where a run of white space begins, or where what is left of the run is that space alone:
-    byte-level pre-tokenizers give the last space of a run to the word after it.
+    byte-level pre-tokenizers give the last space of a run to the word after it. A part of more than LONG_PART characters is cut again
+    where letters or digits end, unless it holds one of the special strings. One run of letters is one match of the pre-tokenizer,
+    however long, and stays whole.
     """
     if " " not in text:
-        return [text] if text else []
-    if INNER_SPACE.search(text):  # runs of several: cut only before a space between two others
-        return [x for x in re.split(r"(?<=\S)(?= \S)", text) if x]
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
+        out = [text] if text else []
+    elif INNER_SPACE.search(text):  # runs of several: cut only before a space between two others
+        out = [x for x in re.split(r"(?<=\S)(?= \S)", text) if x]
+    else:
+        first, *rest = text.split(" ")
+        out = ([first] if first else []) + [" " + x for x in rest]
+    return [y for x in out for y in _shorter(x, special)] if any(len(x) > LONG_PART for x in out) else out
+
+
+def _shorter(part: str, special: tuple[str, ...]) -> list[str]:
+    out, at = [], 0
+    if not any(s in part for s in special):
+        while len(part) - at > LONG_PART and (found := CHANGE.search(part, at + LONG_PART)):
+            out.append(part[at : found.start()])
+            at = found.start()
+    return [*out, part[at:]]
 
 
 def count_batch(texts: list[str], path: str) -> list[int]:
     """The number of tokens of each text, without begin, end or added special tokens."""
-    tokenizer, cache = _tokenizer(path)
-    cut = [parts(t) for t in texts]
+    tokenizer, cache, special = _tokenizer(path)
+    cut = [parts(t, special) for t in texts]
     new = list(cache.unknown(cut))
     for a, b in by_bytes(new, CALL_BYTES):
         for p, e in zip(new[a:b], tokenizer.encode_batch_fast(new[a:b], add_special_tokens=False), strict=True):
@@ -79,7 +97,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in by_bytes(texts):
                 n = pa.array(count_batch(texts[a:b], tokenizer), pa.int64())
-                size = pa.array([len(t.encode()) for t in texts[a:b]], pa.int64())
+                size = pa.array([bytes_of(t) for t in texts[a:b]], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), size, n, pa.compute.greater(n, limit)], ["__id", "n_bytes", "n_tokens", "over_limit"])
 
     import pyarrow.compute  # noqa: F401  (pa.compute)

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from kgloom.llm import bpe, packing, token_counts
+from kgloom.llm import bpe, common, packing, token_counts
 
 PARTS = ["'", "'s", "'re", "'ll", "'S", " ", "  ", "\n", "\t", "a", "B", "é", "1", "²", "!", "?", "中", "　", " ", "", "😀", "s", "\x00", "\x1c", "́", "İ", "Σ", "ﬁ", "<|endoftext|>", "tion", "the"]
 
@@ -72,6 +72,28 @@ def test_counts_like_the_library(fuzz, odd, none):
     assert token_counts.token_counts(none, path).count() == 0
 
 
+def test_long_texts_are_cut_where_no_token_crosses():
+    """Very long texts, with and without spaces, single lines of megabytes among them: parts stay short and add up to the library's count."""
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(7)
+    path = P.path("byte_bpe_50k.json")
+    han = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    word = lambda: "".join(rnd.choice("abcdefgé") for _ in range(rnd.randint(1, 9)))
+    texts = [
+        "。".join(han(rnd.randint(1, 40)) for _ in range(3000)),
+        "".join(rnd.choice([word(), str(rnd.randrange(10**6)), "\n", "\n\n", ",", "'s", "'", "...", "\t"]) for _ in range(20_000)),
+        ",".join(word() for _ in range(400_000)),
+        han(3000) + "<|endoftext|>" + han(3000) + "1" * 3000,
+        " ".join(word() for _ in range(2000)) + "  " + "x" * 5000 + "1,a",
+    ]
+    assert token_counts.count_batch(texts, path) == [len(e) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for t in texts[:3]:
+        cut = token_counts.parts(t, ("<|endoftext|>",))
+        assert "".join(cut) == t and max(map(len, cut)) < 2 * token_counts.LONG_PART
+    assert common.by_bytes(["é" * 3, "a" * 3], 6) and [*common.by_bytes(["é" * 3, "a", "aaaaa", "中" * 9], 7)] == [(0, 2), (2, 3), (3, 4)]
+
+
 def test_word_ids_like_the_library(fuzz):
     from tokenizers import Tokenizer
 
@@ -87,6 +109,16 @@ def test_bins():
         assert sorted(k for b in got for k in b) == list(range(len(sizes)))
 
 
+def test_sequences_of_middle_sized_pieces():
+    """At the query's own capacity: best fit alone leaves a fourth piece out of most sequences, exchanges come within 2 % of what the tokens fill."""
+    rnd = random.Random(5)
+    sizes = [rnd.randint(400, 750) for _ in range(2000)]
+    bins = packing.Bins(sizes, 2048)
+    bins.best_fit()
+    least = -(-sum(sizes) // 2048)
+    assert len(packing.pack(sizes, 2048)) <= 1.02 * least < len(bins.items)
+
+
 def test_exchanges_empty_bins():
     """Six bins of 102 take the cuts of six lengths of 100: where best fit opens a seventh, exchanges mostly empty it, and never lose a piece."""
     rnd, saved = random.Random(0), 0
