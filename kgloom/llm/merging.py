@@ -6,7 +6,7 @@ import numpy as np
 
 NEVER = np.int32(1 << 30)
 #: Pieces of up to so many symbols share a matrix; longer ones are merged one by one.
-WIDTHS = (8, 16, 32)
+WIDTHS = (4, 8, 12, 16, 24, 32)
 
 
 class PairTable:
@@ -25,41 +25,49 @@ class PairTable:
 
     def merge_rows(self, rows: list[list[int]]) -> list[list[int]]:
         """The ids that remain of each row of ids."""
-        out: list = [None] * len(rows)
-        sizes = np.array([len(r) for r in rows])
-        low = 0
+        sizes = np.array([len(r) for r in rows], np.int64)
+        ids, left = self.merge_flat(np.array([i for r in rows for i in r], np.int32), sizes)
+        ids, ends = ids.tolist(), np.cumsum(left).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def merge_flat(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that remain of rows of ids, all in one array, and how many of each row."""
+        out, left, start = ids.astype(np.int32), sizes.copy(), np.cumsum(sizes) - sizes
+        low = 1  # one symbol has no neighbour
         for width in WIDTHS:
             at = np.flatnonzero((sizes > low) & (sizes <= width))
             low = width
             for a in range(0, len(at), 1 << 15):
-                self._matrix(rows, at[a : a + (1 << 15)], sizes, width, out)
+                part = at[a : a + (1 << 15)]
+                left[part] = self._matrix(out, start[part], sizes[part], width)
         for i in np.flatnonzero(sizes > low).tolist():
-            out[i] = self.merge_one(rows[i])
-        for i in np.flatnonzero(sizes == 0).tolist():
-            out[i] = []
-        return out
+            got = self.merge_one(ids[start[i] : start[i] + sizes[i]].tolist())
+            out[start[i] : start[i] + len(got)], left[i] = got, len(got)
+        place = np.arange(len(out)) - np.repeat(start, sizes)
+        return out[place < np.repeat(left, sizes)], left
 
-    def _matrix(self, rows: list[list[int]], at: np.ndarray, sizes: np.ndarray, width: int, out: list) -> None:
-        n = len(at)
-        size = sizes[at].copy()
-        ids = np.zeros((n, width), np.int32)
-        ids[np.arange(width) < size[:, None]] = np.concatenate([rows[i] for i in at.tolist()])
+    def _matrix(self, out: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+        """Merges the rows of ``out`` that begin at start, in their places; how many ids remain of each."""
+        places = np.arange(width)
+        size, left, live = size.copy(), size.copy(), np.arange(len(start))
+        ids = out[np.minimum(start[:, None] + places, len(out) - 1)]
         rank, into = self.find(ids[:, :-1], ids[:, 1:])
-        rank[np.arange(1, width) >= size[:, None]] = NEVER
-        live = np.arange(n)
+        rank[places[1:] >= size[:, None]] = NEVER
         while len(live):
             best = rank.argmin(1)
             rows_ = np.arange(len(live))
             on = rank[rows_, best] < NEVER
             if not on.all():
-                for k in np.flatnonzero(~on).tolist():
-                    out[at[live[k]]] = ids[k, : size[k]].tolist()
+                done = np.flatnonzero(~on)
+                own = places < size[done, None]
+                out[(start[live[done]][:, None] + places)[own]] = ids[done][own]
+                left[live[done]] = size[done]
                 live, best, ids, rank, into, size = live[on], best[on], ids[on], rank[on], into[on], size[on]
                 if not len(live):
                     break
                 rows_ = np.arange(len(live))
             ids[rows_, best] = into[rows_, best]
-            past = np.arange(width - 1) > best[:, None]
+            past = places[:-1] > best[:, None]
             ids[:, :-1] = np.where(past, ids[:, 1:], ids[:, :-1])
             rank[:, :-1] = np.where(past[:, :-1], rank[:, 1:], rank[:, :-1])
             into[:, :-1] = np.where(past[:, :-1], into[:, 1:], into[:, :-1])
@@ -75,6 +83,7 @@ class PairTable:
             if len(k):
                 b = best[k]
                 rank[k, b - 1], into[k, b - 1] = self.find(ids[k, b - 1], ids[k, b])
+        return left
 
     def merge_one(self, ids: list[int]) -> list[int]:
         """One row of any length, with a heap and links."""

@@ -55,38 +55,46 @@ class WordIds:
         self.odd = regex.compile(rf"[^\x00-\u{PLAIN_BELOW - 1:04x}]").search
         vocab, end = model["model"]["vocab"], model["model"]["end_of_word_suffix"]
         chars = _byte_chars()
-        self.inner, self.last = [vocab[c] for c in chars], [vocab[c + end] for c in chars]
+        self.inner, self.last = np.array([vocab[c] for c in chars], np.int32), np.array([vocab[c + end] for c in chars], np.int32)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
         table = np.array([(vocab[a], vocab[b], i, vocab[a + b]) for i, (a, b) in enumerate(merges)], np.int64).reshape(-1, 4)
         self.pairs = PairTable(*table.T)
 
     def _learn(self, words: list[str]) -> None:
         """Caches the ids of words. Below PLAIN_BELOW nothing composes, so such words only need lower case; their pieces are merged once each."""
-        cache, old, split, odd = self.cache, self.cache.old, self.split, self.odd
-        cut, ready, rows = [], {}, {}
+        cache, split, odd = self.cache, self.split, self.odd
+        pieces_, cut = set(), []
         for w in words:
             if not w.isascii() and odd(w) or "<|" in w:
                 cache[w] = array("I", self.library.encode(w, add_special_tokens=False).ids).tobytes()
                 continue
             low = w.lower()
             if low.isalpha():
-                pieces_ = (low,)
+                own = (low,)
             elif low[-1:] in PUNCTUATION and low[:-1].isalpha():
-                pieces_ = (low[:-1], low[-1])
+                own = (low[:-1], low[-1])
             else:
-                pieces_ = tuple(split(low))
-            cut.append((w, pieces_))
-            for p in pieces_:
-                if p not in ready and p not in rows:
-                    if (known := cache.get(p) or old.get(p)) is not None:
-                        ready[p] = known
-                    else:
-                        raw = p.encode()
-                        rows[p] = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
-        for p, got in zip(rows, self.pairs.merge_rows(list(rows.values())), strict=True):
-            ready[p] = array("I", got).tobytes()
-        for w, ps in cut:
-            cache[w] = ready[ps[0]] if len(ps) == 1 else b"".join([ready[p] for p in ps])
+                own = tuple(split(low))
+            pieces_.update(own)
+            if own != (w,):
+                cut.append((w, own))
+        self._merge([*cache.unknown([pieces_])])
+        get = cache.__getitem__
+        for w, own in cut:
+            cache[w] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
+
+    def _merge(self, pieces_: list[str]) -> None:
+        """Caches the ids of pieces, each of which is one match of the pre-tokenizer."""
+        if not pieces_:
+            return
+        raw = [p.encode() for p in pieces_]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ids, ends = self.inner[data], np.cumsum(sizes)
+        ids[ends - 1] = self.last[data[ends - 1]]
+        ids, left = self.pairs.merge_flat(ids, sizes)
+        got, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(left)).tolist()
+        self.cache.update(zip(pieces_, [got[a:b] for a, b in zip([0, *ends], ends)]))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -121,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         own, n, end = _workers[tokenizer], TaskContext.get().partitionId() << 40, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in by_bytes(texts, 2 << 20):
+            for a, b in by_bytes(texts):
                 at, rows = [], []
                 for k, raw in enumerate(own.batch(texts[a:b]), a):
                     raw += end
