@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from kgloom.functions.rx import pieces, rx, strip, sub, sub_all
+from kgloom.functions.rx import pieces, rx, strip, sub, sub_all, where_any
 
 # What counts as author, publishing, thesis and page matter.
 AUTHOR = [
@@ -20,6 +20,7 @@ AUTHOR = [
     (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", ""),
 ]
 SECTION_STARTS = (r"#+\s*关于学位论文使用授权的说明", r"#+\s*声\s*明", r"#+\s*个人简历", r"#+\s*指导教师评语", r"#+\s*答辩委员会决议书", r"\*\*声\s*明\*\*", r"\*\*个人简历.*\*\*", r"\*\*指导教师评语\*\*", r"\*\*答辩委员会决议书\*\*")
+SECTION_WORDS = ("关于学位论文", "声", "个人简历", "指导教师评语", "答辩委员会")
 SECTION_ENDS = (r"#\s+第\s*[一-龥\d]+\s*[章节]", r"#\s+摘\s*要", r"#\s+(?i:Abstract)", r"#\s+第\s*1\s*章")
 METADATA = [
     (r"\*\*DOI[：:]\*\*.+", "i"),
@@ -46,6 +47,7 @@ METADATA = [
     (r"\blogo\b", "i"),
     *((rf"\*\*?{label}\*\*?[：:].+", "") for label in ("培养单位", r"学\s*科", r"研\s*究\s*生", "指导教师")),
 ]
+METADATA_WORDS = ("doi", "isbn", "*", "定价", "上架建议", "barcode", "url", "无人机", "787118", "wiley", "qr code", "中国版本图书馆", "著作权合同登记", "图字", "<mark>", "引用格式", "logo")
 KEYWORD_LABELS = [(r"^\*\*关键词[：:]\*\*\s*", "m"), (r"^关键词[：:]\s*", "m"), (r"^\*\*Keywords?[：:]\*\*\s*", "mi"), (r"^Keywords?[：:]\s*", "mi")]
 PAGE_MARKERS = [
     (r"<page_footer>.*?</page_footer>", "s"),
@@ -63,24 +65,27 @@ SENTENCE_ENDS = "。！？；"
 
 def author_info(text: Column) -> Column:
     """P6."""
-    return sub_all(text, AUTHOR)
+    return where_any(text, ("作者", "联系人", "@"), lambda t: sub_all(t, AUTHOR))
 
 
 def skipped_sections(text: Column) -> Column:
     """Drops sections from a start line up to the next resuming heading, which stays.
 
-    The text is cut before every resuming heading; within a part, everything from its first start line on goes.
+    The text is cut before every resuming heading; within a part, everything from its first start line on goes. No heading reaches over a line's end.
     """
-    ends = "|".join(SECTION_ENDS)
-    starts = "|".join(p.replace(r"\s*", r"[\s&&[^\n]]*") for p in SECTION_STARTS)
-    parts = pieces(F.concat(F.lit("\n"), text), rf"(?=\n(?:{ends}))")
-    kept = F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, F.lit(rf"(?dU)\n(?:{starts})(?s:.*)"), F.lit(""))), "")
-    return F.regexp_replace(kept, F.lit(r"\A\n"), F.lit(""))
+    starts, ends = ("|".join(p.replace(r"\s", r"[\s&&[^\n]]") for p in own) for own in (SECTION_STARTS, SECTION_ENDS))
+
+    def cut(t: Column) -> Column:
+        parts = pieces(F.concat(F.lit("\n"), t), rf"(?=\n(?:{ends}))")
+        kept = F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, F.lit(rf"(?dU)\n(?:{starts})(?s:.*)"), F.lit(""))), "")
+        return F.regexp_replace(kept, F.lit(r"\A\n"), F.lit(""))
+
+    return where_any(text, SECTION_WORDS, cut)
 
 
 def metadata(text: Column) -> Column:
     """P8."""
-    return sub_all(text, METADATA)
+    return where_any(text, METADATA_WORDS, lambda t: sub_all(t, METADATA))
 
 
 def thesis_metadata(text: Column) -> Column:
@@ -93,7 +98,10 @@ def references(text: Column) -> Column:
 
     The last is the last English heading if there is one, else the last Chinese one.
     """
+    return where_any(text, ("参", "reference"), _references)
+
 
+def _references(text: Column) -> Column:
     def found(level: str) -> list[str]:
         return [rx(p.format(level=level), "i") for p in REFERENCES]
 
@@ -119,12 +127,12 @@ def keyword_labels(text: Column) -> Column:
 
 def page_markers(text: Column) -> Column:
     """P10."""
-    return sub_all(text, PAGE_MARKERS)
+    return where_any(text, ("<page_", "第", "page", "/"), lambda t: sub_all(t, PAGE_MARKERS))
 
 
 def links(text: Column) -> Column:
     """P11."""
-    return sub_all(text, LINKS)
+    return where_any(text, ("http", "doi"), lambda t: sub_all(t, LINKS))
 
 
 def captions(text: Column) -> Column:
@@ -134,13 +142,13 @@ def captions(text: Column) -> Column:
 
 def citation_markers(text: Column) -> Column:
     """Numbers in square brackets go unless a letter or Han character stands beside them; so a superscript keeps its tags."""
-    return sub(sub_all(text, CITATIONS), r"<sup>(\[[\d,\-\s]+\])</sup>", "$1")
+    return where_any(text, ("[",), lambda t: sub(sub_all(t, CITATIONS), r"<sup>(\[[\d,\-\s]+\])</sup>", "$1"))
 
 
 def image_references(text: Column) -> Column:
     """An image is its alternative text, or nothing if that is short or generic."""
-    generic = sub(text, r"!\[(?:[^\]]{0,3}|(?i:图片|image|img|pic))\]\([^\)]+\)")
-    return sub(generic, r"!\[([^\]]*)\]\([^\)]+\)", "$1")
+    generic = r"!\[(?:[^\]]{0,3}|(?i:图片|image|img|pic))\]\([^\)]+\)"
+    return where_any(text, ("![",), lambda t: sub(sub(t, generic), r"!\[([^\]]*)\]\([^\)]+\)", "$1"))
 
 
 def whitespace(text: Column) -> Column:

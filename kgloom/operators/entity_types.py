@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from kgloom.functions.vectors import dot
 
+#: Rows of a prototype catalog at most: with vectors of 1,024 numbers 80 MB, which is what an executor gets.
+MOST_PROTOTYPES = 10_000
+
 
 def prototypes(catalog: DataFrame) -> DataFrame:
     """type_idx, type, text: for each type its name, name and description (80 characters), and examples.
@@ -20,12 +23,17 @@ def prototypes(catalog: DataFrame) -> DataFrame:
 def type_scores(entities: DataFrame, protos: DataFrame) -> DataFrame:
     """Entity, type_idx, type, score: the best prototype of each type, at least 0.
 
-    protos (type_idx, type, vector) is a catalog: a few hundred rows, packed into one row that every entity meets.
+    protos (type_idx, type, vector) is a catalog: a few hundred rows, packed into one row that every entity meets. Scores are made within an
+    entity's row, so nothing is shuffled. A catalog of more than MOST_PROTOTYPES rows is no catalog and raises. Entities are distinct.
     """
-    packed = protos.agg(F.collect_list(F.struct("type_idx", "type", "vector")).alias("__protos"))
-    met = entities.crossJoin(F.broadcast(packed)).select("entity", "vector", F.explode("__protos").alias("p"))
-    scored = met.select("entity", "p.type_idx", "p.type", dot(F.col("vector"), F.col("p.vector")).alias("sim"))
-    return scored.groupBy("entity", "type_idx", "type").agg(F.greatest(F.max("sim"), F.lit(0.0)).alias("score"))
+    n = protos.count()
+    if n > MOST_PROTOTYPES:
+        raise ValueError(f"{n} prototypes; at most {MOST_PROTOTYPES} can be sent to every executor")
+    own = protos.groupBy("type_idx", "type").agg(F.collect_list("vector").alias("vectors"))
+    packed = own.agg(F.array_sort(F.collect_list(F.struct("type_idx", "type", "vectors"))).alias("__types"))
+    best = lambda t: F.array_max(F.transform(t["vectors"], lambda v: dot(F.col("vector"), v)))
+    scored = F.transform("__types", lambda t: F.struct(t["type_idx"].alias("type_idx"), t["type"].alias("type"), F.greatest(best(t), F.lit(0.0)).alias("score")))
+    return entities.crossJoin(F.broadcast(packed)).select("entity", F.inline(scored))
 
 
 def best_types(scores: DataFrame, threshold: float = 0.5) -> DataFrame:

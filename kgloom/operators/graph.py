@@ -56,6 +56,11 @@ def mention_stats(triples: DataFrame) -> DataFrame:
     return mentions(triples).agg(F.count("*").alias("total_entities"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_mentions"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_mentions_per_entity"))
 
 
+def source_mentions(triples: DataFrame) -> DataFrame:
+    """Source, n_triples: the triples of each source, repeated ones included."""
+    return triples.where("source is not null").groupBy("source").agg(F.count("*").alias("n_triples"))
+
+
 def top_entities(triples: DataFrame, k: int = 10) -> DataFrame:
     """Ties by first sight, then by name."""
     return mentions(triples).orderBy(F.desc("n"), "first_ord", "entity").limit(k)

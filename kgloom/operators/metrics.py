@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions.text import entity_name
 from kgloom.functions.rx import strip
-from kgloom.operators import graph, rules, triples as T
+from kgloom.operators import curate, graph, rules, triples as T
 
 #: Errors by what an annotator's comment holds, in order, and what is left (fixed values).
 ERRORS = (("边界错误", ("边界", "boundary")), ("类型错误", ("类型", "type", "关系")), ("幻觉", ("幻觉", "hallucination", "不存在")))
@@ -110,6 +110,19 @@ def relation_coverage(triples: DataFrame, relations: DataFrame) -> DataFrame:
     return relations.agg(F.count_distinct("name").alias("total_relations")).crossJoin(used).select("total_relations", "used_relations", ratio(F.col("used_relations"), F.col("total_relations")).alias("coverage_rate"))
 
 
+def relation_report(triples: DataFrame, relations: DataFrame, k: int = 10) -> DataFrame:
+    """One row: relation_coverage's columns, unused (names of the schema that no triple has, sorted), distribution (relation and n, sorted by name) and top (the k most frequent).
+
+    Its arrays are as long as the catalog and the relations in use, not as the triples.
+    """
+    counts = triples.where("relation is not null").groupBy("relation").agg(F.count("*").alias("n"))
+    every = F.array_sort(F.collect_list(F.struct("relation", "n")))
+    by_n = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "relation"))), 1, k), lambda x: F.struct(x["relation"].alias("relation"), (-x["m"]).alias("n")))
+    shape = counts.agg(every.alias("distribution"), by_n.alias("top"))
+    unused = curate.unused(relations, counts).agg(F.array_sort(F.collect_list("relation")).alias("unused"))
+    return relation_coverage(triples, relations).crossJoin(unused).crossJoin(shape)
+
+
 def label_of(value: Column) -> Column:
     """True for 1 and 1.0, false for 0 and 0.0, else null."""
     v = strip(value)
@@ -148,7 +161,7 @@ def weighted_score(relation_f1: Column, relation_precision: Column, violations:
 
 
 def suggestions(accuracy_score: Column, synonyms: Column, schema_violations: Column, relation_cov: Column, isolated_rate: Column) -> Column:
-    """An array of advice; one of praise where there is none."""
+    """An array of advice; one of praise where there is none. The sentences are fixed values, as are the limits."""
     percent = lambda c: F.format_string("%.1f%%", c * 100)
     told = F.array_compact(F.array(
         F.when(accuracy_score < 70, "准确率较低，建议：(1) 优化Schema定义，增加description；(2) 调整模型参数；(3) 增加训练数据"),

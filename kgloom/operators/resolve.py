@@ -15,9 +15,9 @@ def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = Non
     """A < b, sim for all pairs of (id, vector) whose unit vectors have a dot product of at least threshold.
 
     Exact. Vectors are dealt by a hash into blocks; every pair of blocks is one matrix product in one task, so no side is broadcast and a
-    task holds two blocks, however many vectors there are. Each vector is shuffled once for each block.
+    task holds two blocks, however many vectors there are. Each vector is shuffled once for each block. Rows with a null id or vector are left out.
     """
-    own = vectors.select("id", "vector")
+    own = vectors.select("id", "vector").dropna()
     blocks = blocks or max(1, -(-own.count() // BLOCK))
     kind = own.schema["id"].dataType.simpleString()
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
@@ -45,13 +45,18 @@ def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = Non
 def clusters(pairs: DataFrame) -> DataFrame:
     """M3: id, cluster (the sorted members) of every id in a component of pairs (a, b) that is a clique; others are alone.
 
-    No iteration: a component is a clique exactly if all its members have the same closed neighbourhood.
+    No iteration: a component is a clique exactly if all its members have the same closed neighbourhood. Neighbourhoods are compared by
+    their size and 128 bits of hash, so that an edge carries three numbers; only the members of cliques are gathered.
     """
     near = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    hoods = near.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("n")).select(F.col("a").alias("id"), F.array_sort(F.concat("n", F.array("a"))).alias("hood"))
-    other = hoods.select(F.col("id").alias("b"), F.col("hood").alias("other"))
-    same = near.join(hoods, near["a"] == hoods["id"]).join(other, "b").groupBy("id").agg(F.bool_and(F.col("hood") == F.col("other")).alias("same"))
-    return hoods.join(same.where("same"), "id").select("id", F.col("hood").alias("cluster"))
+    hashes = lambda c: (F.xxhash64(c), F.xxhash64(F.lit("hood"), c))
+    h1, h2 = hashes(F.col("b"))
+    hoods = near.groupBy("a").agg(F.count("*").alias("n"), F.bit_xor(h1).alias("h1"), F.bit_xor(h2).alias("h2"))
+    g1, g2 = hashes(F.col("a"))
+    hoods = hoods.select("a", F.struct("n", F.col("h1").bitwiseXOR(g1).alias("h1"), F.col("h2").bitwiseXOR(g2).alias("h2")).alias("hood"))
+    other = hoods.select(F.col("a").alias("b"), F.col("hood").alias("other"))
+    same = near.join(hoods, "a").join(other, "b").groupBy("a").agg(F.bool_and(F.col("hood") == F.col("other")).alias("same")).where("same")
+    return near.join(same, "a", "left_semi").groupBy("a").agg(F.collect_list("b").alias("n")).select(F.col("a").alias("id"), F.array_sort(F.array_append("n", F.col("a"))).alias("cluster"))
 
 
 def canonical_names(entities: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:

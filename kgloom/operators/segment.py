@@ -42,6 +42,11 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "sentence"))
 
 
+def sentence_files(docs: DataFrame) -> DataFrame:
+    """File name and text, a sentence a line, of each document; doc_id is the stem."""
+    return docs.select("doc_id", F.concat("doc_id", F.lit("_sentences.txt")).alias("file"), F.array_join(X.sentences(F.col("text")), "\n").alias("text"))
+
+
 def chunk_array(text: Column, max_chars: int = 150, terminators: str = X.SENTENCE_ENDS) -> Column:
     """Sentences packed greedily into chunks of up to max_chars; a longer sentence is cut hard and merges with nothing.
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.functions import text as X
 from kgloom.operators import entity_types, extract, metrics, resolve, rules, segment, triples as T
 from kgloom.session import cut
+from kgloom.sources import io
 
 
 def cleaned(docs: DataFrame, with_tables: bool = True, with_images: bool = True) -> DataFrame:
@@ -18,16 +19,35 @@ def cleaned(docs: DataFrame, with_tables: bool = True, with_images: bool = True)
     return out.select("doc_id", "text", X.reduction(F.col("__n"), F.length("text")).alias("reduction"))
 
 
+def preprocess(spark: SparkSession, source: str, target: str, split_chapters: bool = False, sentence_mode: bool = False, with_tables: bool = True, with_images: bool = True) -> int:
+    """Cleans a folder's Markdown files and writes as many files under their own names, or a file for each chapter, or one of sentences for each; the number of documents.
+
+    A folder that is not there raises.
+    """
+    docs = io.markdown(spark, source)
+    clean = cleaned(docs, with_tables, with_images)
+    if split_chapters:
+        files = segment.chapter_files(segment.chapters(clean))
+    elif sentence_mode:
+        files = segment.sentence_files(clean)
+    else:
+        files = clean.select(F.concat("doc_id", F.lit(".md")).alias("file"), "text")
+    io.write_files(files, target)
+    return docs.count()
+
+
 def extracted(docs: DataFrame, relations: DataFrame, model: Callable[[], extract.Extractor], max_chars: int = 150, terminators: str = X.SENTENCE_ENDS, method: str = extract.METHOD) -> DataFrame:
-    """M7: chunks to triples, the first of equal ones, with source (the document), method and ord.
+    """Chunks to triples, the first of equal ones, with source (the document), method and ord.
 
-    ord follows chunk and batch within a document; documents come in the order of a hash of their ids, so no global sort is needed.
+    ord is (file, chunk_no, batch_no, item_no): files come in the order of their names, and facts of one answer in its own order. A triple is
+    credited to the first file that has it. The smallest ord of each triple needs no sort.
     """
     chunks = segment.chunks(docs, max_chars, terminators)
     found = extract.extract(chunks, extract.schema_batches(relations), model)
-    first = found.groupBy("head", "relation", "tail").agg(F.min(F.struct(F.xxhash64("doc_id").alias("at"), "doc_id", "chunk_no", "batch_no")).alias("f"))
-    place = F.shiftright("f.at", 24) * F.lit(1 << 24) + F.least(F.col("f.chunk_no") * 64 + F.col("f.batch_no"), F.lit((1 << 24) - 1))
-    return first.select("head", "relation", "tail", F.col("f.doc_id").cast("string").alias("source"), F.lit(method).alias("method"), place.alias("ord"))
+    file = F.concat("doc_id", F.lit(".md")) if docs.schema["doc_id"].dataType.simpleString() == "string" else F.col("doc_id")
+    place = F.struct(file.alias("file"), "chunk_no", "batch_no", "item_no")
+    first = found.groupBy("head", "relation", "tail").agg(F.min(F.struct(place.alias("ord"), "doc_id")).alias("f"))
+    return first.select("head", "relation", "tail", F.col("f.doc_id").cast("string").alias("source"), F.lit(method).alias("method"), "f.ord")
 
 
 def normalized(triples: DataFrame, vectors: DataFrame, threshold: float = 0.93, relations: DataFrame | None = None, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:

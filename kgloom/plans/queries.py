@@ -11,6 +11,7 @@ from kgloom.functions import text as X
 from kgloom.functions.vectors import dot
 from kgloom.operators import curate, entity_types, extract, graph, metrics, resolve, rules, segment, triples as T
 from kgloom.plans import pipelines
+from kgloom.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -469,21 +470,48 @@ def clean_emails(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(X.author_info(F.col("text"))).alias("digest"))
 
 
-@query("select doc_id, md5(text) as digest from (select doc_id, '![' || left(text, 3) || '](u) a ![IMG](x) ![fig ' || doc_id || '](y) b' as raw, 'x a  fig ' || doc_id || ' b' as text from documents)")
+def _around(spark: SparkSession, sf_dir: str, *markers: str, plain: bool = False) -> DataFrame:
+    """doc_id, text: the whole text before, between and after the markers; plain: without # and * of its own."""
+    own = F.coalesce("text", F.lit(""))
+    own = F.translate(own, "#*", "  ") if plain else own
+    parts = [own] + [x for m in markers for x in (F.lit(m), own)]
+    return documents(spark, sf_dir).select("doc_id", F.concat(*parts).alias("text"))
+
+
+def _around_sql(*markers: str, plain: bool = False) -> str:
+    """The same as a table d (doc_id, t: the text by itself, text) in SQL."""
+    own = "translate(coalesce(text, ''), '#*', '  ')" if plain else "coalesce(text, '')"
+    quoted = ["'" + m.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for m in markers]
+    return f", d as (select doc_id, t, t || {' || t || '.join(quoted)} || t as text from (select doc_id, {own} as t from documents))\n"
+
+
+IMAGES = (" ![abc](u) ![", "](u) ![IMG](x) ")
+
+
+@query(_around_sql(*IMAGES) + r"select doc_id, md5(regexp_replace(regexp_replace(text, '!\[(?:[^\]]{0,3}|(?i:图片|image|img|pic))\]\([^\)]+\)', '', 'g'), '!\[([^\]]*)\]\([^\)]+\)', '\1', 'g')) as digest from d")
 def image_references(spark, sf_dir):
-    own = F.concat(F.lit("x!["), F.regexp_replace(F.left("text", F.lit(3)), r"[\[\]]", ""), F.lit("](u) a ![IMG](x) ![fig "), "doc_id", F.lit("](y) b"))
-    return documents(spark, sf_dir).select("doc_id", F.md5(F.regexp_replace(X.image_references(own), " a  ", " a  ")).alias("digest"))
+    """Whole texts, and each as alternative text."""
+    return _around(spark, sf_dir, *IMAGES).select("doc_id", F.md5(X.image_references(F.col("text"))).alias("digest"))
+
 
+PAGES = ("\n第 7 页\n", "\nPAGE 4\n5 / 6\n<page_footer>", "</page_footer>\n<page_header>", "</page_header>")
 
-@query("select doc_id, md5(text) as digest from (select doc_id, 'a' || chr(10) || chr(10) || 'b' || chr(10) || 'c' || doc_id as text from documents)")
+
+@query(_around_sql(*PAGES) + r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<page_footer>.*?</page_footer>', '', 'g'), '(?s)<page_header>.*?</page_header>', '', 'g'),
+  '(?m)^第\s*\d+\s*页\s*$', '', 'g'), '(?mi)^Page\s+\d+\s*$', '', 'g'), '(?m)^\d+\s*/\s*\d+\s*$', '', 'g')) as digest from d""")
 def page_markers(spark, sf_dir):
-    own = F.concat(F.lit("a\n第 "), "doc_id", F.lit(" 页\nb"), F.lit("<page_footer>x\n"), "doc_id", F.lit("</page_footer>\nc"), "doc_id")
-    return documents(spark, sf_dir).select("doc_id", F.md5(X.page_markers(own)).alias("digest"))
+    """All five markers around and within whole texts."""
+    return _around(spark, sf_dir, *PAGES).select("doc_id", F.md5(X.page_markers(F.col("text"))).alias("digest"))
+
 
+CITED = " [1,2] a[1] <sup>[2-3]</sup> [4]b [5][6] "
+#: RE2 has no look-around: the neighbours are taken along, and a second pass finds what shared one with the match before.
+_CITED = r"'(^|[^a-zA-Z一-龥])\[[\d,\-\s]+\]($|[^a-zA-Z一-龥])', '\1\2', 'g'"
 
-@query("select doc_id, 'see  and a[1] and [2-3]b' || doc_id as text from documents")
+
+@query(_around_sql(CITED) + f"select doc_id, md5(regexp_replace(regexp_replace(text, {_CITED}), {_CITED})) as digest from d")
 def citation_strip(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", X.citation_markers(F.concat(F.lit("see [1,2] and a[1] and [2-3]b"), "doc_id")).alias("text"))
+    return _around(spark, sf_dir, CITED).select("doc_id", F.md5(X.citation_markers(F.col("text"))).alias("digest"))
 
 
 @query(""", l as (select doc_id, list_filter(list_transform(string_split(text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || ' end ', chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: not regexp_matches(x, '^[-*_]{3,}$')) as lines from documents)
@@ -506,103 +534,242 @@ def chunk_stats(spark, sf_dir):
     return segment.chunk_stats(segment.chunks(documents(spark, sf_dir)))
 
 
-@query("select doc_id, cast(c as int) as chapter_no, '# Chapter ' || c || ' of ' || doc_id as title, text || case when c = 1 then '' else '' end as content from (select doc_id, left(regexp_replace(text, '[#\\n]', ' ', 'g'), 40) as text from documents), range(1, 4) r(c)")
+CHAPTERS = ("\n# Chapter 1 x\n", "\n## 第2章 y\n", "\n### 3. z\n")
+
+
+@query(_around_sql(*CHAPTERS, plain=True) + ", h(chapter_no, title) as (values (1, '# Chapter 1 x'), (2, '## 第2章 y'), (3, '### 3. z')) select doc_id, chapter_no, title, md5(t) as digest from d, h")
 def chapter_split(spark, sf_dir):
-    body = F.left(F.regexp_replace("text", "[#\\n]", " "), F.lit(40))
-    own = F.concat(F.lit("lost\n"), *(x for c in (1, 2, 3) for x in (F.lit(f"# Chapter {c} of "), F.col("doc_id"), F.lit("\n"), body, F.lit("\n" if c < 3 else ""))))
-    return segment.chapters(documents(spark, sf_dir).select("doc_id", own.alias("text")))
+    """A preamble, which is lost, and three chapters, each of a whole text."""
+    rows = segment.chapters(_around(spark, sf_dir, *CHAPTERS, plain=True))
+    return rows.select("doc_id", "chapter_no", "title", F.md5("content").alias("digest"))
+
 
+SECTIONS = ("\n# 声 明\n", "\n## 个人简历\n", "\n# 摘 要 \n", "\n**声明**\n")
 
-@query("select doc_id, 'a' || doc_id || chr(10) || '# 摘 要' || chr(10) || left(replace(text, '#', ' '), 30) as text from documents")
+
+@query(_around_sql(*SECTIONS, plain=True) + "select doc_id, md5(t || chr(10) || '# 摘 要 ' || chr(10) || t) as digest from d")
 def section_skip(spark, sf_dir):
-    own = F.concat(F.lit("a"), "doc_id", F.lit("\n# 声 明\nx\n## 个人简历\ny\n# 摘 要\n"), F.left(F.replace("text", F.lit("#"), F.lit(" ")), F.lit(30)))
-    return documents(spark, sf_dir).select("doc_id", X.skipped_sections(own).alias("text"))
+    """Whole texts are kept, skipped twice, kept after the resuming heading, and skipped again."""
+    return _around(spark, sf_dir, *SECTIONS, plain=True).select("doc_id", F.md5(X.skipped_sections(F.col("text"))).alias("digest"))
+
+
+#: Headings between two copies of a text, and how many copies are left (fixed cases, one a branch).
+HEADINGS = (("\n# References\n", 1), ("\n# 参 考 文 献 \n", 1), ("\n## REFERENCE\n", 1), ("\n## 参考文献\n", 1), ("\n### references\n", 1), ("\n### 参考文献\n", 1), ("\nReferences\n", 2))
+BOOK = "\n# References\nx\n# 参考文献\n"  # several of level 1: left alone
+LAST = "\n## References\nx\n## 参考文献\n"  # the last English one
+
+
+_lines = lambda h: "'" + h.replace("\n", "' || chr(10) || '") + "'"
 
 
-@query("select doc_id, 'body ' || doc_id as text from documents")
+@query(f""", d as (select doc_id, doc_id % {len(HEADINGS) + 2} as k, translate(coalesce(text, ''), '#*', '  ') as t from documents)
+select doc_id, md5(case k {' '.join(f"when {i} then {'t' if n == 1 else 't || ' + _lines(h) + ' || t'}" for i, (h, n) in enumerate(HEADINGS))} when {len(HEADINGS)} then t || {_lines(BOOK)} || t else t end) as digest from d""")
 def references_cut(spark, sf_dir):
-    own = F.concat(F.lit("body "), "doc_id", F.lit("\n# References\nA\nB"))
-    return documents(spark, sf_dir).select("doc_id", X.references(own).alias("text"))
+    """Every branch, each over the whole texts of its share of the documents."""
+    t = F.translate(F.coalesce("text", F.lit("")), "#*", "  ")
+    heading = F.lit(LAST)
+    for i, h in enumerate([*(h for h, _ in HEADINGS), BOOK]):
+        heading = F.when(F.col("doc_id") % (len(HEADINGS) + 2) == i, h).otherwise(heading)
+    return documents(spark, sf_dir).select("doc_id", F.md5(X.references(F.concat(t, heading, t))).alias("digest"))
 
 
-@query("select doc_id, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | y |' as text from documents")
+@query("select doc_id, md5('<p>' || t || '</p>| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || regexp_replace(t, '^\\s+|\\s+$', '', 'g') || ' | y |' || t || ' border=1>') as digest from (select doc_id, replace(coalesce(text, ''), '<', '(') as t from documents)")
 def html_tables(spark, sf_dir):
-    own = F.concat(F.lit("<table><thead><tr><th>a</th><th> b </th></tr></thead><tbody><tr><td>"), "doc_id", F.lit("</td><td>y</td></tr></tbody></table>"))
-    return documents(spark, sf_dir).select("doc_id", X.tables(own).alias("text"))
+    """Whole texts as a cell of a table, around it, and before a table that never ends."""
+    own = F.replace(F.coalesce("text", F.lit("")), F.lit("<"), F.lit("("))
+    cell = F.replace(own, F.lit("&"), F.lit("&amp;"))
+    html = F.concat(F.lit("<p>"), own, F.lit("</p><table><thead><tr><th>a</th><th> b </th></tr></thead><tbody><tr><td>"), cell, F.lit("</td><td>y</td></tr></tbody></table>"), own, F.lit("<table border=1>"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(X.tables(html)).alias("digest"))
 
 
-@query("select doc_id, 'h' || doc_id as head, 'r' as relation, 't' as tail from documents")
+@query()
+def html_pages(spark, sf_dir):
+    """Whole pages, as they are; tested against a loop."""
+    return _read(spark, sf_dir, "pages").select("page_id", F.md5(X.tables(F.col("html"))).alias("digest"))
+
+
+@query("""select doc_id, md5(t) as digest, r as relation, o as tail from (select doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') as t from documents), (values ('r', 'True'), ('q', '7')) x(r, o) where t <> ''""")
 def json_extract(spark, sf_dir):
-    own = F.concat(F.lit('Sure: {"r": [{"subject": " h'), "doc_id", F.lit('", "object": "t"}, {"subject": ""}, 3], "q": 1} done'))
-    return documents(spark, sf_dir).select("doc_id", F.explode(extract.parse_responses(own)).alias("t")).select("doc_id", "t.*")
+    """The whole text is a subject, and stands before and after the JSON, which has items and relations that are none."""
+    text = F.coalesce("text", F.lit(""))
+    subject = F.to_json(F.struct(text.alias("subject")))
+    item = lambda tail: F.concat(F.left(subject, F.length(subject) - 1), F.lit(f', "object": {tail}}}'))
+    beside = F.translate(text, "{}", "  ")
+    told = F.concat(beside, F.lit('{"r": 1, "r": [3, {"subject": " "}, '), item("true"), F.lit('], "q": ['), item("7"), F.lit(', ["x"]], "n": null, "": ['), item('"x"'), F.lit("]}"), beside)
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(extract.parsed(told)).alias("t"))
+    return rows.select("doc_id", F.md5("t.head").alias("digest"), "t.relation", "t.tail")
 
 
-# Whole texts around the markers; the queries above keep what their SQL fixes. No SQL: regular expressions with look-behind or Python's meaning.
+@query()
+def clean_composite(spark, sf_dir):
+    return pipelines.cleaned(documents(spark, sf_dir)).select("doc_id", F.md5("text").alias("digest"), F.round("reduction", 6).alias("reduction"))
 
 
-def _around(spark: SparkSession, sf_dir: str, *markers: str) -> DataFrame:
-    """doc_id, text: the text before, between and after the markers."""
-    parts = [F.coalesce("text", F.lit(""))] + [x for m in markers for x in (F.lit(m), F.coalesce("text", F.lit("")))]
-    return documents(spark, sf_dir).select("doc_id", F.concat(*parts).alias("text"))
+WORDS = ("the", "of", "and", "der", "de")
+#: (\\w+) name (\\w+) in every chunk for every relation, four relations a prompt; of equal triples the first.
+FOUND_SQL = CHUNK_SQL.strip() + r""", n as (select doc_id, cast(place // 150 as int) as chunk_no, regexp_replace(substr(t, cast(place + 1 as int), 150), '^\s+|\s+$', '', 'g') as chunk from u),
+m as (""" + " union all ".join(f"select doc_id, chunk_no, {i // 4} as batch_no, {i} as i, '{w}' as name, " + ", ".join(rf"regexp_extract_all(chunk, '([\p{{L}}\p{{N}}_]+)\s*{w}\s*([\p{{L}}\p{{N}}_]+)', {g}) as {c}" for g, c in ((1, "hs"), (2, "ts"))) + " from n" for i, w in enumerate(WORDS)) + r"""),
+e as (select doc_id, chunk_no, batch_no, i, name as relation, unnest(hs) as head, unnest(ts) as tail, unnest(range(len(hs))) as k from m),
+o as (select *, row_number() over (partition by doc_id, chunk_no, batch_no order by i, k) - 1 as item_no from e),
+f as (select head, relation, tail, doc_id, chunk_no, batch_no, item_no from (select *, row_number() over (partition by head, relation, tail order by doc_id, chunk_no, batch_no, item_no) as nth from o) where nth = 1)
+"""
 
 
-@query()
-def image_references_whole(spark, sf_dir):
-    return _around(spark, sf_dir, " ![abc](u) ![", "](u) ![IMG](x) ").select("doc_id", F.md5(X.image_references(F.col("text"))).alias("digest"))
+def words(spark: SparkSession) -> DataFrame:
+    """Relations that are words of the texts; the first two exclude each other, the last is symmetric."""
+    rows = [(i, w, "", [], [], i == 4, [WORDS[1 - i]] if i < 2 else []) for i, w in enumerate(WORDS)]
+    return spark.createDataFrame(rows, "idx int, name string, description string, head_types array<string>, tail_types array<string>, is_symmetric boolean, mutex_with array<string>")
 
 
-@query()
-def page_markers_whole(spark, sf_dir):
-    return _around(spark, sf_dir, "\n第 7 页\n", "\nPAGE 4\n5 / 6\n<page_footer>", "</page_footer>\n").select("doc_id", F.md5(X.page_markers(F.col("text"))).alias("digest"))
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.extracted(documents(spark, sf_dir), words(spark), extract.PatternExtractor)
 
 
-@query()
-def citation_strip_whole(spark, sf_dir):
-    return _around(spark, sf_dir, " [1,2] a[1] <sup>[2-3]</sup> [4]b ").select("doc_id", F.md5(X.citation_markers(F.col("text"))).alias("digest"))
+@query(FOUND_SQL + "select head, relation, tail, cast(doc_id as varchar) as source, 'oneke_deepke_pipeline' as method, chunk_no, batch_no, item_no from f")
+def end_to_end(spark, sf_dir):
+    """M7: whole documents to triples with the default extractor."""
+    return found(spark, sf_dir).select("head", "relation", "tail", "source", "method", "ord.chunk_no", "ord.batch_no", "ord.item_no")
 
 
-@query()
-def chapter_split_whole(spark, sf_dir):
-    rows = segment.chapters(_around(spark, sf_dir, "\n# Chapter 1 x\n", "\n## 第2章 y\n"))
-    return rows.select("doc_id", "chapter_no", "title", F.md5("content").alias("digest"))
+@query(FOUND_SQL + """, bad as (select head, tail from f where relation in ('the', 'of') group by head, tail having count(distinct relation) = 2)
+select head, relation, tail, source from (select f.head, f.relation, f.tail, cast(doc_id as varchar) as source, bad.head is null as fine, row_number() over (partition by f.head, f.tail order by relation) as nth from f left join bad on f.head = bad.head and f.tail = bad.tail) where fine or nth = 1""")
+def end_to_end_mutex(spark, sf_dir):
+    """Conflicts between facts of one answer count."""
+    return rules.resolve_mutex(found(spark, sf_dir), metrics.mutex_of(words(spark))).select("head", "relation", "tail", "source")
 
 
-@query()
-def section_skip_whole(spark, sf_dir):
-    return _around(spark, sf_dir, "\n# 声 明\n", "\n## 个人简历\n", "\n# 摘 要\n").select("doc_id", F.md5(X.skipped_sections(F.col("text"))).alias("digest"))
+@query(FOUND_SQL + """, inv as (select tail as head, relation, head as tail, doc_id from f where relation = 'de' and not exists (select 1 from f g where g.relation = 'de' and g.head = f.tail and g.tail = f.head)),
+every as (select head, relation, tail, doc_id, 'oneke_deepke_pipeline' as method, chunk_no, batch_no, item_no from f union all select head, relation, tail, doc_id, 'symmetric_completion', 0, 0, 0 from inv),
+bad as (select head, tail from every where relation in ('the', 'of') group by head, tail having count(distinct relation) = 2)
+select head, relation, tail, source, method from (select v.head, v.relation, v.tail, cast(v.doc_id as varchar) as source, v.method, bad.head is null as fine, row_number() over (partition by v.head, v.tail order by relation, method) as nth from every v left join bad on v.head = bad.head and v.tail = bad.tail) where fine or nth = 1""")
+def postprocess_composite(spark, sf_dir):
+    """M8 on extracted triples: symmetric completion, then conflicts."""
+    return pipelines.postprocessed(found(spark, sf_dir), words(spark)).select("head", "relation", "tail", "source", "method")
 
 
-@query()
-def references_cut_whole(spark, sf_dir):
-    return _around(spark, sf_dir, "\n## References\n", "\n## reference\n").select("doc_id", F.md5(X.references(F.col("text"))).alias("digest"))
+def entity_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events between entities e0 to e499, which have vectors where the table of vectors has that many."""
+    name = lambda c: F.concat(F.lit(" e"), c, F.lit(" "))
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return _read(spark, sf_dir, "events").select(name(F.col("user_id") % 500).alias("head"), F.col("event_type").alias("relation"), name((F.col("event_id") * 7 + k) % 500).alias("tail"), F.lit("events").alias("source"), F.lit("raw").alias("method"), F.col("event_id").alias("ord"))
 
 
-@query()
-def html_tables_whole(spark, sf_dir):
-    """Whole pages, as they are."""
-    return _read(spark, sf_dir, "pages").select("page_id", F.md5(X.tables(F.col("html"))).alias("digest"))
+@query(CANON_SQL + """, t as (select 'e' || (user_id % 500) as head, event_type as relation, 'e' || ((event_id * 7 + cast(props ->> '$.k' as bigint)) % 500) as tail, event_id as ord from events where event_type in (select name from schema_))
+select coalesce(h.canonical, head) as head, relation, coalesce(l.canonical, tail) as tail, 'normalized' as method, min(ord) as ord from t left join names h on h.entity = head left join names l on l.entity = tail group by 1, 2, 3""")
+def normalize_composite(spark, sf_dir):
+    """Names trimmed, resolved by their vectors, filtered by the schema, deduplicated."""
+    own, _ = pipelines.normalized(entity_triples(spark, sf_dir), named_vectors(spark, sf_dir), SIMILAR, relations(spark))
+    return own.select("head", "relation", "tail", "method", "ord")
 
 
-@query()
-def json_extract_whole(spark, sf_dir):
-    """The whole text is a subject, and stands before and after the JSON where it has no braces of its own."""
-    text = F.coalesce("text", F.lit(""))
-    told = F.to_json(F.create_map(F.lit("r"), F.array(F.struct(text.alias("subject"), F.lit("t").alias("object")))))
-    beside = F.regexp_replace(text, r"[{}]", " ")
-    rows = documents(spark, sf_dir).select("doc_id", F.explode(extract.parse_responses(F.concat(beside, told, beside))).alias("t"))
-    return rows.select("doc_id", F.md5("t.head").alias("digest"), "t.relation", "t.tail")
+@query(CANON_SQL + """, m as (select canonical, count(*) as n_members, list(entity order by entity) filter (entity <> canonical) as members from names group by canonical having count(*) > 1) select canonical, n_members, array_to_string(members, ',') as members from m order by n_members desc, canonical""")
+def merge_log(spark, sf_dir):
+    """Members of merged clusters, largest first."""
+    return resolve.merge_log(_names(spark, sf_dir)).select("canonical", "n_members", F.array_join("members.name", ",").alias("members"))
 
 
-@query()
-def clean_composite(spark, sf_dir):
-    return pipelines.cleaned(documents(spark, sf_dir)).select("doc_id", F.md5("text").alias("digest"), F.round("reduction", 6).alias("reduction"))
+@query("select relation, n, cast(sum(n) over () as bigint) as n_all, (select string_agg(name, ',' order by name) from schema_ where name not in (select relation from triples where relation <> 'view')) as unused from (select relation, count(*) as n from triples where relation <> 'view' group by relation)")
+def relation_distribution(spark, sf_dir):
+    """The distribution and the unused names of the report, a row a relation."""
+    r = metrics.relation_report(triples(spark, sf_dir).where("relation <> 'view'"), relations(spark))
+    n = F.aggregate("distribution", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    return r.select(F.array_join("unused", ",").alias("unused"), n.alias("n_all"), F.inline("distribution"))
 
 
-@query()
-def end_to_end(spark, sf_dir):
-    """Documents to triples with the default extractor over relations that are words of the texts."""
-    rel = spark.createDataFrame([(0, "the", "", False, []), (1, "of", "", False, []), (2, "and", "", False, []), (3, "der", "", False, []), (4, "de", "", True, [])], "idx int, name string, description string, is_symmetric boolean, mutex_with array<string>")
-    return pipelines.extracted(documents(spark, sf_dir), rel, extract.PatternExtractor)
+@query("select 'part ' || (event_id % 7) as source, count(*) as n_triples from events group by 1")
+def mentions_by_source(spark, sf_dir):
+    """Triples of each source, repeated ones included."""
+    return graph.source_mentions(triples(spark, sf_dir).withColumn("source", F.concat(F.lit("part "), F.col("ord") % 7)))
+
+
+@query(r"""select doc_id, 'doc' || doc_id || '_chapter01_' || replace(trim(left(regexp_replace(t, '[^\p{L}\p{N}_\s-]', '', 'g'), 50), ' '), ' ', '_') || '.md' as file, md5('# ' || t || chr(10) || chr(10) || x) as digest
+from (select doc_id, translate(coalesce(text, ''), '#*', '  ') as x, '# 第1章 ' || regexp_replace(left(translate(coalesce(text, ''), '#*' || chr(10), '   '), 80), '\s+$', '') as t from documents)""")
+def chapter_files(spark, sf_dir):
+    """A heading of a title of 80 characters over the whole text; the file's name and its content."""
+    own = F.translate(F.coalesce("text", F.lit("")), "#*", "  ")
+    head = F.left(F.translate(F.coalesce("text", F.lit("")), "#*\n", "   "), F.lit(80))
+    docs = documents(spark, sf_dir).select(F.concat(F.lit("doc"), "doc_id").alias("doc_id"), F.concat(F.lit("# 第1章 "), head, F.lit("\n"), own).alias("text"))
+    return segment.chapter_files(segment.chapters(docs)).select(F.substring("doc_id", 4, 20).cast("bigint").alias("doc_id"), "file", F.md5("text").alias("digest"))
+
+
+KEYWORDS = ("\n**关键词：**  ", "\n关键词: ", "\n**KEYWORD:** ", "\nkeywords：")
+
+
+@query(_around_sql(*KEYWORDS) + r"select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\*\*关键词[：:]\*\*\s*', '', 'g'), '(?m)^关键词[：:]\s*', '', 'g'), '(?mi)^\*\*Keywords?[：:]\*\*\s*', '', 'g'), '(?mi)^Keywords?[：:]\s*', '', 'g')) as digest from d")
+def keyword_labels(spark, sf_dir):
+    """P9."""
+    return _around(spark, sf_dir, *KEYWORDS).select("doc_id", F.md5(X.keyword_labels(F.col("text"))).alias("digest"))
+
+
+CAPTIONS = ("\n图 1：", "\n表2: ", "\nFig. 3: ", "\nTABLE 4：")
+
+
+@query(_around_sql(*CAPTIONS) + r"select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^图\s*\d+[：:].+$', '', 'g'), '(?m)^表\s*\d+[：:].+$', '', 'g'), '(?mi)^Fig\.?\s*\d+[：:].+$', '', 'g'), '(?mi)^Table\s+\d+[：:].+$', '', 'g')) as digest from d")
+def captions(spark, sf_dir):
+    """P12."""
+    return _around(spark, sf_dir, *CAPTIONS).select("doc_id", F.md5(X.captions(F.col("text"))).alias("digest"))
+
+
+@query("select doc_id, md5(case when doc_id % 2 = 0 then 'answer' else 'x' || coalesce(text, '') || 'answer' end) as digest from documents")
+def prompt_echo(spark, sf_dir):
+    """The whole text is the prompt, which half of the answers repeat."""
+    prompt = F.coalesce("text", F.lit(""))
+    answer = F.concat(F.when(F.col("doc_id") % 2 == 0, "").otherwise("x"), prompt, F.lit("answer"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(X.without_echo(answer, prompt)).alias("digest"))
+
+
+@query("select doc_id, round((1 - len(regexp_replace(text, '\\s+', '', 'g')) / nullif(len(text), 0)) * 100, 6) as reduction from documents")
+def compression(spark, sf_dir):
+    """What white space takes of each whole text."""
+    return documents(spark, sf_dir).select("doc_id", F.round(X.reduction(F.length("text"), F.length(F.regexp_replace("text", r"\s+", ""))), 6).alias("reduction"))
+
+
+@query("select batch_no, string_agg(name, ',' order by i) as names, string_agg(name || case when i = 1 then ' told' else '' end, ',' order by i) as descriptions from (select *, i // 4 as batch_no from (values (0, 'the'), (1, 'of'), (2, 'and'), (3, 'der'), (4, 'de')) r(i, name)) group by batch_no")
+def schema_batches(spark, sf_dir):
+    """Batches of four relations; a blank description is the name."""
+    own = words(spark).withColumn("description", F.when(F.col("idx") == 1, "of told").otherwise(" "))
+    return extract.schema_batches(own).select("batch_no", F.array_join("names", ",").alias("names"), F.array_join("descriptions", ",").alias("descriptions"))
+
+
+@query(CHUNK_SQL + "select b as batch_no, count(*) as n_prompts, cast(sum(len(chunk)) as bigint) as n_chars from x, range(2) r(b) group by b")
+def chunk_prompts(spark, sf_dir):
+    """Every chunk of every whole text meets both batches."""
+    met = extract.prompts(segment.chunks(documents(spark, sf_dir)), extract.schema_batches(words(spark)))
+    return met.groupBy("batch_no").agg(F.count("*").alias("n_prompts"), F.sum(F.length("chunk").cast("bigint")).alias("n_chars"))
+
+
+@query(", c as (select l.* from (values (0, 'region'), (1, 'nation')) l(idx, name)) select idx as type_idx, name as type, text from (select idx, name, name as text from c union all select 0, 'region', 'region: ' || left(string_agg(r_name, ' ' order by r_regionkey), 80) from region union all select 0, 'region', r_name from region union all select 1, 'nation', n_name from nation)")
+def type_prototypes(spark, sf_dir):
+    """The names, a description cut at 80 characters, and examples."""
+    told = lambda t, k, n: _read(spark, sf_dir, t).agg(F.transform(F.array_sort(F.collect_list(F.struct(k, n))), lambda x: x[n]).alias("examples"))
+    own = told("region", "r_regionkey", "r_name").select(F.lit(0).alias("idx"), F.lit("region").alias("name"), F.array_join("examples", " ").alias("description"), "examples")
+    own = own.union(told("nation", "n_nationkey", "n_name").select(F.lit(1), F.lit("nation"), F.lit(""), "examples"))
+    return entity_types.prototypes(own)
+
+
+@query("select head, relation, tail, '' as head_type, 0.0 as head_type_score, source, case when ord % 2 = 0 then 'raw' else '' end as method, ord from triples")
+def triple_defaults(spark, sf_dir):
+    """P29."""
+    own = triples(spark, sf_dir).withColumn("method", F.when(F.col("ord") % 2 == 0, F.col("method"))).withColumn("head_type", F.lit(None).cast("string")).withColumn("head_type_score", F.lit(None).cast("double"))
+    return T.with_defaults(own)
+
+
+@query("select event_id from events where event_id % 3 <> 0")
+def not_done(spark, sf_dir):
+    """J15, S12."""
+    own = _read(spark, sf_dir, "events").select("event_id")
+    return io.without_done(own, own.where("event_id % 3 = 0"), "event_id")
+
+
+@query(EVAL_SQL + """, a as (select 2.0 * rc / (rp + rg) * 100 as acc, sv, rcov from s)
+select list_sum(list_transform([acc < 70, sv > 0, rcov < 0.5], lambda x: cast(x as int))) as n_told, coalesce(case when sv > 0 then '存在' || sv || '个Schema违规，建议检查抽取逻辑' end, '') as told from a""")
+def advice(spark, sf_dir):
+    """How many pieces of advice the metrics give, and the one on the schema."""
+    p, g = pred_gold(spark, sf_dir)
+    m = metrics.evaluation(p, gold_entities(g), g, relations(spark))
+    told = metrics.suggestions(F.col("accuracy.relation.f1") * 100, F.lit(0), F.col("consistency.schema_violations"), F.col("completeness.relation_coverage"), F.col("completeness.isolated_entities_rate"))
+    own = m.select(told.alias("told"))
+    return own.select(F.size("told").cast("bigint").alias("n_told"), F.coalesce(F.get(F.filter("told", lambda x: F.contains(x, F.lit("Schema违规"))), F.lit(0)), F.lit("")).alias("told"))
 
 
 @query("select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as sim from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")

@@ -1,4 +1,4 @@
-"""Text reports on one-row metrics."""
+"""Text reports on one-row metrics (S18, S19, S21, S22). The wording of titles and lines is fixed values."""
 
 from __future__ import annotations
 

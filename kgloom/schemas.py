@@ -23,4 +23,3 @@ ENTITY_TYPE = _struct(name=_S, description=_S, examples=T.ArrayType(_S))
 TRUTH = _struct(entities=T.ArrayType(_S), relations=T.ArrayType(FACT))
 ENTITY_LABEL = _struct(entity=_S, is_correct=T.BooleanType(), comment=_S)
 RELATION_LABEL = _struct(head=_S, relation=_S, tail=_S, is_correct=T.BooleanType(), comment=_S)
-EXTRACTED = T.ArrayType(FACT)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +53,10 @@ def stem(path: Column) -> Column:
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (the file's stem), path, text of a folder's Markdown files or of one file; a missing path raises."""
+    """doc_id (the file's stem), path, text of a folder's Markdown files or of one file; a missing path raises.
+
+    Empty files give no rows. Rows come in no order; whoever credits facts to files (pipelines.extracted) orders by the files' names.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path)
     return files.select(stem(F.col("path")).alias("doc_id"), "path", decoded(F.col("content")).alias("text"))
 
@@ -57,14 +66,32 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.select("doc_id", "text").write.mode("overwrite").parquet(path)
 
 
-def export_text(docs: DataFrame, path: str) -> None:
-    """S8's export: a folder of text for each doc_id."""
-    docs.select("doc_id", "text").write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\n").text(path)
+def write_files(rows: DataFrame, folder: str) -> int:
+    """A file of UTF-8 text for each row (file, text) under its own name; how many were written.
+
+    Tasks write under names of their attempt and move what is complete, so a repeated task leaves no half file. Of rows of one name one is left.
+    Folders are any that pyarrow.fs opens, one that all executors share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _opened(folder)
+        attempt, n = TaskContext.get().taskAttemptId(), 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = f"{root}/.{name}.{attempt}"
+                with fs.open_output_stream(own) as out:
+                    out.write((text or "").encode("utf-8", "surrogatepass"))
+                fs.move(own, f"{root}/{name}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    fs, root = _opened(folder)
+    fs.create_dir(root, recursive=True)
+    return rows.select("file", "text").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def write_sentences(rows: DataFrame, path: str) -> None:
-    """One sentence a line."""
-    rows.select("sentence").write.mode("overwrite").text(path)
+def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
 
 
 def without_done(sources: DataFrame, done: DataFrame, *keys: str) -> DataFrame:

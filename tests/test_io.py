@@ -81,3 +81,19 @@ def test_streams(spark, tmp_path):
 def test_encoder(spark):
     got = extract.encode(spark.createDataFrame([("ab",), (None,)], "text string"), extract.GramEncoder).select(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")).alias("n")).collect()
     assert sorted(round(r.n, 3) for r in got) == [0.0, 1.0]
+
+
+def test_preprocess_writes_files(spark, tmp_path):
+    from kgloom.plans import pipelines
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "文 a.md").write_text("# 第1章 t/x\nbody one is here。next sentence\n", encoding="utf-8")
+    (tmp_path / "in" / "b.md").write_text("x", encoding="utf-8")
+    assert pipelines.preprocess(spark, str(tmp_path / "in"), str(tmp_path / "out")) == 2
+    assert {p.name: p.read_text(encoding="utf-8") for p in (tmp_path / "out").iterdir()} == {"文 a.md": "# 第1章 t/x\nbody one is here。next sentence\n", "b.md": "x"}
+    assert pipelines.preprocess(spark, str(tmp_path / "in"), str(tmp_path / "c"), split_chapters=True) == 2
+    assert {p.name for p in (tmp_path / "c").iterdir()} == {"文 a_chapter01_第1章_tx.md", "b_chapter01_全文.md"}
+    pipelines.preprocess(spark, str(tmp_path / "in"), str(tmp_path / "s"), sentence_mode=True)
+    assert (tmp_path / "s" / "文 a_sentences.txt").read_text(encoding="utf-8") == "# 第1章 t/x\nbody one is here\nnext sentence"
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        pipelines.preprocess(spark, str(tmp_path / "none"), str(tmp_path / "x"))

@@ -46,7 +46,7 @@ def skip_model(text):
 
 def test_sections_like_a_loop(spark):
     rnd = random.Random(6)
-    parts = ["# 声 明", "**声明**", "## 个人简历", "# 摘 要", "# abstract", "# 第2章 x", "# 第 1 章", "text", "", "**个人简历x**", "# 标题", "声明"]
+    parts = ["#", "# ", "##\t", "# 第", "# 声 明", "**声明**", "## 个人简历", "# 摘 要", "# abstract", "# 第2章 x", "# 第 1 章", "text", "", "**个人简历x**", "# 标题", "声明"]
     texts = ["\n".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))) for _ in range(500)]
     assert one(spark, X.skipped_sections, *texts) == [skip_model(t) for t in texts]
 
@@ -128,6 +128,13 @@ def test_chapters(spark):
     assert files.file == "1_chapter01_第1章_x.md" and files.text == "# # 第1章 x\n\na\nb"
 
 
+def test_words_stand_for_patterns(spark):
+    """What a group of patterns changes holds one of its words, so texts without them need not be looked at: cases of letters included."""
+    texts = ["ıſbn 123-4", "Iſbn 12", "ISBN 5", "doı: 10", "DOİ: 1", "^DOI：x", "LOGO", "x@y.COM", "第 3 页", "12 / 13", "HTTP://x", "plain", "", None]
+    for words, table, f in ((X.METADATA_WORDS, X.METADATA, X.metadata), (("作者", "联系人", "@"), X.AUTHOR, X.author_info), (("http", "doi"), X.LINKS, X.links)):
+        assert one(spark, f, *texts) == one(spark, lambda c, t=table: X.sub_all(c, t), *texts), words
+
+
 def test_clean_composite(spark):
     text = "# 标题\n作者：甲\n\n\n见[1] <table><tr><td>v</td></tr></table>\n---\nend\n# 参考文献\nx"
     assert one(spark, X.clean, text) == ["# 标题\n\n见[1] | v |\nend"]

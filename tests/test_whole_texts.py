@@ -1,7 +1,6 @@
 """Queries over whole texts, against loops with Python's own regular expressions over a fixture and the smallest tables."""
 
 import hashlib
-import json
 import re
 
 import pyarrow.parquet as pq
@@ -39,11 +38,6 @@ def sections(t):
     return "\n".join(out)
 
 
-def references(t):
-    """Neither table nor fixture has a heading of level 1 of this kind: all goes from the last of level 2 on."""
-    return t[: [m.start() for m in re.finditer(r"\n## References?\s*\n", t, re.I)][-1]]
-
-
 def chapters(t):
     out = []
     for line in t.split("\n"):
@@ -68,24 +62,24 @@ def folder(request, spark, tmp_path_factory):
 def test_whole_texts_like_loops(spark, folder):
     t = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
     docs = {k: v or "" for k, v in zip(t["doc_id"], t["text"])}
+    plain = lambda t: t.replace("#", " ").replace("*", " ")
     cases = {
-        "image_references_whole": (images, [" ![abc](u) ![", "](u) ![IMG](x) "]),
-        "page_markers_whole": (lambda t: deleted(X.PAGE_MARKERS, t), ["\n第 7 页\n", "\nPAGE 4\n5 / 6\n<page_footer>", "</page_footer>\n"]),
-        "citation_strip_whole": (lambda t: re.sub(r"<sup>(\[[\d,\-\s]+\])</sup>", r"\1", deleted(X.CITATIONS, t)), [" [1,2] a[1] <sup>[2-3]</sup> [4]b "]),
-        "section_skip_whole": (sections, ["\n# 声 明\n", "\n## 个人简历\n", "\n# 摘 要\n"]),
-        "references_cut_whole": (references, ["\n## References\n", "\n## reference\n"]),
+        "image_references": (images, Q.IMAGES, str),
+        "page_markers": (lambda t: deleted(X.PAGE_MARKERS, t), Q.PAGES, str),
+        "citation_strip": (lambda t: re.sub(r"<sup>(\[[\d,\-\s]+\])</sup>", r"\1", deleted(X.CITATIONS, t)), [Q.CITED], str),
+        "keyword_labels": (lambda t: deleted(X.KEYWORD_LABELS, t), Q.KEYWORDS, str),
+        "captions": (lambda t: deleted(X.CAPTIONS, t), Q.CAPTIONS, str),
+        "section_skip": (sections, Q.SECTIONS, plain),
     }
     around = lambda t, markers: t + "".join(m + t for m in markers)
-    for name, (model, markers) in cases.items():
+    for name, (model, markers, own) in cases.items():
         got = {r.doc_id: r.digest for r in Q.QUERIES[name](spark, folder).collect()}
-        assert got == {k: md5(model(around(v, markers))) for k, v in docs.items()}, name
+        assert got == {k: md5(model(around(own(v), markers))) for k, v in docs.items()}, name
     got = {}
-    for r in sorted(Q.QUERIES["chapter_split_whole"](spark, folder).collect(), key=lambda r: (r.doc_id, r.chapter_no)):
+    for r in sorted(Q.QUERIES["chapter_split"](spark, folder).collect(), key=lambda r: (r.doc_id, r.chapter_no)):
         got.setdefault(r.doc_id, []).append((r.chapter_no, r.title, r.digest))
-    assert got == {k: chapters(around(v, ["\n# Chapter 1 x\n", "\n## 第2章 y\n"])) for k, v in docs.items()}
-    got = {(r.doc_id, r.digest, r.relation, r.tail) for r in Q.QUERIES["json_extract_whole"](spark, folder).collect()}
-    assert got == {(k, md5(json.loads(json.dumps(v)).strip()), "r", "t") for k, v in docs.items() if v.strip()}
+    assert got == {k: chapters(around(plain(v), Q.CHAPTERS)) for k, v in docs.items()}
     t = pq.read_table(f"{folder}/pages.parquet", columns=["page_id", "html"]).to_pydict()
-    got = {r.page_id: r.digest for r in Q.QUERIES["html_tables_whole"](spark, folder).collect()}
+    got = {r.page_id: r.digest for r in Q.QUERIES["html_pages"](spark, folder).collect()}
     tables = lambda h: re.sub(r"<table.*?(</table>|\Z)", lambda m: X.table_to_markdown(m[0]) if m[1] else m[0].replace("<table", ""), h, flags=re.S)
     assert got == {k: md5(tables(h)) for k, h in zip(t["page_id"], t["html"])}
