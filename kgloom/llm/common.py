@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +37,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_own: ContextVar[list[DataFrame] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """The tables that are written within are deleted when it ends, but those that are written to be kept."""
+    tables: list[DataFrame] = []
+    token = _own.set(tables)
+    try:
+        yield
+    finally:
+        _own.reset(token)
+        discard(*tables)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends here, and lost executors lose nothing.
 
-    The shuffle files of the job are dropped when it is done, for nothing reads them again.
+    The shuffle files of the job are dropped when it is done, for nothing reads them again. keep: an operator's result reads the table, so it
+    stays when the operator's scratch ends.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
@@ -50,6 +68,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    if not keep and (own := _own.get()) is not None:
+        own.append(out)
     return out
 
 
@@ -96,7 +116,7 @@ def one_row_each(named: DataFrame, prints: DataFrame, stay: DataFrame) -> DataFr
     """
     same = (F.col("__k1") == F.col("s1")) & (F.col("__k2") == F.col("s2"))
     verdicts = prints.join(stay, "fp").groupBy("__k1", "__k2").agg(F.count("*").alias("n"), F.max(same).alias("stays")).where("not stays or n > 1")
-    verdicts = written(verdicts, "verdicts")
+    verdicts = written(verdicts, "verdicts", keep=True)
     joined = named.select("__row", "__k1", "__k2").join(verdicts, ["__k1", "__k2"], "left")
     out = joined.where("stays is null").select("__row")
     if not verdicts.where("stays").isEmpty():

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import row_key, written
+from kgloom.llm.common import row_key, scratch, written
 
 LANES, PIECE, MODULUS = 64, 16, 1 << 32
 
@@ -84,16 +84,17 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     keyed = rows.select("__id", "__text", *row_key(F.col("__id"), F.col("__text")))
     unique = keyed.groupBy("__k1", "__k2").agg(F.first("__id").alias("__id"), F.first("__text").alias("__text"))
-    sizes = written(keyed.select("__id", "__k1", "__k2", F.length("__text").alias("__n")).groupBy("__k1", "__k2").agg(F.first("__id").alias("__id"), F.first("__n").alias("__n")), "sizes")
-    after = written(successors(sizes).join(sizes.select("__k1", "__k2", "__n"), ["__k1", "__k2"]), "successors")
-    before = after.select(F.col("__n1").alias("__k1"), F.col("__n2").alias("__k2"), F.col("__k1").alias("__p1"), F.col("__k2").alias("__p2"), F.floor(F.col("__n") / 2).cast("int").alias("__half"))
-    heads = unique.join(before, ["__k1", "__k2"]).select(F.col("__p1").alias("__k1"), F.col("__p2").alias("__k2"), F.expr("left(__text, __half)").alias("__more"))
-    joined = unique.join(after, ["__k1", "__k2"]).join(heads, ["__k1", "__k2"])
-    edited = joined.select("__k1", "__k2", "__n1", "__n2", "__n", "__text", F.concat(F.expr("left(__text, __n - cast(floor(__n / 2) as int))"), F.col("__more")).alias("__edited"))
-    texts = edited.select("__k1", "__k2", "__n1", "__n2", "__n", F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("__text").alias("t")), F.struct(F.lit(True).alias("e"), F.col("__edited").alias("t")))).alias("__v"))
-    flat = texts.select("__k1", "__k2", "__n1", "__n2", "__n", "edited_sha256", F.col("__v.e").alias("__edit"), F.col("__v.t").alias("__t"))
-    sums = lane_sums(flat, ["__k1", "__k2", "__n1", "__n2", "__n", "edited_sha256", "__edit"], "__t")
-    prints = written(sums.groupBy("__k1", "__k2", "__n1", "__n2", "__n", "edited_sha256").agg(F.max(F.when(~F.col("__edit"), F.col("lanes"))).alias("own"), F.max(F.when(F.col("__edit"), F.col("lanes"))).alias("other")), "prints")
+    with scratch():
+        sizes = written(keyed.select("__id", "__k1", "__k2", F.length("__text").alias("__n")).groupBy("__k1", "__k2").agg(F.first("__id").alias("__id"), F.first("__n").alias("__n")), "sizes")
+        after = written(successors(sizes).join(sizes.select("__k1", "__k2", "__n"), ["__k1", "__k2"]), "successors")
+        before = after.select(F.col("__n1").alias("__k1"), F.col("__n2").alias("__k2"), F.col("__k1").alias("__p1"), F.col("__k2").alias("__p2"), F.floor(F.col("__n") / 2).cast("int").alias("__half"))
+        heads = unique.join(before, ["__k1", "__k2"]).select(F.col("__p1").alias("__k1"), F.col("__p2").alias("__k2"), F.expr("left(__text, __half)").alias("__more"))
+        joined = unique.join(after, ["__k1", "__k2"]).join(heads, ["__k1", "__k2"])
+        edited = joined.select("__k1", "__k2", "__n1", "__n2", "__n", "__text", F.concat(F.expr("left(__text, __n - cast(floor(__n / 2) as int))"), F.col("__more")).alias("__edited"))
+        texts = edited.select("__k1", "__k2", "__n1", "__n2", "__n", F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("__text").alias("t")), F.struct(F.lit(True).alias("e"), F.col("__edited").alias("t")))).alias("__v"))
+        flat = texts.select("__k1", "__k2", "__n1", "__n2", "__n", "edited_sha256", F.col("__v.e").alias("__edit"), F.col("__v.t").alias("__t"))
+        sums = lane_sums(flat, ["__k1", "__k2", "__n1", "__n2", "__n", "edited_sha256", "__edit"], "__t")
+        prints = written(sums.groupBy("__k1", "__k2", "__n1", "__n2", "__n", "edited_sha256").agg(F.max(F.when(~F.col("__edit"), F.col("lanes"))).alias("own"), F.max(F.when(F.col("__edit"), F.col("lanes"))).alias("other")), "prints", keep=True)
     nexts = prints.select(F.col("__k1").alias("__n1"), F.col("__k2").alias("__n2"), F.col("own").alias("next"))
     near = prints.join(nexts, ["__n1", "__n2"]).select("__k1", "__k2", F.col("__n").cast("bigint").alias("n_chars"), "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
     return keyed.select("__id", "__k1", "__k2").join(near, ["__k1", "__k2"]).select(F.col("__id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

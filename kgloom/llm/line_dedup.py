@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import row_key, written
+from kgloom.llm.common import row_key, scratch, written
 
 #: A line on more than this share of a host's pages, and on so many of them at least, is boilerplate.
 RATIO, LEAST_PAGES = 0.03, 3
@@ -45,10 +45,11 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     if counts and (clash := {c.lower() for c in counts} & {c.lower() for c in pages.columns}):
         raise ValueError(f"pages already have {sorted(clash)}")
     own = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("__row"), F.col(f"`{host_col}`").cast("string").alias("__host"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    often = boilerplate(own.select("__host", "__text"), ratio, least_pages)
     keyed = own.select("__row", "__host", "__text", *row_key(F.col("__host"), F.col("__text")))
     places = keyed.select("__host", "__k1", "__k2", F.posexplode(_lines("__text")).alias("__at", "__line")).select("__k1", "__k2", "__at", *_line_key("__host", F.col("__line")))
-    drops = written(places.join(often, ["__l1", "__l2"], "left_semi").groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("__at")).alias("__drop")), "drops")
+    with scratch():
+        often = boilerplate(own.select("__host", "__text"), ratio, least_pages)
+        drops = written(places.join(often, ["__l1", "__l2"], "left_semi").groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("__at")).alias("__drop")), "drops", keep=True)
     joined = keyed.join(drops.hint("merge"), ["__k1", "__k2"], "left")
     # a flag for each line up to the last that goes, laid beside the lines: one pass, however many go
     gap = lambda at, i: at - F.coalesce(F.get("__drop", i - 1), F.lit(-1)) - 1

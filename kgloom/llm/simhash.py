@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import named_rows, one_row_each, written
+from kgloom.llm.common import named_rows, one_row_each, scratch, written
 from kgloom.llm.graph import components
 
 #: Generator polynomial of the Golay code (fixed value): x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -141,14 +141,15 @@ def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text
     id is never the smallest (the component of null ids only is null). Repeated rows give repeated rows; other columns are
     not read; an empty table gives an empty one.
     """
-    rows = written(fingerprints(docs, width, id_col, text_col), "prints")
-    prints = written(rows.groupBy("fp").agg(F.min("__id").alias("least")), "distinct")
-    roots = written(components(links(prints)), "roots")
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(ids, "root").select("fp", "component_id"), "named")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(named, "fp").select(F.col("__id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    with scratch():
+        rows = written(fingerprints(docs, width, id_col, text_col), "prints", keep=True)
+        prints = written(rows.groupBy("fp").agg(F.min("__id").alias("least")), "distinct")
+        roots = written(components(links(prints)), "roots")
+        rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = written(rooted.join(ids, "root").select("fp", "component_id"), "named", keep=True)
+        hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+        return rows.join(named, "fp").select(F.col("__id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,12 +158,13 @@ def one_of_each(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_co
     Null and empty texts are alike. Of rows alike in id and text one stays, any of them. Column names may be of any kind; an empty
     table gives an empty one.
     """
-    named = named_rows(docs, id_col, text_col)
-    prints = written(fingerprints(named.select(F.struct("__id", "__k1", "__k2").alias("__all"), "__text"), width, "__all", "__text").select("fp", "__id.*"), "prints")
-    best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2")).alias("best")
-    distinct = written(prints.groupBy("fp").agg(best), "distinct")
-    roots = written(components(links(distinct)), "roots")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("best").alias("first"))
-    stay = rooted.select("fp", "root").join(first, "root").select("fp", F.col("first.__k1").alias("s1"), F.col("first.__k2").alias("s2"))
-    return one_row_each(named, prints, stay)
+    with scratch():
+        named = named_rows(docs, id_col, text_col)
+        prints = written(fingerprints(named.select(F.struct("__id", "__k1", "__k2").alias("__all"), "__text"), width, "__all", "__text").select("fp", "__id.*"), "prints")
+        best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2")).alias("best")
+        distinct = written(prints.groupBy("fp").agg(best), "distinct")
+        roots = written(components(links(distinct)), "roots")
+        rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
+        first = rooted.groupBy("root").agg(F.min("best").alias("first"))
+        stay = rooted.select("fp", "root").join(first, "root").select("fp", F.col("first.__k1").alias("s1"), F.col("first.__k2").alias("s2"))
+        return one_row_each(named, prints, stay)

@@ -11,7 +11,7 @@ Matches are found exactly, but no suffix array of the corpus is ever in one plac
    Intervals of rows that share ``l`` bytes give those that share ``l + 1``; intervals of one document are dropped; the expansion stops at
    LENGTH, where each interval gets its smallest id.
 
-What meets goes in packed arrays, a row for each task and partition. A task decides what it can by itself: of what several of its own rows give, it sends one, so
+Texts are joined to what was found about them by shuffles at every size, for that grows with the texts; AQE splits skewed ones. What meets goes in packed arrays, a row for each task and partition. A task decides what it can by itself: of what several of its own rows give, it sends one, so
 that a passage in a third of all documents sends a row from each batch. A gram that more than ``MOST_SEGMENTS`` documents give would
 make a block too large; its windows meet one by one, as chunks do.
 """
@@ -435,7 +435,7 @@ def _removals(rows: DataFrame, length: int, most: int) -> DataFrame:
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     gathered = lambda cuts, name: cuts.groupBy("__k1", "__id").agg(F.collect_list(F.struct("a", "b")).alias(name))
     chunks = written(gathered(exchanged(rows, give_chunks, _decide_later, _CUT, n), "__dead"), "chunks")
-    alive = rows.join(chunks, ["__k1", "__id"], "left").select("__k1", "__id", "__text", "__dead")
+    alive = rows.join(chunks.hint("merge"), ["__k1", "__id"], "left").select("__k1", "__id", "__text", "__dead")
     met = written(exchanged(alive, give_grams, decide_grams, "__k1 bigint, h bigint", n), "met")
     crowded, pairs = met.where("__k1 is null").select("h").distinct(), met.where("__k1 is not null")
     some = not crowded.isEmpty()
@@ -446,12 +446,12 @@ def _removals(rows: DataFrame, length: int, most: int) -> DataFrame:
     wanted = pairs.groupBy("__k1").agg(F.collect_list(F.when(F.col("c").isNull(), F.col("h"))).alias("__h"), F.collect_list(F.when(F.col("c"), F.col("h"))).alias("__crowded"))
     wanted = written(wanted, "wanted")
     discard(met)
-    asked = alive.join(wanted, "__k1")
+    asked = alive.join(wanted.hint("merge"), "__k1")
     cuts = exchanged(asked.select("__k1", "__id", "__text", "__dead", "__h"), give_segments, index_segments, _CUT, n)
     if some:
         cuts = cuts.union(exchanged(asked.select("__k1", "__id", "__text", "__dead", "__crowded"), give_windows, _decide_later, _CUT, n))
     cuts = cuts.union(chunks.select("__k1", "__id", F.inline("__dead")))
-    out = written(gathered(cuts, "__cut"), "cuts")
+    out = written(gathered(cuts, "__cut"), "cuts", keep=True)
     discard(chunks, wanted)
     return out
 
@@ -501,7 +501,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFra
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), number.alias("__id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("__text"))
     keyed = base.withColumn("__k1", F.xxhash64("__id", "__text"))
     cuts = removals(keyed.select("__k1", "__id", "__text"), length)
-    return keyed.join(cuts, ["__k1", "__id"], "left").select("__row", "__text", "__cut")
+    return keyed.join(cuts.hint("merge"), ["__k1", "__id"], "left").select("__row", "__text", "__cut")
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

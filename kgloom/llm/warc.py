@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import new_folder, written
+from kgloom.llm.common import new_folder, scratch, written
 
 # Fixed values of the formats.
 VERSION = b"WARC/1.1"
@@ -213,7 +213,7 @@ def write_warcs(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     fs, root = open_fs(folder)
     fs.create_dir(root, recursive=True)
-    return written(pages.select(id_col, url_col, "__payload", "__refers_to").mapInArrow(run, "path string, records bigint, bytes bigint"), "manifest")
+    return written(pages.select(id_col, url_col, "__payload", "__refers_to").mapInArrow(run, "path string, records bigint, bytes bigint"), "manifest", keep=True)
 
 
 def _page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -270,6 +270,7 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     columns are not read; an empty table gives an empty one.
     """
     spark = pages.sparkSession
-    manifest = write_warcs(with_roles(pages.select(F.col(id_col).cast("bigint").alias(id_col), F.col(url_col).cast("string").alias(url_col), payload_col), id_col, payload_col, least_bytes), new_folder(spark, "warc"), id_col, url_col)
+    with scratch():
+        manifest = write_warcs(with_roles(pages.select(F.col(id_col).cast("bigint").alias(id_col), F.col(url_col).cast("string").alias(url_col), payload_col), id_col, payload_col, least_bytes), new_folder(spark, "warc"), id_col, url_col)
     read = read_warcs(manifest.repartition(max(1, manifest.count())))
     return read.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

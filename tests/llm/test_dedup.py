@@ -197,3 +197,58 @@ def test_fingerprints_add_and_subtract(spark):
     df = spark.createDataFrame([(lanes[1], lanes[2], lanes[3], lanes[4])], "a array<bigint>, b array<bigint>, c array<bigint>, d array<bigint>")
     r = df.select(fingerprints.plus(F.col("a"), F.col("b")).alias("sum"), fingerprints.minus(F.col("c"), F.col("b")).alias("rest"), fingerprints.likeness(F.col("a"), F.col("d")).alias("same")).first()
     assert r.sum == lanes[3] and r.rest == lanes[4] and r.same == 1
+
+
+def lanes_model(text):
+    """The 64 lanes of a text, by the hash's own library."""
+    import struct
+
+    import xxhash
+
+    def h(*values):
+        seed = 42
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<i" if -(1 << 31) <= v < 1 << 31 and not isinstance(v, np.int64) else "<q", v)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+        return seed
+
+    out = [0] * 64
+    for p in filter(None, text.split("\n")):
+        for at, e in enumerate([p, *(p[k : k + 16] for k in range(0, len(p), 16))]):
+            a, b = (np.array([x], np.uint64).view(np.int64)[0] for x in (h(e, at), h("h2", at, e)))
+            for j in range(16):
+                w = h(a, j, b)
+                for i in range(4):
+                    out[4 * j + i] += (w >> 16 * i & 0xFFFF) - 32768
+    return [x % (1 << 32) for x in out]
+
+
+def test_lanes_and_likeness_by_other_code(spark):
+    rnd = random.Random(11)
+    texts = ["\n".join("".join(rnd.choice("abcdé中 ") for _ in range(rnd.randint(0, 50))) for _ in range(rnd.randint(0, 6))) for _ in range(20)] + ["", "\n\n", "x" * 16, "x" * 17]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    lanes = {r.k: r.lanes for r in fingerprints.lane_sums(rows, ["k"], "t").collect()}
+    assert lanes == {k: lanes_model(t) for k, t in enumerate(texts)}
+    centred = lambda v: np.array([x - (1 << 32) if x >= 1 << 31 else x for x in v], float)
+    pairs = [(a, b) for a in range(6) for b in range(6)]
+    df = spark.createDataFrame([(a, b, lanes[a], lanes[b]) for a, b in pairs], "i int, j int, a array<bigint>, b array<bigint>")
+    for r in df.select("i", "j", fingerprints.likeness(F.col("a"), F.col("b")).alias("s")).collect():
+        x, y = centred(lanes[r.i]), centred(lanes[r.j])
+        d = centred([(p - q) % (1 << 32) for p, q in zip(lanes[r.i], lanes[r.j])])
+        both = (x * x).sum() + (y * y).sum()
+        assert r.s == pytest.approx(min(1.0, max(0.0, 1 - (d * d).sum() / both)) if both else 1.0)
+
+
+def test_scratch_tables_go(spark, odd):
+    """What operators write for themselves is deleted; what their results read stays until they are read."""
+    import os
+
+    from kgloom.llm import common, near_duplicates
+
+    folder = common.shared_folder(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(folder))
+    for f, left in ((near_duplicates.one_of_each, 1), (simhash.one_of_each, 1), (line_dedup.drop_boilerplate, 1), (suffix_dedup.without_repeats, 1), (fingerprints.neighbour_fingerprints, 1), (simhash.simhash_groups, 2)):
+        assert f(odd).count() > 0
+        now = set(os.listdir(folder))
+        assert len(now - before) == left, (f.__name__, now - before)
+        before = now
