@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 NEVER = np.int32(1 << 30)
+#: Pairs are looked up in a table of so many bits, by a multiplicative hash; the few that share a place by search.
+TABLE_BITS = 18
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Pieces of up to so many symbols share a matrix; longer ones are merged one by one.
 WIDTHS = (4, 8, 12, 16, 24, 32)
 
@@ -15,12 +18,31 @@ class PairTable:
     def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray) -> None:
         keys = (left.astype(np.int64) << 20) | right
         order = np.argsort(keys)
-        self.keys, self.rank, self.merged = keys[order], rank.astype(np.int32)[order], merged.astype(np.int32)[order]
+        # a last row that no pair has, for places of the table that hold nothing
+        self.keys = np.append(keys[order], -1)
+        self.rank, self.merged = np.append(rank.astype(np.int32)[order], NEVER), np.append(merged.astype(np.int32)[order], 0).astype(np.int32)
+        place, rows = self._place(self.keys[:-1]), np.arange(len(keys), dtype=np.int32)
+        self.table = np.full(1 << TABLE_BITS, len(keys), np.int32)
+        self.table[place] = rows
+        self.rest = rows[self.table[place] != rows]  # pairs whose place another one has, in order of their keys
+        self.rest_keys = self.keys[self.rest]
+        self.shared = np.zeros(1 << TABLE_BITS, bool)
+        self.shared[place[self.rest]] = True
+
+    @staticmethod
+    def _place(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * SPREAD >> np.uint64(64 - TABLE_BITS)).view(np.int64)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = (left.astype(np.int64) << 20) | right
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        place = self._place(keys)
+        at = self.table[place]
         hit = self.keys[at] == keys
+        again = np.nonzero(self.shared[place] & ~hit)
+        if len(again[0]):
+            asked = keys[again]
+            at[again] = self.rest[np.minimum(np.searchsorted(self.rest_keys, asked), len(self.rest) - 1)]
+            hit[again] = self.keys[at[again]] == asked
         return np.where(hit, self.rank[at], NEVER), self.merged[at]
 
     def merge_rows(self, rows: list[list[int]]) -> list[list[int]]:
