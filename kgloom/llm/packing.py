@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ CACHE_WORDS = 400_000
 #: Words of code points below this are normalised here; a word with any other goes to the library whole.
 PLAIN_BELOW = 0x250
 PUNCTUATION = frozenset(",.;:!?")
+#: One of these between a letter and white space is a match of its own, so it can be taken for a word.
+LAST = "([a-z])([,.;:!?]) "
 #: Differences that are looked at in one array at most.
 AT_ONCE = 1 << 20
 
@@ -63,8 +66,9 @@ class WordIds:
     def _learn(self, words: list[str]) -> None:
         """Caches the ids of words. Below PLAIN_BELOW nothing composes, so such words only need lower case; their pieces are merged once each."""
         cache, split, odd = self.cache, self.split, self.odd
-        pieces_, cut = set(), []
-        for w in words:
+        # what most words are is told by three calls; the rest is looked at one by one
+        pieces_, cut = {w for w in words if w.isalpha() and w.isascii() and w.islower()}, []
+        for w in set(words).difference(pieces_):
             if not w.isascii() and odd(w) or "<|" in w:
                 cache[w] = array("I", self.library.encode(w, add_special_tokens=False).ids).tobytes()
                 continue
@@ -100,12 +104,19 @@ class WordIds:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         # lower case does not depend on neighbours here, so "The" and "the" need not be two words
         plain = [t.isascii() or not self.odd(t) and "İ" not in t for t in texts]
-        cut = [(t.lower() if p and "<|" not in t else t).replace("\n", " ").split(" ") for t, p in zip(texts, plain)]
-        self._learn(list(self.cache.unknown(cut)))
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, ws)) for ws in cut]
+        cut = [(t.lower() if p and "<|" not in t else t).replace("\n", " ") for t, p in zip(texts, plain)]
+        # words stay in Arrow, where each distinct one has a number; only those become Python's
+        apart = pc.replace_substring_regex(pa.array(cut, pa.large_string()), LAST, r"\1 \2 ")
+        lists = pc.split_pattern(apart, " ")
+        words = lists.values.dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(list(self.cache.unknown([distinct])))
+        told = pa.array(list(map(self.cache.__getitem__, distinct)), pa.large_binary()).take(words.indices)
         self.cache.trim()
-        return out
+        _, offsets, data = told.buffers()
+        ends = np.frombuffer(offsets, np.int64)[np.asarray(lists.offsets)].tolist()
+        data = memoryview(data or b"")
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def _byte_chars() -> list[str]:
