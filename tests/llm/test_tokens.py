@@ -102,6 +102,36 @@ def test_word_ids_like_the_library(fuzz):
     assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(fuzz, add_special_tokens=False)]
 
 
+def test_words_with_marks_like_the_library():
+    """Marks of punctuation after letters, digits, symbols, special strings and capitals, at ends of words, lines and texts."""
+    from tokenizers import Tokenizer
+
+    path, rnd = P.path("word_bpe_49k.json"), random.Random(6)
+    bits = ["a", "the", "B", "é", "İ", "中", "'s", "7", "###", "<|endoftext|>", ",", ".", "!", "?!", ";", ":", " ", " ", "  ", "\n", "\t"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordIds(path).batch(texts)]
+    assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert packing.WordIds(path).batch([]) == [] and packing.WordIds(path).batch(["", ""]) == [b"", b""]
+
+
+def test_pairs_are_found():
+    """Pairs that share a place in the table with another, those that no place has, and pairs that are not there."""
+    from kgloom.llm.merging import NEVER, PairTable
+
+    rnd = np.random.default_rng(7)
+    keys = rnd.choice(1 << 20, 100_000, replace=False)
+    left, right, rank = keys >> 10, keys & 1023, rnd.permutation(len(keys))
+    table = PairTable(left, right, rank, rank + 5)
+    assert len(table.rest) > 1000
+    asked = np.arange(1 << 20)
+    want = np.full(1 << 20, NEVER)
+    want[keys] = rank
+    got, into = table.find((asked >> 10).reshape(1024, 1024), (asked & 1023).reshape(1024, 1024))
+    assert (got.ravel() == want).all() and (into.ravel()[keys] == rank + 5).all()
+    empty = PairTable(*np.zeros((4, 0), np.int64))
+    assert (empty.find(left, right)[0] == NEVER).all()
+
+
 def test_bins():
     rnd = random.Random(4)
     for sizes in ([6, 6, 6, 2, 2, 2, 4, 4, 4, 4], [rnd.randint(1, 100) for _ in range(400)], [], [100], [51] * 30):
