@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors in a block of the similarity join.
-BLOCK = 2048
+#: A block of the similarity join holds vectors of so many bytes as doubles, and where tasks would be few, so many vectors at least.
+BLOCK_BYTES, BLOCK_LEAST = 32 << 20, 2048
+#: Products that a task holds at a time.
+CELLS = 1 << 22
+
+
+def _blocks(vectors: DataFrame) -> int:
+    """As few blocks as their size allows, for each vector is shuffled once a block; but enough for some pairs of blocks a core."""
+    n, size = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(n * 8 * size / BLOCK_BYTES), min(math.ceil(n / BLOCK_LEAST), math.ceil(math.sqrt(2 * tasks))))
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
     """A < b, sim for all pairs of (id, vector) whose unit vectors have a dot product of at least threshold.
 
-    Exact. Vectors are dealt by a hash into blocks; every pair of blocks is one matrix product in one task, so no side is broadcast and a
-    task holds two blocks, however many vectors there are. Each vector is shuffled once for each block. Rows with a null id or vector are left out.
+    Exact. Vectors are dealt by a hash into blocks; every pair of blocks is a matrix product in one task, made in strips, so no side is broadcast
+    and a task holds two blocks, however many vectors there are. Each vector is shuffled once for each block. Rows with a null id or vector are left out.
     """
     own = vectors.select("id", "vector").dropna()
-    blocks = blocks or max(1, -(-own.count() // BLOCK))
+    blocks = blocks or _blocks(own)
     kind = own.schema["id"].dataType.simpleString()
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -31,13 +42,16 @@ def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = Non
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "sim": []})
         x, y = np.stack(left["vector"].to_numpy()).astype(np.float64), np.stack(right["vector"].to_numpy()).astype(np.float64)
-        sims = x @ y.T
-        r, c = np.nonzero(sims >= threshold)
-        a, b, s = left["id"].to_numpy()[r], right["id"].to_numpy()[c], sims[r, c]
-        keep = a < b if i == j else a != b
-        a, b, s = a[keep], b[keep], s[keep]
-        swap = a > b
-        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "sim": s})
+        names, theirs, step, out = left["id"].to_numpy(), right["id"].to_numpy(), max(1, CELLS // len(y)), []
+        for at in range(0, len(x), step):
+            sims = x[at : at + step] @ y.T
+            r, c = np.nonzero(sims >= threshold)
+            a, b, s = names[at + r], theirs[c], sims[r, c]
+            keep = a < b if i == j else a != b
+            a, b, s = a[keep], b[keep], s[keep]
+            swap = a > b
+            out.append(pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "sim": s}))
+        return pd.concat(out, ignore_index=True)
 
     return dealt.groupBy("i", "j").applyInPandas(run, f"a {kind}, b {kind}, sim double")
 

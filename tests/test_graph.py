@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,19 @@ def test_catalog_of_prototypes_is_bounded(spark, monkeypatch):
     protos = spark.createDataFrame([(0, "A", [1.0]), (1, "B", [1.0])], "type_idx int, type string, vector array<double>")
     with pytest.raises(ValueError):
         entity_types.type_scores(spark.createDataFrame([("p", [1.0])], "entity string, vector array<double>"), protos)
+
+
+def test_similar_pairs_in_strips(spark, monkeypatch):
+    """Blocks and strips of any size give the pairs of the whole product; no vectors give no pairs."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(300, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(v @ v.T, 1) >= 0.8))}
+    for blocks, cells in ((None, 1 << 22), (None, 700), (5, 1), (5, 100)):
+        monkeypatch.setattr(resolve, "CELLS", cells)
+        got = [(r.a, r.b) for r in resolve.similar_pairs(rows, 0.8, blocks).collect()]
+        assert len(got) == len(want) and set(got) == want
+    monkeypatch.setattr(resolve, "BLOCK_LEAST", 100)
+    assert resolve._blocks(rows) == 3 and resolve._blocks(rows.where("false")) == 1
+    assert resolve.similar_pairs(rows.where("false"), 0.8).count() == 0
