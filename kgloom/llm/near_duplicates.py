@@ -1,12 +1,19 @@
-"""Near duplicates by Jaccard similarity of word shingles: MinHash bands bring texts together, their whole shingle sets decide.
+"""Near duplicates by Jaccard similarity of word shingles: Golay-code keys of SimHash fingerprints bring texts together, their whole shingle sets decide.
 
-A text is the set of its hashed shingles of ``WIDTH`` words. Of its ``BANDS`` keys, each of ``ROWS`` minima, two texts of similarity j
-share one at least with probability 1 - (1 - j^ROWS)^BANDS, which is 0.999997 at 0.8. Texts that share a key are compared by their whole
-sets. Only distinct sets take part, so exact copies cost nothing.
+A text is the set of its hashed shingles of ``WIDTH`` words. Only distinct sets take part, so exact copies cost nothing.
 
-A key that more than ``MOST_SHARED`` sets share would give pairs in the square of its group. Its sets are compared with the least of them
+Each set has several SimHash fingerprints, and a key of each two Golay-decoded segments of each (:func:`simhash.code_keys`). Sets that share a key
+and whose fingerprints next to the key's are at most ``APART`` bits apart are compared by their whole sets: first each with the least of its
+key, then, in keys of at most ``MOST_SHARED`` sets, all that no chain of links joins by then.
+
+A fingerprint bit of two sets of similarity 0.8 differs with probability 0.15, so no number of keys of that kind is sure to bring them together. For
+what they leave parted there are MinHash bands: of a set's ``BANDS`` keys, each of ``ROWS`` minima, two sets of similarity j
+share one at least with probability 1 - (1 - j^ROWS)^BANDS, which is 0.999997 at 0.8. Only band keys whose sets are still in more than one component
+are read, and only pairs across components compared.
+
+A band key that more than ``MOST_SHARED`` sets share would give pairs in the square of its group. Its sets are compared with the least of them
 first. Where that leaves them in more than one component, all of its pairs are compared in blocks of about ``BLOCK`` sets, where a pair of
-blocks is one matrix product and gives no more links than it has sets. So every pair that shares a key is decided, or known
+blocks is one matrix product and gives no more links than it has sets. So every pair that shares a band key is decided, or known
 to be in one component.
 """
 
@@ -20,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import named_rows, one_row_each, scratch, written
+from kgloom.llm import simhash
+from kgloom.llm.common import discard, named_rows, one_row_each, scratch, written
 from kgloom.llm.graph import components
 
 WIDTH = 5
 #: The least similarity of near duplicates, as a fraction.
 SIMILAR = (4, 5)
+#: Of sets of similarity 0.8, 64 bits differ in 10 on average and in more than this 3 times in a thousand; of sets apart, in 32.
+APART = 18
 BANDS, ROWS = 24, 4
 MOST_SHARED = 24
 BLOCK = 256
@@ -55,7 +65,7 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """__id, fp (names the set of shingles; 0: the empty one), keys."""
+    """__id, fp (names the set of shingles; 0: the empty one), prints (its fingerprints), keys (of its bands)."""
     kind = docs.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,9 +74,23 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
             fps = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["__id", "fp", "keys"])
+            lists = [pa.array([f(s).view(np.int64) for s in sets], pa.list_(pa.int64())) for f in (simhash.set_prints, band_keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *lists], ["__id", "fp", "prints", "keys"])
+
+    return docs.select("__id", "__text").mapInArrow(run, f"__id {kind}, fp bigint, prints array<bigint>, keys array<bigint>")
+
+
+def _coded(distinct: DataFrame) -> DataFrame:
+    """key, fp, next (the fingerprint next to the one that gave the key) for all Golay-code keys of the sets' fingerprints."""
 
-    return docs.select("__id", "__text").mapInArrow(run, f"__id {kind}, fp bigint, keys array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, simhash.PRINTS)
+            keys = simhash.code_keys(prints.view(np.uint64))
+            fps = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys[0].size if len(keys) else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(fps), pa.array(np.repeat(np.roll(prints, -1, 1), 3))], ["key", "fp", "next"])
+
+    return distinct.where(F.size("prints") > 0).select("fp", "prints").mapInArrow(run, "key bigint, fp bigint, next bigint")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -123,22 +147,54 @@ def _in_blocks(keyed: DataFrame) -> DataFrame:
     return own.groupBy("key", "__a", "__b").applyInPandas(run, "a bigint, b bigint")
 
 
+def _near(pairs: DataFrame, needed: DataFrame, texts_of, width: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) that are near, and the sets of all fps needed, those of the pairs among them."""
+    sets = written(_sets(texts_of(needed.distinct()), width), "sets")
+    held = pairs.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
+    same = F.size(F.array_intersect("x", "y"))
+    return written(held.where(SIMILAR[1] * same >= SIMILAR[0] * (F.size("x") + F.size("y") - same)).select("a", "b"), "near"), sets
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).union(pairs.select("b"))
+
+
+def _rooted(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """sets with root, that of their component, or their own fp."""
+    return sets.join(roots, sets["fp"] == roots["node"], "left").select(*sets.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def _parted(keyed: DataFrame) -> DataFrame:
+    """(a, b): the pairs of each key that are of two components."""
+    return keyed.alias("x").join(keyed.alias("y"), "key").where("x.fp < y.fp and x.root <> y.root")
+
+
 def links(distinct: DataFrame, texts_of, width: int = WIDTH, most_shared: int = MOST_SHARED) -> DataFrame:
-    """(a, b): links between near sets, enough to join all that chains of them join; distinct has fp and keys, texts_of gives the texts (fp, __text) of fps."""
-    keys = distinct.select(F.explode("keys").alias("key"), "fp").distinct()
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+    """(a, b): links between near sets, enough to join all that chains of them join; distinct has fp, prints and keys, texts_of gives the texts (fp, __text) of fps."""
+    ends = F.col("x.fp").alias("a"), F.col("y.fp").alias("b")
+    near_prints = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= APART
+    codes = _coded(distinct)
+    shared = codes.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.min_by("next", "fp").alias("its")).where("n > 1")
+    coded = written(codes.join(shared, "key"), "coded")
+    stars = written(coded.where("least < fp").where(near_prints("next", "its")).select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct(), "stars")
+    first, sets = _near(stars, _both(stars), texts_of, width)
+    discard(sets)
+    roots = written(components(first), "roots")
+    small = _rooted(coded.where(F.col("n").between(3, most_shared)).select("key", "fp", "next"), roots)
+    pairs = _parted(small).where(near_prints("x.next", "y.next")).select(*ends)
+
+    keys = _rooted(distinct.select("fp", F.array_distinct("keys").alias("keys")), roots).select(F.explode("keys").alias("key"), "fp", "root")
+    spans = F.min("root").alias("p"), F.max("root").alias("q")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.min_by("root", "fp").alias("its"), *spans).where("p < q").drop("p", "q")
     met = written(keys.join(shared, "key"), "met")
     few, many = met.where(F.col("n") <= most_shared), met.where(F.col("n") > most_shared)
-    pairs = few.alias("x").join(few.alias("y"), "key").where("x.fp < y.fp").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    pairs = written(pairs.union(many.where("least < fp").select(F.col("least").alias("a"), F.col("fp").alias("b"))).distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sets = written(_sets(texts_of(needed), width), "sets")
-    held = pairs.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    near = written(held.where(SIMILAR[1] * same >= SIMILAR[0] * (F.size("x") + F.size("y") - same)).select("a", "b"), "near")
+    pairs = pairs.union(_parted(few).select(*ends)).union(many.where("its <> root").select(F.col("least").alias("a"), F.col("fp").alias("b")))
+    pairs = written(pairs.distinct(), "pairs")
+    second, sets = _near(pairs, _both(pairs).union(many.select("fp")), texts_of, width)
+    near = first.union(second)
     roots = written(components(near), "roots")
-    rooted = many.select("key", "n", "fp").join(roots, many["fp"] == roots["node"], "left").select("key", "n", "fp", F.coalesce("root", "fp").alias("root"))
-    parted = rooted.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
+    rooted = _rooted(many.select("key", "n", "fp"), roots)
+    parted = rooted.groupBy("key").agg(*spans).where("p < q").select("key")
     return near.union(written(_in_blocks(rooted.join(parted, "key").join(sets, "fp")), "blocks")).distinct()
 
 
@@ -150,15 +206,15 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", tex
     """
     with scratch():
         named = named_rows(docs, id_col, text_col)
-        rows = written(_signed(named.select(F.struct("__id", "__k1", "__k2").alias("__id"), "__text"), width).select("fp", "keys", "__id.*"), "prints")
+        rows = written(_signed(named.select(F.struct("__id", "__k1", "__k2").alias("__id"), "__text"), width).select("fp", "prints", "keys", "__id.*"), "prints")
         best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2")).alias("best")
-        distinct = written(rows.groupBy("fp").agg(best, F.first("keys").alias("keys")), "distinct")
+        distinct = written(rows.groupBy("fp").agg(best, F.first("prints").alias("prints"), F.first("keys").alias("keys")), "distinct")
 
         def texts_of(fps: DataFrame) -> DataFrame:
             asked = distinct.join(fps, "fp", "left_semi").select("fp", F.col("best.__k1").alias("__k1"), F.col("best.__k2").alias("__k2"))
             return named.select("__k1", "__k2", "__text").join(asked, ["__k1", "__k2"]).groupBy("fp").agg(F.first("__text").alias("__text"))
 
-        roots = written(components(links(distinct.select("fp", "keys"), texts_of, width, most_shared)), "roots")
+        roots = written(components(links(distinct.select("fp", "prints", "keys"), texts_of, width, most_shared)), "roots")
         rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
         first = rooted.groupBy("root").agg(F.min("best").alias("first"))
         stay = rooted.select("fp", "root").join(first, "root").select("fp", F.col("first.__k1").alias("s1"), F.col("first.__k2").alias("s2"))

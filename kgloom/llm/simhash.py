@@ -10,6 +10,9 @@ three; fingerprints that share a key are compared. Only distinct fingerprints ta
 A key that more than ``MOST_SHARED`` fingerprints share would give pairs in the square of its group. Those fingerprints are joined another
 exact way: each gives itself and its 64 one-bit flips, and fingerprints that give the same word are within 2 bits of each
 other, so each is linked to the least of them. That is linear, and the components come out the same.
+
+Sets of shingles that are less alike than 2 bits allow take ``PRINTS`` fingerprints each (:func:`set_prints`), whose segments are decoded without
+flips: the indices of two segments are a key (:func:`code_keys`).
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 DISTANCE = 2
 MOST_SHARED = 24
+PRINTS = 32
+_random = np.random.default_rng(8)
+_FACTORS = _random.integers(0, 1 << 63, (2, PRINTS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _tables: list[tuple] = []
 
 
@@ -80,6 +86,42 @@ def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(who), np.concatenate(keys)
 
 
+def _set_bits(words: np.ndarray) -> np.ndarray:
+    """In how many words of each row each of the 64 bits is set; words are added by threes, in planes of sums and carries."""
+    out, weight = np.zeros((len(words), 64), np.int64), 1
+    while words.shape[1]:
+        carried = [words[:, :0]]
+        while third := words.shape[1] // 3:
+            a, b, c = words[:, :third], words[:, third : 2 * third], words[:, 2 * third : 3 * third]
+            odd = a ^ b
+            carried.append(a & b | odd & c)
+            words = np.concatenate([odd ^ c, words[:, 3 * third :]], 1)
+        bits = np.unpackbits(np.ascontiguousarray(words).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        out += weight * bits.reshape(*words.shape, 64).sum(1, dtype=np.int64)
+        words, weight = np.concatenate(carried, 1), 2 * weight
+    return out
+
+
+def set_prints(own: np.ndarray) -> np.ndarray:
+    """The ``PRINTS`` SimHashes of a set of 64-bit hashes: the first of the hashes as they are, each other of them mixed anew; none for an empty set."""
+    if not len(own):
+        return np.zeros(0, np.uint64)
+    counts = np.zeros((PRINTS, 64), np.int64)
+    for a in range(0, len(own), 8192):
+        words = own[a : a + 8192] * _FACTORS[0]
+        words = (words ^ (words >> np.uint64(32))) * _FACTORS[1]
+        words ^= words >> np.uint64(29)
+        words[0] = own[a : a + 8192]
+        counts += _set_bits(words)
+    return np.packbits(2 * counts > len(own), axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
+
+
+def code_keys(prints: np.ndarray) -> np.ndarray:
+    """n x PRINTS x 3 keys of n x PRINTS fingerprints: for each of the three segments the Golay indices of it and of the next."""
+    codes = np.stack([nearest(((prints >> np.uint64(at)) & np.uint64((1 << bits) - 1)).ravel()).reshape(prints.shape) for at, bits in SEGMENTS], 2)
+    return np.arange(3 * PRINTS).reshape(PRINTS, 3) << 24 | codes << 12 | np.roll(codes, -1, 2)
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The 64-bit SimHash of a text's word shingles, repeats included; words are lower-cased in A-Z only; no words: 0."""
     import xxhash

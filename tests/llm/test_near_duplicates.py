@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from conftest_llm import same_rest
-from kgloom.llm import near_duplicates
+from kgloom.llm import common, near_duplicates, simhash
 
 
 def jaccard(a, b):
@@ -65,6 +65,79 @@ def test_tree_of_near(edited):
     assert all(len(np.intersect1d(sets[a], sets[b])) * 5 >= 4 * len(np.union1d(sets[a], sets[b])) for a, b in near_duplicates.tree_of_near(sets))
 
 
+@pytest.fixture(scope="module")
+def pairs():
+    """100 texts and a copy of each whose last words, at most as many as leave a similarity of 0.8, are others."""
+    rnd = random.Random(6)
+    texts = [[f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(40, 300))] for _ in range(100)]
+    cut = [rnd.randint(1, (len(t) - 4) // 9) for t in texts]
+    texts += [t[:-m] + [f"e{rnd.randrange(5000)}" for _ in range(m)] for t, m in zip(texts, cut)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def found(spark, edited, prints, keys):
+    """Links among the distinct sets of edited with the keys of their fingerprints or bands alone, and the near pairs by brute force."""
+    texts = {}
+    for _, t in edited:
+        texts.setdefault(near_duplicates.shingles(t).tobytes(), t)
+    own = [(i + 1, t, near_duplicates.shingles(t)) for i, t in enumerate(t for t in texts.values() if t)]
+    rows = [(i, simhash.set_prints(s).view(np.int64).tolist() if prints else [], near_duplicates.band_keys(s).tolist() if keys else []) for i, _, s in own]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in own], "fp bigint, __text string")
+    with common.scratch():
+        got = near_duplicates.links(spark.createDataFrame(rows, "fp bigint, prints array<bigint>, keys array<bigint>"), lambda fps: docs.join(fps, "fp", "left_semi")).collect()
+    return {(min(r), max(r)) for r in got}, {(a, b) for a, t, _ in own for b, u, _ in own if a < b and jaccard(t, u) >= 0.8}
+
+
+def joined(links, pairs):
+    """The pairs that chains of links join."""
+    root = {i: i for p in pairs | links for i in p}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return {(a, b) for a, b in pairs if root[a] == root[b]}
+
+
+def test_golay_keys_bring_near_sets_together(spark, pairs):
+    """Without any band, SimHash fingerprints find nine tenths at least of the near pairs, and nothing else."""
+    links, near = found(spark, pairs, prints=True, keys=False)
+    assert len(near) == 100 and links <= near and len(joined(links, near)) >= 0.9 * len(near)
+
+
+def test_bands_take_what_fingerprints_leave(spark, pairs):
+    links, near = found(spark, pairs, prints=False, keys=True)
+    assert links <= near and joined(links, near) == near
+
+
+def test_set_prints():
+    rnd = np.random.default_rng(4)
+    for n in (1, 2, 3, 50, 8193):
+        own = rnd.integers(0, 1 << 64, n, np.uint64)
+        got = simhash.set_prints(own)
+        assert len(set(got.tolist())) == simhash.PRINTS
+        assert int(got[0]) == sum(1 << bit for bit in range(64) if 2 * int(((own >> np.uint64(bit)) & np.uint64(1)).sum()) > n)
+    assert len(simhash.set_prints(own[:0])) == 0
+
+
+def test_code_keys():
+    """A key holds the numbers of the print and of the segment, and the codewords within 3 bits of that segment and of the next."""
+    prints = np.random.default_rng(5).integers(0, 1 << 64, (20, simhash.PRINTS), np.uint64)
+    keys = simhash.code_keys(prints)
+    assert keys.shape == (20, simhash.PRINTS, 3)
+    codewords = {}
+    for high in range(1 << 12):
+        word = high << 11
+        for bit in range(22, 10, -1):
+            word ^= simhash.GENERATOR << (bit - 11) if word >> bit & 1 else 0
+        codewords[high] = high << 11 | word
+    for i in range(20):
+        for k in range(simhash.PRINTS):
+            words = [int(prints[i, k]) >> at & (1 << bits) - 1 for at, bits in simhash.SEGMENTS]
+            for s in range(3):
+                key = int(keys[i, k, s])
+                assert key >> 24 == 3 * k + s
+                assert (codewords[key >> 12 & 4095] ^ words[s]).bit_count() <= 3 and (codewords[key & 4095] ^ words[(s + 1) % 3]).bit_count() <= 3
+
+
 def test_odd_rows(odd, none, tmp_path):
     odd.write.parquet(f"{tmp_path}/odd")
     docs = odd.sparkSession.read.parquet(f"{tmp_path}/odd")
