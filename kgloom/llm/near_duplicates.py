@@ -2,9 +2,10 @@
 
 A text is the set of its hashed shingles of ``WIDTH`` words. Only distinct sets take part, so exact copies cost nothing.
 
-Each set has several SimHash fingerprints, and a key of each two Golay-decoded segments of each (:func:`simhash.code_keys`). Sets that share a key
-and whose fingerprints next to the key's are at most ``APART`` bits apart are compared by their whole sets: first each with the least of its
-key, then, in keys of at most ``MOST_SHARED`` sets, all that no chain of links joins by then.
+Each set has several SimHash fingerprints and a minimum for each, and a key of each Golay-decoded segment of each with that minimum. Sets that share
+a key and whose fingerprints next to the key's are at most ``APART`` bits apart are compared by their whole sets: first each with the least of
+its key, then, in keys of at most ``MOST_SHARED`` sets, all that no chain of links joins by then. The Golay indices of two segments are 24 bits, by which
+sets that have nothing in common meet too, and the more often the more sets there are; sets share a minimum as often as they are similar.
 
 A fingerprint bit of two sets of similarity 0.8 differs with probability 0.15, so no number of keys of that kind is sure to bring them together. For
 what they leave parted there are MinHash bands: of a set's ``BANDS`` keys, each of ``ROWS`` minima, two sets of similarity j
@@ -53,19 +54,27 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """The keys of a set of shingles; none for an empty set."""
-    import xxhash
-
+def minima(own: np.ndarray) -> np.ndarray:
+    """The least value of a set of shingles under each of ``BANDS * ROWS`` hash functions; none for an empty set."""
     if not len(own):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32)
     low = (own >> np.uint64(32)).astype(np.uint32)
-    least = np.min([(low[a : a + 8192] * _FACTORS + _SHIFTS).min(1) for a in range(0, len(low), 8192)], 0).reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)], np.uint64).view(np.int64)
+    return np.min([(low[a : a + 8192] * _FACTORS + _SHIFTS).min(1) for a in range(0, len(low), 8192)], 0)
+
+
+def _bands(least: np.ndarray) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(-1, ROWS))], np.uint64).view(np.int64)
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingles; none for an empty set."""
+    return _bands(minima(own))
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """__id, fp (names the set of shingles; 0: the empty one), prints (its fingerprints), keys (of its bands)."""
+    """__id, fp (names the set of shingles; 0: the empty one), prints (its fingerprints), least (a minimum for each of these), keys (of its bands)."""
     kind = docs.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,23 +83,33 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
             fps = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            lists = [pa.array([f(s).view(np.int64) for s in sets], pa.list_(pa.int64())) for f in (simhash.set_prints, band_keys)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *lists], ["__id", "fp", "prints", "keys"])
+            least = [minima(s) for s in sets]
+            prints = pa.array([simhash.set_prints(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            some = pa.array([m[: simhash.PRINTS].view(np.int32) for m in least], pa.list_(pa.int32()))
+            keys = pa.array([_bands(m) for m in least], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), prints, some, keys], ["__id", "fp", "prints", "least", "keys"])
 
-    return docs.select("__id", "__text").mapInArrow(run, f"__id {kind}, fp bigint, prints array<bigint>, keys array<bigint>")
+    return docs.select("__id", "__text").mapInArrow(run, f"__id {kind}, fp bigint, prints array<bigint>, least array<int>, keys array<bigint>")
 
 
 def _coded(distinct: DataFrame) -> DataFrame:
-    """key, fp, next (the fingerprint next to the one that gave the key) for all Golay-code keys of the sets' fingerprints."""
+    """key, fp, next (the fingerprint next to the one that gave the key) for all Golay-code keys of the sets' fingerprints.
+
+    A key is the Golay index of a segment and the fingerprint's minimum; without the column least, the Golay indices of the segment and of the next.
+    """
+    read = [c for c in ("fp", "prints", "least") if c in distinct.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, simhash.PRINTS)
             keys = simhash.code_keys(prints.view(np.uint64))
+            if "least" in read:
+                least = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint32).reshape(prints.shape)
+                keys = keys >> 12 << 32 | least[:, :, None]
             fps = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys[0].size if len(keys) else 0)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(fps), pa.array(np.repeat(np.roll(prints, -1, 1), 3))], ["key", "fp", "next"])
 
-    return distinct.where(F.size("prints") > 0).select("fp", "prints").mapInArrow(run, "key bigint, fp bigint, next bigint")
+    return distinct.where(F.size("prints") > 0).select(*read).mapInArrow(run, "key bigint, fp bigint, next bigint")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -170,7 +189,7 @@ def _parted(keyed: DataFrame) -> DataFrame:
 
 
 def links(distinct: DataFrame, texts_of, width: int = WIDTH, most_shared: int = MOST_SHARED) -> DataFrame:
-    """(a, b): links between near sets, enough to join all that chains of them join; distinct has fp, prints and keys, texts_of gives the texts (fp, __text) of fps."""
+    """(a, b): links between near sets, enough to join all that chains of them join; distinct has fp, prints, keys and may have least, texts_of gives the texts (fp, __text) of fps."""
     ends = F.col("x.fp").alias("a"), F.col("y.fp").alias("b")
     near_prints = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= APART
     codes = _coded(distinct)
@@ -206,15 +225,15 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", tex
     """
     with scratch():
         named = named_rows(docs, id_col, text_col)
-        rows = written(_signed(named.select(F.struct("__id", "__k1", "__k2").alias("__id"), "__text"), width).select("fp", "prints", "keys", "__id.*"), "prints")
+        rows = written(_signed(named.select(F.struct("__id", "__k1", "__k2").alias("__id"), "__text"), width).select("fp", "prints", "least", "keys", "__id.*"), "prints")
         best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2")).alias("best")
-        distinct = written(rows.groupBy("fp").agg(best, F.first("prints").alias("prints"), F.first("keys").alias("keys")), "distinct")
+        distinct = written(rows.groupBy("fp").agg(best, *(F.first(c).alias(c) for c in ("prints", "least", "keys"))), "distinct")
 
         def texts_of(fps: DataFrame) -> DataFrame:
             asked = distinct.join(fps, "fp", "left_semi").select("fp", F.col("best.__k1").alias("__k1"), F.col("best.__k2").alias("__k2"))
             return named.select("__k1", "__k2", "__text").join(asked, ["__k1", "__k2"]).groupBy("fp").agg(F.first("__text").alias("__text"))
 
-        roots = written(components(links(distinct.select("fp", "prints", "keys"), texts_of, width, most_shared)), "roots")
+        roots = written(components(links(distinct.select("fp", "prints", "least", "keys"), texts_of, width, most_shared)), "roots")
         rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
         first = rooted.groupBy("root").agg(F.min("best").alias("first"))
         stay = rooted.select("fp", "root").join(first, "root").select("fp", F.col("first.__k1").alias("s1"), F.col("first.__k2").alias("s2"))

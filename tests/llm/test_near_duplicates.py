@@ -103,6 +103,33 @@ def test_golay_keys_bring_near_sets_together(spark, pairs):
     assert len(near) == 100 and links <= near and len(joined(links, near)) >= 0.9 * len(near)
 
 
+def signed(spark, texts):
+    rows = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "__id bigint, __text string")
+    return near_duplicates._signed(rows, near_duplicates.WIDTH)
+
+
+def test_golay_keys_and_minima_bring_all_near_sets_together(spark, pairs):
+    """The keys that the stage takes find every near pair without any band, and nothing else."""
+    own = common.written(signed(spark, [t for _, t in pairs]), "signed", keep=True)
+    fps = {r["__id"]: r.fp for r in own.collect()}
+    docs = spark.createDataFrame([(fps[i + 1], t) for i, t in pairs], "fp bigint, __text string")
+    with common.scratch():
+        bare = own.selectExpr("fp", "prints", "least", "array_except(keys, keys) keys")
+        got = {(min(r), max(r)) for r in near_duplicates.links(bare, lambda ids: docs.join(ids, "fp", "left_semi")).collect()}
+    common.discard(own)
+    near = {tuple(sorted((fps[a + 1], fps[b + 1]))) for a, t in pairs for b, u in pairs if a < b and jaccard(t, u) >= 0.8}
+    assert len(near) == 100 and got <= near and joined(got, near) == near
+
+
+def test_sets_apart_share_no_key(spark):
+    """Sets without a common shingle do not meet by chance, which 24 bits of a key let them do with the square of their number."""
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(10**9)}" for _ in range(rnd.randint(20, 60))) for _ in range(6000)]
+    keys = near_duplicates._coded(signed(spark, texts))
+    assert keys.count() == 6000 * 3 * simhash.PRINTS
+    assert keys.groupBy("key").count().where("count > 1").count() == 0
+
+
 def test_bands_take_what_fingerprints_leave(spark, pairs):
     links, near = found(spark, pairs, prints=False, keys=True)
     assert links <= near and joined(links, near) == near
