@@ -1,31 +1,33 @@
-"""Near duplicates by Jaccard similarity of word shingles: Golay-code keys of SimHash fingerprints bring texts together, their whole shingle sets decide.
+"""Near duplicates by Jaccard similarity of word shingles: keys bring texts together, their whole shingle sets decide.
 
 A text is the set of its hashed shingles of ``WIDTH`` words. Only distinct sets take part, so exact copies cost nothing.
 
-Each set has several SimHash fingerprints and a minimum for each, and a key of each Golay-decoded segment of each with that minimum. Sets that share
-a key and whose fingerprints next to the key's are at most ``APART`` bits apart are compared by their whole sets: first each with the least of
-its key, then, in keys of at most ``MOST_SHARED`` sets, all that no chain of links joins by then. The Golay indices of two segments are 24 bits, by which
-sets that have nothing in common meet too, and the more often the more sets there are; sets share a minimum as often as they are similar.
+In the pipeline each set has several SimHash fingerprints and a minimum for each, and a key of each Golay-decoded segment of each with that minimum: the
+Golay indices of two segments are 24 bits, by which sets that have nothing in common meet too, and the more often the more sets there are; sets
+share a minimum as often as they are similar. A fingerprint bit of two sets of similarity 0.8 differs with probability 0.15, so no number of keys of that
+kind is sure to bring them together. For what they leave parted there are MinHash bands: of a set's ``BANDS`` keys, each of ``ROWS`` minima, two sets of
+similarity j share one at least with probability 1 - (1 - j^ROWS)^BANDS, which is 0.999997 at 0.8.
 
-A fingerprint bit of two sets of similarity 0.8 differs with probability 0.15, so no number of keys of that kind is sure to bring them together. For
-what they leave parted there are MinHash bands: of a set's ``BANDS`` keys, each of ``ROWS`` minima, two sets of similarity j
-share one at least with probability 1 - (1 - j^ROWS)^BANDS, which is 0.999997 at 0.8. Only band keys whose sets are still in more than one component
-are read, and only pairs across components compared.
+Sets that share a key are compared in rounds (:func:`links_of`), and each round knows the components of those before:
 
-A band key that more than ``MOST_SHARED`` sets share would give pairs in the square of its group. Its sets are compared with the least of them
-first. Where that leaves them in more than one component, all of its pairs are compared in blocks of about ``BLOCK`` sets, where a pair of
-blocks is one matrix product and gives no more links than it has sets. So every pair that shares a band key is decided, or known
-to be in one component.
+1. each set with one partner, the least of the least sets of its keys;
+2. of each key that still holds sets of two components, one set a component with one of its least component, each two components once;
+3. what is left, exactly: in keys of at most ``MOST_SHARED`` sets all pairs across components. Larger keys give their sets to a pool, in which two sets of
+   similarity 0.8 share one of the rarest fifth of their shingles; sets that share such a shingle are compared, pairwise where they are few, and else in
+   blocks of about ``BLOCK`` sets, where a pair of blocks is one matrix product and gives no more links than it has sets.
+
+So every pair that shares a key is decided, or known to be in one component, and a group of n near copies makes about n links, not as many as its keys allow.
+Before whole sets are fetched, a signature that is too unlike refuses a pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.llm import simhash
@@ -35,14 +37,16 @@ from kgloom.llm.graph import components
 WIDTH = 5
 #: The least similarity of near duplicates, as a fraction.
 SIMILAR = (4, 5)
-#: Of sets of similarity 0.8, 64 bits differ in 10 on average and in more than this 3 times in a thousand; of sets apart, in 32.
-APART = 18
+#: Fingerprints of a set that are its signature. Of sets of similarity 0.8 at most 51 of these 256 bits differ on average (standard deviation 6), of sets apart 128.
+SIGNED, APART = 4, 96
 BANDS, ROWS = 24, 4
 MOST_SHARED = 24
 BLOCK = 256
 _random = np.random.default_rng(42)
-_FACTORS = _random.integers(0, 1 << 31, (BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
-_SHIFTS = _random.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
+#: Hash functions that minima may be taken under.
+MINIMA = 128
+_FACTORS = _random.integers(0, 1 << 31, (MINIMA, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _random.integers(0, 1 << 32, (MINIMA, 1), np.uint32)
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -54,15 +58,16 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
 
 
-def minima(own: np.ndarray) -> np.ndarray:
-    """The least value of a set of shingles under each of ``BANDS * ROWS`` hash functions; none for an empty set."""
+def minima(own: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    """The least value of a set of shingles under each of n hash functions (``MINIMA`` at most); none for an empty set."""
     if not len(own):
         return np.zeros(0, np.uint32)
-    low = (own >> np.uint64(32)).astype(np.uint32)
-    return np.min([(low[a : a + 8192] * _FACTORS + _SHIFTS).min(1) for a in range(0, len(low), 8192)], 0)
+    high = (own >> np.uint64(32)).astype(np.uint32)
+    return np.min([(high[a : a + 2048] * _FACTORS[:n] + _SHIFTS[:n]).min(1) for a in range(0, len(high), 2048)], 0)
 
 
-def _bands(least: np.ndarray) -> np.ndarray:
+def bands(least: np.ndarray) -> np.ndarray:
+    """A key of each ``ROWS`` minima that follow one another."""
     import xxhash
 
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(-1, ROWS))], np.uint64).view(np.int64)
@@ -70,7 +75,7 @@ def _bands(least: np.ndarray) -> np.ndarray:
 
 def band_keys(own: np.ndarray) -> np.ndarray:
     """The keys of a set of shingles; none for an empty set."""
-    return _bands(minima(own))
+    return bands(minima(own))
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
@@ -86,14 +91,14 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
             least = [minima(s) for s in sets]
             prints = pa.array([simhash.set_prints(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
             some = pa.array([m[: simhash.PRINTS].view(np.int32) for m in least], pa.list_(pa.int32()))
-            keys = pa.array([_bands(m) for m in least], pa.list_(pa.int64()))
+            keys = pa.array([bands(m) for m in least], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), prints, some, keys], ["__id", "fp", "prints", "least", "keys"])
 
     return docs.select("__id", "__text").mapInArrow(run, f"__id {kind}, fp bigint, prints array<bigint>, least array<int>, keys array<bigint>")
 
 
 def _coded(distinct: DataFrame) -> DataFrame:
-    """key, fp, next (the fingerprint next to the one that gave the key) for all Golay-code keys of the sets' fingerprints.
+    """key, fp for all Golay-code keys of the sets' fingerprints.
 
     A key is the Golay index of a segment and the fingerprint's minimum; without the column least, the Golay indices of the segment and of the next.
     """
@@ -107,9 +112,9 @@ def _coded(distinct: DataFrame) -> DataFrame:
                 least = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint32).reshape(prints.shape)
                 keys = keys >> 12 << 32 | least[:, :, None]
             fps = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys[0].size if len(keys) else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(fps), pa.array(np.repeat(np.roll(prints, -1, 1), 3))], ["key", "fp", "next"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(fps)], ["key", "fp"])
 
-    return distinct.where(F.size("prints") > 0).select(*read).mapInArrow(run, "key bigint, fp bigint, next bigint")
+    return distinct.where(F.size("prints") > 0).select(*read).mapInArrow(run, "key bigint, fp bigint")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -166,55 +171,113 @@ def _in_blocks(keyed: DataFrame) -> DataFrame:
     return own.groupBy("key", "__a", "__b").applyInPandas(run, "a bigint, b bigint")
 
 
-def _near(pairs: DataFrame, needed: DataFrame, texts_of, width: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) that are near, and the sets of all fps needed, those of the pairs among them."""
-    sets = written(_sets(texts_of(needed.distinct()), width), "sets")
-    held = pairs.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    return written(held.where(SIMILAR[1] * same >= SIMILAR[0] * (F.size("x") + F.size("y") - same)).select("a", "b"), "near"), sets
+def _rooted(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """sets with root, that of their component, or their own fp."""
+    return sets.join(roots, sets["fp"] == roots["node"], "left").select(*sets.columns, F.coalesce("root", "fp").alias("root"))
 
 
-def _both(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("fp")).union(pairs.select("b"))
+def _open(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, n, fp, root, head (the least root of the key and the least of its sets in the key) of the keys whose sets are of several components."""
+    rooted = _rooted(keyed.select("key", "n", "fp"), roots)
+    spans = rooted.groupBy("key").agg(F.min(F.struct("root", "fp")).alias("head"), F.max("root").alias("q")).where("head.root < q").drop("q")
+    return written(rooted.join(spans, "key"), "open")
 
 
-def _rooted(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """sets with root, that of their component, or their own fp."""
-    return sets.join(roots, sets["fp"] == roots["node"], "left").select(*sets.columns, F.coalesce("root", "fp").alias("root"))
+def _prefixes(pool: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, n, fp, root, size for the rarest shingles of each set (fp, root) that another of the pool has as well.
+
+    Two sets with a similarity of s have a shingle in common among the first floor((1 - s) * size) + 1 of theirs, in any order that is the same for all;
+    rare ones come first.
+    """
+    size = F.size("own")
+    each = pool.join(sets, "fp").select("fp", "root", size.alias("size"), F.explode("own").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("n"))
+    most = F.floor(F.col("size") * (SIMILAR[1] - SIMILAR[0]) / SIMILAR[1]).cast("int") + 1
+    first = each.join(often, "key").groupBy("fp", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own")).select("fp", "root", "size", F.explode(F.slice("own", 1, most)).alias("one"))
+    return written(first.select("one.key", "fp", "root", "size").where("one.n > 1"), "prefixes")
 
 
-def _parted(keyed: DataFrame) -> DataFrame:
-    """(a, b): the pairs of each key that are of two components."""
-    return keyed.alias("x").join(keyed.alias("y"), "key").where("x.fp < y.fp and x.root <> y.root")
-
-
-def links(distinct: DataFrame, texts_of, width: int = WIDTH, most_shared: int = MOST_SHARED) -> DataFrame:
-    """(a, b): links between near sets, enough to join all that chains of them join; distinct has fp, prints, keys and may have least, texts_of gives the texts (fp, __text) of fps."""
-    ends = F.col("x.fp").alias("a"), F.col("y.fp").alias("b")
-    near_prints = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= APART
-    codes = _coded(distinct)
-    shared = codes.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.min_by("next", "fp").alias("its")).where("n > 1")
-    coded = written(codes.join(shared, "key"), "coded")
-    stars = written(coded.where("least < fp").where(near_prints("next", "its")).select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct(), "stars")
-    first, sets = _near(stars, _both(stars), texts_of, width)
-    discard(sets)
-    roots = written(components(first), "roots")
-    small = _rooted(coded.where(F.col("n").between(3, most_shared)).select("key", "fp", "next"), roots)
-    pairs = _parted(small).where(near_prints("x.next", "y.next")).select(*ends)
-
-    keys = _rooted(distinct.select("fp", F.array_distinct("keys").alias("keys")), roots).select(F.explode("keys").alias("key"), "fp", "root")
-    spans = F.min("root").alias("p"), F.max("root").alias("q")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.min_by("root", "fp").alias("its"), *spans).where("p < q").drop("p", "q")
-    met = written(keys.join(shared, "key"), "met")
-    few, many = met.where(F.col("n") <= most_shared), met.where(F.col("n") > most_shared)
-    pairs = pairs.union(_parted(few).select(*ends)).union(many.where("its <> root").select(F.col("least").alias("a"), F.col("fp").alias("b")))
-    pairs = written(pairs.distinct(), "pairs")
-    second, sets = _near(pairs, _both(pairs).union(many.select("fp")), texts_of, width)
-    near = first.union(second)
-    roots = written(components(near), "roots")
-    rooted = _rooted(many.select("key", "n", "fp"), roots)
-    parted = rooted.groupBy("key").agg(*spans).where("p < q").select("key")
-    return near.union(written(_in_blocks(rooted.join(parted, "key").join(sets, "fp")), "blocks")).distinct()
+def links_of(keyed: DataFrame, signs: DataFrame, alike: Callable[[Column, Column], Column], texts_of: Callable[[DataFrame], DataFrame], width: int, most_shared: int = MOST_SHARED) -> DataFrame:
+    """(a, b): fewer links than sets, which join all near sets that share a key, and all that chains of such do.
+
+    keyed: key, fp. signs: fp, sign. alike: whether two signatures allow that their sets are near. texts_of: the texts (fp, __text) of a table of fps.
+    """
+    spans = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+    met = written(keyed.join(spans, "key"), "met")
+
+    def near(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The near ones of the pairs (a, b), and all of them."""
+        tried = written(pairs, "pairs")
+        left, right = (signs.select(F.col("fp").alias(c), F.col("sign").alias(f"__{c}")) for c in ("a", "b"))
+        own = written(tried.join(left, "a").join(right, "b").where(alike(F.col("__a"), F.col("__b"))).select("a", "b"), "alike")
+        sets = written(_sets(texts_of(own.select(F.col("a").alias("fp")).union(own.select("b")).distinct()), width), "sets")
+        held = own.join(sets.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b").join(sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a")
+        same = F.size(F.array_intersect("x", "y"))
+        out = written(held.where(SIMILAR[1] * same >= SIMILAR[0] * (F.size("x") + F.size("y") - same)).select("a", "b"), "near")
+        discard(sets)
+        return out, tried
+
+    def tree(edges: DataFrame) -> DataFrame:
+        return written(components(edges), "roots")
+
+    links = lambda roots: roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found, first = near(met.where("least < fp").groupBy("fp").agg(F.min("least").alias("a")).select("a", F.col("fp").alias("b")))
+    roots = tree(found)
+    held = _open(met, roots)
+    heads = held.where("root <> head.root").groupBy("root", "head.root").agg(F.min(F.struct(F.col("head.fp").alias("a"), F.col("fp").alias("b"))).alias("pair"))
+    found, second = near(heads.select("pair.*").join(first, ["a", "b"], "left_anti"))
+    roots = tree(links(roots).union(found))
+    held = _open(held, roots)
+    if held.isEmpty():
+        return links(roots)
+
+    def across(sets: DataFrame, fits: Callable[[str, str], Column]) -> DataFrame:
+        """The pairs of sets (key, fp, root, sign and others) of a key that are of two components and fit."""
+        met = sets.alias("x").join(sets.alias("y"), "key").where("x.fp < y.fp and x.root <> y.root").where(alike(F.col("x.sign"), F.col("y.sign"))).where(fits("x", "y"))
+        return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+
+    signed = held.join(signs, "fp")
+    pairs = across(signed.where(F.col("n") <= most_shared).select("key", "fp", "root", "sign"), lambda x, y: F.lit(True))
+    pool = written(signed.where(F.col("n") > most_shared).select("fp", "root").distinct(), "pool")
+    blocks = None
+    if not pool.isEmpty():
+        sets = written(_sets(texts_of(pool.select("fp")), width), "pool-sets")
+        rare = _prefixes(pool, sets)
+        shared = rare.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key", "n")
+        rare = written(rare.join(shared, "key"), "rare")
+        sizes = lambda x, y: SIMILAR[1] * F.least(F.col(f"{x}.size"), F.col(f"{y}.size")) >= SIMILAR[0] * F.greatest(F.col(f"{x}.size"), F.col(f"{y}.size"))
+        pairs = pairs.union(across(rare.where(F.col("n") <= most_shared).join(signs, "fp").select("key", "fp", "root", "sign", "size"), sizes))
+        blocks = written(_in_blocks(rare.where(F.col("n") > most_shared).select("key", "n", "fp", "root").join(sets, "fp")), "blocks")
+    found, _ = near(pairs.distinct().join(first.union(second), ["a", "b"], "left_anti"))
+    return links(tree(links(roots).union(found if blocks is None else found.union(blocks))))
+
+
+def links(distinct: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int = WIDTH, most_shared: int = MOST_SHARED) -> DataFrame:
+    """(a, b): links that join all near sets; distinct has fp, prints, keys and may have least, texts_of gives the texts (fp, __text) of fps."""
+    keyed = _coded(distinct).union(distinct.select(F.explode(F.array_distinct("keys")), "fp"))
+    signs = distinct.select("fp", F.slice("prints", 1, SIGNED).alias("sign"))
+
+    def alike(x: Column, y: Column) -> Column:
+        apart = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SIGNED)), F.lit(0))
+        return F.coalesce(apart <= APART, F.lit(True))
+
+    return links_of(keyed, signs, alike, texts_of, width, most_shared)
+
+
+def groups(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp, best, root: distinct (fp, best) with the component that the edges put each set in."""
+    roots = written(components(edges), "roots")
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
+
+
+def texts_by_set(named: DataFrame, distinct: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """fp, __text for a table of fps: the text of each set's best row; named: __k1, __k2, __text, distinct: fp, best."""
+
+    def texts_of(fps: DataFrame) -> DataFrame:
+        asked = distinct.join(fps, "fp", "left_semi").select("fp", F.col("best.__k1").alias("__k1"), F.col("best.__k2").alias("__k2"))
+        return named.select("__k1", "__k2", "__text").join(asked, ["__k1", "__k2"]).groupBy("fp").agg(F.first("__text").alias("__text"))
+
+    return texts_of
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", most_shared: int = MOST_SHARED) -> DataFrame:
@@ -229,12 +292,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", tex
         best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2")).alias("best")
         distinct = written(rows.groupBy("fp").agg(best, *(F.first(c).alias(c) for c in ("prints", "least", "keys"))), "distinct")
 
-        def texts_of(fps: DataFrame) -> DataFrame:
-            asked = distinct.join(fps, "fp", "left_semi").select("fp", F.col("best.__k1").alias("__k1"), F.col("best.__k2").alias("__k2"))
-            return named.select("__k1", "__k2", "__text").join(asked, ["__k1", "__k2"]).groupBy("fp").agg(F.first("__text").alias("__text"))
-
-        roots = written(components(links(distinct.select("fp", "prints", "least", "keys"), texts_of, width, most_shared)), "roots")
-        rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
+        rooted = groups(distinct, links(distinct.select("fp", "prints", "least", "keys"), texts_by_set(named, distinct), width, most_shared))
         first = rooted.groupBy("root").agg(F.min("best").alias("first"))
         stay = rooted.select("fp", "root").join(first, "root").select("fp", F.col("first.__k1").alias("s1"), F.col("first.__k2").alias("s2"))
         return one_row_each(named, rows.select("fp", "__k1", "__k2"), stay)
