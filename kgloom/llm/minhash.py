@@ -5,7 +5,7 @@ brings sets together; two sets of similarity 0.8 share none of the 32 keys 5 tim
 planes of 64-bit words: minima of one hash function agree in these bits if they are equal, and else by chance once in 2^BITS, so the share of
 agreeing places, counted by bits, less that chance estimates the similarity. Candidates of the bands whose estimate is below ``LEAST`` go, which a pair of
 similarity 0.8 is 4 times in 10^9 (not at all likelier given a shared band); the whole sets of the rest decide. Which candidates are made is told in
-:mod:`kgloom.llm.near_duplicates`: rounds of one partner a set, then an exact way for every key that is left.
+:mod:`kgloom.llm.near_duplicates`: signatures bring the sets of keys together, and the whole sets of what came together are compared in blocks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import named_rows, one_row_each, scratch, written
-from kgloom.llm.near_duplicates import MINIMA, MOST_SHARED, bands, groups, links_of, minima, shingles, texts_by_set
+from kgloom.llm.near_duplicates import MINIMA, MOST_SHARED, MOST_TOGETHER, Signatures, bands, groups, links_of, minima, shingles, texts_by_set
 
 WIDTH, BITS, LEAST = 2, 2, 0.5
 WORDS = MINIMA // 64
@@ -43,6 +43,18 @@ def similarity(x: Column, y: Column) -> Column:
     return ((MINIMA - apart) / MINIMA - chance) / (1 - chance)
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the estimate is at least ``LEAST``, all rows of packed signatures with all."""
+    apart = np.zeros((len(x), len(y)), np.int32)
+    for w in range(WORDS):
+        some = x[:, None, w] ^ y[None, :, w]
+        for k in range(1, BITS):
+            some |= x[:, None, k * WORDS + w] ^ y[None, :, k * WORDS + w]
+        apart += np.bitwise_count(some)
+    chance = 2.0**-BITS
+    return ((MINIMA - apart) / MINIMA - chance) / (1 - chance) >= LEAST
+
+
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     """__id, fp (names the set of shingles; null: the empty one), size, keys, sign of every row of docs (__id, __text)."""
     kind = docs.schema["__id"].dataType.simpleString()
@@ -61,18 +73,19 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("__id", "__text").mapInArrow(run, f"__id {kind}, fp bigint, size bigint, keys array<bigint>, sign array<bigint>")
 
 
-def _components(docs: DataFrame, width: int, most_shared: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _components(docs: DataFrame, width: int, most: tuple[int, int], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """named_rows; fp, size, __id, __k1, __k2 of every row; fp, best, root of every set that is not empty."""
     named = named_rows(docs, id_col, text_col)
     rows = written(_signed(named.select(F.struct("__id", "__k1", "__k2").alias("__id"), "__text"), width).select("fp", "size", "keys", "sign", "__id.*"), "prints", keep=True)
     best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2")).alias("best")
     distinct = written(rows.where("fp is not null").groupBy("fp").agg(best, F.first("keys").alias("keys"), F.first("sign").alias("sign")), "distinct")
     keyed = distinct.select(F.explode(F.array_distinct("keys")).alias("key"), "fp")
-    edges = links_of(keyed, distinct.select("fp", "sign"), lambda x, y: similarity(x, y) >= LEAST, texts_by_set(named, distinct), width, most_shared)
+    signs = Signatures(distinct.select("fp", "sign"), lambda x, y: similarity(x, y) >= LEAST, alike)
+    edges = links_of(keyed, signs, texts_by_set(named, distinct), width, *most)
     return named, rows, groups(distinct.select("fp", "best"), edges)
 
 
-def minhash_groups(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", most_shared: int = MOST_SHARED) -> DataFrame:
+def minhash_groups(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", most_shared: int = MOST_SHARED, most_together: int = MOST_TOGETHER) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Rows whose sets have a similarity of 0.8 or more are linked; component_id is the smallest id that chains of links reach, and a row is kept if it is
@@ -81,7 +94,7 @@ def minhash_groups(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     gives an empty one.
     """
     with scratch():
-        _, rows, rooted = _components(docs, width, most_shared, id_col, text_col)
+        _, rows, rooted = _components(docs, width, (most_shared, most_together), id_col, text_col)
         least = rooted.groupBy("root").agg(F.min("best.id").alias("component_id"))
         found = written(rooted.join(least, "root").select("fp", "component_id"), "found", keep=True)
         own = rows.where("fp is not null").join(found, "fp").select("__id", "size", "component_id")
@@ -89,13 +102,13 @@ def minhash_groups(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         return out.select(F.col("__id").alias(id_col), F.col("size").alias("n_shingles"), "component_id", (F.col("__id") == F.col("component_id")).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", most_shared: int = MOST_SHARED) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", most_shared: int = MOST_SHARED, most_together: int = MOST_TOGETHER) -> DataFrame:
     """docs, all their columns, with one row of each component of :func:`minhash_groups`: that of the smallest id (null ids last).
 
     Rows without words all stay. Of rows alike in id and text one stays, any of them. Column names may be of any kind; an empty table gives an empty one.
     """
     with scratch():
-        named, rows, rooted = _components(docs, width, most_shared, id_col, text_col)
+        named, rows, rooted = _components(docs, width, (most_shared, most_together), id_col, text_col)
         first = rooted.groupBy("root").agg(F.min("best").alias("first"))
         stay = rooted.select("fp", "root").join(first, "root").select("fp", F.col("first.__k1").alias("s1"), F.col("first.__k2").alias("s2"))
         bare = named.join(rows.where("fp is null").select("__k1", "__k2").distinct(), ["__k1", "__k2"], "left_semi").select("__row.*")

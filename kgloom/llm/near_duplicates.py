@@ -8,16 +8,16 @@ share a minimum as often as they are similar. A fingerprint bit of two sets of s
 kind is sure to bring them together. For what they leave parted there are MinHash bands: of a set's ``BANDS`` keys, each of ``ROWS`` minima, two sets of
 similarity j share one at least with probability 1 - (1 - j^ROWS)^BANDS, which is 0.999997 at 0.8.
 
-Sets that share a key are compared in rounds (:func:`links_of`), and each round knows the components of those before:
-
-1. each set with one partner, the least of the least sets of its keys;
-2. of each key that still holds sets of two components, one set a component with one of its least component, each two components once;
-3. what is left, exactly: in keys of at most ``MOST_SHARED`` sets all pairs across components. Larger keys give their sets to a pool, in which two sets of
-   similarity 0.8 share one of the rarest fifth of their shingles; sets that share such a shingle are compared, pairwise where they are few, and else in
-   blocks of about ``BLOCK`` sets, where a pair of blocks is one matrix product and gives no more links than it has sets.
-
-So every pair that shares a key is decided, or known to be in one component, and a group of n near copies makes about n links, not as many as its keys allow.
-Before whole sets are fetched, a signature that is too unlike refuses a pair.
+What is compared is found in two steps (:func:`links_of`). First, sets whose signatures are not too unlike for a near pair, and that share a key, come
+together: each set with the least of the least sets of its keys; then, of each key that still holds sets of two components, one set a component with the
+least; then, in the keys that are left, all with all by their signatures, which gives a tree of links a key. So a group of n near copies makes about n rows at
+each step, not as many as its keys or its pairs. Then the whole sets of each component are compared, all with all, in blocks of about ``BLOCK`` sets,
+where a pair of blocks is one matrix product that gives no more links than it has sets; a set is sent once for each block of its component.
+
+That takes the square of a component, so components of more than ``MOST_TOGETHER`` sets, as a template's pages make them, go another exact way: candidates
+with one partner a set and round, whose verdicts join components; then, in keys of at most ``MOST_SHARED`` sets, all pairs across components; larger keys
+give their sets to a pool, in which two sets of similarity 0.8 share one of the rarest fifth of their shingles, and sets that share such a shingle are
+compared, pairwise where they are few, and else in blocks.
 """
 
 from __future__ import annotations
@@ -37,11 +37,13 @@ from kgloom.llm.graph import components
 WIDTH = 5
 #: The least similarity of near duplicates, as a fraction.
 SIMILAR = (4, 5)
-#: Fingerprints of a set that are its signature. Of sets of similarity 0.8 at most 51 of these 256 bits differ on average (standard deviation 6), of sets apart 128.
-SIGNED, APART = 4, 96
+#: Fingerprints of a set that are its signature. Of sets of similarity 0.8 at most 96 of these 512 bits differ on average (standard deviation 9), of sets apart 256.
+SIGNED, APART = 8, 150
 BANDS, ROWS = 24, 4
 MOST_SHARED = 24
-BLOCK = 256
+BLOCK, MOST_TOGETHER = 256, 4096
+#: Rows of small groups that one call of a function takes, about.
+AT_ONCE = 2048
 _random = np.random.default_rng(42)
 #: Hash functions that minima may be taken under.
 MINIMA = 128
@@ -144,8 +146,13 @@ def tree_of_near(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         has[who[i:j], column[i:j] - a] = 1
         same += has @ has.T
     near = SIMILAR[1] * same >= SIMILAR[0] * (sizes[:, None] + sizes - same)
-    out, new = [], np.ones(n, bool)
-    for start in range(n):
+    return _tree(near)
+
+
+def _tree(near: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of places, at most one fewer than places, that join all that chains in a matrix of near places join."""
+    out, new = [], np.ones(len(near), bool)
+    for start in range(len(near)):
         if new[start]:
             new[start], todo = False, [start]
             while todo:
@@ -157,18 +164,35 @@ def tree_of_near(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _in_blocks(keyed: DataFrame) -> DataFrame:
-    """(a, b): links among the sets of each key, for key, n, fp, root, own; pairs of blocks that are one component already give none."""
+def _in_blocks(keyed: DataFrame, tree: Callable[[pd.DataFrame], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b): links among the rows (key, n, fp, root and others) of each key, as tree finds them; n: the rows of the key.
+
+    Small keys share calls; larger ones are compared in pairs of blocks of about ``BLOCK`` rows. What is one component already gives none.
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = keyed.withColumn("__i", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("__j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    own = own.select("key", F.least("__i", "__j").alias("__a"), F.greatest("__i", "__j").alias("__b"), "fp", "root", "own")
+    calls = max(1, keyed.where(F.col("n") <= BLOCK).count() // AT_ONCE)
+    own = keyed.withColumn("__i", F.when(blocks > 1, F.pmod(F.xxhash64("fp"), blocks).cast("int")).otherwise(0))
+    own = own.withColumn("__j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    call = F.when(blocks > 1, F.xxhash64("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(calls)))
+    rest = [c for c in keyed.columns if c not in ("key", "n")]
+    own = own.select(call.alias("__c"), (blocks > 1).alias("__many"), F.least("__i", "__j").alias("__a"), F.greatest("__i", "__j").alias("__b"), "key", *rest)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        fps = rows["fp"].to_numpy()
-        links = tree_of_near(rows["own"].tolist()) if rows["root"].nunique() > 1 else []
-        return pd.DataFrame([(fps[x], fps[y]) for x, y in links], columns=["a", "b"], dtype="int64")
+        rows = rows.sort_values("key", kind="stable", ignore_index=True)
+        keys, fps, roots = (rows[c].to_numpy() for c in ("key", "fp", "root"))
+        ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+        out, a = [], 0
+        for b in ends.tolist():
+            if b - a > 1 and (roots[a:b] != roots[a]).any():
+                out += [(fps[a + x], fps[a + y]) for x, y in tree(rows.iloc[a:b])]
+            a = b
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return own.groupBy("__c", "__many", "__a", "__b").applyInPandas(run, "a bigint, b bigint")
+
 
-    return own.groupBy("key", "__a", "__b").applyInPandas(run, "a bigint, b bigint")
+def _sets_near(rows: pd.DataFrame) -> list[tuple[int, int]]:
+    return tree_of_near(rows["own"].tolist())
 
 
 def _rooted(sets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -197,19 +221,76 @@ def _prefixes(pool: DataFrame, sets: DataFrame) -> DataFrame:
     return written(first.select("one.key", "fp", "root", "size").where("one.n > 1"), "prefixes")
 
 
-def links_of(keyed: DataFrame, signs: DataFrame, alike: Callable[[Column, Column], Column], texts_of: Callable[[DataFrame], DataFrame], width: int, most_shared: int = MOST_SHARED) -> DataFrame:
-    """(a, b): fewer links than sets, which join all near sets that share a key, and all that chains of such do.
+def _spanned(keyed: DataFrame) -> DataFrame:
+    """key, fp, n (sets of the key), least (the least of them) of the keys of several sets."""
+    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1"), "key")
 
-    keyed: key, fp. signs: fp, sign. alike: whether two signatures allow that their sets are near. texts_of: the texts (fp, __text) of a table of fps.
-    """
-    spans = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
-    met = written(keyed.join(spans, "key"), "met")
+
+def _stars(met: DataFrame) -> DataFrame:
+    """(a, b): each set with one other, the least of the least sets of its keys."""
+    return met.where("least < fp").groupBy("fp").agg(F.min("least").alias("a")).select("a", F.col("fp").alias("b"))
+
+
+def _heads(held: DataFrame) -> DataFrame:
+    """(a, b): of each component that shares a key with sets of a lesser one, one set and one of theirs."""
+    pairs = held.where("root <> head.root").groupBy("root", "head.root").agg(F.min(F.struct(F.col("head.fp").alias("a"), F.col("fp").alias("b"))).alias("pair"))
+    return pairs.select("pair.*")
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    return written(components(edges), "roots")
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+class Signatures:
+    """The signatures (fp, sign) of sets, and how far alike those of near sets are: ``bits`` of a matrix of words against another's give a matrix of truth values."""
+
+    def __init__(self, table: DataFrame, pair: Callable[[Column, Column], Column], rows: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+        self.table, self.pair, self.rows = table, pair, rows
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that may be near."""
+        left, right = (self.table.select(F.col("fp").alias(c), F.col("sign").alias(f"__{c}")) for c in ("a", "b"))
+        return pairs.join(left, "a").join(right, "b").where(self.pair(F.col("__a"), F.col("__b"))).select("a", "b")
+
+    def in_keys(self, held: DataFrame) -> DataFrame:
+        """(a, b): links that join all sets of a key that may be near."""
+        compare = self.rows
+
+        def tree(rows: pd.DataFrame) -> list[tuple[int, int]]:
+            words = [np.asarray(x, np.int64) for x in rows["sign"]]
+            if not all(map(len, words)):
+                return [(0, k) for k in range(1, len(words))]  # without signatures all may be near
+            own = np.stack(words).view(np.uint64)
+            return _tree(compare(own, own))
+
+        return _in_blocks(held.select("key", "n", "fp", "root").join(self.table, "fp"), tree)
+
+
+def _together(met: DataFrame, signs: Signatures) -> DataFrame:
+    """node, root: components of the sets that share a key and may be near by their signatures."""
+    roots = _roots(signs.alike(written(_stars(met), "pairs")))
+    held = _open(met, roots)
+    roots = _roots(_edges(roots).union(signs.alike(written(_heads(held), "pairs"))))
+    held = _open(held, roots)
+    # a key of two sets that are alone has been decided
+    alone = held.groupBy("key").agg(F.max("n").alias("m"), F.count_if(F.col("root") == F.col("fp")).alias("k"))
+    held = held.join(alone.where("m > 2 or k < 2").select("key"), "key", "left_semi")
+    if held.isEmpty():
+        return roots
+    return _roots(_edges(roots).union(written(signs.in_keys(held), "links").distinct()))
+
+
+def _in_rounds(met: DataFrame, signs: Signatures, texts_of: Callable[[DataFrame], DataFrame], width: int, most_shared: int) -> DataFrame:
+    """(a, b): links that join all near sets that share a key of met, without comparing all sets of a component."""
 
     def near(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The near ones of the pairs (a, b), and all of them."""
         tried = written(pairs, "pairs")
-        left, right = (signs.select(F.col("fp").alias(c), F.col("sign").alias(f"__{c}")) for c in ("a", "b"))
-        own = written(tried.join(left, "a").join(right, "b").where(alike(F.col("__a"), F.col("__b"))).select("a", "b"), "alike")
+        own = written(signs.alike(tried), "alike")
         sets = written(_sets(texts_of(own.select(F.col("a").alias("fp")).union(own.select("b")).distinct()), width), "sets")
         held = own.join(sets.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b").join(sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a")
         same = F.size(F.array_intersect("x", "y"))
@@ -217,26 +298,21 @@ def links_of(keyed: DataFrame, signs: DataFrame, alike: Callable[[Column, Column
         discard(sets)
         return out, tried
 
-    def tree(edges: DataFrame) -> DataFrame:
-        return written(components(edges), "roots")
-
-    links = lambda roots: roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    found, first = near(met.where("least < fp").groupBy("fp").agg(F.min("least").alias("a")).select("a", F.col("fp").alias("b")))
-    roots = tree(found)
+    found, first = near(_stars(met))
+    roots = _roots(found)
     held = _open(met, roots)
-    heads = held.where("root <> head.root").groupBy("root", "head.root").agg(F.min(F.struct(F.col("head.fp").alias("a"), F.col("fp").alias("b"))).alias("pair"))
-    found, second = near(heads.select("pair.*").join(first, ["a", "b"], "left_anti"))
-    roots = tree(links(roots).union(found))
+    found, second = near(_heads(held).join(first, ["a", "b"], "left_anti"))
+    roots = _roots(_edges(roots).union(found))
     held = _open(held, roots)
     if held.isEmpty():
-        return links(roots)
+        return _edges(roots)
 
     def across(sets: DataFrame, fits: Callable[[str, str], Column]) -> DataFrame:
         """The pairs of sets (key, fp, root, sign and others) of a key that are of two components and fit."""
-        met = sets.alias("x").join(sets.alias("y"), "key").where("x.fp < y.fp and x.root <> y.root").where(alike(F.col("x.sign"), F.col("y.sign"))).where(fits("x", "y"))
-        return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        own = sets.alias("x").join(sets.alias("y"), "key").where("x.fp < y.fp and x.root <> y.root").where(signs.pair(F.col("x.sign"), F.col("y.sign"))).where(fits("x", "y"))
+        return own.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
-    signed = held.join(signs, "fp")
+    signed = held.join(signs.table, "fp")
     pairs = across(signed.where(F.col("n") <= most_shared).select("key", "fp", "root", "sign"), lambda x, y: F.lit(True))
     pool = written(signed.where(F.col("n") > most_shared).select("fp", "root").distinct(), "pool")
     blocks = None
@@ -246,22 +322,48 @@ def links_of(keyed: DataFrame, signs: DataFrame, alike: Callable[[Column, Column
         shared = rare.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key", "n")
         rare = written(rare.join(shared, "key"), "rare")
         sizes = lambda x, y: SIMILAR[1] * F.least(F.col(f"{x}.size"), F.col(f"{y}.size")) >= SIMILAR[0] * F.greatest(F.col(f"{x}.size"), F.col(f"{y}.size"))
-        pairs = pairs.union(across(rare.where(F.col("n") <= most_shared).join(signs, "fp").select("key", "fp", "root", "sign", "size"), sizes))
-        blocks = written(_in_blocks(rare.where(F.col("n") > most_shared).select("key", "n", "fp", "root").join(sets, "fp")), "blocks")
+        pairs = pairs.union(across(rare.where(F.col("n") <= most_shared).join(signs.table, "fp").select("key", "fp", "root", "sign", "size"), sizes))
+        blocks = written(_in_blocks(rare.where(F.col("n") > most_shared).select("key", "n", "fp", "root").join(sets, "fp"), _sets_near), "blocks")
     found, _ = near(pairs.distinct().join(first.union(second), ["a", "b"], "left_anti"))
-    return links(tree(links(roots).union(found if blocks is None else found.union(blocks))))
+    return _edges(_roots(_edges(roots).union(found if blocks is None else found.union(blocks))))
+
+
+def links_of(keyed: DataFrame, signs: Signatures, texts_of: Callable[[DataFrame], DataFrame], width: int, most_shared: int = MOST_SHARED, most_together: int = MOST_TOGETHER) -> DataFrame:
+    """(a, b): links that join all near sets that share a key (key, fp), and so all that chains of such do.
+
+    texts_of: the texts (fp, __text) of a table of fps.
+    """
+    met = written(_spanned(keyed), "met")
+    roots = _together(met, signs)
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    placed = written(roots.join(sizes, "root").select(F.col("root").alias("key"), "n", F.col("node").alias("fp")), "placed")
+    sets = _sets(texts_of(placed.where(F.col("n") <= most_together).select("fp")), width)
+    own = placed.where(F.col("n") <= most_together).select("key", "n", "fp", F.col("fp").alias("root")).join(sets, "fp")
+    out = written(_in_blocks(own, _sets_near), "blocks")
+    large = placed.where(F.col("n") > most_together).select("fp")
+    if not large.isEmpty():
+        out = out.union(_in_rounds(written(_spanned(met.select("key", "fp").join(large, "fp", "left_semi")), "met"), signs, texts_of, width, most_shared))
+    return out
+
+
+def alike_prints(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows of fingerprints are at most ``APART`` bits apart, all with all."""
+    apart = np.zeros((len(x), len(y)), np.int32)
+    for k in range(x.shape[1]):
+        apart += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+    return apart <= APART
 
 
-def links(distinct: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int = WIDTH, most_shared: int = MOST_SHARED) -> DataFrame:
+def links(distinct: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int = WIDTH, most_shared: int = MOST_SHARED, most_together: int = MOST_TOGETHER) -> DataFrame:
     """(a, b): links that join all near sets; distinct has fp, prints, keys and may have least, texts_of gives the texts (fp, __text) of fps."""
     keyed = _coded(distinct).union(distinct.select(F.explode(F.array_distinct("keys")), "fp"))
-    signs = distinct.select("fp", F.slice("prints", 1, SIGNED).alias("sign"))
 
     def alike(x: Column, y: Column) -> Column:
         apart = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SIGNED)), F.lit(0))
         return F.coalesce(apart <= APART, F.lit(True))
 
-    return links_of(keyed, signs, alike, texts_of, width, most_shared)
+    signs = Signatures(distinct.select("fp", F.slice("prints", 1, SIGNED).alias("sign")), alike, alike_prints)
+    return links_of(keyed, signs, texts_of, width, most_shared, most_together)
 
 
 def groups(distinct: DataFrame, edges: DataFrame) -> DataFrame:
@@ -280,7 +382,7 @@ def texts_by_set(named: DataFrame, distinct: DataFrame) -> Callable[[DataFrame],
     return texts_of
 
 
-def one_of_each(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", most_shared: int = MOST_SHARED) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", most_shared: int = MOST_SHARED, most_together: int = MOST_TOGETHER) -> DataFrame:
     """docs, all their columns, with one row of each component of near duplicates: that of the smallest id (null ids last).
 
     Texts without words, null ones included, are copies of one another. Of rows alike in id and text one stays, any of them. Column
@@ -292,7 +394,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", tex
         best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2")).alias("best")
         distinct = written(rows.groupBy("fp").agg(best, *(F.first(c).alias(c) for c in ("prints", "least", "keys"))), "distinct")
 
-        rooted = groups(distinct, links(distinct.select("fp", "prints", "least", "keys"), texts_by_set(named, distinct), width, most_shared))
+        rooted = groups(distinct, links(distinct.select("fp", "prints", "least", "keys"), texts_by_set(named, distinct), width, most_shared, most_together))
         first = rooted.groupBy("root").agg(F.min("best").alias("first"))
         stay = rooted.select("fp", "root").join(first, "root").select("fp", F.col("first.__k1").alias("s1"), F.col("first.__k2").alias("s2"))
         return one_row_each(named, rows.select("fp", "__k1", "__k2"), stay)

@@ -47,14 +47,14 @@ def read(spark, path, rows):
     return spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("most", [24, 2])
-def test_like_brute_force(spark, tmp_path, monkeypatch, most):
+@pytest.mark.parametrize("most, together", [(24, 4096), (24, 1), (2, 1)])
+def test_like_brute_force(spark, tmp_path, monkeypatch, most, together):
     monkeypatch.setattr(near_duplicates, "BLOCK", 4)
     rnd = random.Random(5)
     texts = edits(rnd, 60, 140, 3) + ["", None, "  \n", "One", "one", "ONE ", "É x", "é x", "a b c a b c", "A b c"]
     rnd.shuffle(texts)
     rows = list(enumerate(texts))
-    got = minhash.minhash_groups(read(spark, f"{tmp_path}/d", rows), most_shared=most)
+    got = minhash.minhash_groups(read(spark, f"{tmp_path}/d", rows), most_shared=most, most_together=together)
     assert sorted(map(tuple, got.collect())) == expected(rows)
 
 
@@ -64,13 +64,13 @@ def template(rnd, n, share, size=60):
     return [" ".join(w if rnd.random() < share else f"x{rnd.randrange(10**6)}" for w in base) for _ in range(n)]
 
 
-@pytest.mark.parametrize("share, most", [(0.9, 24), (0.95, 8)])
-def test_templates_like_brute_force(spark, tmp_path, share, most):
+@pytest.mark.parametrize("share, most, together", [(0.9, 24, 4096), (0.9, 24, 20), (0.95, 8, 20)])
+def test_templates_like_brute_force(spark, tmp_path, share, most, together):
     """Texts that share keys and are refused by most of their kind: every pair that may be near is decided."""
     rnd = random.Random(11)
     texts = template(rnd, 150, share) + edits(rnd, 10, 20, 2)
     rows = list(enumerate(texts))
-    got = minhash.minhash_groups(read(spark, f"{tmp_path}/d", rows), most_shared=most)
+    got = minhash.minhash_groups(read(spark, f"{tmp_path}/d", rows), most_shared=most, most_together=together)
     assert sorted(map(tuple, got.collect())) == expected(rows)
 
 
@@ -87,6 +87,8 @@ def test_packed_bits_and_estimate(spark):
         want.append(((agree - 0.25) / 0.75, both / (2000 - both)))
         rows.append((minhash.packed(a).view(np.int64).tolist(), minhash.packed(b).view(np.int64).tolist()))
     df = spark.createDataFrame(rows, "x array<bigint>, y array<bigint>")
+    words = [[np.array([r[k]], np.int64).view(np.uint64) for r in rows] for k in (0, 1)]
+    assert [bool(minhash.alike(a, b)[0, 0]) for a, b in zip(*words)] == [w[0] >= minhash.LEAST for w in want]
     got = [r[0] for r in df.select(minhash.similarity(F.col("x"), F.col("y"))).collect()]
     assert got == pytest.approx([w[0] for w in want]) and all(abs(w[0] - w[1]) < 0.2 for w in want)
 
@@ -101,15 +103,15 @@ def test_estimate_refuses_no_near_pair():
         assert (np.mean((a & mask) == (b & mask)) - 0.25) / 0.75 >= minhash.LEAST
 
 
-@pytest.mark.parametrize("n", [300, 2000])
-def test_near_copies_make_fewer_than_two_pairs_a_set(spark, tmp_path, monkeypatch, n):
-    """A group of n near copies of one text is joined by about n candidates, not by as many as its keys allow."""
+@pytest.mark.parametrize("n, edits, together", [(2000, 2, 4096), (2000, 12, 4096), (2000, 2, 100)])
+def test_near_copies_make_fewer_than_two_pairs_a_set(spark, tmp_path, monkeypatch, n, edits, together):
+    """A group of n near copies of one text is joined by about n candidates a step, not by as many as its keys allow."""
     rnd = random.Random(9)
     base = [f"t{k}" for k in range(80)]
     texts = []
     for _ in range(n):
         t = list(base)
-        for _ in range(2):
+        for _ in range(rnd.randint(1, edits)):
             t[rnd.randrange(80)] = f"e{rnd.randrange(10**6)}"
         texts.append(" ".join(t))
     counts = {}
@@ -122,9 +124,10 @@ def test_near_copies_make_fewer_than_two_pairs_a_set(spark, tmp_path, monkeypatc
         return out
 
     monkeypatch.setattr(near_duplicates, "written", counted)
-    got = minhash.minhash_groups(read(spark, f"{tmp_path}/d", list(enumerate(texts))))
-    assert {r.component_id for r in got.collect()} == {0}
-    assert sum(counts["pairs"]) < 2 * n and sum(counts["near"]) < 2 * n
+    rows = list(enumerate(texts))
+    got = minhash.minhash_groups(read(spark, f"{tmp_path}/d", rows), most_together=together).collect()
+    assert {r.component_id for r in got} == {0} if edits == 2 else sorted(map(tuple, got)) == expected(rows)
+    assert all(sum(counts.get(name, [])) < 2 * n for name in ("pairs", "links", "near")), {k: v for k, v in counts.items() if k in ("pairs", "links", "near", "blocks")}
 
 
 def test_odd_rows(spark, odd, none, tmp_path):

@@ -49,10 +49,10 @@ def read(spark, tmp_path):
     return run
 
 
-@pytest.mark.parametrize("most", [24, 2])
-def test_kept_like_brute_force(read, edited, monkeypatch, most):
+@pytest.mark.parametrize("most, together", [(24, 4096), (24, 1), (2, 1)])
+def test_kept_like_brute_force(read, edited, monkeypatch, most, together):
     monkeypatch.setattr(near_duplicates, "BLOCK", 4)
-    got = near_duplicates.one_of_each(read(edited), most_shared=most)  # 2: most keys go by blocks
+    got = near_duplicates.one_of_each(read(edited), most_shared=most, most_together=together)  # 2: most keys go by blocks; 1: nothing is compared all with all
     assert sorted(r.doc_id for r in got.collect()) == kept(edited)
 
 
