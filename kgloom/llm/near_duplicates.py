@@ -165,9 +165,9 @@ def _tree(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _in_blocks(keyed: DataFrame, tree: Callable[[pd.DataFrame], list[tuple[int, int]]]) -> DataFrame:
-    """(a, b): links among the rows (key, n, fp, root and others) of each key, as tree finds them; n: the rows of the key.
+    """(a, b): links among the roots of the rows (key, n, fp, root and others) of each key, as tree finds them among the rows; n: the rows of the key.
 
-    Small keys share calls; larger ones are compared in pairs of blocks of about ``BLOCK`` rows. What is one component already gives none.
+    Small keys share calls, and a call tells a link once; larger ones are compared in pairs of blocks of about ``BLOCK`` rows.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     calls = max(1, keyed.where(F.col("n") <= BLOCK).count() // AT_ONCE)
@@ -178,15 +178,16 @@ def _in_blocks(keyed: DataFrame, tree: Callable[[pd.DataFrame], list[tuple[int,
     own = own.select(call.alias("__c"), (blocks > 1).alias("__many"), F.least("__i", "__j").alias("__a"), F.greatest("__i", "__j").alias("__b"), "key", *rest)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("key", kind="stable", ignore_index=True)
-        keys, fps, roots = (rows[c].to_numpy() for c in ("key", "fp", "root"))
+        rows = rows.sort_values(["key", "root"], ignore_index=True)  # the least root first, so that many keys tell the same links
+        keys, roots = rows["key"].to_numpy(), rows["root"].to_numpy()
         ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
-        out, a = [], 0
+        out, a = set(), 0
         for b in ends.tolist():
-            if b - a > 1 and (roots[a:b] != roots[a]).any():
-                out += [(fps[a + x], fps[a + y]) for x, y in tree(rows.iloc[a:b])]
+            if b - a > 1 and roots[a] != roots[b - 1]:
+                own = roots[a:b].tolist()
+                out |= {(own[x], own[y]) for x, y in tree(rows.iloc[a:b]) if own[x] != own[y]}
             a = b
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(list(out), columns=["a", "b"], dtype="int64")
 
     return own.groupBy("__c", "__many", "__a", "__b").applyInPandas(run, "a bigint, b bigint")
 
