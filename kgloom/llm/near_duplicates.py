@@ -282,7 +282,7 @@ def _together(met: DataFrame, signs: Signatures) -> DataFrame:
     held = held.join(alone.where("m > 2 or k < 2").select("key"), "key", "left_semi")
     if held.isEmpty():
         return roots
-    return _roots(_edges(roots).union(written(signs.in_keys(held), "links").distinct()))
+    return _roots(_edges(roots).union(written(signs.in_keys(held).distinct(), "links")))
 
 
 def _in_rounds(met: DataFrame, signs: Signatures, texts_of: Callable[[DataFrame], DataFrame], width: int, most_shared: int) -> DataFrame:
