@@ -87,14 +87,70 @@ def scores(entity_f1: Column, relation_f1: Column, violations: Column, n_triples
     return {"accuracy_score": acc, "consistency_score": cons, "completeness_score": comp, "total_score": WEIGHTS["accuracy"] * acc + WEIGHTS["consistency"] * cons + WEIGHTS["completeness"] * comp}
 
 
+def _tagged(predicted: DataFrame, gold_entities: DataFrame, gold: DataFrame, relations: DataFrame) -> DataFrame:
+    """tag, a, r, b, bits: what the metrics count, as keys with flags.
+
+    n: a name, f: a fact, t: a relation (bits: 1 predicted, 2 true); e: a raw name, d: a raw name and a neighbour; s: a symmetric fact, its ends in order (bits: 1
+    and 2 the two directions); m: a head and tail and a pair of relations that exclude each other (bits: 1 and 2 the two); c and v: a row, and one off the schema, keyed by
+    its relation. The catalog is packed into one row.
+    """
+    none = F.lit(None).cast("string")
+    key = lambda tag, a=none, r=none, b=none, bits=1: F.struct(F.lit(tag).alias("tag"), a.alias("a"), r.alias("r"), b.alias("b"), F.lit(bits).alias("bits"))
+    h, r, t = F.col("head"), F.col("relation"), F.col("tail")
+
+    def both(side: int) -> list[Column]:
+        return [key("f", entity_name(h), r, entity_name(t), side), key("t", none, r, none, side)]
+
+    pairs = F.coalesce("mutex_with", F.array().cast("array<string>"))
+    packed = relations.agg(F.collect_set("name").alias("__names"), F.collect_set(F.when(F.col("is_symmetric"), F.col("name"))).alias("__sym"), F.flatten(F.collect_list(F.transform(pairs, lambda x: F.struct(F.col("name").alias("r1"), x.alias("r2"))))).alias("__mutex"))
+    ordered = (h <= t) | h.isNull() | t.isNull()
+    symmetric = F.when(F.coalesce(F.array_contains("__sym", r), F.lit(False)), F.array(F.when(ordered, key("s", h, r, t)).otherwise(key("s", t, r, h, 2))))
+    half = lambda p: F.array(
+        F.when(r == p["r1"], key("m", h, F.concat_ws(chr(0), p["r1"], p["r2"]), t, 1)), F.when(r == p["r2"], key("m", h, F.concat_ws(chr(0), p["r1"], p["r2"]), t, 2))
+    )
+    mutex = F.when(h.isNotNull() & t.isNotNull() & r.isNotNull(), F.array_compact(F.flatten(F.transform(F.array_distinct("__mutex"), half))))
+    off = F.when(~F.coalesce(F.array_contains("__names", r), F.lit(False)), F.array(key("v", none, r)))
+    own = [key("n", entity_name(h)), key("n", entity_name(t)), *both(1), key("e", h), key("e", t), key("d", h, none, t), key("d", t, none, h), key("c", none, r)]
+    empty = F.array().cast("array<struct<tag:string,a:string,r:string,b:string,bits:int>>")
+    parts = [F.array(*own), *(F.coalesce(x, empty) for x in (symmetric, mutex, off))]
+    told = predicted.select("head", "relation", "tail").crossJoin(F.broadcast(packed)).select(F.explode(F.concat(*parts)).alias("k"))
+    true = gold.select("head", "relation", "tail").select(F.explode(F.array(*both(2))).alias("k"))
+    named = gold_entities.select(key("n", entity_name(F.col("entity")), bits=2).alias("k"))
+    return told.union(true).union(named).select("k.*")
+
+
 def evaluation(predicted: DataFrame, gold_entities: DataFrame, gold: DataFrame, relations: DataFrame) -> DataFrame:
-    """The metrics document of one row: structs accuracy, consistency, completeness, and the scores."""
-    acc = accuracy(predicted, gold_entities, gold).select(F.struct("entity", "relation").alias("accuracy"))
-    cons = consistency(predicted, relations).select(F.struct("*").alias("consistency"))
-    comp = completeness(predicted, gold_entities, gold.select("relation")).select(F.struct("*").alias("completeness"))
+    """The metrics document of one row: structs accuracy, consistency, completeness, and the scores.
+
+    Each table is read once: what is counted is tagged, grouped with its flags and added up, so there is one shuffle of partial groups.
+    """
+    keys = _tagged(predicted, gold_entities, gold, relations).groupBy("tag", "a", "r", "b").agg(F.bit_or("bits").alias("bits"), F.count("*").alias("n"))
+    tag, bits = F.col("tag"), F.col("bits")
+    has = lambda t, bit: F.count_if((tag == t) & (bits.bitwiseAND(bit) != 0))
+    each = lambda t: F.count_if((tag == t) & (bits == 3))
+    rows = lambda t: F.coalesce(F.sum(F.when(tag == t, F.col("n"))), F.lit(0))
+    # a fact with both ends alike is its own inverse; one with an end missing has none
+    lacks = (tag == "s") & (bits != 3) & ((F.col("a") != F.col("b")) | F.col("a").isNull() | F.col("b").isNull())
+    counts = keys.agg(
+        *(c.alias(f"{t}_{name}") for t in "nft" for name, c in (("correct", each(t)), ("predicted", has(t, 1)), ("gold", has(t, 2)))),
+        rows("v").alias("schema_violations"), F.count_if(lacks).alias("symmetric_violations"), each("m").alias("mutex_violations"), rows("c").alias("n_triples"), has("e", 1).alias("raw"), has("d", 1).alias("near"),
+    )
+
+    def prf_of(t: str) -> Column:
+        c, p, g = (F.col(f"{t}_{name}") for name in ("correct", "predicted", "gold"))
+        precision, recall = ratio(c, p), ratio(c, g)
+        return F.struct(c.alias("correct"), p.alias("predicted"), g.alias("gold"), precision.alias("precision"), recall.alias("recall"), f1(precision, recall).alias("f1"))
+
+    recall = lambda t: ratio(F.col(f"{t}_correct"), F.col(f"{t}_gold"))
+    names_n, none = F.col("n_predicted"), F.lit(0).cast("bigint")
+    shape = F.struct(
+        recall("n").alias("entity_coverage"), recall("t").alias("relation_coverage"), names_n.alias("entity_count"), F.col("n_triples").alias("relation_count"), ratio(names_n, F.col("n_triples")).alias("entity_relation_ratio"),
+        none.alias("isolated_entities_count"), ratio(none, names_n).alias("isolated_entities_rate"), ratio(F.col("near"), F.col("raw")).alias("avg_connectivity"),
+    )
+    out = counts.select(F.struct(prf_of("n").alias("entity"), prf_of("f").alias("relation")).alias("accuracy"), F.struct("schema_violations", "symmetric_violations", "mutex_violations", "n_triples").alias("consistency"), shape.alias("completeness"))
     c = F.col
     own = scores(c("accuracy.entity.f1"), c("accuracy.relation.f1"), c("consistency.schema_violations") + c("consistency.symmetric_violations") + c("consistency.mutex_violations"), c("consistency.n_triples"), c("completeness.entity_coverage"), c("completeness.relation_coverage"), c("completeness.isolated_entities_rate"))
-    return acc.crossJoin(cons).crossJoin(comp).select("*", *(v.alias(k) for k, v in own.items()))
+    return out.select("*", *(v.alias(k) for k, v in own.items()))
 
 
 def violation_examples(predicted: DataFrame, relations: DataFrame, k: int = 5) -> DataFrame:

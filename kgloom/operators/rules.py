@@ -35,38 +35,79 @@ def mutex_violations(triples: DataFrame, pairs: DataFrame) -> DataFrame:
 def resolve_mutex(triples: DataFrame, pairs: DataFrame, preferred: str = "normalized") -> DataFrame:
     """Where a head and tail have a conflicting pair, one triple stays: of the preferred method first, then of the smallest relation.
 
-    Conflicts are order-aware: (r1, r2) counts if a triple of r1 comes before one of r2. Conflict-free groups pass unchanged.
+    Conflicts are order-aware: (r1, r2) counts if a triple of r1 comes before one of r2. Conflict-free groups pass unchanged. Only triples of relations that
+    exclude some other are aggregated, to the first and last place of each relation of a head and tail; the catalog of pairs is one packed row.
     """
-    first = triples.groupBy("head", "tail", "relation").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
-    one = first.join(pairs, F.col("relation") == F.col("r1")).select("head", "tail", "r2", "lo")
-    two = first.select("head", "tail", F.col("relation").alias("r2"), "hi")
-    bad = one.join(two, ["head", "tail", "r2"]).where("lo < hi").select("head", "tail").distinct()
+    sides = pairs.select(F.explode(F.array("r1", "r2")).alias("relation")).distinct()
+    spans = triples.join(F.broadcast(sides), "relation", "left_semi").groupBy("head", "tail", "relation").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
+    own = spans.groupBy("head", "tail").agg(F.collect_list(F.struct("relation", "lo", "hi")).alias("own")).where(F.size("own") > 1)
+    packed = pairs.where("r1 is not null and r2 is not null").agg(F.collect_set(F.struct("r1", "r2")).alias("pairs"))
+    meets = lambda p: F.exists("own", lambda x: (x["relation"] == p["r1"]) & F.exists("own", lambda y: (y["relation"] == p["r2"]) & (x["lo"] < y["hi"])))
+    bad = own.crossJoin(F.broadcast(packed)).where(F.exists("pairs", meets)).select("head", "tail")
     rank = F.struct(F.when(F.col("method") == preferred, 0).otherwise(1), "relation", "ord")
     rest = [c for c in triples.columns if c not in ("head", "tail")]
     kept = triples.join(bad, ["head", "tail"], "left_semi").groupBy("head", "tail").agg(F.min_by(F.struct(*rest), rank).alias("k")).select("head", "tail", *(F.col(f"k.`{c}`").alias(c) for c in rest))
     return triples.join(bad, ["head", "tail"], "left_anti").select(*triples.columns).unionByName(kept)
 
 
-def transitive_gaps(edges: DataFrame) -> DataFrame:
-    """Relation, a, b, c for each path a-b-c of one relation without an edge a-c; edges are distinct (head, relation, tail)."""
-    own = edges.select("head", "relation", "tail").distinct()
-    left = own.select("relation", F.col("head").alias("a"), F.col("tail").alias("b"))
-    right = own.select("relation", F.col("head").alias("b"), F.col("tail").alias("c"))
-    closed = own.select("relation", F.col("head").alias("a"), F.col("tail").alias("c"))
-    return left.join(right, ["relation", "b"]).join(closed, ["relation", "a", "c"], "left_anti").select("relation", "a", "b", "c")
+#: Edges of one side of a middle that meet in one task.
+HUB = 1024
 
 
-def substring_pairs(names: DataFrame, gram: int = 3) -> DataFrame:
-    """entity_1 < entity_2 of which one holds the other.
+def _paths(edges: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
+    """(relation, a, b, c for all paths a-b-c; relation, a, c for all edges). A middle's edges are dealt into blocks of about hub, and each pair of blocks is a key of the join."""
+    own = edges.select("relation", "head", "tail").distinct()
+    ends = own.select("relation", F.col("tail").alias("b"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(own.select("relation", "head", F.lit(0), F.lit(1)))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / hub)).cast("bigint")
+    middles = ends.groupBy("relation", "b").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out")).where("n_in > 0 and n_out > 0").select("relation", "b", blocks("n_in").alias("ins"), blocks("n_out").alias("outs"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = own.select("relation", F.col("head").alias("a"), F.col("tail").alias("b")).join(middles, ["relation", "b"])
+    left = left.select("relation", "a", "b", F.pmod(F.xxhash64("a"), F.col("ins")).alias("i"), every("outs").alias("o"))
+    right = own.select("relation", F.col("head").alias("b"), F.col("tail").alias("c")).join(middles, ["relation", "b"])
+    right = right.select("relation", "b", "c", F.pmod(F.xxhash64("c"), F.col("outs")).alias("o"), every("ins").alias("i"))
+    return left.join(right, ["relation", "b", "i", "o"]), own.select("relation", F.col("head").alias("a"), F.col("tail").alias("c"))
+
+
+def transitive_gaps(edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """Relation, a, b, c for each path a-b-c of one relation without an edge a-c; edges are distinct (head, relation, tail).
+
+    Every path through a hub is a row, but no task makes those of more than hub x hub edges for one key.
+    """
+    paths, closed = _paths(edges, hub)
+    return paths.join(closed, ["relation", "a", "c"], "left_anti").select("relation", "a", "b", "c")
+
 
-    No pairs are tried: the shorter one's first characters, up to ``gram``, must occur in the longer one, so names meet on their grams
-    (each once a name), and candidates are verified.
+def gap_counts(edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """Relation, a, c, n: how many paths lead from a to c where no edge does. Paths are added up where they arise, so only ends are shuffled."""
+    paths, closed = _paths(edges, hub)
+    return paths.groupBy("relation", "a", "c").agg(F.count("*").alias("n")).join(closed, ["relation", "a", "c"], "left_anti")
+
+
+def substring_keys(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(inner, g; outer, g) for J9: one gram of each name, and all of its grams (as hashes) whose lengths are powers of 2.
+
+    The one gram is as long as half the name at least, and of those the one that the fewest names hold: a beginning that many names have in common is
+    no key as long as something else tells them apart.
     """
     own = names.select("entity").where(F.length("entity") > 0).distinct()
-    short = own.select(F.col("entity").alias("inner"), F.substring("entity", 1, gram).alias("g"))
     n = F.length("entity")
-    grams = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring("entity", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    long = own.select(F.col("entity").alias("outer"), F.explode(F.array_distinct(F.concat(*(grams(k) for k in range(1, gram + 1))))).alias("g"))
+    grams = lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(size, F.substring(F.col("entity"), i, size)))
+    sizes = F.transform(F.sequence(F.lit(0), F.floor(F.log2(n.cast("double"))).cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    # log2 may be a hair too low or high: what does not fit goes
+    fitting = F.filter(sizes, lambda size: size <= n)
+    every = own.select("entity", F.explode(F.array_distinct(F.flatten(F.transform(fitting, grams)))).alias("g"))
+    half = own.select("entity", F.explode(F.array_distinct(grams(F.array_max(fitting)))).alias("g"))
+    often = every.groupBy("g").agg(F.count("*").alias("__n"))
+    rarest = half.join(often, "g").groupBy("entity").agg(F.min_by("g", F.struct("__n", "g")).alias("g"))
+    return rarest.select(F.col("entity").alias("inner"), "g"), every.select(F.col("entity").alias("outer"), "g")
+
+
+def substring_pairs(names: DataFrame) -> DataFrame:
+    """entity_1 < entity_2 of which one holds the other.
+
+    No pairs are tried: the shorter one's rarest gram of half its length must occur in the longer one, so names meet on it, and candidates are verified.
+    """
+    short, long = substring_keys(names)
     met = short.join(long, "g").where((F.length("inner") < F.length("outer")) & F.contains("outer", "inner"))
     return met.select(F.least("inner", "outer").alias("entity_1"), F.greatest("inner", "outer").alias("entity_2"))
 
