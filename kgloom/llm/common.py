@@ -1,84 +1,18 @@
-"""What the operators of this subpackage share: the written tables that cut lineage, row keys, and batch helpers."""
+"""What the operators of this subpackage share: row keys and batch helpers, and the library's written tables that cut lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
-from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A batch that crosses to Python holds about this many bytes of text at most (one longer text makes a batch of its own).
-BATCH_BYTES = 4 << 20
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a local session, whose tasks run in the driver's process, may leave it unset; then a temporary folder is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="kgloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
+from kgloom.session import discard, new_folder, scratch, shared_folder, written
 
-#: Spark's setting by which a finished query's shuffle files go at once instead of when the driver collects its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+__all__ = ["BATCH_BYTES", "Cache", "by_bytes", "bytes_of", "discard", "named_rows", "new_folder", "one_row_each", "row_key", "scratch", "shared_folder", "written"]
 
-
-_own: ContextVar[list[DataFrame] | None] = ContextVar("tables", default=None)
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """The tables that are written within are deleted when it ends, but those that are written to be kept."""
-    tables: list[DataFrame] = []
-    token = _own.set(tables)
-    try:
-        yield
-    finally:
-        _own.reset(token)
-        discard(*tables)
-
-
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: lineage ends here, and lost executors lose nothing.
-
-    The shuffle files of the job are dropped when it is done, for nothing reads them again. keep: an operator's result reads the table, so it
-    stays when the operator's scratch ends.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    if not keep and (own := _own.get()) is not None:
-        own.append(out)
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing will read again: all that was made from them must have been written."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: A batch that crosses to Python holds about this many bytes of text at most (one longer text makes a batch of its own).
+BATCH_BYTES = 4 << 20
 
 
 def row_key(*cols: Column) -> list[Column]:

@@ -1,38 +1,5 @@
-"""Connected components by alternating large and small stars; nothing is gathered in one task or on the driver."""
+"""Connected components, as the whole library has them."""
 
-from __future__ import annotations
+from kgloom.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from kgloom.llm.common import discard, written
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Joins each neighbour of a node to the least of the node and its neighbours: the greater ones, or the smaller ones and the node."""
-    if large:
-        near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        moved = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:  # edges lead from the greater to the smaller
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return moved.where("a > b").distinct()
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node of its component) of every node that some edge (a, b) joins to another."""
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    mark = state(now)
-    for _ in range(most_rounds):
-        if not mark[0]:
-            break
-        before, now = now, written(_star(_star(now, True), False), "edges")
-        discard(before)
-        last, mark = mark, state(now)
-        if mark == last:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+__all__ = ["components"]

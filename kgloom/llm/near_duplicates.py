@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kgloom.llm import simhash
 from kgloom.llm.common import discard, named_rows, one_row_each, scratch, written
-from kgloom.llm.graph import components
+from kgloom.operators.components import components
 
 WIDTH = 5
 #: The least similarity of near duplicates, as a fraction.

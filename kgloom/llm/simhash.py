@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import named_rows, one_row_each, scratch, written
-from kgloom.llm.graph import components
+from kgloom.operators.components import components
 
 #: Generator polynomial of the Golay code (fixed value): x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
