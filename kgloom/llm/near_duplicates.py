@@ -201,10 +201,14 @@ def _rooted(sets: DataFrame, roots: DataFrame) -> DataFrame:
     return sets.join(roots, sets["fp"] == roots["node"], "left").select(*sets.columns, F.coalesce("root", "fp").alias("root"))
 
 
-def _open(keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, n, fp, root, head (the least root of the key and the least of its sets in the key) of the keys whose sets are of several components."""
+def _open(keyed: DataFrame, roots: DataFrame, decided: bool = False) -> DataFrame:
+    """key, n, fp, root, head (the least root of the key and the least of its sets in the key) of the keys whose sets are of several components.
+
+    decided: keys of two sets that are alone have been decided, and are not open.
+    """
     rooted = _rooted(keyed.select("key", "n", "fp"), roots)
-    spans = rooted.groupBy("key").agg(F.min(F.struct("root", "fp")).alias("head"), F.max("root").alias("q")).where("head.root < q").drop("q")
+    spans = rooted.groupBy("key").agg(F.min(F.struct("root", "fp")).alias("head"), F.max("root").alias("q"), F.max("n").alias("m"), F.count_if(F.col("root") == F.col("fp")).alias("alone"))
+    spans = spans.where("head.root < q").where("m > 2 or alone < 2" if decided else "true").select("key", "head")
     return written(rooted.join(spans, "key"), "open")
 
 
@@ -273,13 +277,11 @@ class Signatures:
 
 def _together(met: DataFrame, signs: Signatures) -> DataFrame:
     """node, root: components of the sets that share a key and may be near by their signatures."""
-    roots = _roots(signs.alike(written(_stars(met), "pairs")))
-    held = _open(met, roots)
-    roots = _roots(_edges(roots).union(signs.alike(written(_heads(held), "pairs"))))
-    held = _open(held, roots)
-    # a key of two sets that are alone has been decided
-    alone = held.groupBy("key").agg(F.max("n").alias("m"), F.count_if(F.col("root") == F.col("fp")).alias("k"))
-    held = held.join(alone.where("m > 2 or k < 2").select("key"), "key", "left_semi")
+    roots, held = _roots(signs.alike(written(_stars(met), "pairs"))), met
+    for last in (False, True):
+        held = _open(held, roots, decided=last)
+        roots = _roots(_edges(roots).union(signs.alike(written(_heads(held), "pairs"))))
+    held = _open(held, roots, decided=True)
     if held.isEmpty():
         return roots
     return _roots(_edges(roots).union(written(signs.in_keys(held).distinct(), "links")))
