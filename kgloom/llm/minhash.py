@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import named_rows, one_row_each, scratch, written
-from kgloom.llm.near_duplicates import MINIMA, MOST_SHARED, MOST_TOGETHER, Signatures, bands, groups, links_of, minima, shingles, texts_by_set
+from kgloom.llm.near_duplicates import MINIMA, MOST_SHARED, MOST_TOGETHER, ROWS, Signatures, bands, groups, links_of, minima, shingles, texts_by_set
 
 WIDTH, BITS, LEAST = 2, 2, 0.5
 WORDS = MINIMA // 64
@@ -81,7 +81,7 @@ def _components(docs: DataFrame, width: int, most: tuple[int, int], id_col: str,
     distinct = written(rows.where("fp is not null").groupBy("fp").agg(best, F.first("keys").alias("keys"), F.first("sign").alias("sign")), "distinct")
     keyed = distinct.select(F.explode(F.array_distinct("keys")).alias("key"), "fp")
     signs = Signatures(distinct.select("fp", "sign"), lambda x, y: similarity(x, y) >= LEAST, alike)
-    edges = links_of(keyed, signs, texts_by_set(named, distinct), width, *most)
+    edges = links_of(keyed, signs, texts_by_set(named, distinct), width, MINIMA // ROWS // 8, *most)
     return named, rows, groups(distinct.select("fp", "best"), edges)
 
 

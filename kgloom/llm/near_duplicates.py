@@ -237,9 +237,10 @@ def _stars(met: DataFrame) -> DataFrame:
 
 
 def _heads(held: DataFrame) -> DataFrame:
-    """(a, b): of each component that shares a key with sets of a lesser one, one set and one of theirs."""
-    pairs = held.where("root <> head.root").groupBy("root", "head.root").agg(F.min(F.struct(F.col("head.fp").alias("a"), F.col("fp").alias("b"))).alias("pair"))
-    return pairs.select("pair.*")
+    """(a, b, keys): of each component that shares keys with a lesser one, one set and one of theirs, and how many keys these are."""
+    pair = F.min(F.struct(F.col("head.fp").alias("a"), F.col("fp").alias("b"))).alias("pair")
+    pairs = held.where("root <> head.root").groupBy("root", "head.root").agg(pair, F.count_distinct("key").alias("keys"))
+    return pairs.select("pair.*", "keys")
 
 
 def _roots(edges: DataFrame) -> DataFrame:
@@ -275,12 +276,16 @@ class Signatures:
         return _in_blocks(held.select("key", "n", "fp", "root").join(self.table, "fp"), tree)
 
 
-def _together(met: DataFrame, signs: Signatures) -> DataFrame:
-    """node, root: components of the sets that share a key and may be near by their signatures."""
+def _together(met: DataFrame, signs: Signatures, many: int) -> DataFrame:
+    """node, root: components of the sets that share a key and may be near by their signatures.
+
+    Components that share many keys are one without a look at signatures: that only makes more to compare, and leaves no key of theirs open.
+    """
     roots, held = _roots(signs.alike(written(_stars(met), "pairs"))), met
     for last in (False, True):
         held = _open(held, roots, decided=last)
-        roots = _roots(_edges(roots).union(signs.alike(written(_heads(held), "pairs"))))
+        heads = written(_heads(held), "pairs")
+        roots = _roots(_edges(roots).union(signs.alike(heads.where(F.col("keys") < many).select("a", "b"))).union(heads.where(F.col("keys") >= many).select("a", "b")))
     held = _open(held, roots, decided=True)
     if held.isEmpty():
         return roots
@@ -304,7 +309,7 @@ def _in_rounds(met: DataFrame, signs: Signatures, texts_of: Callable[[DataFrame]
     found, first = near(_stars(met))
     roots = _roots(found)
     held = _open(met, roots)
-    found, second = near(_heads(held).join(first, ["a", "b"], "left_anti"))
+    found, second = near(_heads(held).select("a", "b").join(first, ["a", "b"], "left_anti"))
     roots = _roots(_edges(roots).union(found))
     held = _open(held, roots)
     if held.isEmpty():
@@ -331,13 +336,13 @@ def _in_rounds(met: DataFrame, signs: Signatures, texts_of: Callable[[DataFrame]
     return _edges(_roots(_edges(roots).union(found if blocks is None else found.union(blocks))))
 
 
-def links_of(keyed: DataFrame, signs: Signatures, texts_of: Callable[[DataFrame], DataFrame], width: int, most_shared: int = MOST_SHARED, most_together: int = MOST_TOGETHER) -> DataFrame:
+def links_of(keyed: DataFrame, signs: Signatures, texts_of: Callable[[DataFrame], DataFrame], width: int, many: int, most_shared: int = MOST_SHARED, most_together: int = MOST_TOGETHER) -> DataFrame:
     """(a, b): links that join all near sets that share a key (key, fp), and so all that chains of such do.
 
-    texts_of: the texts (fp, __text) of a table of fps.
+    texts_of: the texts (fp, __text) of a table of fps. many: keys that bring sets together whatever their signatures.
     """
     met = written(_spanned(keyed), "met")
-    roots = _together(met, signs)
+    roots = _together(met, signs, many)
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
     placed = written(roots.join(sizes, "root").select(F.col("root").alias("key"), "n", F.col("node").alias("fp")), "placed")
     sets = _sets(texts_of(placed.where(F.col("n") <= most_together).select("fp")), width)
@@ -366,7 +371,7 @@ def links(distinct: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width
         return F.coalesce(apart <= APART, F.lit(True))
 
     signs = Signatures(distinct.select("fp", F.slice("prints", 1, SIGNED).alias("sign")), alike, alike_prints)
-    return links_of(keyed, signs, texts_of, width, most_shared, most_together)
+    return links_of(keyed, signs, texts_of, width, (3 * simhash.PRINTS + BANDS) // 8, most_shared, most_together)
 
 
 def groups(distinct: DataFrame, edges: DataFrame) -> DataFrame:
