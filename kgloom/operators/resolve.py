@@ -3,40 +3,157 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.operators.components import components
+from kgloom.session import scratch, written
+
 #: A block of the similarity join holds vectors of so many bytes as doubles, and where tasks would be few, so many vectors at least.
 BLOCK_BYTES, BLOCK_LEAST = 32 << 20, 2048
 #: Products that a task holds at a time.
 CELLS = 1 << 22
+#: Pivots of the similarity join at most; all of them go to every task.
+MOST_PIVOTS = 256
+#: Angles are compared with this much to spare.
+SLACK = 1e-6
+
+
+@dataclass
+class Plan:
+    """How a similarity join is dealt: cells by pivots, or a single cell without."""
+
+    pivots: np.ndarray | None
+    #: By cell: home vectors, visiting vectors, blocks of each.
+    homes: list[int]
+    visitors: list[int]
+    blocks: list[tuple[int, int]]
+    radius: np.ndarray | None
+    reach: float
+
+    @property
+    def products(self) -> int:
+        """Products of two vectors that the join makes, about."""
+        return sum(h * (h + 1) // 2 + h * v for h, v in zip(self.homes, self.visitors))
+
+    @property
+    def copies(self) -> int:
+        """Vectors that the join shuffles."""
+        return sum(h * (b + v) + n * b for h, n, (b, v) in zip(self.homes, self.visitors, self.blocks))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm == 0, 1, norm)
 
 
-def _blocks(vectors: DataFrame) -> int:
-    """As few blocks as their size allows, for each vector is shuffled once a block; but enough for some pairs of blocks a core."""
-    n, size = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+def _visits(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray | None = None, reach: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home cell, angle to its pivot, which later cells each vector visits).
+
+    A vector within reach of some vector of a cell is at most reach and the cell's radius away from its pivot; and, as that other one is not nearer to this
+    one's pivot than to its own, at most twice the reach farther from that pivot than from its own.
+    """
+    angle = np.arccos(np.clip(_unit(x) @ pivots.T, -1, 1))
+    home = angle.argmin(1)
+    own = angle[np.arange(len(x)), home]
+    if radius is None:
+        return home, own, np.zeros((0, 0), bool)
+    near = (angle <= radius + reach + SLACK) & (angle - own[:, None] <= 2 * reach + SLACK) & (np.arange(len(pivots)) > home[:, None])
+    return home, own, near
+
+
+def plan(vectors: DataFrame, threshold: float, blocks: int | None = None, most_pivots: int = MOST_PIVOTS) -> Plan:
+    """How :func:`similar_pairs` deals (id, vector): by pivots where that takes fewer products than all pairs, and no more copies of vectors."""
+    own = vectors.select("id", "vector").dropna()
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    n, size, square = own.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1)), F.coalesce(F.max(squares), F.lit(0.0))).first()
+    most = max(1, BLOCK_BYTES // (8 * size))
     tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
-    return max(1, math.ceil(n * 8 * size / BLOCK_BYTES), min(math.ceil(n / BLOCK_LEAST), math.ceil(math.sqrt(2 * tasks))))
+    plain = blocks or max(1, math.ceil(n / most), min(math.ceil(n / BLOCK_LEAST), math.ceil(math.sqrt(2 * tasks))))
+    whole = Plan(None, [n], [0], [(plain, 0)], None, math.pi)
+    cosine = threshold / square if square else 1.0
+    m = min(most_pivots, 2 * math.isqrt(n))
+    if blocks or m < 2 or cosine <= 0:
+        return whole
+    reach = math.acos(min(1.0, cosine))
+    pivots = _unit(np.array([r.vector for r in own.orderBy(F.xxhash64("id")).limit(m).select("vector").collect()], np.float64))
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home, angle, _ = _visits(_matrix(batch.column(0)), pivots)
+            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(angle)], ["cell", "angle"])
+
+    found = own.select("vector").mapInArrow(homes, "cell bigint, angle double").groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()
+    count, radius = [0] * m, np.full(m, -10.0)  # nothing is near an empty cell
+    for cell, k, r in found:
+        count[cell], radius[cell] = k, r
+
+    def visitors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(m, np.int64)
+        for batch in batches:
+            total += _visits(_matrix(batch.column(0)), pivots, radius, reach)[2].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m)), pa.array(total)], ["cell", "n"])
 
+    met = [0] * m
+    for cell, k in own.select("vector").mapInArrow(visitors, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
+        met[cell] = k
+    dealt = [(max(1, math.ceil(h / most)), math.ceil(v / most)) for h, v in zip(count, met)]
+    cells = Plan(pivots, count, met, dealt, radius, reach)
+    return cells if cells.products < whole.products and cells.copies <= max(whole.copies, 2 * n) else whole
 
-def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _dealt(own: DataFrame, plan: Plan, kind: str) -> DataFrame:
+    """id, vector, cell, own (its block), visits (how many blocks it meets, from the first): a row for each cell that a vector is in."""
+    if plan.pivots is None:
+        n = plan.blocks[0][0]
+        return own.select("id", "vector", F.lit(0).cast("bigint").alias("cell"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"), F.lit(n).alias("meets"))
+    pivots, radius, reach = plan.pivots, plan.radius, plan.reach
+    home_blocks, more = (np.array(x, np.int64) for x in zip(*plan.blocks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            home, _, near = _visits(_matrix(batch.column("vector")), pivots, radius, reach)
+            who, cell = np.nonzero(near)
+            rows, cells = np.concatenate([np.arange(len(home)), who]), np.concatenate([home, cell])
+            hashes = batch.column("h").to_numpy(zero_copy_only=False)[rows]
+            at_home = np.arange(len(rows)) < len(home)
+            block = np.where(at_home, hashes % home_blocks[cells], home_blocks[cells] + hashes % np.maximum(1, more[cells]))
+            meets = np.where(at_home, home_blocks[cells] + more[cells], home_blocks[cells])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), batch.column("vector").take(pa.array(rows)), pa.array(cells), pa.array(block.astype(np.int32)), pa.array(meets.astype(np.int32))], ["id", "vector", "cell", "own", "meets"])
+
+    vector = own.schema["vector"].dataType.simpleString()
+    hashed = own.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h"))
+    return hashed.mapInArrow(run, f"id {kind}, vector {vector}, cell bigint, own int, meets int")
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None, dealt: Plan | None = None) -> DataFrame:
     """A < b, sim for all pairs of (id, vector) whose unit vectors have a dot product of at least threshold.
 
-    Exact. Vectors are dealt by a hash into blocks; every pair of blocks is a matrix product in one task, made in strips, so no side is broadcast
-    and a task holds two blocks, however many vectors there are. Each vector is shuffled once for each block. Rows with a null id or vector are left out.
+    Exact. A sample of vectors (the ``MOST_PIVOTS`` whose ids hash lowest, or twice the root of their number) are pivots; each vector is at home in the cell of its
+    nearest pivot and visits those later cells that can hold a vector within the threshold's angle of it, by the triangle inequality. A cell is cut into
+    blocks of bounded bytes, and each pair of its blocks is a matrix product in one task, made in strips. Where pivots spare nothing, as for low
+    thresholds, there is one cell. Rows with a null id or vector are left out. blocks: takes so many blocks and no pivots.
     """
     own = vectors.select("id", "vector").dropna()
-    blocks = blocks or _blocks(own)
     kind = own.schema["id"].dataType.simpleString()
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = own.select("id", "vector", block.alias("own"), F.explode(others).alias("other")).select("id", "vector", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    placed = _dealt(own, dealt or plan(vectors, threshold, blocks), kind)
+    other = placed.select("id", "vector", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other"))
+    keyed = other.select("id", "vector", "cell", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
+        _, i, j = key
         left = rows[rows["own"] == i].sort_values("id")
         right = rows[rows["own"] == j].sort_values("id")
         if not len(left) or not len(right):
@@ -53,7 +170,53 @@ def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = Non
             out.append(pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "sim": s}))
         return pd.concat(out, ignore_index=True)
 
-    return dealt.groupBy("i", "j").applyInPandas(run, f"a {kind}, b {kind}, sim double")
+    return keyed.groupBy("cell", "i", "j").applyInPandas(run, f"a {kind}, b {kind}, sim double")
+
+
+def merge_forest(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """M3: a, b, sim of the links by which single linkage merges, at most one fewer than ids: a maximum spanning forest of the pairs (a, b, sim).
+
+    The components of its links of sim >= t are those of all such pairs, for any t, so one forest gives every cut. Each round takes the best link of
+    every tree (ties by a and b) and keeps the best link between two trees only (Boruvka), so trees halve at least; tables are written, none is gathered.
+    """
+    first = F.max_by(F.struct("a", "b", "sim"), F.struct("sim", F.struct("a", "b"))).alias("e")
+    live = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    with scratch():
+        live = written(live.select(F.col("a").alias("x"), F.col("b").alias("y"), "a", "b", "sim"), "live")
+        parts = []
+        for _ in range(most_rounds):
+            ends = live.select(F.col("x").alias("t"), "a", "b", "sim", "x", "y").union(live.select("y", "a", "b", "sim", "x", "y"))
+            best = ends.groupBy("t").agg(F.max_by(F.struct("a", "b", "sim", "x", "y"), F.struct("sim", "a", "b")).alias("e"))
+            chosen = written(best.select("e.*").distinct(), "chosen", keep=True)
+            if chosen.isEmpty():
+                break
+            parts.append(chosen.select("a", "b", "sim"))
+            roots = written(components(chosen.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+            for side in ("x", "y"):
+                to = roots.select(F.col("node").alias(side), F.col("root").alias("__r"))
+                live = live.join(to, side, "left").withColumn(side, F.coalesce("__r", side)).drop("__r")
+            live = live.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b", "sim")
+            live = written(live.groupBy("x", "y").agg(first).select("x", "y", "e.*"), "live")
+        else:
+            raise RuntimeError(f"the forest did not settle in {most_rounds} rounds")
+        out = pairs.select("a", "b", F.col("sim").cast("double").alias("sim")).where("false")
+        for part in parts:
+            out = out.union(part)
+        return written(out, "forest", keep=True)
+
+
+def cut_at(forest: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """M3: id, cluster (its sorted members) at one threshold: components of the forest's links whose members are all similar; others are alone and not told.
+
+    All members are similar if the component of n has n * (n - 1) / 2 pairs of the threshold.
+    """
+    with scratch():
+        roots = written(components(forest.where(F.col("sim") >= threshold).select("a", "b")), "roots", keep=True)
+    inside = pairs.where(F.col("sim") >= threshold).join(roots, pairs["a"] == roots["node"]).groupBy("root").agg(F.count("*").alias("m"))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    whole = sizes.join(inside, "root").where("2 * m = n * (n - 1)").select("root")
+    members = roots.join(whole, "root").groupBy("root").agg(F.array_sort(F.collect_list("node")).alias("cluster"))
+    return members.select(F.explode("cluster").alias("id"), "cluster")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

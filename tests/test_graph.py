@@ -236,3 +236,78 @@ def test_similar_pairs_in_strips(spark, monkeypatch):
     monkeypatch.setattr(resolve, "BLOCK_LEAST", 100)
     assert resolve._blocks(rows) == 3 and resolve._blocks(rows.where("false")) == 1
     assert resolve.similar_pairs(rows.where("false"), 0.8).count() == 0
+
+
+def test_substrings_without_a_hot_beginning(spark):
+    """Names of one long beginning: candidates stay within a small factor of the pairs."""
+    names = [f"the common beginning of names {i} x{i * 7 % 1000}" for i in range(1500)] + [f"beginning of names {i}" for i in range(40)] + ["x", "é", "名", "名字"]
+    df = spark.createDataFrame([(n,) for n in names], "entity string")
+    want = sorted((min(a, b), max(a, b)) for a in set(names) for b in set(names) if len(a) < len(b) and a in b)
+    assert rows(rules.substring_pairs(df)) == want
+    short, long = rules.substring_keys(df)
+    assert short.join(long, "g").count() <= 3 * len(want) + 2 * len(names)
+
+
+@pytest.mark.parametrize("hub", [3, 1024])
+def test_gaps_through_a_hub(spark, hub):
+    edges = [(f"a{i}", "r", "hub") for i in range(20)] + [("hub", "r", f"c{i}") for i in range(15)] + [("a0", "r", "c0"), ("a1", "r", "m"), ("m", "r", "c1"), ("m", "q", "c2"), ("a0", "r", "c0")]
+    df = spark.createDataFrame(edges, "head string, relation string, tail string")
+    have = set(edges)
+    want = sorted({(r, a, b, c) for a, r, b in have for b2, r2, c in have if b == b2 and r == r2 and (a, r, c) not in have}, key=str)
+    assert rows(rules.transitive_gaps(df, hub)) == want
+    counts = {}
+    for r, a, _, c in want:
+        counts[r, a, c] = counts.get((r, a, c), 0) + 1
+    assert rows(rules.gap_counts(df, hub)) == sorted(((*k, n) for k, n in counts.items()), key=str)
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """Unit vectors in tight groups of one to six, one group a third of all."""
+    rnd = np.random.default_rng(2)
+    centers = rnd.normal(size=(120, 24))
+    of = np.concatenate([np.zeros(150, int), rnd.integers(0, 120, 300)])
+    x = centers[of] + 0.12 * rnd.normal(size=(450, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<double>")
+
+
+@pytest.mark.parametrize("threshold", [0.93, 0.6])
+def test_pivots_keep_every_pair(spark, clustered, monkeypatch, threshold):
+    x, df = clustered
+    monkeypatch.setattr(resolve, "BLOCK_BYTES", 8 * 24 * 40)  # cells are cut
+    sims = x @ x.T
+    want = sorted((i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if sims[i, j] >= threshold)
+    got = resolve.similar_pairs(df, threshold).collect()
+    assert sorted((r.a, r.b) for r in got) == want and all(abs(r.sim - sims[r.a, r.b]) < 1e-9 for r in got)
+    dealt = resolve.plan(df, threshold)
+    if threshold > 0.9:
+        assert dealt.pivots is not None and dealt.products < 0.4 * len(x) * (len(x) + 1) / 2
+    assert sorted((r.a, r.b) for r in resolve.similar_pairs(df, threshold, blocks=3).collect()) == want
+
+
+def test_one_forest_gives_every_cut(spark, clustered):
+    x, df = clustered
+    pairs = cut(resolve.similar_pairs(df, 0.5))
+    forest = resolve.merge_forest(pairs)
+    links = forest.collect()
+    assert len({(r.a, r.b) for r in links}) == len(links)
+    for t in (0.5, 0.7, 0.85, 0.9):
+        whole = rows(resolve.clusters(pairs.where(F.col("sim") >= t)))
+        assert rows(resolve.cut_at(forest, pairs, t)) == whole
+    root = {i: i for i in range(len(x))}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for r in links:
+        assert find(r.a) != find(r.b)  # no cycle
+        root[find(r.a)] = find(r.b)
+    assert resolve.merge_forest(pairs.where("false")).count() == 0
+
+
+def test_evaluation_in_one_pass_like_its_parts(spark, facts, schema):
+    odd = facts.union(spark.createDataFrame([(None, "sym", "x", "s", "m", 90), ("x", None, "y", "s", "m", 91), (" A", "up", "b", "s", "m", 92)], TRIPLE))
+    gold = facts.where("ord % 2 = 0")
+    names = T.entities(gold)
+    got = metrics.evaluation(odd, names, gold, schema).first()
+    assert got.accuracy.entity == metrics.accuracy(odd, names, gold).first().entity and got.accuracy.relation == metrics.accuracy(odd, names, gold).first().relation
+    assert got.consistency == metrics.consistency(odd, schema).select(F.struct("*").alias("c")).first().c
+    assert got.completeness.asDict() == pytest.approx(metrics.completeness(odd, names, gold.select("relation")).first().asDict())
