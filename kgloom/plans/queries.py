@@ -11,7 +11,8 @@ from kgloom.functions import text as X
 from kgloom.functions.vectors import dot
 from kgloom.operators import curate, entity_types, extract, graph, metrics, resolve, rules, segment, triples as T
 from kgloom.plans import pipelines
-from kgloom.sources import io
+from kgloom.session import cut, new_folder
+from kgloom.sources import answers, graphs, io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -471,11 +472,6 @@ def clean_links(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", X.links(own).alias("url"))
 
 
-@query("select doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}', '', 'g')) as digest from documents where text not like '%作者%'")
-def clean_emails(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.md5(X.author_info(F.col("text"))).alias("digest"))
-
-
 def _around(spark: SparkSession, sf_dir: str, *markers: str, plain: bool = False) -> DataFrame:
     """doc_id, text: the whole text before, between and after the markers; plain: without # and * of its own."""
     own = F.coalesce("text", F.lit(""))
@@ -491,6 +487,16 @@ def _around_sql(*markers: str, plain: bool = False) -> str:
     return f", d as (select doc_id, t, t || {' || t || '.join(quoted)} || t as text from (select doc_id, {own} as t from documents))\n"
 
 
+AUTHORS = ("\n作者：x y\n", "\n通讯作者: z\n", "\n联系人：w\n", " me@mail.org ")
+
+
+@query(_around_sql(*AUTHORS) + r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^作者[：:].+$', '', 'g'), '(?m)^通讯作者[：:].+$', '', 'g'), '(?m)^联系人[：:].+$', '', 'g'),
+  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}', '', 'g')) as digest from d""")
+def clean_emails(spark, sf_dir):
+    """All four rules around and within whole texts."""
+    return _around(spark, sf_dir, *AUTHORS).select("doc_id", F.md5(X.author_info(F.col("text"))).alias("digest"))
+
+
 IMAGES = (" ![abc](u) ![", "](u) ![IMG](x) ")
 
 
@@ -736,10 +742,11 @@ def compression(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.round(X.reduction(F.length("text"), F.length(F.regexp_replace("text", r"\s+", ""))), 6).alias("reduction"))
 
 
-@query("select batch_no, string_agg(name, ',' order by i) as names, string_agg(name || case when i = 1 then ' told' else '' end, ',' order by i) as descriptions from (select *, i // 4 as batch_no from (values (0, 'the'), (1, 'of'), (2, 'and'), (3, 'der'), (4, 'de')) r(i, name)) group by batch_no")
+@query("select batch_no, string_agg(name, ',' order by i) as names, string_agg(case when i % 3 = 0 then name else name || ' told' end, ',' order by i) as descriptions from (select n_nationkey as i, n_name as name, cast(n_nationkey // 4 as int) as batch_no from nation) group by batch_no")
 def schema_batches(spark, sf_dir):
-    """Batches of four relations; a blank description is the name."""
-    own = words(spark).withColumn("description", F.when(F.col("idx") == 1, "of told").otherwise(" "))
+    """The nations as relations, in batches of four; a blank description is the name."""
+    told = F.when(F.col("n_nationkey") % 3 == 0, " ").otherwise(F.concat("n_name", F.lit(" told")))
+    own = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("idx"), F.col("n_name").alias("name"), told.alias("description"))
     return extract.schema_batches(own).select("batch_no", F.array_join("names", ",").alias("names"), F.array_join("descriptions", ",").alias("descriptions"))
 
 
@@ -789,3 +796,88 @@ def cosine_neighbours(spark, sf_dir):
     own = vectors(spark, sf_dir)
     other = own.select(F.col("id").alias("b"), F.col("vector").alias("w"))
     return own.join(other, other["b"] == own["id"] + 1).select(F.col("id").alias("a"), "b", F.round(dot(F.col("vector"), F.col("w")), 6).alias("sim"))
+
+
+# --- what the operators add to each other
+
+
+@query(r""", s as (select doc_id, list_filter(list_transform(regexp_extract_all(translate(coalesce(text, ''), '.!?', '。！？'), '[^。！？；]*[。！？；]|[^。！？；]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as own from documents),
+p as (select doc_id, list_reduce(list_prepend({'cur': '', 'done': cast([] as varchar[])}, list_transform(own, lambda x: {'cur': x, 'done': cast([] as varchar[])})),
+  lambda a, x: case when len(x.cur) > 150 then {'cur': '', 'done': list_concat(list_concat(a.done, case when a.cur = '' then [] else [a.cur] end), list_transform(range(0, len(x.cur), 150), lambda i: regexp_replace(substr(x.cur, cast(i + 1 as int), 150), '^\s+|\s+$', '', 'g')))}
+    when len(a.cur) + len(x.cur) <= 150 then {'cur': a.cur || x.cur, 'done': a.done} else {'cur': x.cur, 'done': list_concat(a.done, case when a.cur = '' then [] else [a.cur] end)} end) as r from s),
+c as (select doc_id, list_concat(r.done, case when r.cur = '' then [] else [r.cur] end) as chunks from p)
+select doc_id, cast(i - 1 as int) as chunk_no, md5(chunk) as digest from (select doc_id, unnest(chunks) as chunk, generate_subscripts(chunks, 1) as i from c)""")
+def chunk_packing(spark, sf_dir):
+    """Whole texts whose sentences end as Chinese ones do, so that sentences are packed and long ones cut."""
+    text = F.translate(F.coalesce("text", F.lit("")), ".!?", "。！？")
+    return segment.chunks(documents(spark, sf_dir).select("doc_id", text.alias("text"))).select("doc_id", "chunk_no", F.md5("chunk").alias("digest"))
+
+
+@query(", e as (select distinct head, relation, tail from edges) select a.relation, a.head as a, c.tail as c, count(*) as n from e a join e c on a.relation = c.relation and a.tail = c.head where not exists (select 1 from e x where x.relation = a.relation and x.head = a.head and x.tail = c.tail) group by all")
+def gap_counts(spark, sf_dir):
+    """Every relation, paths counted by their ends."""
+    return rules.gap_counts(edges(spark, sf_dir))
+
+
+@query(", p as (select distinct 'part of the catalogue: ' || p_name as e from part union select distinct 'catalogue: ' || p_name from part) select least(a.e, b.e) as entity_1, greatest(a.e, b.e) as entity_2 from p a join p b on a.e <> b.e and contains(b.e, a.e)")
+def substring_prefixed(spark, sf_dir):
+    """Names that all begin alike."""
+    own = _read(spark, sf_dir, "part").select(F.concat(F.lit("part of the catalogue: "), "p_name").alias("entity"))
+    return rules.substring_pairs(own.union(own.select(F.substring("entity", 13, 1000))))
+
+
+CUTS = (0.30, 0.35, 0.40)
+
+
+@query(f""", pairs as (select a.vec_id as a, b.vec_id as b, list_dot_product(a.embedding::double[], b.embedding::double[]) as sim from embeddings a join embeddings b on a.vec_id < b.vec_id where list_dot_product(a.embedding::double[], b.embedding::double[]) >= {CUTS[0]}),
+near as (select t, a, b from pairs, (values {', '.join(f'({t})' for t in CUTS)}) c(t) where sim >= t union select t, b, a from pairs, (values {', '.join(f'({t})' for t in CUTS)}) c(t) where sim >= t),
+closed as (select t, a as id, list_sort(list_append(list(b), a)) as hood from near group by t, a),
+good as (select n.t, n.a as id from near n join closed x on x.t = n.t and x.id = n.a join closed y on y.t = n.t and y.id = n.b group by n.t, n.a having bool_and(x.hood = y.hood))
+select cast(closed.t as double) as threshold, closed.id, array_to_string(hood, ',') as cluster from closed join good on closed.t = good.t and closed.id = good.id""")
+def cluster_cuts(spark, sf_dir):
+    """M3: three thresholds from one forest of merges."""
+    pairs = cut(resolve.similar_pairs(vectors(spark, sf_dir), CUTS[0]))
+    forest = resolve.merge_forest(pairs)
+    out = None
+    for t in CUTS:
+        own = resolve.cut_at(forest, pairs, t).select(F.lit(t).alias("threshold"), "id", F.array_join(F.col("cluster").cast("array<string>"), ",").alias("cluster"))
+        out = own if out is None else out.union(own)
+    return out
+
+
+@query("select head as src, relation as rel_type, tail as dst, 'part ' || arg_min(ord % 7, (ord % 2, ord)) as source from triples group by all")
+def graph_loads(spark, sf_dir):
+    """Two loads of facts, the second a second time; an edge keeps the source that first named it."""
+    own, path = triples(spark, sf_dir).withColumn("source", F.concat(F.lit("part "), F.col("ord") % 7)), new_folder(spark, "graph")
+    for k in (0, 1, 1):
+        graphs.merge_graph(own.where(F.col("ord") % 2 == k), path)
+    return graphs.read_graph(spark, path)[1].drop("method")
+
+
+class _Lengths:
+    def __call__(self, prompts: list[str]) -> list[str]:
+        return [str(len(p)) for p in prompts]
+
+
+@query("select doc_id, cast(length(text) as varchar) as answer, (select count(distinct text) from documents where doc_id % 2 = 0) as first_asked, (select count(distinct text) from documents) - (select count(distinct text) from documents where doc_id % 2 = 0) as then_asked, 0 as last_asked from documents where text is not null")
+def answers_once(spark, sf_dir):
+    """Whole texts as prompts, half of them, then all, then all again: only what is new is asked."""
+    own, store = documents(spark, sf_dir).withColumnRenamed("text", "prompt").where("prompt is not null"), new_folder(spark, "answers")
+    asked = [answers.ask(x, _Lengths, store, "lengths") for x in (own.where("doc_id % 2 = 0"), own, own)]
+    return answers.answered(own, store, "lengths").select("doc_id", "answer", *(F.lit(n).alias(c) for n, c in zip(asked, ("first_asked", "then_asked", "last_asked"))))
+
+
+@query("select doc_id, md5(text) as digest from documents")
+def jsonl_round_trip(spark, sf_dir):
+    """Whole texts written as lines of JSON and read again."""
+    path = new_folder(spark, "jsonl")
+    io.write_jsonl(documents(spark, sf_dir), path)
+    return io.jsonl(spark, path, documents(spark, sf_dir).schema).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("select doc_id, md5(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g')) as digest from documents where text <> ''")
+def files_round_trip(spark, sf_dir):
+    """A Markdown file for each whole text, and the folder read again."""
+    path = new_folder(spark, "files")
+    io.write_files(documents(spark, sf_dir).select(F.concat("doc_id", F.lit(".md")).alias("file"), "text"), path)
+    return io.markdown(spark, path).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("digest"))
