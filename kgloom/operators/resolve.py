@@ -68,14 +68,30 @@ def _visits(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray | None = None,
     return home, own, near
 
 
+def _measured(vectors: DataFrame) -> tuple[int, int, float]:
+    """How many vectors, the longest one's length, and the largest square of a vector."""
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return tuple(vectors.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1)), F.coalesce(F.max(squares), F.lit(0.0))).first())
+
+
+def _most(size: int) -> int:
+    """Vectors of so many numbers that a block holds."""
+    return max(1, BLOCK_BYTES // (8 * size))
+
+
+def _blocks(vectors: DataFrame, measured: tuple[int, int, float] | None = None) -> int:
+    """As few blocks without pivots as their size allows, but enough for some pairs of blocks a core."""
+    n, size, _ = measured or _measured(vectors)
+    tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(n / _most(size)), min(math.ceil(n / BLOCK_LEAST), math.ceil(math.sqrt(2 * tasks))))
+
+
 def plan(vectors: DataFrame, threshold: float, blocks: int | None = None, most_pivots: int = MOST_PIVOTS) -> Plan:
     """How :func:`similar_pairs` deals (id, vector): by pivots where that takes fewer products than all pairs, and no more copies of vectors."""
     own = vectors.select("id", "vector").dropna()
-    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    n, size, square = own.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1)), F.coalesce(F.max(squares), F.lit(0.0))).first()
-    most = max(1, BLOCK_BYTES // (8 * size))
-    tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
-    plain = blocks or max(1, math.ceil(n / most), min(math.ceil(n / BLOCK_LEAST), math.ceil(math.sqrt(2 * tasks))))
+    n, size, square = measured = _measured(own)
+    most = _most(size)
+    plain = blocks or _blocks(own, measured)
     whole = Plan(None, [n], [0], [(plain, 0)], None, math.pi)
     cosine = threshold / square if square else 1.0
     m = min(most_pivots, 2 * math.isqrt(n))
