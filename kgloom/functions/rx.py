@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +40,23 @@ def where_any(col: Column, words: tuple[str, ...], f: Callable[[Column], Column]
     return F.get(F.transform(both, lambda x: F.when(held(x["low"]), f(x["t"])).otherwise(x["t"])), F.lit(0))
 
 
+def where_held(col: Column, words: tuple[str, ...], f: Callable[[Column], Column]) -> Column:
+    """f of texts that hold one of the words as they are, others unchanged."""
+    held = lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words))
+    return F.get(F.transform(F.array(col), lambda t: F.when(held(t), f(t)).otherwise(t)), F.lit(0))
+
+
+def sub_held(col: Column, table: list[tuple[str, str, tuple[str, ...]]]) -> Column:
+    """As :func:`sub_all`, of (pattern, flags, words): a run of patterns with the same words is tried only on texts that then hold one of them.
+
+    The words are looked for in what earlier patterns have left, for a deletion may put together a word that was not there.
+    """
+    for (words, cased), own in groupby(table, lambda row: (row[2], "i" not in row[1])):
+        patterns = [row[:2] for row in own]
+        col = (where_held if cased else where_any)(col, words, lambda t, patterns=patterns: sub_all(t, patterns))
+    return col
+
+
 def strip(col: Column) -> Column:
     """Without white space at both ends, all of Unicode's."""
     return F.regexp_replace(col, F.lit(r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"), F.lit(""))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from kgloom.functions.rx import pieces, rx, strip, sub, sub_all, where_any
+from kgloom.functions.rx import pieces, rx, strip, sub, sub_all, sub_held, where_any
 
 # What counts as author, publishing, thesis and page matter.
 AUTHOR = [
@@ -22,30 +22,32 @@ AUTHOR = [
 SECTION_STARTS = (r"#+\s*关于学位论文使用授权的说明", r"#+\s*声\s*明", r"#+\s*个人简历", r"#+\s*指导教师评语", r"#+\s*答辩委员会决议书", r"\*\*声\s*明\*\*", r"\*\*个人简历.*\*\*", r"\*\*指导教师评语\*\*", r"\*\*答辩委员会决议书\*\*")
 SECTION_WORDS = ("关于学位论文", "声", "个人简历", "指导教师评语", "答辩委员会")
 SECTION_ENDS = (r"#\s+第\s*[一-龥\d]+\s*[章节]", r"#\s+摘\s*要", r"#\s+(?i:Abstract)", r"#\s+第\s*1\s*章")
+_LABELS = (("出版发行", "地址邮编", r"经\s*售", r"印\s*刷", r"开\s*本", r"印\s*张", r"字\s*数", r"版\s*印\s*次", r"印\s*数", r"定\s*价", "国防书店", "发行邮购", "发行传真", "发行业务"), ("中图分类号", "文献标识码", "文章编号", "收稿日期", "网络出版时间", "网络出版地址", "基金项目", "退修日期", "录用日期"), ("培养单位", r"学\s*科", r"研\s*究\s*生", "指导教师"))
+#: (pattern, flags, words): one of the words, in lower case where the pattern ignores case, is in whatever the pattern matches.
 METADATA = [
-    (r"\*\*DOI[：:]\*\*.+", "i"),
-    (r"^DOI[：:].+$", "mi"),
-    (r"ISBN\s+[\d\-]+", "i"),
-    *((rf"\*\*{label}\*\*[：:].+", "") for label in ("出版发行", "地址邮编", r"经\s*售", r"印\s*刷", r"开\s*本", r"印\s*张", r"字\s*数", r"版\s*印\s*次", r"印\s*数", r"定\s*价", "国防书店", "发行邮购", "发行传真", "发行业务")),
-    (r"\*\*责任编辑[：:]\*\*.+", ""),
-    (r"\*\*责任校对[：:]\*\*.+", ""),
-    (r"定价[：:]\s*[\d\.]+\s*元", ""),
-    (r"上架建议.+", ""),
-    (r"Barcode.+", ""),
-    (r"\|[^\n]*ISBN[^\n]*\|[^\n]*\n(\|[^\n]*\n)*", "i"),
-    (r"\|[^\n]*URL[^\n]*\|[^\n]*\n", "i"),
-    (r"\|[^\n]*无人机[^\n]*\|[^\n]*\n", ""),
-    (r"\|[^\n]*787118[^\n]*\|[^\n]*\n", ""),
-    (r"#+\s*WILEY\s*\n", "i"),
-    (r"QR Code with.+", "i"),
-    (r"中国版本图书馆\s*CIP\s*数据核字.+", "i"),
-    (r"#+\s*著作权合同登记", ""),
-    (r"图字[：:].+", ""),
-    (r"<mark>.+?</mark>", "s"),
-    (r"^引用格式[：:].+$", "m"),
-    *((rf"\*\*{label}[：:]\*\*.+", "") for label in ("中图分类号", "文献标识码", "文章编号", "收稿日期", "网络出版时间", "网络出版地址", "基金项目", "退修日期", "录用日期")),
-    (r"\blogo\b", "i"),
-    *((rf"\*\*?{label}\*\*?[：:].+", "") for label in ("培养单位", r"学\s*科", r"研\s*究\s*生", "指导教师")),
+    (r"\*\*DOI[：:]\*\*.+", "i", ("doi",)),
+    (r"^DOI[：:].+$", "mi", ("doi",)),
+    (r"ISBN\s+[\d\-]+", "i", ("isbn",)),
+    *((rf"\*\*{label}\*\*[：:].+", "", ("行", "编", "售", "刷", "本", "张", "数", "次", "价", "书店", "购", "传真", "业务")) for label in _LABELS[0]),
+    (r"\*\*责任编辑[：:]\*\*.+", "", ("责任编辑",)),
+    (r"\*\*责任校对[：:]\*\*.+", "", ("责任校对",)),
+    (r"定价[：:]\s*[\d\.]+\s*元", "", ("定价",)),
+    (r"上架建议.+", "", ("上架建议",)),
+    (r"Barcode.+", "", ("Barcode",)),
+    (r"\|[^\n]*ISBN[^\n]*\|[^\n]*\n(\|[^\n]*\n)*", "i", ("isbn",)),
+    (r"\|[^\n]*URL[^\n]*\|[^\n]*\n", "i", ("url",)),
+    (r"\|[^\n]*无人机[^\n]*\|[^\n]*\n", "", ("无人机",)),
+    (r"\|[^\n]*787118[^\n]*\|[^\n]*\n", "", ("787118",)),
+    (r"#+\s*WILEY\s*\n", "i", ("wiley",)),
+    (r"QR Code with.+", "i", ("qr code",)),
+    (r"中国版本图书馆\s*CIP\s*数据核字.+", "i", ("中国版本图书馆",)),
+    (r"#+\s*著作权合同登记", "", ("著作权合同登记",)),
+    (r"图字[：:].+", "", ("图字",)),
+    (r"<mark>.+?</mark>", "s", ("<mark>",)),
+    (r"^引用格式[：:].+$", "m", ("引用格式",)),
+    *((rf"\*\*{label}[：:]\*\*.+", "", _LABELS[1]) for label in _LABELS[1]),
+    (r"\blogo\b", "i", ("logo",)),
+    *((rf"\*\*?{label}\*\*?[：:].+", "", ("培养单位", "科", "生", "指导教师")) for label in _LABELS[2]),
 ]
 METADATA_WORDS = ("doi", "isbn", "*", "定价", "上架建议", "barcode", "url", "无人机", "787118", "wiley", "qr code", "中国版本图书馆", "著作权合同登记", "图字", "<mark>", "引用格式", "logo")
 KEYWORD_LABELS = [(r"^\*\*关键词[：:]\*\*\s*", "m"), (r"^关键词[：:]\s*", "m"), (r"^\*\*Keywords?[：:]\*\*\s*", "mi"), (r"^Keywords?[：:]\s*", "mi")]
@@ -85,7 +87,7 @@ def skipped_sections(text: Column) -> Column:
 
 def metadata(text: Column) -> Column:
     """P8."""
-    return where_any(text, METADATA_WORDS, lambda t: sub_all(t, METADATA))
+    return where_any(text, METADATA_WORDS, lambda t: sub_held(t, METADATA))
 
 
 def thesis_metadata(text: Column) -> Column:
@@ -238,14 +240,19 @@ def tables(text: Column) -> Column:
     return _rewrite_tables(text)
 
 
+def before_tables(text: Column) -> Column:
+    """P15 up to the tables: its steps depend on each other in this order."""
+    return citation_markers(links(page_markers(author_info(references(thesis_metadata(text))))))
+
+
+def after_tables(text: Column, with_images: bool = True) -> Column:
+    return whitespace(thesis_metadata(image_references(text) if with_images else text))
+
+
 def clean(text: Column, with_tables: bool = True, with_images: bool = True) -> Column:
-    """The whole cleaning, in the order in which its steps depend on each other."""
-    out = citation_markers(links(page_markers(author_info(references(thesis_metadata(text))))))
-    if with_tables:
-        out = tables(out)
-    if with_images:
-        out = image_references(out)
-    return whitespace(thesis_metadata(out))
+    """The whole cleaning. :func:`kgloom.plans.pipelines.cleaned` does the same and sends only texts with tables to Python."""
+    out = before_tables(text)
+    return after_tables(tables(out) if with_tables else out, with_images)
 
 
 def reduction(before: Column, after: Column) -> Column:

@@ -15,7 +15,12 @@ from kgloom.sources import io
 
 def cleaned(docs: DataFrame, with_tables: bool = True, with_images: bool = True) -> DataFrame:
     """doc_id, text, reduction (percent saved, null for an empty document)."""
-    out = docs.select("doc_id", F.length("text").alias("__n"), X.clean(F.col("text"), with_tables, with_images).alias("text"))
+    own = docs.select("doc_id", F.length("text").alias("__n"), X.before_tables(F.col("text")).alias("__t"))
+    text = F.col("__t")
+    if with_tables:  # only texts with a table go to Python; the steps before are a projection of their own, so that they run once
+        own = own.withColumn("__held", X.tables(F.when(F.contains("__t", F.lit("<table")), text)))
+        text = F.coalesce("__held", text)
+    out = own.select("doc_id", "__n", X.after_tables(text, with_images).alias("text"))
     return out.select("doc_id", "text", X.reduction(F.col("__n"), F.length("text")).alias("reduction"))
 
 

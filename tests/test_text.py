@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import text as X
 from kgloom.operators import segment
+from kgloom.plans import pipelines
 
 
 def one(spark, f, *texts):
@@ -135,6 +136,24 @@ def test_words_stand_for_patterns(spark):
         assert one(spark, f, *texts) == one(spark, lambda c, t=table: X.sub_all(c, t), *texts), words
 
 
+def test_patterns_by_their_words(spark):
+    """A pattern is tried only on texts with one of its words; deletions may put such a word together, and the rest of the texts hold every kind of line."""
+    lines = ["**DOI：**10.1/x", "doi: 10.2", "ISBN 978-7", "**经 售**：书店", "**印  次数**：1", "**版 印 次**：3", "**责任编辑：**甲", "**责任校对:**乙", "定价： 3.5 元", "上架建议：科技", "Barcode 1", "barcode 2", "| isbn 1 | x |\n| y |\n| z |\nrest"]
+    lines += ["| a | url x |\n", "| 无人机 | b |\n", "| 787118 | c |\n", "## Wiley \n", "qr CODE with x", "中国版本图书馆 CIP 数据核字 (1)", "## 著作权合同登记", "图字：01", "<mark>a\nb</mark>", "引用格式：x", "**收稿日期：**1", "**基金项目:** y", "a LOGO b"]
+    lines += ["*学 科*：z", "**研 究 生**: w", "**指导教师**：v", "*培养单位**：u", "lo<mark>x</mark>go", "IS上架建议\nBN 3", "**字 数**：9", "**国防书店**:8"]
+    texts = [*lines, "\n".join(lines), "plain", "", None]
+    whole = one(spark, lambda c: X.sub_all(c, X.METADATA), *texts)
+    assert one(spark, lambda c: X.sub_held(c, X.METADATA), *texts) == whole == one(spark, X.metadata, *texts)
+
+
+def test_only_texts_with_tables_go_to_python(spark):
+    texts = ["a<table><tr><td>v</td></tr></table>", "<table never", "none", "", None, "<ta[3]ble><tr><td>w</td></tr></table>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for with_tables, with_images in ((True, True), (False, False)):
+        got = [r.text for r in pipelines.cleaned(docs, with_tables, with_images).orderBy("doc_id").collect()]
+        assert got == one(spark, lambda c, a=with_tables, b=with_images: X.clean(c, a, b), *texts)
+
+
 def test_clean_composite(spark):
     text = "# 标题\n作者：甲\n\n\n见[1] <table><tr><td>v</td></tr></table>\n---\nend\n# 参考文献\nx"
     assert one(spark, X.clean, text) == ["# 标题\n\n见[1] | v |\nend"]
