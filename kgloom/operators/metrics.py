@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import entity_name
 from kgloom.functions.rx import strip
 from kgloom.operators import curate, graph, rules, triples as T
+from kgloom.session import cut
 
 #: Errors by what an annotator's comment holds, in order, and what is left (fixed values).
 ERRORS = (("边界错误", ("边界", "boundary")), ("类型错误", ("类型", "type", "关系")), ("幻觉", ("幻觉", "hallucination", "不存在")))
@@ -71,6 +74,33 @@ def consistency(predicted: DataFrame, relations: DataFrame) -> DataFrame:
     return out.crossJoin(count(rules.mutex_violations(predicted, mutex_of(relations)), "mutex_violations")).crossJoin(count(predicted, "n_triples"))
 
 
+#: The checks of consistency, in their order.
+CHECKS = ("entity_synonyms", "symmetric_violations", "transitive_missing", "relation_conflicts", "schema_violations")
+
+
+def consistency_checks(triples: DataFrame, relations: DataFrame, symmetric: DataFrame, transitive: DataFrame, conflicts: DataFrame, k: int = 10) -> DataFrame:
+    """Kind, n, examples for each of ``CHECKS``: how many were found, and the k least of them as text, parts joined by " - ".
+
+    symmetric and transitive name relations (column relation), conflicts pairs of them (r1, r2). Synonyms are entities of which one's name holds the other;
+    a fact off the schema counts as often as it is there. What is found is written once, counted with partial sums, and ranked with k rows a task. A kind of which
+    there is none has n = 0 and no examples.
+    """
+    of_kind = triples.join(F.broadcast(transitive.select("relation").distinct()), "relation", "left_semi")
+    found = (
+        (rules.substring_pairs(T.entities(triples)), ("entity_1", "entity_2")),
+        (rules.symmetric_violations(triples, symmetric), ("head", "relation", "tail")),
+        (rules.transitive_gaps(of_kind), ("relation", "a", "b", "c")),
+        (rules.mutex_violations(triples, conflicts), ("head", "r1", "r2", "tail")),
+        (T.schema_violations(triples, relations), ("head", "relation", "tail")),
+    )
+    told = cut(reduce(DataFrame.union, (df.select(F.lit(kind).alias("kind"), F.concat_ws(" - ", *columns).alias("example")) for kind, (df, columns) in zip(CHECKS, found))))
+    first = told.withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy("example"))).where(F.col("nth") <= k)
+    examples = first.groupBy("kind").agg(F.array_sort(F.collect_list("example")).alias("examples"))
+    kinds = triples.sparkSession.createDataFrame([(c,) for c in CHECKS], "kind string")
+    out = kinds.join(told.groupBy("kind").agg(F.count("*").alias("n")), "kind", "left").join(examples, "kind", "left")
+    return out.select("kind", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+
+
 def completeness(predicted: DataFrame, gold_entities: DataFrame, gold_relations: DataFrame) -> DataFrame:
     """Normalised names are counted, raw names are connected; one row."""
     counts = names(predicted).agg(F.count("*").alias("entity_count")).crossJoin(predicted.agg(F.count("*").alias("relation_count")))

@@ -12,7 +12,7 @@ from kgloom.functions.vectors import dot
 from kgloom.operators import curate, entity_types, extract, graph, metrics, resolve, rules, segment, triples as T
 from kgloom.plans import pipelines
 from kgloom.session import cut, new_folder
-from kgloom.sources import answers, graphs, io
+from kgloom.sources import answers, graphs, io, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -881,3 +881,36 @@ def files_round_trip(spark, sf_dir):
     path = new_folder(spark, "files")
     io.write_files(documents(spark, sf_dir).select(F.concat("doc_id", F.lit(".md")).alias("file"), "text"), path)
     return io.markdown(spark, path).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("digest"))
+
+
+@query("select page_id, md5(replace(html, chr(12), '') || chr(10) || chr(10) || page_id || chr(10) || chr(10)) as digest, cast(null as varchar) as error, 0 as asked_again from pages where html is not null")
+def page_source(spark, sf_dir):
+    """A file of two pages for each page's whole HTML, read by the data source, written as Markdown, and read again with what is done left out."""
+    source, target = new_folder(spark, "pages"), new_folder(spark, "parsed")
+    pages.register(spark)
+    told = _read(spark, sf_dir, "pages").where("html is not null")
+    io.write_files(told.select(F.concat("page_id", F.lit(".pdf")).alias("file"), F.concat(F.translate("html", "\f", ""), F.lit("\f"), F.col("page_id").cast("string")).alias("text")), source)
+    read = spark.read.format(pages.FORMAT).option("parser", "kgloom.sources.parsing:PlainPages").option("bytes", str(8 << 20))
+    parsed = cut(read.load(source))
+    io.write_files(parsed.where("error is null").select(F.concat("doc_id", F.lit(".md")).alias("file"), "text"), target)
+    again = read.option("done", target).load(source).count()
+    return parsed.select(F.col("doc_id").cast("bigint").alias("page_id"), F.md5("text").alias("digest"), "error", F.lit(again).alias("asked_again"))
+
+
+#: Examples that stand in a report; the feature.
+SHOWN = 10
+CHECKS_SQL = f""", e as (select distinct head, relation, tail from edges), v as (select distinct unnest([head, tail]) as n from edges),
+x as (select 'entity_synonyms' as kind, least(a.n, b.n) || ' - ' || greatest(a.n, b.n) as example from v a join v b on a.n <> b.n and contains(b.n, a.n)
+  union all select 'symmetric_violations', head || ' - ' || relation || ' - ' || tail from e where relation = 'view' and not exists (select 1 from e f where f.relation = e.relation and f.head = e.tail and f.tail = e.head)
+  union all select 'transitive_missing', a.relation || ' - ' || a.head || ' - ' || a.tail || ' - ' || c.tail from e a join e c on a.relation = c.relation and a.tail = c.head where a.relation = 'click' and not exists (select 1 from e x where x.relation = a.relation and x.head = a.head and x.tail = c.tail)
+  union all select 'relation_conflicts', a.head || ' - ' || r1 || ' - ' || r2 || ' - ' || a.tail from e a join mutex on a.relation = r1 join e b on b.head = a.head and b.tail = a.tail and b.relation = r2
+  union all select 'schema_violations', head || ' - ' || relation || ' - ' || tail from edges where relation not in (select name from schema_)),
+r as (select *, row_number() over (partition by kind order by example) as nth from x)
+select kind, count(*) as n, string_agg(example, '; ' order by example) filter (nth <= {SHOWN}) as examples from r group by kind"""
+
+
+@query(CHECKS_SQL)
+def consistency_checks(spark, sf_dir):
+    named = lambda *names: spark.createDataFrame([(n,) for n in names], "relation string")
+    own = metrics.consistency_checks(edges(spark, sf_dir), relations(spark), named("view"), named("click"), metrics.mutex_of(relations(spark)), SHOWN)
+    return own.where("n > 0").select("kind", "n", F.array_join("examples", "; ").alias("examples"))

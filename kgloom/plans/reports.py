@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
 
+from kgloom.operators.metrics import CHECKS
+
 RULE, THIN = "=" * 80, "-" * 80
 
 
@@ -41,6 +43,13 @@ def consistency_report(counts: dict[str, int], samples: dict[str, list[Row]]) ->
     return _sections("一致性评估报告", [(kind, [f"数量: {n}", *("  " + " - ".join(map(str, r)) for r in samples.get(kind, ()))]) for kind, n in counts.items()])
 
 
+def checks_report(checks: DataFrame) -> str:
+    """Of metrics.consistency_checks, in the order of its kinds."""
+    rows = {r["kind"]: r for r in checks.collect()}
+    own = [rows[kind] for kind in CHECKS]
+    return consistency_report({r["kind"]: r["n"] for r in own}, {r["kind"]: [(e,) for e in r["examples"]] for r in own})
+
+
 def completeness_report(mentions: Row, top: list[Row], shape: Row, bins: list[Row], dense: Row) -> str:
     """Of graph.mention_stats, top_entities, connectivity_stats, connectivity_bins and density."""
     return _sections("完整性评估报告", [

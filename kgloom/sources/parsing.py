@@ -50,6 +50,13 @@ class HtmlPages:
         return ["".join(parser.out).strip()]
 
 
+class PlainPages:
+    """UTF-8 text whose pages end at form feeds, as tools that take text out of PDF files write it; what is no UTF-8 raises."""
+
+    def __call__(self, content: bytes | str) -> list[str]:
+        return (content.decode("utf-8") if isinstance(content, bytes) else content).split("\f")
+
+
 def parse(sources: DataFrame, parser: Callable[[], PageParser], done: DataFrame | None = None, id_col: str = "doc_id", content: str = "content") -> DataFrame:
     """doc_id, text, error: pages joined, two line feeds after each. What done has is skipped; what fails has a null text and its error."""
     rows = without_done(sources, done, id_col) if done is not None else sources

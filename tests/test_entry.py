@@ -21,7 +21,7 @@ def shown(v):
     return None if v is None or v != v else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
-@pytest.mark.parametrize("name", ["triple_dedup_first_wins", "mutex_resolution", "composite_score", "entity_clusters", "connectivity_bins", "sentence_split", "end_to_end_mutex", "postprocess_composite", "normalize_composite", "references_cut", "json_extract", "advice"])
+@pytest.mark.parametrize("name", ["triple_dedup_first_wins", "mutex_resolution", "composite_score", "entity_clusters", "connectivity_bins", "sentence_split", "end_to_end_mutex", "postprocess_composite", "normalize_composite", "references_cut", "json_extract", "advice", "page_source", "consistency_checks"])
 def test_like_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -311,3 +311,17 @@ def test_evaluation_in_one_pass_like_its_parts(spark, facts, schema):
     assert got.accuracy.entity == metrics.accuracy(odd, names, gold).first().entity and got.accuracy.relation == metrics.accuracy(odd, names, gold).first().relation
     assert got.consistency == metrics.consistency(odd, schema).select(F.struct("*").alias("c")).first().c
     assert got.completeness.asDict() == pytest.approx(metrics.completeness(odd, names, gold.select("relation")).first().asDict())
+
+
+def test_consistency_checks(spark):
+    facts = spark.createDataFrame([("a", "对比", "ab", 1), ("a", "包含", "b", 2), ("b", "包含", "c", 3), ("a", "优化", "b", 4), ("a", "降低", "b", 5), ("x", "y", "z", 6), ("x", "y", "z", 7)], "head string, relation string, tail string, ord int")
+    names = lambda *own: spark.createDataFrame([(n,) for n in own], "relation string")
+    catalog = names("对比", "包含", "优化", "降低").withColumnRenamed("relation", "name")
+    pairs = spark.createDataFrame([("优化", "降低"), ("提高", "降低")], "r1 string, r2 string")
+    checks = metrics.consistency_checks(facts, catalog, names("对比"), names("包含"), pairs, 1)
+    got = {r.kind: (r.n, r.examples) for r in checks.collect()}
+    assert got == {"entity_synonyms": (2, ["a - ab"]), "symmetric_violations": (1, ["a - 对比 - ab"]), "transitive_missing": (1, ["包含 - a - b - c"]), "relation_conflicts": (1, ["a - 优化 - 降低 - b"]), "schema_violations": (2, ["x - y - z"])}
+    none = {r.kind: (r.n, r.examples) for r in metrics.consistency_checks(facts.where("false"), catalog, names("对比"), names("包含"), pairs).collect()}
+    assert none == {kind: (0, []) for kind in metrics.CHECKS}
+    lines = reports.checks_report(checks).split("\n")
+    assert [x for x in lines if x.startswith("【")] == [f"【{kind}】" for kind in metrics.CHECKS] and "  a - 优化 - 降低 - b" in lines

@@ -1,11 +1,12 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kgloom import schemas
 from kgloom.operators import extract
-from kgloom.sources import io, parsing
+from kgloom.sources import io, pages, parsing
 from kgloom.streaming import streams
 
 RAW = schemas.RAW_TRIPLE
@@ -70,6 +71,28 @@ def test_parse(spark):
     assert joined.first().text == "a\n\nb\n\n"
 
 
+def test_page_source(spark, tmp_path):
+    pages.register(spark)
+    source, done = tmp_path / "in", tmp_path / "done"
+    source.mkdir(), done.mkdir()
+    (source / "文 a.pdf").write_bytes("one\ftwo".encode())
+    (source / "b.PDF").write_bytes(b"\xff")
+    (source / "c.pdf").write_bytes(b"")
+    (source / "d.txt").write_bytes(b"no")
+    read = spark.read.format(pages.FORMAT).option("parser", "kgloom.sources.parsing:PlainPages").option("done", str(done))
+    got = {r.doc_id: r for r in read.load(str(source)).collect()}
+    assert got["文 a"].text == "one\n\ntwo\n\n" and got["文 a"].path.endswith("文 a.pdf") and got["文 a"].error is None
+    assert got["b"].text is None and "UnicodeDecodeError" in got["b"].error and got["c"].text == "\n\n" and len(got) == 3
+    each = read.option("rows", "pages").option("bytes", "1").load(str(source))
+    assert each.rdd.getNumPartitions() == 2  # of 1 and 0 bytes, and of 7
+    assert {(r.doc_id, r.page_no, r.text) for r in each.collect()} == {("文 a", 0, "one"), ("文 a", 1, "two"), ("b", 0, None), ("c", 0, "")}
+    (done / "文 a.md").write_text("x", encoding="utf-8")
+    assert {r.doc_id for r in each.collect()} == {"b", "c"}  # looked for when the partitions are read
+    for folder, option in ((tmp_path / "none", {}), (done, {}), (source, {"rows": "lines"})):
+        with pytest.raises(Exception, match="none|no files|rows must"):
+            read.options(**option).load(str(folder)).collect()
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("d", "一二三。四五六。")], "doc_id string, text string").write.parquet(src)
@@ -83,6 +106,34 @@ def test_encoder(spark):
     assert sorted(round(r.n, 3) for r in got) == [0.0, 1.0]
 
 
+def test_pooled_encoder(spark):
+    """Padding and what is cut off count for nothing, against a loop."""
+    table = np.random.default_rng(3).normal(size=(128, 5)).astype(np.float32)
+    asked = []
+
+    def model(ids, mask):
+        asked.append(ids.shape)
+        assert ids.shape == mask.shape and not (ids * (1 - mask)).any()
+        return table[ids] + (1 - mask[:, :, None]) * 1e6  # what stands at padding must not be read
+
+    tokenize = lambda texts: [[ord(c) % 128 for c in t] for t in texts]
+    own = extract.PooledEncoder(tokenize, model, most=6, before=(1,), after=(2,))
+    texts = ["abcdefgh", "x", "", "abcdZZZZ"]
+    got = own(texts)
+    for t, v in zip(texts, got):
+        mean = table[[1, *(ord(c) for c in t[:4]), 2]].mean(0)
+        assert np.allclose(v, mean / np.linalg.norm(mean), atol=1e-6)
+    assert np.allclose(got[0], got[3]) and asked == [(4, 6)]
+    assert not extract.PooledEncoder(tokenize, model)(["", ""]).any() and extract.PooledEncoder(tokenize, model)([]).shape == (0, 5)
+    assert np.allclose(extract.PooledEncoder(tokenize, model, unit=False)(["a"])[0], table[97])
+    with pytest.raises(ValueError, match="no token"):
+        extract.PooledEncoder(tokenize, model, most=2, before=(1,), after=(2,))
+    assert list(extract._calls(["aa", "b", "cccc", "d", "e"], 2, 3)) == [["aa", "b"], ["cccc"], ["d", "e"]]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(1)
+    far = {r.text: r.vector for r in extract.encode(rows, lambda: extract.PooledEncoder(tokenize, lambda ids, mask: table[ids], 6, (1,), (2,)), size=3, chars=8).collect()}
+    assert all(np.allclose(far[t], v, atol=1e-6) for t, v in zip(texts, got))
+
+
 def test_preprocess_writes_files(spark, tmp_path):
     from kgloom.plans import pipelines
 
