@@ -169,12 +169,16 @@ def _ranges(eligible: DataFrame, rows: int) -> DataFrame:
 
 
 def _slices(runs: DataFrame) -> DataFrame:
-    """range, slice: the rows of each range that follow one another in a sorted partition, packed in arrays."""
+    """range, slice: the rows of each range that follow one another in their order, packed in arrays.
+
+    A partition may read several sorted files, one after the other, so a slice ends where the order falls as well as where the range changes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            ends = np.append(np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)).astype(np.int32) if len(own) else np.zeros(0, np.int32)
+            own, score, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            falls = (score[1:] > score[:-1]) | ((score[1:] == score[:-1]) & (ids[1:] < ids[:-1]))
+            ends = np.append(np.flatnonzero((own[1:] != own[:-1]) | falls) + 1, len(own)).astype(np.int32) if len(own) else np.zeros(0, np.int32)
             starts = np.concatenate([np.zeros(1, np.int32), ends]).astype(np.int32)
             packed = [pa.ListArray.from_arrays(pa.array(starts), batch.column(1 + i)) for i in range(len(_PACKED))] if len(own) else [pa.array([], pa.list_(pa.int64()))] * len(_PACKED)
             yield pa.RecordBatch.from_arrays([pa.array(own[starts[:-1]]) if len(own) else pa.array([], pa.int64()), *packed], ["range", *_PACKED])

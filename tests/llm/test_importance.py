@@ -73,6 +73,19 @@ def test_ties_beyond_a_range_go_by_id(spark, rows):
     assert max(len(r.ids) for r in ranges.collect()) >= 900 // rows // 2
 
 
+def test_runs_of_several_files_in_a_partition(spark):
+    """Files of sorted runs that Spark reads one after the other are each a run of their own."""
+    scores = [(i, 20, 30, 5, i * 37 % 101) for i in range(1, 301)]
+    table = spark.createDataFrame(scores, "__id bigint, n_features bigint, n_words bigint, weight bigint, score bigint").repartition(5)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        got = {r["__id"]: r["rank"] for r in importance.drawn(table, 50).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    order = sorted(scores, key=lambda r: (-r[4], r[0]))
+    assert got == {r[0]: k + 1 if k < 150 else None for k, r in enumerate(order)}
+
+
 def test_tournament_like_sorting():
     rnd = random.Random(1)
     for k in (1, 2, 3, 5, 8, 33):
