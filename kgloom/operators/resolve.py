@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.functions.vectors import dot
 from kgloom.operators.components import components
-from kgloom.session import scratch, written
+from kgloom.session import cut, scratch, written
 
 #: A block of the similarity join holds vectors of so many bytes as doubles, and where tasks would be few, so many vectors at least.
 BLOCK_BYTES, BLOCK_LEAST = 32 << 20, 2048
@@ -164,29 +166,103 @@ def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = Non
     """
     own = vectors.select("id", "vector").dropna()
     kind = own.schema["id"].dataType.simpleString()
-    placed = _dealt(own, dealt or plan(vectors, threshold, blocks), kind)
-    other = placed.select("id", "vector", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other"))
-    keyed = other.select("id", "vector", "cell", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        left = rows[rows["own"] == i].sort_values("id")
-        right = rows[rows["own"] == j].sort_values("id")
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        x, y = np.stack(left["vector"].to_numpy()).astype(np.float64), np.stack(right["vector"].to_numpy()).astype(np.float64)
-        names, theirs, step, out = left["id"].to_numpy(), right["id"].to_numpy(), max(1, CELLS // len(y)), []
-        for at in range(0, len(x), step):
-            sims = x[at : at + step] @ y.T
-            r, c = np.nonzero(sims >= threshold)
-            a, b, s = names[at + r], theirs[c], sims[r, c]
+        left, right = _sides(rows, i, j)
+        names, theirs, out = left["id"].to_numpy(), right["id"].to_numpy(), [pd.DataFrame({"a": [], "b": [], "sim": []})]
+        for r, c, s in _strips(left, right, threshold):
+            a, b = names[r], theirs[c]
             keep = a < b if i == j else a != b
             a, b, s = a[keep], b[keep], s[keep]
             swap = a > b
             out.append(pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "sim": s}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    return _keyed(own, dealt or plan(vectors, threshold, blocks), kind).groupBy("cell", "i", "j").applyInPandas(run, f"a {kind}, b {kind}, sim double")
+
+
+def _keyed(own: DataFrame, plan: Plan, kind: str) -> DataFrame:
+    """id, vector, own (its block), cell, i, j: a row for each pair of a cell's blocks that a vector takes part in."""
+    other = _dealt(own, plan, kind).select("id", "vector", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other"))
+    return other.select("id", "vector", "cell", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _sides(rows: pd.DataFrame, i: int, j: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return tuple(rows[rows["own"] == k].sort_values("id") for k in (i, j))
+
+
+def _strips(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places on the left, places on the right, products) of at least threshold, strip by strip of the left."""
+    if not len(left) or not len(right):
+        return
+    x, y = np.stack(left["vector"].to_numpy()).astype(np.float64), np.stack(right["vector"].to_numpy()).astype(np.float64)
+    step = max(1, CELLS // len(y))
+    for at in range(0, len(x), step):
+        sims = x[at : at + step] @ y.T
+        r, c = np.nonzero(sims >= threshold)
+        yield at + r, c, sims[r, c]
+
+
+#: What a block tells of a vector's neighbourhood: how many neighbours, and the upper and lower halves of two sums of their hashes.
+_HOOD = ("n", "u1", "l1", "u2", "l2")
+
+
+def hoods(vectors: DataFrame, thresholds: Sequence[float], blocks: int | None = None) -> DataFrame:
+    """level (the threshold's place), id, n, u1, l1, u2, l2: how many neighbours of each threshold an id has, and sums of their hashes, for ids that have some.
+
+    Ids must not repeat. No pair is a row: a block adds up what each of its vectors meets, so what is shuffled is a row for each vector and block it meets.
+    """
+    own, low = vectors.select("id", "vector").dropna(), min(thresholds)
+    kind = own.schema["id"].dataType.simpleString()
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        sides = _sides(rows, i, j)
+        hashes = [[side[h].to_numpy(np.int64).view(np.uint64) for h in ("h1", "h2")] for side in sides]
+        total = [[[np.zeros(len(side), np.uint64) for _ in range(3)] for side in sides] for _ in thresholds]
+        for r, c, s in _strips(*sides, low):
+            if i == j:
+                r, c, s = (v[r < c] for v in (r, c, s))
+            for t, level in zip(thresholds, total):
+                near = s >= t
+                ends = (r[near], c[near])
+                for k, (n, *sums) in enumerate(level):
+                    n += np.bincount(ends[k], minlength=len(n)).astype(np.uint64)
+                    for own_sum, h in zip(sums, hashes[1 - k]):
+                        np.add.at(own_sum, ends[k], h[ends[1 - k]])  # modulo 2^64
+        out = []
+        for at, level in enumerate(total):
+            for side, (n, *sums) in zip(sides, level):
+                some = n > 0
+                halves = [half[some].astype(np.int64) for own_sum in sums for half in (own_sum >> np.uint64(32), own_sum & np.uint64(0xFFFFFFFF))]
+                out.append(pd.DataFrame({"level": at, "id": side["id"].to_numpy()[some], **dict(zip(_HOOD, (n[some].astype(np.int64), *halves)))}))
         return pd.concat(out, ignore_index=True)
 
-    return keyed.groupBy("cell", "i", "j").applyInPandas(run, f"a {kind}, b {kind}, sim double")
+    keyed = _keyed(own, plan(vectors, low, blocks), kind).select("*", F.xxhash64("id").alias("h1"), F.xxhash64(F.lit("hood"), "id").alias("h2"))
+    parts = keyed.groupBy("cell", "i", "j").applyInPandas(run, f"level int, id {kind}, " + ", ".join(f"{c} bigint" for c in _HOOD))
+    return parts.groupBy("level", "id").agg(*(F.sum(c).alias(c) for c in _HOOD))
+
+
+def cliques(vectors: DataFrame, thresholds: Sequence[float], blocks: int | None = None) -> DataFrame:
+    """M3: level (the threshold's place), cluster (sorted ids): the components of similar vectors whose members are all similar; a row a cluster.
+
+    Ids of one closed neighbourhood are all near each other, and are a whole component if the neighbourhood is as large as they are many. So :func:`hoods`
+    are grouped by their size and 128 bits of hash, and neither pairs nor components are made. An id with several vectors is near what any of them is
+    near, which sums cannot tell: such tables go by pairs.
+    """
+    own = vectors.select("id", "vector").dropna().distinct()
+    if not own.groupBy("id").count().where("count > 1").isEmpty():
+        pairs = cut(similar_pairs(own, min(thresholds), blocks))
+        every = [clusters(pairs.where(F.col("sim") >= t)).select(F.lit(at).alias("level"), "cluster").where(F.col("id") == F.col("cluster")[0]) for at, t in enumerate(thresholds)]
+        return reduce(DataFrame.union, every)
+    mask, whole = F.lit(0xFFFFFFFF), F.lit(1 << 32)
+    closed = ["level", "n"]
+    for u, l, h in (("u1", "l1", F.xxhash64("id")), ("u2", "l2", F.xxhash64(F.lit("hood"), "id"))):
+        lower = F.col(l) + h.bitwiseAND(mask)
+        closed += [F.pmod(F.col(u) + F.shiftrightunsigned(h, 32) + F.shiftright(lower, 32), whole).alias(u), lower.bitwiseAND(mask).alias(l)]
+    groups = hoods(own, thresholds, blocks).select(*closed, "id").groupBy("level", *_HOOD).agg(F.count("*").alias("__n"), F.array_sort(F.collect_list("id")).alias("cluster"))
+    return groups.where("__n = n + 1").select("level", "cluster")
 
 
 def merge_forest(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -263,6 +339,19 @@ def canonical_names(entities: DataFrame, found: DataFrame, pairs: DataFrame) ->
     return own.join(sims, ["entity", "canonical"], "left").select("entity", "canonical", F.when(F.col("entity") == F.col("canonical"), 1.0).otherwise(F.col("sim")).alias("sim"))
 
 
+def resolved_names(entities: DataFrame, vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
+    """What :func:`canonical_names` gives, from the vectors (id, vector) themselves: no table of pairs is made, and sim is told of merged names only.
+
+    Of an entity with several vectors sim is the largest.
+    """
+    name = F.array_min(F.transform("cluster", lambda e: F.struct(F.length(e).alias("n"), e.alias("e"))))["e"]
+    merged = cliques(vectors, [threshold], blocks).select("cluster", name.alias("canonical")).select(F.explode("cluster").alias("entity"), "canonical").where("entity <> canonical")
+    side = lambda c, v: vectors.dropna().select(F.col("id").alias(c), F.col("vector").alias(v))
+    sims = merged.join(side("entity", "__x"), "entity").join(side("canonical", "__y"), "canonical").groupBy("entity", "canonical").agg(F.max(dot(F.col("__x"), F.col("__y"))).alias("sim"))
+    own = entities.join(sims, "entity", "left")
+    return own.select("entity", F.coalesce("canonical", "entity").alias("canonical"), F.when(F.col("canonical").isNull(), 1.0).otherwise(F.col("sim")).alias("sim"))
+
+
 def merge_log(names: DataFrame) -> DataFrame:
     """Canonical, n_members, members (name, sim; sorted) of merged clusters, largest first."""
     members = F.array_sort(F.collect_list(F.when(F.col("entity") != F.col("canonical"), F.struct(F.col("entity").alias("name"), F.round("sim", 4).alias("sim")))))

@@ -61,8 +61,7 @@ def normalized(triples: DataFrame, vectors: DataFrame, threshold: float = 0.93,
     The filter comes after resolution: triples of other relations still contribute entities.
     """
     own = T.trimmed(triples)
-    pairs = cut(resolve.similar_pairs(vectors, threshold, blocks))
-    names = cut(resolve.canonical_names(T.entities(own), resolve.clusters(pairs), pairs))
+    names = cut(resolve.resolved_names(T.entities(own), vectors, threshold, blocks))
     out = T.mapped(own, names)
     if relations is not None:
         out = T.in_schema(out, relations)

@@ -325,3 +325,29 @@ def test_consistency_checks(spark):
     assert none == {kind: (0, []) for kind in metrics.CHECKS}
     lines = reports.checks_report(checks).split("\n")
     assert [x for x in lines if x.startswith("【")] == [f"【{kind}】" for kind in metrics.CHECKS] and "  a - 优化 - 降低 - b" in lines
+
+
+def test_cliques_without_pairs(spark, clustered):
+    """Every threshold's clusters from sums over neighbourhoods: those of the pairs, with a row for each vector and block it meets at most."""
+    x, df = clustered
+    pairs, levels = cut(resolve.similar_pairs(df, 0.5)), (0.5, 0.7, 0.85, 0.9)
+    for blocks in (None, 3):
+        got = resolve.cliques(df, levels, blocks).collect()
+        for at, t in enumerate(levels):
+            assert sorted(list(r.cluster) for r in got if r.level == at) == sorted({tuple(r.cluster): r.cluster for r in resolve.clusters(pairs.where(F.col("sim") >= t)).collect()}.values())
+    assert resolve.cliques(df.where("false"), levels).count() == 0
+    twice = df.where("id < 60").union(df.where("id < 9")).union(spark.createDataFrame([(200, x[0].tolist()), (200, x[300].tolist())], df.schema))
+    links = resolve.similar_pairs(twice.distinct(), 0.7)
+    assert sorted(r.cluster for r in resolve.cliques(twice, [0.7]).collect()) == sorted({tuple(r.cluster): r.cluster for r in resolve.clusters(links).collect()}.values())
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(300)], "id bigint, vector array<double>")
+    parts = resolve.hoods(same, [0.9], 3).collect()
+    assert {r.n for r in parts} == {299} and len(parts) == 300
+
+
+def test_names_from_vectors_like_those_from_pairs(spark, clustered):
+    _, df = clustered
+    own = df.select(F.concat(F.lit("e"), "id").alias("id"), "vector")
+    names = own.select(F.col("id").alias("entity")).union(spark.createDataFrame([("none",)], "entity string"))
+    pairs = cut(resolve.similar_pairs(own, 0.85))
+    told = lambda d: rows(d.select("entity", "canonical", F.round("sim", 9)))
+    assert told(resolve.resolved_names(names, own, 0.85)) == told(resolve.canonical_names(names, resolve.clusters(pairs), pairs))
