@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ _B = r"[\s&&[^\n]]*"
 #: A chapter's heading: level marks, a number in one of three forms, a title (fixed value).
 HEADING = rf"#+{_B}(?:第?{_B}[0-9一二三四五六七八九十]+{_B}[章节]|Chapter[\s&&[^\n]]+\d+|[0-9]+\.)[^\n]*"
 WHOLE = "全文"
+#: Bytes of texts whose chunks Python makes at a time.
+PART_BYTES = 1 << 20
 
 
 def chapters(docs: DataFrame, keep_preamble: bool = False) -> DataFrame:
@@ -86,11 +89,23 @@ def chunk_array(text: Column, max_chars: int = 150, terminators: str = X.SENTENC
     @F.arrow_udf("array<string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([packed(t, max_chars, terminators) for t in texts.to_pylist()], pa.list_(pa.string()))
+            yield chunked(texts, max_chars, terminators)
 
     return run(text)
 
 
+def chunked(texts: pa.Array, max_chars: int, terminators: str, most: int = PART_BYTES) -> pa.Array:
+    """The chunks of a batch of texts. Python holds about ``most`` bytes of its texts and their chunks at a time (or one longer text's); the rest is in Arrow."""
+    kind, parts, at = pa.list_(pa.string()), [], 0
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        parts.append(pa.array([packed(t, max_chars, terminators) for t in texts.slice(at, to - at).to_pylist()], kind))
+        at = to
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def chunks(docs: DataFrame, max_chars: int = 150, terminators: str = X.SENTENCE_ENDS) -> DataFrame:
     """doc_id, chunk_no, chunk."""
     return docs.select("doc_id", F.posexplode(chunk_array(F.col("text"), max_chars, terminators)).alias("chunk_no", "chunk"))

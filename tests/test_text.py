@@ -157,3 +157,22 @@ def test_only_texts_with_tables_go_to_python(spark):
 def test_clean_composite(spark):
     text = "# 标题\n作者：甲\n\n\n见[1] <table><tr><td>v</td></tr></table>\n---\nend\n# 参考文献\nx"
     assert one(spark, X.clean, text) == ["# 标题\n\n见[1] | v |\nend"]
+
+
+def test_chunks_of_a_batch_part_by_part():
+    """Parts change nothing, and Python holds a part of a batch, not all of it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None, "", "一。二。三"] + [f"{i}。" + "x y。" * 900 for i in range(3000)])
+    want = [segment.packed(t, 150, "。！？；") for t in texts.to_pylist()]
+    for most in (1, 5000, 1 << 30):
+        assert segment.chunked(texts.slice(0, 60), 150, "。！？；", most).to_pylist() == want[:60]
+    assert segment.chunked(texts.slice(0, 0), 150, "。！？；").to_pylist() == []
+    del want
+    tracemalloc.start()
+    segment.chunked(texts, 150, "。！？；")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
