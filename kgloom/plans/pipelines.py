@@ -29,7 +29,7 @@ def preprocess(spark: SparkSession, source: str, target: str, split_chapters: bo
 
     A folder that is not there raises.
     """
-    docs = io.markdown(spark, source)
+    n, docs = io.markdown_count(spark, source), io.markdown(spark, source)
     clean = cleaned(docs, with_tables, with_images)
     if split_chapters:
         files = segment.chapter_files(segment.chapters(clean))
@@ -38,7 +38,7 @@ def preprocess(spark: SparkSession, source: str, target: str, split_chapters: bo
     else:
         files = clean.select(F.concat("doc_id", F.lit(".md")).alias("file"), "text")
     io.write_files(files, target)
-    return docs.count()
+    return n
 
 
 def extracted(docs: DataFrame, relations: DataFrame, model: Callable[[], extract.Extractor], max_chars: int = 150, terminators: str = X.SENTENCE_ENDS, method: str = extract.METHOD) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +18,9 @@ from kgloom.operators import graph
 from kgloom.operators.metrics import label_of
 
 UNDEFINED = chr(0xFFFD)
+SUFFIX = ".md"
+#: Bytes of files in a batch, about, and names in one at most.
+READ_BYTES, LISTED = 8 << 20, 10_000
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -52,25 +56,101 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.element_at(F.split(path, "/"), -1)), F.lit(r"\.[^.]*$"), F.lit(""))
 
 
-def markdown(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (the file's stem), path, text of a folder's Markdown files or of one file; a missing path raises.
+def markdown(spark: SparkSession, *paths: str) -> DataFrame:
+    """doc_id (the file's stem), path, text of the Markdown files of folders or of one file; a missing path raises.
 
+    Tasks list the folders, one a folder, and read the files that the paths deal to them, so the driver holds no list of files and no task is made for a
+    few of them. Paths that pyarrow.fs does not open, and patterns, are left to Spark's reader, which lists in the driver.
     Empty files give no rows. Rows come in no order; whoever credits facts to files (pipelines.extracted) orders by the files' names.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path)
+    names = _names(spark, paths)
+    if names is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(list(paths))
+    else:
+        store, listed = names
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held, size = [], 0
+                for path, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    with store.open_input_file(own) as file:
+                        held.append((path, file.read()))
+                    size += len(held[-1][1])
+                    if size >= READ_BYTES:
+                        yield _batch(held, "path", "content")
+                        held, size = [], 0
+                if held:
+                    yield _batch(held, "path", "content")
+
+        files = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(run, "path string, content binary")
     return files.select(stem(F.col("path")).alias("doc_id"), "path", decoded(F.col("content")).alias("text"))
 
 
+def markdown_count(spark: SparkSession, *paths: str) -> int:
+    """How many rows markdown has just now; no file is opened."""
+    names = _names(spark, paths)
+    return (markdown(spark, *paths) if names is None else names[1]).count()
+
+
+def _names(spark: SparkSession, paths: tuple[str, ...]) -> tuple[fs.FileSystem, DataFrame] | None:
+    """The store of the paths and their Markdown files (path as Spark shows it, own as the store does), listed by tasks; None if only Spark's reader will do."""
+    placed = [_placed(spark, p) for p in paths]
+    if not all(placed) or any(not x[0].equals(placed[0][0]) for x in placed):
+        return None
+    store = placed[0][0]
+    for path, info in zip(paths, store.get_file_info([x[1] for x in placed])):
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(f"{path} does not exist")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shown, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if store.get_file_info(root).type == fs.FileType.File:
+                    shown, infos = shown.rpartition("/")[0], [store.get_file_info(root)]
+                else:
+                    infos = store.get_file_info(fs.FileSelector(root))
+                shown = shown.rstrip("/")
+                for k in range(0, len(infos), LISTED):
+                    own = [(f"{shown}/{i.base_name}", i.path) for i in infos[k : k + LISTED] if i.type == fs.FileType.File and i.size and i.base_name.endswith(SUFFIX) and not _hidden(i.base_name)]
+                    if own:
+                        yield _batch(own, "path", "own")
+
+    folders = spark.createDataFrame([(shown, root) for _, root, shown in placed], "path string, own string")
+    return store, folders.mapInArrow(run, "path string, own string")
+
+
+def _placed(spark: SparkSession, path: str) -> tuple[fs.FileSystem, str, str] | None:
+    """Store, the path there and as Spark shows it."""
+    if any(c in path for c in "*?[{\\"):
+        return None
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p)
+    try:
+        return *_opened(p.toUri().getPath() if p.toUri().getScheme() == "file" else p.toString()), p.toString()
+    except (pa.ArrowException, OSError):
+        return None
+
+
+def _hidden(name: str) -> bool:
+    """As Spark's readers have it."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name
+
+
+def _batch(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*rows)], names)
+
+
 def write_documents(docs: DataFrame, path: str) -> None:
     """Parquet (doc_id, text)."""
     docs.select("doc_id", "text").write.mode("overwrite").parquet(path)
 
 
-def write_files(rows: DataFrame, folder: str) -> int:
+def write_files(rows: DataFrame, folder: str, parts: int = 0) -> int:
     """A file of UTF-8 text for each row (file, text) under its own name; how many were written.
 
     Tasks write under names of their attempt and move what is complete, so a repeated task leaves no half file. Of rows of one name one is left.
-    Folders are any that pyarrow.fs opens, one that all executors share.
+    Folders are any that pyarrow.fs opens, one that all executors share. parts: the files are dealt by their names over so many subfolders (part_folders),
+    for one folder of millions is slow to write, and one task lists it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,18 +158,24 @@ def write_files(rows: DataFrame, folder: str) -> int:
         attempt, n = TaskContext.get().taskAttemptId(), 0
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = f"{root}/.{name}.{attempt}"
+                within = f"{root}/{zlib.crc32(str(name).encode()) % parts}" if parts else root
+                own = f"{within}/.{name}.{attempt}"
                 with fs.open_output_stream(own) as out:
                     out.write((text or "").encode("utf-8", "surrogatepass"))
-                fs.move(own, f"{root}/{name}")
+                fs.move(own, f"{within}/{name}")
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     fs, root = _opened(folder)
-    fs.create_dir(root, recursive=True)
+    for own in (root, *part_folders(root, parts)):
+        fs.create_dir(own, recursive=True)
     return rows.select("file", "text").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def part_folders(folder: str, parts: int) -> list[str]:
+    return [f"{folder}/{k}" for k in range(parts)]
+
+
 def _opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
 

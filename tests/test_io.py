@@ -32,6 +32,36 @@ def test_markdown(spark, tmp_path):
         io.markdown(spark, str(tmp_path / "missing.md")).collect()
 
 
+def test_markdown_many_files(spark, tmp_path):
+    """Tasks are as many as the shuffle's partitions, not one for some 30 files; subfolders hold each name once."""
+    rows = spark.range(600).selectExpr("concat(id % 500, '.md') as file", "if(id % 500 = 7, '', concat('x', id % 500)) as text")
+    want = {(str(k), f"x{k}") for k in range(500) if k != 7}  # an empty file gives no row
+    assert io.write_files(rows, str(tmp_path / "flat")) == io.write_files(rows, str(tmp_path / "dealt"), 8) == 600
+    flat, dealt = [str(tmp_path / "flat")], io.part_folders(str(tmp_path / "dealt"), 8)
+    assert sorted(p.name for p in (tmp_path / "dealt").glob("*/*")) == sorted(p.name for p in (tmp_path / "flat").iterdir()) and len(list((tmp_path / "dealt").iterdir())) == 8
+    for folders in (flat, dealt):
+        read = io.markdown(spark, *folders)
+        assert read.rdd.getNumPartitions() == 4
+        got = [(r.doc_id, r.text) for r in read.collect()]
+        assert len(got) == len(want) == io.markdown_count(spark, *folders) and set(got) == want
+
+
+def test_markdown_like_sparks_reader(spark, tmp_path, monkeypatch):
+    (tmp_path / "sub").mkdir()
+    for name, content in {"文 a.md": "x\r\ny", "b.tar.md": "b", "_h.md": "h", "_k=1.md": "k", ".d.md": "d", "e.MD": "e", "f.txt": "f", "g.md": "", "sub/s.md": "s"}.items():
+        (tmp_path / name).write_bytes(content.encode())
+    (tmp_path / "bad.md").write_bytes(b"\xff")
+    asked = [str(tmp_path)], [f"{tmp_path}/"], [f"file://{tmp_path}"], [str(tmp_path / "文 a.md")], [str(tmp_path / "f.txt")], [str(tmp_path), str(tmp_path / "sub")], [f"{tmp_path}/*.md"], [f"{tmp_path}/[bs]*"]
+    rows = lambda: [sorted(tuple(r) for r in io.markdown(spark, *paths).collect()) for paths in asked]
+    own, counts = rows(), [io.markdown_count(spark, *paths) for paths in asked]
+    monkeypatch.setattr(io, "_names", lambda *_: None)
+    assert own == rows() and counts == [len(x) for x in own] and [r[0] for r in own[0]] == ["_k=1", "b.tar", "bad", "文 a"]
+    monkeypatch.undo()
+    (tmp_path / "large.md").write_text("y" * 300)
+    monkeypatch.setattr(io, "READ_BYTES", 1)  # a batch for each file
+    assert len(io.markdown(spark, str(tmp_path)).collect()) == 5
+
+
 def test_catalogs_and_truth(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps([{"name": "a", "is_symmetric": True}, {"name": "b", "mutex_with": ["a"]}]))
     got = io.relation_types(spark, str(tmp_path / "r.json")).orderBy("idx").collect()
