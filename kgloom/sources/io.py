@@ -21,6 +21,8 @@ UNDEFINED = chr(0xFFFD)
 SUFFIX = ".md"
 #: Bytes of files in a batch, about, and names in one at most.
 READ_BYTES, LISTED = 8 << 20, 10_000
+#: Files that are worth a task of their own, beyond a task a core; there are never more tasks than shuffle partitions.
+TASK_FILES = 512
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -82,7 +84,8 @@ def markdown(spark: SparkSession, *paths: str) -> DataFrame:
                 if held:
                     yield _batch(held, "path", "content")
 
-        files = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(run, "path string, content binary")
+        tasks = max(spark.sparkContext.defaultParallelism, listed.count() // TASK_FILES)
+        files = listed.repartition(min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(run, "path string, content binary")
     return files.select(stem(F.col("path")).alias("doc_id"), "path", decoded(F.col("content")).alias("text"))
 
 
@@ -94,7 +97,8 @@ def markdown_count(spark: SparkSession, *paths: str) -> int:
 
 def _names(spark: SparkSession, paths: tuple[str, ...]) -> tuple[fs.FileSystem, DataFrame] | None:
     """The store of the paths and their Markdown files (path as Spark shows it, own as the store does), listed by tasks; None if only Spark's reader will do."""
-    placed = [_placed(spark, p) for p in paths]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    placed = [_placed(*hadoop, p) for p in paths]
     if not all(placed) or any(not x[0].equals(placed[0][0]) for x in placed):
         return None
     store = placed[0][0]
@@ -119,12 +123,12 @@ def _names(spark: SparkSession, paths: tuple[str, ...]) -> tuple[fs.FileSystem,
     return store, folders.mapInArrow(run, "path string, own string")
 
 
-def _placed(spark: SparkSession, path: str) -> tuple[fs.FileSystem, str, str] | None:
+def _placed(hadoop_path, configuration, path: str) -> tuple[fs.FileSystem, str, str] | None:
     """Store, the path there and as Spark shows it."""
     if any(c in path for c in "*?[{\\"):
         return None
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p)
+    p = hadoop_path(path)
+    p = p.getFileSystem(configuration).makeQualified(p)
     try:
         return *_opened(p.toUri().getPath() if p.toUri().getScheme() == "file" else p.toString()), p.toString()
     except (pa.ArrowException, OSError):
